@@ -105,3 +105,109 @@ def report(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, fingerprint as 16 hex digits, component_id."""
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return near_duplicates(docs, words).select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+# -- near copies by the similarity of shingle sets ---------------------------------------------------------------------
+
+#: Minimum hashes of a text's shingles, each of which files it in a bucket.
+MINIMA = 8
+_ODD = (np.random.default_rng(42).integers(1, 1 << 62, MINIMA, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+
+_SKETCH = "doc_id long, mark long, rid long, content binary, fp long, minima array<long>, shingles binary"
+
+
+def _sketches(docs: DataFrame, words: int) -> DataFrame:
+    """Per row: a number, a hash of its word sequence, fingerprint, minimum hashes and sorted 32-bit shingle hashes."""
+    from pyspark import TaskContext
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        rid = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            texts = text_bytes(batch.column("text"))
+            content, fp, minima, shingles = [], [], [], []
+            for text in texts:
+                h = shingle_hashes(text, words)
+                distinct = np.unique(h)
+                content.append(xxh3_128_digest(b" ".join(text.lower().split())))
+                fp.append(fingerprint(h))
+                minima.append([int((distinct * odd).min().view(np.int64)) for odd in _ODD] if len(h) else [])
+                shingles.append(np.unique((distinct >> np.uint64(32)).astype(np.uint32)).tobytes())
+            rids = np.arange(rid, rid + len(texts))
+            rid += len(texts)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), batch.column("mark"), pa.array(rids), pa.array(content, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64)),
+                    pa.array(minima, pa.list_(pa.int64())), pa.array(shingles, pa.binary()),
+                ],
+                names=["doc_id", "mark", "rid", "content", "fp", "minima", "shingles"],
+            )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"), "text").mapInArrow(run, _SKETCH)
+
+
+def _mark():
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
+
+
+def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) between rows of nodes (rid, fp, minima, shingles) whose shingle sets have at least this Jaccard
+    similarity, enough of them to join what is similar.
+
+    Candidates are pairs within 3 bits by the grid, rows of one fingerprint, and, as texts of similarity 0.8 may differ
+    in 16 of 64 bits, rows that share a minimum hash. In each bucket every row meets one hub, a different one in each
+    kind of bucket, never all others; the sets decide.
+    """
+    of_fp = nodes.groupBy("fp").agg(F.min("rid").alias("first"))
+    first = lambda fp, name: of_fp.select(F.col("fp").alias(fp), F.col("first").alias(name))
+    close = near_pairs(of_fp.select("fp")).join(first("a", "u"), "a").join(first("b", "v"), "b").select("u", "v")
+    same = nodes.select("rid", "fp").join(of_fp, "fp").filter("rid <> first").select(F.col("rid").alias("u"), F.col("first").alias("v"))
+    filed = nodes.select("rid", F.posexplode("minima").alias("kind", "least"))
+    hubs = filed.groupBy("kind", "least").agg(F.min(F.struct(F.xxhash64("rid", "kind").alias("h"), F.col("rid").alias("hub"))).alias("x"), F.count("*").alias("n"))
+    hubs = hubs.filter("n > 1").select(F.col("kind").alias("k"), F.col("least").alias("l"), "x.hub")
+    met = filed.join(hubs, (F.col("kind") == F.col("k")) & (F.col("least") == F.col("l"))).filter("rid <> hub").select(F.col("rid").alias("u"), F.col("hub").alias("v"))
+    pairs = close.unionByName(same).unionByName(met).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    sets = lambda name, c: nodes.select(F.col("rid").alias(name), F.col("shingles").alias(c))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                small, large = sorted((len(a), len(b)))
+                if small < similarity * large:
+                    keep.append(False)
+                    continue
+                both = len(np.intersect1d(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), assume_unique=True))
+                keep.append(both >= similarity * ((small + large) // 4 - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(sets("u", "x"), "u").join(sets("v", "y"), "v").select("u", "v", "x", "y").mapInArrow(verify, "u long, v long")
+
+
+def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, all columns, without all but one (of the smallest doc_id) of each group of near copies: texts
+    joined by shared word sequences or by shingle sets of at least this Jaccard similarity.
+
+    Texts without words are one group. Repeated rows are copies; a null doc_id comes after all others. Shingle sets are
+    compared by 32-bit hashes.
+    """
+    rows = write_table(_sketches(docs, words), "sketches")
+    groups = write_table(rows.groupBy("content").agg(F.min("rid").alias("node")), "contents")
+    nodes = rows.join(groups.select(F.col("node").alias("rid")), "rid", "left_semi").select("rid", "fp", "minima", "shingles")
+    found = components(similar_links(nodes, similarity))
+    label = groups.join(found, "node", "left").select("content", F.coalesce("component", "node").alias("component"))
+    placed = write_table(rows.select("doc_id", "mark", "rid", "content").join(label, "content").select("doc_id", "mark", "rid", "component"), "placed")
+    best = placed.groupBy(F.col("component").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("best")).select("c", F.col("best.rid").alias("best"))
+    kept = placed.join(best, placed["component"] == best["c"]).withColumn("kept", F.col("rid") == F.col("best"))
+    marks = write_table(kept.groupBy("doc_id", "mark").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "marks")
+    on = lambda m: docs["doc_id"].cast("long").eqNullSafe(m["__id"]) & (F.col("__mark") == m["__m"])
+    named = lambda m: m.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__m"))
+    marked = docs.withColumn("__mark", _mark())
+    gone, twice = named(marks.filter("not kept")), named(marks.filter("kept and n > 1"))
+    if twice.isEmpty():
+        return marked.join(gone, on(gone), "left_anti").drop("__mark")
+    # rows that are repeated as they are: one of each stays
+    also = named(marks.filter("not kept or n > 1"))
+    single = marked.join(also, on(also), "left_anti")
+    return single.unionByName(marked.join(twice, on(twice), "left_semi").dropDuplicates(["doc_id", "__mark"])).drop("__mark")
