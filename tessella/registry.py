@@ -1,15 +1,549 @@
-"""Named queries of the engine with their SQL twins."""
+"""Named queries of the engine over the driver's tables, each with its SQL twin where SQL can say it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import markup, text
+from .functions.words import STOPWORDS
+from .operators import clustering, facets, features, ingest, search
+from .operators import similarity as sim
+from .sources import feeds
+from .streaming import ingest as stream
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# -- the article view --------------------------------------------------------------------------------------------------
+
+
+def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles with title bigrams (function words and all), capitalised words as entities, and title slugs as cluster
+    ids, which is how stored documents start."""
+    w = text.words("title")
+    rows = feeds.article_rows(spark, sf_dir)
+    entity = F.sort_array(F.array_distinct(F.regexp_extract_all("title", F.lit("[A-Z][a-z]+"), F.lit(0))))
+    return rows.withColumns(
+        {"ngram": F.array_distinct(text.ngrams(w, 2, 2)), "entity": entity, "clusterid": text.slug("title"), "clustered": F.lit(False), "plaintiff": F.lit(None).cast("string"), "defendant": F.lit(None).cast("string")}
+    ).withColumn("entitykey", F.col("entity"))
+
+
+_A = """a AS MATERIALIZED (SELECT CAST(doc_id AS VARCHAR) AS id, substring(text, 1, 200) AS title, text AS body, source AS feed, lang AS category, n_chars,
+        regexp_replace(substring(text, 1, 200), '[^A-Za-z0-9]+', '', 'g') AS clusterid,
+        list_filter(string_split_regex(lower(trim(substring(text, 1, 200), ' ')), '[^a-z0-9]+'), lambda w: w <> '') AS w,
+        list_sort(list_distinct(regexp_extract_all(substring(text, 1, 200), '[A-Z][a-z]+'))) AS entity FROM documents)"""
+_F = f"""{_A}, f AS MATERIALIZED (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] AS feature FROM a, range(1, len(w)) r(i)),
+    d AS (SELECT feature, count(*) AS df FROM f GROUP BY feature),
+    v AS MATERIALIZED (SELECT id, feature, ln(1 + (SELECT count(*) FROM a) // df) AS weight FROM f JOIN d USING (feature)),
+    m AS (SELECT id, sqrt(sum(weight * weight)) AS size FROM v GROUP BY id)"""
+
+
+def _vectors(docs: DataFrame) -> DataFrame:
+    rows = features.exploded(docs, "ngram", "ngram")
+    # the total is a scalar subquery of one row, not a job of its own
+    total = docs.agg(F.count("*").alias("total"))
+    one = rows.join(features.doc_frequency(rows).drop("kind"), "feature").crossJoin(F.broadcast(total))
+    return one.select("id", "feature", features.idf(F.col("total"), F.col("df")).alias("weight"))
+
+
+# -- text --------------------------------------------------------------------------------------------------------------
+
+
+@_query("SELECT page_id, regexp_replace(url, '[^A-Za-z0-9]+', '', 'g') AS slug FROM pages")
+def slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", text.slug("url").alias("slug"))
+
+
+@_query(
+    r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(trim(url, ' '), 'https?://', '', 'g'), '[''+\-&|!(){}\[\]^"~*?:\\]', '_', 'g'), '_+', '_', 'g') AS id_slug FROM pages"""
+)
+def id_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", text.id_slug("url").alias("id_slug"))
+
+
+CASES = [
+    "Smith v. Jones (10-875) [ORDER]", "Case: Acme Corp V. Beta LLC", "(A) v. B (C)", "A (x) v. B (y)", "A v. B v. C", "A v. B v C", "A v B V. C", "11-5017 | A v B", "A vs. B", "Case: [ORDER]",
+]
+_CASE_ROWS = ", ".join("('" + c + "')" for c in CASES)
+
+
+def _case_sql() -> str:
+    out, previous = [], "t"
+    tests = " ".join(f"WHEN len(string_split(t, '{s}')) = 2 THEN '{s}'" for s in text.SEPARATORS)
+    out.append(f"c AS (SELECT title, trim(regexp_replace(trim(title), '\\[ORDER\\]$', '')) AS t FROM (VALUES {_CASE_ROWS}) x(title))")
+    out.append("e AS (SELECT title, trim(CASE WHEN ends_with(t, ')') AND strpos(t, '(') > 1 THEN substring(t, 1, strpos(t, '(') - 1) ELSE t END) AS t FROM c)")
+    out.append("g AS (SELECT title, trim(regexp_replace(t, '^Case:', '')) AS t FROM e)")
+    out.append(f"s AS (SELECT title, t, CASE {tests} END AS sep FROM g)")
+    return f"WITH {', '.join(out)} SELECT title, CASE WHEN sep IS NOT NULL THEN trim(string_split(t, sep)[1]) END AS plaintiff, CASE WHEN sep IS NOT NULL THEN trim(string_split(t, sep)[2]) END AS defendant FROM s"
+
+
+@_query(_case_sql())
+def case_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = text.parties("title")
+    return spark.createDataFrame([(c,) for c in CASES], "title string").select("title", p["plaintiff"].alias("plaintiff"), p["defendant"].alias("defendant"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
+
+
+@_query(
+    f"""WITH {_A}, k AS (SELECT id, title, list_filter(w, lambda x: NOT list_contains([{_STOP}], x) AND length(x) > 1 AND NOT regexp_full_match(x, '[0-9]+')) AS k,
+            list_filter(string_split_regex(trim(title, ' '), '[^A-Za-z0-9]+'), lambda x: regexp_full_match(x, '[A-Z]{{4}}')) AS s FROM a)
+        SELECT id, feature FROM (SELECT id, array_to_string(k[i : i + n - 1], ' ') AS feature FROM k, range(2, 5) t(n), range(1, len(k) + 1) r(i) WHERE i + n - 1 <= len(k)
+            UNION SELECT id, lower(s[1]) FROM k WHERE len(s) = 1 AND upper(title) <> title)"""
+)
+def ngrams_2_4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.article_rows(spark, sf_dir).select("id", F.explode(text.title_ngrams("title")).alias("feature"))
+
+
+@_query()
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", markup.strip_html("html").alias("text"))
+
+
+_SENTENCES = """s AS (SELECT id, i, regexp_replace(x, '^.+--\\s', '') AS s FROM (SELECT id, i, trim(l[i], ' ') AS x
+        FROM (SELECT id, regexp_extract_all(replace(body, '&apos;', ''''), '[^.!?]+[.!?]*') AS l FROM a), range(1, len(l) + 1) r(i)) WHERE x <> '')"""
+
+
+@_query(
+    f"""WITH {_A}, {_SENTENCES}, t AS (SELECT *, regexp_extract_all(s, '[A-Za-z0-9]+|[^A-Za-z0-9 ]') AS t FROM s),
+        c AS (SELECT *, len(list_filter(t, lambda w: length(w) BETWEEN 2 AND 25 AND regexp_full_match(w, '[a-z]+|[A-Z][a-z]+'))) AS n FROM t),
+        g AS (SELECT id, i, s, row_number() OVER (PARTITION BY id ORDER BY i) AS k, sum(length(s)) OVER (PARTITION BY id ORDER BY i) AS total FROM c
+            WHERE length(s) BETWEEN 20 AND 300 AND upper(s[1]) = s[1] AND ends_with(s, '.') AND n >= 6 AND n >= 0.8 * len(t)),
+        p AS (SELECT id, string_agg(s, ' ' ORDER BY i) AS picked FROM g WHERE k = 1 OR total <= 400 GROUP BY id)
+        SELECT id, coalesce(picked, CASE WHEN length(b) > 200 THEN substring(b, 1, 200) || '...' ELSE b END) AS summary
+        FROM (SELECT id, replace(body, '&apos;', '''') AS b FROM a WHERE body <> '') x LEFT JOIN p USING (id)"""
+)
+def clean_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.article_rows(spark, sf_dir).filter("body <> ''").select("id", text.clean_summary("body").alias("summary"))
+
+
+_FOLD_SQL = "text"
+for _k, _v in text.folding().items():
+    _FOLD_SQL = f"replace({_FOLD_SQL}, '{_k}', '{_v}')"
+
+
+@_query(f"SELECT doc_id, {_FOLD_SQL} AS folded FROM documents")
+def fold_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", text.fold_ascii("text").alias("folded"))
+
+
+SYNONYMS = ["the, der => the", "and,und", "gib,gigabyte", "pixima => pixma"]
+
+
+@_query(
+    f"""WITH {_A}, r(src, dst) AS (VALUES ('the', ['the']), ('der', ['the']), ('and', ['and', 'und']), ('und', ['and', 'und']), ('gib', ['gib', 'gigabyte']), ('gigabyte', ['gib', 'gigabyte']), ('pixima', ['pixma'])),
+        t AS (SELECT id, i, w[i] AS w FROM a, range(1, len(w) + 1) x(i)), e AS (SELECT id, i, coalesce(dst, [w]) AS l FROM t LEFT JOIN r ON src = w)
+        SELECT id, coalesce((SELECT array_to_string(flatten(list(l ORDER BY i)), ' ') FROM e WHERE e.id = a.id), '') AS words FROM a"""
+)
+def synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = text.parse_synonyms(SYNONYMS)
+    return feeds.article_rows(spark, sf_dir).select("id", F.array_join(text.expand_synonyms(text.words("title"), rules), " ").alias("words"))
+
+
+@_query("SELECT md5(coalesce(source, '') || '|' || coalesce(lang, '') || '|' || coalesce(text, '')) AS signature, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1")
+def dedupe_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return docs.groupBy(text.signature("source", "lang", "text").alias("signature")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+
+
+@_query(
+    r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\b(the|und)\b') THEN regexp_replace(text, '(?i)\b(the|und)\b', '<em>\1</em>', 'g') END AS marked FROM (SELECT doc_id, substring(text, 1, 300) AS text FROM documents WHERE regexp_full_match(substring(text, 1, 300), '[\x00-\x7F]*'))"""
+)
+def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # only ASCII snippets: the two engines draw word borders differently beside other letters
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 300).alias("text")).filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    return docs.select("doc_id", text.highlight("text", ["the", "und"], fragment=0).alias("marked"))
+
+
+@_query("SELECT doc_id, substring(text, 1, 300) || '...' AS preview FROM documents")
+def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", text.preview("text").alias("preview"))
+
+
+# -- ingest ------------------------------------------------------------------------------------------------------------
+
+
+def _page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    row = lambda feed: pages.select(F.lit(feed).alias("feed"), F.col("page_id").alias("seq"), F.col("url").alias("link"), title.alias("title"), text.id_slug("url").alias("id"))
+    return row("a").unionByName(row("b"))
+
+
+_ID_SLUG = _SQL["id_slug"].split(" FROM ")[0].removeprefix("SELECT page_id, ")
+
+
+@_query(
+    f"""WITH p AS (SELECT page_id AS seq, url AS link, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, {_ID_SLUG.replace("AS id_slug", "AS id")} FROM pages),
+        u AS (SELECT 'a' AS feed, * FROM p UNION ALL SELECT 'b', * FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY feed, seq, link, title) AS n FROM u),
+        e AS (SELECT DISTINCT id FROM p WHERE seq % 3 = 0)
+        SELECT id, title, feed, seq, link, regexp_replace(title, '[^A-Za-z0-9]+', '', 'g') AS clusterid, false AS clustered FROM r WHERE n = 1 AND id NOT IN (SELECT id FROM e)"""
+)
+def ingest_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _page_items(spark, sf_dir)
+    stored = items.filter("feed = 'a' and seq % 3 = 0").select("id")
+    fresh = ingest.new_items(items, stored, ["feed", "seq"])
+    return fresh.select("id", "title", "feed", "seq", "link", text.slug("title").alias("clusterid"), F.lit(False).alias("clustered"))
+
+
+@_query(
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'X' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 2 = 0 THEN 0.0 ELSE o_totalprice END AS price FROM orders
+        UNION ALL SELECT -o_orderkey, 'X', 0.0 FROM orders WHERE o_orderkey % 10 = 0 AND o_orderkey <> 0"""
+)
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    old = stored.filter("id % 2 = 0").select("id", F.lit("W").alias("status"), F.lit(1.0).alias("price"), F.lit(1).alias("version"))
+    new = stored.filter("id % 2 = 0").select("id", F.lit("X").alias("status"), F.lit(0.0).alias("price"), F.lit(2).alias("version"))
+    more = stored.filter("id % 10 = 0").select((-F.col("id")).alias("id"), F.lit("X").alias("status"), F.lit(0.0).alias("price"), F.lit(1).alias("version"))
+    return ingest.upsert(stored, old.unionByName(new).unionByName(more), "version")
+
+
+# -- features and similarity -------------------------------------------------------------------------------------------
+
+
+@_query("SELECT count(*) AS n FROM documents")
+def total_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {_F} SELECT feature, df FROM d")
+def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.doc_frequency(features.exploded(_articles(spark, sf_dir), "ngram", "ngram")).select("feature", "df")
+
+
+@_query(f"WITH {_F} SELECT id, feature, round(weight, 8) AS weight FROM v")
+def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(_articles(spark, sf_dir)).select("id", "feature", F.round("weight", 8).alias("weight"))
+
+
+@_query(f"WITH {_A}, t AS (SELECT id, w[i] AS term FROM a, range(1, len(w) + 1) r(i)), x AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL) SELECT id, term, tf, count(*) OVER (PARTITION BY term) AS df FROM x")
+def term_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.term_vectors(_articles(spark, sf_dir).withColumn("w", text.words("title")), "w")
+
+
+@_query(
+    f"""WITH {_A}, t AS (SELECT id, w[i] AS term FROM a, range(1, len(w) + 1) r(i)), x AS (SELECT term, count(DISTINCT id) AS df FROM t GROUP BY term),
+        b AS (SELECT CAST(power(2, ceil(log2(df))) AS BIGINT) AS bucket, count(*) AS n FROM x GROUP BY 1) SELECT bucket, n, CAST(floor(n * 160 / max(n) OVER ()) AS BIGINT) AS bar FROM b"""
+)
+def term_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.term_histogram(_articles(spark, sf_dir).withColumn("w", text.words("title")), "w")
+
+
+@_query(
+    f"""WITH {_A}, t AS (SELECT id, w[i] AS feature, count(*) AS tf FROM a, range(1, len(w) + 1) r(i) GROUP BY ALL), n AS (SELECT count(*) AS n FROM a),
+        d AS (SELECT feature, count(*) AS df FROM t, n GROUP BY feature, n HAVING count(*) <= 0.5 * n),
+        x AS (SELECT id, feature, sqrt(tf) * (ln(n / (df + 1)) + 1) AS w FROM t JOIN d USING (feature), n)
+        SELECT id, feature, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 8) AS weight FROM x"""
+)
+def vector_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _articles(spark, sf_dir).withColumn("w", text.words("title"))
+    return features.export_vectors(docs, "w", most_empty=1.0).select("id", "feature", F.round("weight", 8).alias("weight"))
+
+
+_COSINE = f"""{_F}, p AS (SELECT x.id AS a, y.id AS b, sum(x.weight * y.weight) AS dot FROM v x JOIN v y USING (feature) WHERE x.id < y.id GROUP BY 1, 2),
+    c AS (SELECT a, b, dot / (s.size * t.size) AS similarity FROM p JOIN m s ON s.id = a JOIN m t ON t.id = b)"""
+
+
+@_query(f"WITH {_COSINE} SELECT a, b, round(similarity, 6) AS similarity FROM c WHERE similarity >= 0.175")
+def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sim.cosine_pairs(_vectors(_articles(spark, sf_dir))).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+_RULES = [
+    ("1", "t", "d", None, {"x": 1.0}, "t", None, None, {"y": 1.0}), ("2", "t", "d", None, {"x": 1.0}, "u", "d", None, {}), ("3", "t", None, "p", {}, "u", None, "p", {}),
+    ("4", "t", None, None, {"x": 1.0}, "u", None, None, {"x": 1.0, "y": 1.0}), ("5", "t", None, None, {}, "u", None, None, {"x": 1.0}), ("6", "t", "d", None, {"x": 2.0}, "u", None, None, {"y": 1.0}),
+]
+_RULE_DDL = "id string, at string, ad string, ap string, av map<string,double>, bt string, bd string, bp string, bv map<string,double>"
+_RULE_SQL = """r(id, title_a, title_b, d_a, d_b, p_a, p_b, ax, ay, bx, by_) AS (VALUES ('1', 't', 't', 'd', NULL, NULL, NULL, 1.0, 0.0, 0.0, 1.0), ('2', 't', 'u', 'd', 'd', NULL, NULL, 1.0, 0.0, 0.0, 0.0),
+    ('3', 't', 'u', NULL, NULL, 'p', 'p', 0.0, 0.0, 0.0, 0.0), ('4', 't', 'u', NULL, NULL, NULL, NULL, 1.0, 0.0, 1.0, 1.0), ('5', 't', 'u', NULL, NULL, NULL, NULL, 0.0, 0.0, 1.0, 0.0), ('6', 't', 'u', 'd', NULL, NULL, NULL, 2.0, 0.0, 0.0, 1.0))"""
+
+
+def _rule_rows(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame(_RULES, _RULE_DDL)
+    doc = lambda s: F.struct(F.col(f"{s}t").alias("title"), F.col(f"{s}d").alias("defendant"), F.col(f"{s}p").alias("plaintiff"), F.col(f"{s}v").alias("v"))
+    return rows.select("id", doc("a").alias("a"), doc("b").alias("b"))
+
+
+@_query(
+    f"""WITH {_RULE_SQL} SELECT id, CASE WHEN title_a = title_b OR d_a = d_b OR p_a = p_b THEN 100.0
+        ELSE round(coalesce((ax * bx + ay * by_) / nullif(sqrt(CAST(ax * ax + ay * ay AS DOUBLE)) * sqrt(CAST(bx * bx + by_ * by_ AS DOUBLE)), 0), 0), 6) END AS similarity FROM r"""
+)
+def similarity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cosine = sim.map_cosine(F.col("a.v"), F.col("b.v"))
+    return _rule_rows(spark).select("id", F.round(sim.rule_similarity("a", "b", cosine), 6).alias("similarity"))
+
+
+@_query(
+    f"""WITH {_RULE_SQL} SELECT id, sqrt(CAST((CASE WHEN ax <> 0 THEN (ax - bx) * (ax - bx) ELSE 0 END) + (CASE WHEN ay <> 0 THEN (ay - by_) * (ay - by_) ELSE 0 END) AS DOUBLE)) AS ab,
+        sqrt(CAST((CASE WHEN bx <> 0 THEN (ax - bx) * (ax - bx) ELSE 0 END) + (CASE WHEN by_ <> 0 THEN (ay - by_) * (ay - by_) ELSE 0 END) AS DOUBLE)) AS ba FROM r"""
+)
+def distance_asym(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("a.v"), F.col("b.v")
+    return _rule_rows(spark).select("id", sim.map_distance(a, b).alias("ab"), sim.map_distance(b, a).alias("ba"))
+
+
+# -- clusters ----------------------------------------------------------------------------------------------------------
+
+_CANDIDATES = f"""{_F}, s AS (SELECT x.id AS a, y.id AS b, sum(x.weight * x.weight) AS score, sum(x.weight * y.weight) AS dot FROM v x JOIN v y USING (feature) WHERE x.id <> y.id GROUP BY 1, 2),
+    h AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(score, 6) DESC, b) AS rank FROM s QUALIFY rank <= 10)"""
+
+
+@_query(
+    f"""WITH {_CANDIDATES}, n AS (SELECT h.a, h.rank, y.clusterid, CASE WHEN x.title = y.title THEN 100 ELSE dot / (p.size * q.size) END AS similarity
+            FROM h JOIN a x ON x.id = h.a JOIN a y ON y.id = h.b JOIN m p ON p.id = h.a JOIN m q ON q.id = h.b)
+        SELECT a.id, coalesce((SELECT arg_min(clusterid, rank) FROM n WHERE n.a = a.id AND similarity >= 0.175), clusterid) AS clusterid FROM a"""
+)
+def cluster_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _articles(spark, sf_dir)
+    return clustering.nearest_cluster(docs, _vectors(docs))
+
+
+@_query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN 'mahout' || CAST(doc_id % 7 AS VARCHAR) ELSE CAST(doc_id AS VARCHAR) END AS mahoutclusterid FROM documents")
+def cluster_map_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = feeds.article_rows(spark, sf_dir).select("id")
+    lines = docs.filter("cast(id as bigint) % 3 = 0").select(F.concat_ws(",", (F.col("id").cast("bigint") % 7).cast("string"), "id", F.lit("")).alias("line"))
+    return clustering.join_clusters(docs, feeds.parse_cluster_lines(lines.withColumn("line", F.concat("line", F.lit("\n")))))
+
+
+@_query()
+def kmeans_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.kmeans(_table(spark, sf_dir, "embeddings"), 10).select("vec_id", "cluster")
+
+
+@_query()
+def canopy_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.canopy(_table(spark, sf_dir, "embeddings"), 0.75, 0.7)
+
+
+@_query()
+def canopy_kmeans_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.canopy_kmeans(_table(spark, sf_dir, "embeddings"), rounds=4)
+
+
+@_query()
+def search_clusters_stc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = search.ranked(_articles(spark, sf_dir), search.Request(query="the", rows=100))
+    return clustering.phrase_clusters(page, text.feature_words("title"))
+
+
+# -- facets ------------------------------------------------------------------------------------------------------------
+
+
+@_query("SELECT source AS value, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source")
+def facet_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facets.field_facet(_table(spark, sf_dir, "documents"), "source")
+
+
+@_query("SELECT lang AS value, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def facet_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facets.field_facet(_table(spark, sf_dir, "documents"), "lang")
+
+
+@_query(f"WITH {_A} SELECT e AS value, count(*) AS n FROM a, unnest(entity) u(e) GROUP BY e ORDER BY n DESC, value LIMIT 100")
+def facet_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facets.field_facet(_articles(spark, sf_dir), "entity", limit=100)
+
+
+@_query("SELECT facet, n FROM (SELECT 'cheap' AS facet, count(*) FILTER (p_retailprice <= 920) AS n FROM part UNION ALL SELECT 'dear', count(*) FILTER (p_retailprice >= 980) FROM part UNION ALL SELECT 'none', count(*) FILTER (p_size < 0) FROM part) WHERE n > 0")
+def facet_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facets.query_facet(_table(spark, sf_dir, "part"), {"cheap": F.col("p_retailprice") <= 920, "dear": F.col("p_retailprice") >= 980, "none": F.col("p_size") < 0})
+
+
+@_query(
+    """SELECT part, bucket, bucket + 10 AS upper, count(*) AS n FROM (SELECT CASE WHEN p_retailprice < 920 THEN 'before' WHEN p_retailprice >= 980 THEN 'after' ELSE 'in' END AS part,
+        CASE WHEN p_retailprice >= 920 AND p_retailprice < 980 THEN 920.0 + floor((p_retailprice - 920) / 10) * 10 END AS bucket FROM part WHERE p_retailprice IS NOT NULL) GROUP BY ALL"""
+)
+def facet_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facets.range_facet(_table(spark, sf_dir, "part"), "p_retailprice", 920.0, 980.0, 10.0)
+
+
+@_query("SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1988-01-01' AND o_orderdate < TIMESTAMP '1998-06-01' GROUP BY 1")
+def facet_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
+    return facets.year_facet(orders, "o_orderdate", F.lit("1998-06-01 00:00:00").cast("timestamp_ntz"))
+
+
+@_query("SELECT l_returnflag, l_linestatus, 2 AS level, count(*) AS n FROM lineitem GROUP BY 1, 2 UNION ALL SELECT l_returnflag, NULL, 1, count(*) FROM lineitem GROUP BY 1")
+def facet_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facets.pivot_facet(_table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+@_query(
+    """SELECT min(l_quantity) AS min, max(l_quantity) AS max, sum(l_quantity) AS sum, count(l_quantity) AS count, count(*) FILTER (l_quantity IS NULL) AS missing,
+        sum(l_quantity * l_quantity) AS sum_of_squares, round(avg(l_quantity), 8) AS mean, round(stddev_samp(l_quantity), 8) AS stddev FROM lineitem"""
+)
+def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facets.stats(_table(spark, sf_dir, "lineitem"), "l_quantity").withColumns({"mean": F.round("mean", 8), "stddev": F.round("stddev", 8)})
+
+
+@_query(f"WITH {_A} SELECT clusterid, count(*) AS n FROM a GROUP BY 1 ORDER BY n DESC, clusterid LIMIT 10")
+def top_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facets.top_clusters(_articles(spark, sf_dir))
+
+
+_GROUPED = """SELECT clusterid, list(id ORDER BY score DESC, id)[1] AS root, array_slice(list(id ORDER BY score DESC, id), 2, 1000000000) AS others, max(score) AS score FROM {0} GROUP BY clusterid"""
+
+
+@_query(
+    f"""WITH {_A}, g AS ({_GROUPED.format("(SELECT *, n_chars AS score FROM a)")}), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, root) AS rank FROM g QUALIFY rank <= 50)
+        SELECT clusterid, root AS id, array_to_string(others, ',') AS "similar", CAST(rank AS INTEGER) AS rank FROM r"""
+)
+def group_root_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = facets.group_by_cluster(_articles(spark, sf_dir), "clusterid", [F.desc("n_chars"), F.asc("id")], 50)
+    return grouped.select("clusterid", "id", F.array_join("similar", ",").alias("similar"), "rank")
+
+
+@_query(
+    f"""WITH {_A}, q AS (SELECT *, 1.0 AS score FROM a WHERE (' ' || array_to_string(w, ' ') || ' ') LIKE '% the %' AND feed = 'src0'),
+        t AS (SELECT clusterid, count(*) AS n FROM q GROUP BY 1 ORDER BY n DESC, clusterid LIMIT 10), g AS ({_GROUPED.format("(SELECT * FROM q WHERE clusterid IN (SELECT clusterid FROM t))")})
+        SELECT clusterid, root AS id, array_to_string(others, ',') AS "similar", CAST(row_number() OVER (ORDER BY score DESC, root) AS INTEGER) AS rank FROM g"""
+)
+def cluster_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.search_clusters(_articles(spark, sf_dir), search.Request(query="the", source="src0"))
+    return found.select("clusterid", "id", F.array_join("similar", ",").alias("similar"), "rank")
+
+
+# -- search ------------------------------------------------------------------------------------------------------------
+
+
+@_query(f"WITH {_A} SELECT id FROM a WHERE feed = 'src0' AND category = 'en' AND list_contains(entity, 'The')")
+def filter_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    request = search.Request(topic="The", source="src0", category="en")
+    return search.matching(_articles(spark, sf_dir), request).select("id")
+
+
+@_query(
+    f"""WITH {_A}, p AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS t FROM a)
+        SELECT id, CAST(CASE WHEN t LIKE '% the %' THEN 2.0 ELSE 0 END + CASE WHEN t LIKE '% of the %' THEN 1.0 ELSE 0 END AS DOUBLE) AS score FROM p
+        WHERE category = 'en' AND (t LIKE '% the %' OR t LIKE '% of the %') AND NOT t LIKE '% and %' AND n_chars BETWEEN 100 AND 5000"""
+)
+def query_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _articles(spark, sf_dir)
+    request = search.Request(query='+(the^2 OR "of the") -and', category="en", filters=(search.Compiler().matches(search.parse("n_chars:[100 TO 5000]")),))
+    return search.matching(docs, request).select("id", "score")
+
+
+@_query("SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice >= 950")
+def range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compiler = search.Compiler(default="p_name")
+    wanted = compiler.matches(search.parse("p_size:[10 TO 20] AND p_retailprice:[950 TO *]"))
+    return _table(spark, sf_dir, "part").filter(wanted).select("p_partkey", "p_size")
+
+
+PLACES = [("a", 37.7752, -122.4232), ("b", 37.8, -122.5), ("c", 40.7, -74.0), ("d", 37.86, -122.42), ("e", None, 1.0)]
+
+
+@_query(
+    """SELECT id FROM (VALUES ('a', 37.7752, -122.4232), ('b', 37.8, -122.5), ('c', 40.7, -74.0), ('d', 37.86, -122.42), ('e', NULL, 1.0)) t(id, lat, lon)
+        WHERE lat BETWEEN 37.7752 - 10 / 111.19 AND 37.7752 + 10 / 111.19 AND lon BETWEEN -122.4232 - 10 / 111.19 / cos(radians(37.7752)) AND -122.4232 + 10 / 111.19 / cos(radians(37.7752))"""
+)
+def bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(PLACES, "id string, lat double, lon double").filter(search.bounding_box("lat", "lon", (37.7752, -122.4232))).select("id")
+
+
+@_query("SELECT p_partkey, CASE WHEN contains(' ' || regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g') || ' ', ' ring ') THEN 2.0 ELSE 0 END + coalesce(p_retailprice, 0) AS score FROM part ORDER BY score DESC, p_partkey LIMIT 25")
+def boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _table(spark, sf_dir, "part")
+    score = search.boosted(search.weighted_fields(["ring"], {"p_name": 2.0}), "p_retailprice")
+    return parts.select("p_partkey", score.alias("score")).orderBy(F.desc("score"), "p_partkey").limit(25)
+
+
+@_query(
+    f"""WITH {_F}, t AS (SELECT feature, weight FROM v WHERE id = '1' ORDER BY weight DESC, feature LIMIT 25), s AS (SELECT v.id, sum(t.weight * t.weight) AS score FROM v JOIN t USING (feature) WHERE v.id <> '1' GROUP BY 1)
+        SELECT id, round(score, 6) AS score FROM s ORDER BY score DESC, id LIMIT 10"""
+)
+def mlt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _articles(spark, sf_dir)
+    found, _ = search.more_like_this(docs, _vectors(docs).withColumn("weight", F.col("weight")), "1")
+    return found.select("id", F.round("score", 6).alias("score"))
+
+
+@_query(f"""WITH {_A}, t AS (SELECT DISTINCT e FROM a, unnest(entity) u(e) WHERE regexp_full_match(e, 'Th.*')) SELECT e AS id, e AS label, '"' || e || '"' AS value FROM t ORDER BY e LIMIT 100""")
+def autosuggest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.suggest(_articles(spark, sf_dir), "Th")
+
+
+MISSPELT = ["thee", "ofn", "anda", "histori", "zzzzzzzz"]
+
+
+@_query(
+    f"""WITH {_A}, d AS (SELECT u.t AS term, count(DISTINCT id) AS df FROM a, unnest(w) u(t) GROUP BY 1), q AS (SELECT unnest({MISSPELT!r}) AS word),
+        c AS (SELECT word, term, df, levenshtein(word, term) AS distance FROM q, d WHERE levenshtein(word, term) BETWEEN 1 AND 2)
+        SELECT word, arg_min(term, (distance, -df, term)) AS suggestion, CAST(min(distance) AS INTEGER) AS distance FROM c GROUP BY word"""
+)
+def spell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _articles(spark, sf_dir)
+    terms = docs.select("id", F.explode(F.array_distinct(text.words("title"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return search.spell(spark.createDataFrame([(w,) for w in MISSPELT], "word string"), terms)
+
+
+PINNED = [("foo bar", "7", 1, False), ("foo bar", "3", 2, False), ("foo bar", "5", 3, True), ("ipod", "9", 1, False)]
+
+
+@_query(
+    f"""WITH {_A}, e(query, doc_id, pos, exclude) AS (VALUES ('foo bar', '7', 1, false), ('foo bar', '3', 2, false), ('foo bar', '5', 3, true))
+        SELECT id, CAST(pos AS INTEGER) AS pin FROM a LEFT JOIN (SELECT * FROM e WHERE NOT exclude) p ON p.doc_id = id WHERE id NOT IN (SELECT doc_id FROM e WHERE exclude) ORDER BY pos NULLS LAST, n_chars DESC, id LIMIT 20"""
+)
+def elevate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(PINNED, "query string, doc_id string, pos int, exclude boolean")
+    docs = _articles(spark, sf_dir).select("id", F.col("n_chars").alias("score"))
+    return search.elevate(docs, rules, "foo bar").limit(20).select("id", "pin")
+
+
+# -- streaming ---------------------------------------------------------------------------------------------------------
+
+
+def _drained(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
+    """All of a stream's output as a table in the shared folder."""
+    import uuid
+
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        import tempfile
+
+        at = tempfile.mkdtemp(prefix="tessella-")
+    out = f"{at}/stream-{uuid.uuid4().hex}"
+    df.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{out}/rows")
+
+
+@_query("SELECT event_id, user_id, event_type FROM events")
+def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = _table(spark, sf_dir, "events").schema
+    events = stream.read_items(spark, f"{sf_dir}/events.parquet*", schema)
+    twice = events.withColumn("event_id", F.explode(F.array("event_id", "event_id")))
+    return _drained(spark, stream.once(twice, "event_id", "ts", "30 days").select("event_id", "user_id", "event_type"), "append")
+
+
+@_query()
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = _table(spark, sf_dir, "events").schema
+    return _drained(spark, stream.windowed(stream.read_items(spark, f"{sf_dir}/events.parquet*", schema), "ts", ["event_type"], "1 day"), "append")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
