@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, graph_ann, lm_scoring, preference, quality_gam, secret_scan, simhash, toxicity, url_filter
+from . import bpe, decontaminate, graph_ann, lm_scoring, preference, quality_gam, secret_scan, simhash, sql, toxicity, url_filter
 from ._common import read_documents
 
 
@@ -65,4 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": url_filter.oracle(), "op7_preference": preference.ORACLE}
+    return {
+        "op5_url_filter": url_filter.oracle(), "op6_decontaminate": sql.DECONTAMINATE, "op7_preference": preference.ORACLE,
+        "op10_secrets": sql.SECRETS,
+    }
