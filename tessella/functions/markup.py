@@ -41,6 +41,11 @@ def html_text(html: str | None) -> str | None:
     return "".join(parser.parts)
 
 
+def page_text(url, html):
+    """Text of a page that was fetched elsewhere; a PDF's or a missing page's is empty."""
+    return F.when(F.lower(url).endswith(".pdf"), F.lit("")).otherwise(F.coalesce(strip_html(html), F.lit("")))
+
+
 @F.pandas_udf(T.StringType())
 def strip_html(html: pd.Series) -> pd.Series:
     return html.map(html_text, na_action="ignore")

@@ -260,3 +260,20 @@ def feed_date(*cs: Column | str) -> Column:
 def signature(*cs: Column | str) -> Column:
     """md5 of the fields joined by a bar; null reads as empty."""
     return F.md5(F.concat_ws("|", *[F.coalesce(_c(c).cast("string"), F.lit("")) for c in cs]))
+
+
+# -- display values ----------------------------------------------------------------------------------------------------
+
+
+def range_upper(lower: Column | str, gap: float) -> Column:
+    """A bucket's upper bound for its label."""
+    return _c(lower) + F.lit(gap)
+
+
+def utc_text(ts: Column | str) -> Column:
+    return F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def capped(tokens: Column | str, most: int = 10_000) -> Column:
+    """The tokens that are indexed of a field: the first `most`."""
+    return F.slice(_c(tokens), 1, most)

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 
 def field_facet(df: DataFrame, column: str, least: int = 1, limit: int | None = None) -> DataFrame:
     """(value, n) of a field, or of an array's distinct elements, most frequent first, then by value; nulls are no value."""
-    from pyspark.sql.types import ArrayType
-
     value = F.explode(F.array_distinct(column)) if isinstance(df.schema[column].dataType, ArrayType) else F.col(column)
     counted = df.select(value.alias("value")).filter("value is not null").groupBy("value").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     counted = counted.orderBy(F.desc("n"), "value")
@@ -59,20 +58,31 @@ def top_clusters(df: DataFrame, column: str = "clusterid", limit: int = 10) -> D
     return field_facet(df, column, limit=limit).withColumnRenamed("value", column)
 
 
-def group_by_cluster(df: DataFrame, column: str, order: list[Column], groups: int | None = 10) -> DataFrame:
-    """(cluster, rank, root, similar): the first document of each cluster by order, the others' ids in order, and the
-    group's place by its root. A cluster of any size is a group; its list holds ids, not documents."""
-    ranked = df.withColumn("__n", F.row_number().over(Window.partitionBy(column).orderBy(*order)))
-    root = ranked.filter("__n = 1").drop("__n")
-    lists = ranked.filter("__n > 1").groupBy(F.col(column).alias("__c")).agg(F.transform(F.sort_array(F.collect_list(F.struct("__n", "id"))), lambda x: x["id"]).alias("similar"))
-    none = F.array().cast("array<string>")
-    out = root.join(lists, root[column] == F.col("__c"), "left").withColumn("similar", F.coalesce("similar", none)).drop("__c")
-    # the place among roots: as many rows as clusters; a limit keeps only those asked for
-    ordered = out.orderBy(*order)
-    ordered = ordered.limit(groups) if groups else ordered
-    return ordered.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(*order)))
+def group_by_cluster(df: DataFrame, column: str, score: str = "score", groups: int = 10) -> DataFrame:
+    """The first documents of the `groups` most relevant clusters (by score, then id), with rank and similar, the ids of
+    the cluster's other documents in that order.
+
+    Roots are partial minima, so a cluster of any size costs a row for each task; only members of the clusters that are
+    shown are gathered.
+    """
+    place = F.struct((-F.col(score).cast("double")).alias("less"), F.col("id"))
+    roots = df.groupBy(column).agg(F.min(place).alias("root")).orderBy("root", column).limit(groups)
+    roots = roots.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy("root", column)))  # `groups` rows
+    shown = F.broadcast(roots.select(column, F.col("root.id").alias("__root"), "rank"))
+    members = df.join(shown, column)
+    lists = members.filter(F.col("id") != F.col("__root")).groupBy(F.col("rank").alias("__rank")).agg(F.transform(F.sort_array(F.collect_list(place)), lambda x: x["id"]).alias("similar"))
+    out = members.filter(F.col("id") == F.col("__root")).drop("__root").dropDuplicates(["rank"]).join(lists, F.col("rank") == F.col("__rank"), "left").drop("__rank")
+    return out.withColumn("similar", F.coalesce("similar", F.array().cast("array<string>")))
 
 
 def by_size(grouped: DataFrame) -> DataFrame:
     """Largest group first; of equal size the one that came later in relevance first."""
     return grouped.orderBy(F.size("similar").desc(), F.col("rank").desc())
+
+
+def field_stats(df: DataFrame) -> DataFrame:
+    """(field, type, docs, distinct): for each field how many rows have it and about how many values it has, in one pass."""
+    plain = [f for f in df.schema.fields if not isinstance(f.dataType, ArrayType)]
+    counts = df.agg(*[x for i, f in enumerate(plain) for x in (F.count(F.col(f"`{f.name}`")).alias(f"n{i}"), F.approx_count_distinct(F.col(f"`{f.name}`")).alias(f"d{i}"))])
+    rows = [F.struct(F.lit(f.name).alias("field"), F.lit(f.dataType.simpleString()).alias("type"), F.col(f"n{i}").alias("docs"), F.col(f"d{i}").alias("distinct")) for i, f in enumerate(plain)]
+    return counts.select(F.explode(F.array(*rows)).alias("x")).select("x.*")

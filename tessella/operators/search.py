@@ -84,7 +84,7 @@ def search(docs: DataFrame, request: Request, cluster: str | None = None, groups
     """results (grouped if cluster names a field), entities of the results, and the three lists for all documents."""
     found = matching(docs, request)
     order = [F.desc("score"), F.asc("id")]
-    results = facets.group_by_cluster(found, cluster, order, groups) if cluster else found.orderBy(*order).offset(request.start).limit(request.rows)
+    results = facets.group_by_cluster(found, cluster, "score", groups) if cluster else found.orderBy(*order).offset(request.start).limit(request.rows)
     return {
         "results": results, "entities": sidebar(facets.field_facet(found, "entity", limit=limit), True),
         "topics": sidebar(facets.field_facet(docs, "entity", limit=limit)), "sources": sidebar(facets.field_facet(docs, "feed", limit=limit)),
@@ -97,7 +97,7 @@ def search_clusters(docs: DataFrame, request: Request, cluster: str = "clusterid
     found = matching(docs, request)
     largest = facets.top_clusters(found, cluster, top).select(cluster)  # `top` rows
     inside = found.join(F.broadcast(largest), cluster, "left_semi")
-    return facets.by_size(facets.group_by_cluster(inside, cluster, [F.desc("score"), F.asc("id")], groups))
+    return facets.by_size(facets.group_by_cluster(inside, cluster, "score", groups))
 
 
 def more_like_this(docs: DataFrame, v: DataFrame, seed: str, rows: int = 10, terms: int = 25) -> tuple[DataFrame, DataFrame]:

@@ -409,7 +409,7 @@ _GROUPED = """SELECT clusterid, list(id ORDER BY score DESC, id)[1] AS root, arr
         SELECT clusterid, root AS id, array_to_string(others, ',') AS "similar", CAST(rank AS INTEGER) AS rank FROM r"""
 )
 def group_root_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = facets.group_by_cluster(_articles(spark, sf_dir), "clusterid", [F.desc("n_chars"), F.asc("id")], 50)
+    grouped = facets.group_by_cluster(_articles(spark, sf_dir), "clusterid", "n_chars", 50)
     return grouped.select("clusterid", "id", F.array_join("similar", ",").alias("similar"), "rank")
 
 
@@ -510,6 +510,66 @@ def elevate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.elevate(docs, rules, "foo bar").limit(20).select("id", "pin")
 
 
+@_query("SELECT source AS name, regexp_replace(source, '[^A-Za-z0-9]+', '', 'g') AS key FROM documents GROUP BY source ORDER BY count(*) DESC, source LIMIT 100")
+def sidebar_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.sidebar(facets.field_facet(feeds.article_rows(spark, sf_dir), "feed", limit=100))
+
+
+@_query("SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE doc_id = 7")
+def id_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.article_rows(spark, sf_dir).filter(search.Compiler().matches(search.parse('id:"7"'))).select("id")
+
+
+@_query(
+    """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders)
+        SELECT o_custkey, o_orderkey, CAST(rank AS INTEGER) AS rank FROM o WHERE rank <= 3"""
+)
+def top_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sim.top_per(_table(spark, sf_dir, "orders"), "o_custkey", 3, F.struct(-F.col("o_totalprice"), F.col("o_orderkey")), "o_orderkey")
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40")
+def page_of_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return orders.offset(40).limit(20)
+
+
+@_query()
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", markup.page_text(F.col("url"), F.col("html")).alias("text"))
+
+
+@_query()
+def field_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facets.field_stats(_table(spark, sf_dir, "lineitem"))
+
+
+@_query()
+def analysis_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.analysis(feeds.article_rows(spark, sf_dir), "title")
+
+
+@_query()
+def result_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = feeds.article_rows(spark, sf_dir).select("id", "title", text.preview("body").alias("summary"), F.lit(None).cast("timestamp").alias("date"))
+    return feeds.result_feed(docs)
+
+
+@_query()
+def cluster_job_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans import cluster_job
+
+    return cluster_job.run(_articles(spark, sf_dir)).select("id", "clusterid", "clustered")
+
+
+@_query()
+def stemmed_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions import stemmer
+
+    words = stemmer.stem_words()(text.feature_words("title"))
+    return feeds.article_rows(spark, sf_dir).select("id", F.explode(text.title_ngrams("title", w=words)).alias("feature"))
+
+
 # -- streaming ---------------------------------------------------------------------------------------------------------
 
 

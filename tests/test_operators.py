@@ -94,12 +94,19 @@ def test_idf_and_cosine(spark):
     assert spark.range(1).select(features.idf(F.lit(10), F.lit(None).cast("long")).alias("x")).first().x == pytest.approx(math.log(6))
     v = spark.createDataFrame([("a", "x", 1.0), ("b", "x", 1.0), ("b", "y", 1.0), ("c", "z", 1.0), ("d", "y", 1.0)], "id string, feature string, weight double")
     want = {("a", "b"): 0.707107, ("b", "d"): 0.707107}
-    for most in (None, 2):
-        assert {(r.a, r.b): round(r.similarity, 6) for r in sim.cosine_pairs(v, most_df=most).collect()} == want
+    for hot in (sim.HOT, 1):
+        assert {(r.a, r.b): round(r.similarity, 6) for r in sim.cosine_pairs(v, hot=hot).collect()} == want
     both = features.vectors(spark.createDataFrame([("a", "entity", "x"), ("a", "ngram", "x")], "id string, kind string, feature string"), spark.createDataFrame([("ngram", "x", 1), ("entity", "x", 5)], "kind string, feature string, df long"), 10)
     assert [round(r.weight, 6) for r in both.collect()] == [round(math.log(11), 6)]
 
 
+def test_hot_features_change_nothing(spark, sf):
+    v = registry._vectors(registry._articles(spark, sf)).cache()
+    pairs = lambda hot, least: {(r.a, r.b, round(r.similarity, 6)) for r in sim.cosine_pairs(v, least, hot).collect()}
+    for least in (0.175, 0.6):
+        assert pairs(3, least) == pairs(10**9, least) and pairs(3, least)
+
+
 def stored(spark):
     rows = [("1", "red fox runs", ["red fox", "fox runs"], None), ("2", "red fox sleeps", ["red fox", "fox sleeps"], None), ("3", "other", ["blue cat"], "P"), ("4", "another", [], "P"), ("5", "alone", [], None)]
     df = spark.createDataFrame(rows, "id string, title string, ngram array<string>, plaintiff string")
@@ -131,7 +138,7 @@ def test_handlers(spark):
 def test_groups_by_size(spark):
     rows = [("A", "1", 9), ("B", "2", 8), ("C", "3", 7), ("A", "4", 1), ("A", "5", 1), ("B", "6", 1), ("C", "7", 1), ("C", "8", 1)]
     df = spark.createDataFrame(rows, "c string, id string, score int")
-    got = facets.by_size(facets.group_by_cluster(df, "c", [F.desc("score"), F.asc("id")]))
+    got = facets.by_size(facets.group_by_cluster(df, "c"))
     assert [r.c for r in got.collect()] == ["C", "A", "B"]
 
 
