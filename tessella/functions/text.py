@@ -14,6 +14,11 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f) -> Column:
+    """f of value, computed once: within lambdas an expression would be computed again for each element."""
+    return F.transform(F.array(value), lambda x: f(x))[0]
+
+
 # -- slugs -------------------------------------------------------------------------------------------------------------
 
 
@@ -76,20 +81,20 @@ def feature_words(c: Column | str, stopwords=STOPWORDS) -> Column:
 
 def ngrams(w: Column | str, least: int, most: int) -> Column:
     """All runs of least to most words, joined by a space, shorter ones first."""
-    w = _c(w)
 
-    def size(n: int) -> Column:
+    def size(w: Column, n: int) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: i + n <= F.size(w))
         return F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, n), " "))
 
-    return F.flatten(F.array(*[size(n) for n in range(least, most + 1)]))
+    return let(_c(w), lambda w: F.flatten(F.array(*[size(w, n) for n in range(least, most + 1)])))
 
 
 def short_upper(title: Column | str) -> Column:
     """The lower-cased only upper-case word of four letters, if there is exactly one and the title is not all upper."""
     t = F.trim(_c(title))
     found = F.filter(F.split(t, "[^A-Za-z0-9]+"), lambda w: w.rlike("^[A-Z]{4}$"))
-    return F.when((F.upper(_c(title)) != _c(title)) & (F.size(found) == 1), F.transform(found, lambda w: F.lower(w))).otherwise(F.array().cast("array<string>"))
+    only = let(found, lambda x: F.when(F.size(x) == 1, F.transform(x, lambda w: F.lower(w))).otherwise(F.array().cast("array<string>")))
+    return F.when(F.upper(_c(title)) != _c(title), only).otherwise(F.array().cast("array<string>"))
 
 
 def title_ngrams(title: Column | str, least: int = 2, most: int = 4, w: Column | None = None) -> Column:

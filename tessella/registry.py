@@ -566,8 +566,8 @@ def cluster_job_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stemmed_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .functions import stemmer
 
-    words = stemmer.stem_words()(text.feature_words("title"))
-    return feeds.article_rows(spark, sf_dir).select("id", F.explode(text.title_ngrams("title", w=words)).alias("feature"))
+    rows = feeds.article_rows(spark, sf_dir).withColumn("w", stemmer.stem_words()(text.feature_words("title")))
+    return rows.select("id", F.explode(text.title_ngrams("title", w=F.col("w"))).alias("feature"))
 
 
 # -- streaming ---------------------------------------------------------------------------------------------------------
