@@ -43,7 +43,7 @@ def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = feeds.article_rows(spark, sf_dir)
     entity = F.sort_array(F.array_distinct(F.regexp_extract_all("title", F.lit("[A-Z][a-z]+"), F.lit(0))))
     return rows.withColumns(
-        {"ngram": F.array_distinct(text.ngrams(w, 2, 2)), "entity": entity, "clusterid": text.slug("title"), "clustered": F.lit(False), "plaintiff": F.lit(None).cast("string"), "defendant": F.lit(None).cast("string")}
+        {"ngram": F.array_distinct(text.ngrams(w, 2, 2)), "entity": entity, "clusterid": text.slug("title"), "clustered": F.lit(False)}
     ).withColumn("entitykey", F.col("entity"))
 
 

@@ -122,6 +122,18 @@ def test_cluster_job(spark):
     assert {r.id: r.mahoutclusterid for r in cluster_job.run(stored(spark), batch).collect()}["1"] == "mahout9"
 
 
+def test_candidates_by_party(spark):
+    rows = [(f"{i:02}", "P", "D" if i % 3 else "E", [f"w{i // 4}"]) for i in range(24)] + [("x", None, "D", ["w0"]), ("y", None, None, ["none"])]
+    docs = spark.createDataFrame(rows, "id string, plaintiff string, defendant string, ngram array<string>")
+    v = docs.select("id", F.explode("ngram").alias("feature"), F.lit(2.0).alias("weight"))
+    got = {}
+    for r in sim.candidates(docs, v, 5).orderBy("a", "rank").collect():
+        got.setdefault(r.a, []).append((r.b, r.score))
+    score = lambda a, b: 4.0 * (a[3] == b[3]) + 10.0 * (a[1] is not None and a[1] == b[1]) + 10.0 * (a[2] is not None and a[2] == b[2])
+    want = {a[0]: sorted(((b[0], score(a, b)) for b in rows if b[0] != a[0] and score(a, b)), key=lambda x: (-x[1], x[0]))[:5] for a in rows}
+    assert got == {k: x for k, x in want.items() if x}
+
+
 def test_handlers(spark):
     c = handlers.Collection(stored(spark))
     ask = lambda name, *a: handlers.handler(c, name)(*a)
