@@ -156,10 +156,12 @@ def is_clean_word(w: Column) -> Column:
 
 def is_clean_sentence(s: Column) -> Column:
     """A sentence of prose: its length, first letter, full stop, and most words are plain words."""
-    tokens = F.filter(F.regexp_extract_all(s, F.lit("[A-Za-z0-9]+|[^A-Za-z0-9 ]"), F.lit(0)), lambda w: w != "")
-    n = F.size(F.filter(tokens, is_clean_word))
+    tokens = F.regexp_extract_all(s, F.lit("[A-Za-z0-9]+|[^A-Za-z0-9 ]"), F.lit(0))
+    # words of the right length and form, counted by one pattern: a letter of any case, then small ones
+    clean = F.regexp_count(s, F.lit(f"(?<![A-Za-z0-9])[A-Za-z][a-z]{{{WORD[0] - 1},{WORD[1] - 1}}}(?![A-Za-z0-9])"))
     first = F.substring(s, 1, 1)
-    return F.length(s).between(*SENTENCE) & (F.upper(first) == first) & s.endswith(".") & (n >= CLEAN_WORDS) & (n >= F.size(tokens) * CLEAN_SHARE)
+    plain = F.length(s).between(*SENTENCE) & (F.upper(first) == first) & s.endswith(".")
+    return plain & let(clean, lambda n: (n >= CLEAN_WORDS) & (n >= F.size(tokens) * CLEAN_SHARE))
 
 
 def clean_summary(c: Column | str) -> Column:
@@ -174,9 +176,9 @@ def clean_summary(c: Column | str) -> Column:
         return F.when(over, F.struct(acc["out"].alias("out"), acc["n"].alias("n"), F.lit(True).alias("over")).cast(shape)).otherwise(grown.cast(shape))
 
     zero = F.struct(F.array().alias("out"), F.lit(0).alias("n"), F.lit(False).alias("over")).cast(shape)
-    picked = F.aggregate(good, zero, step, lambda acc: acc["out"])
+    picked = F.aggregate(good, zero, step, lambda acc: F.array_join(acc["out"], " "))
     short = F.when(F.length(text) > 200, F.concat(F.substring(text, 1, 200), F.lit("..."))).otherwise(text)
-    return F.when(F.length(_c(c)) > 0, F.when(F.size(picked) > 0, F.array_join(picked, " ")).otherwise(short))
+    return F.when(F.length(_c(c)) > 0, let(picked, lambda p: F.when(p != "", p).otherwise(short)))
 
 
 def preview(c: Column | str, n: int = 300) -> Column:

@@ -11,17 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import similarity as sim
+from .store import write_table
 
 
 def nearest_cluster(docs: DataFrame, v: DataFrame, least: float = sim.THRESHOLD, rows: int = 10, both_parties: bool = True) -> DataFrame:
     """(id, clusterid): the stored cluster of the first candidate, in order of relevance, that is similar enough, else
     the document's own. One step from the stored ids to new ones; labels do not spread further."""
-    hits = sim.candidates(docs, v, rows, both_parties=both_parties)
-    dots = v.select(F.col("id").alias("a"), "feature", F.col("weight").alias("wa")).join(hits, "a")
-    dots = dots.join(v.select(F.col("id").alias("b"), "feature", F.col("weight").alias("wb")), ["b", "feature"], "left")
-    dots = dots.groupBy("a", "b", "rank").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    # a candidate by party alone may share no feature, or its document have none
-    full = hits.join(dots.select("a", "b", "dot"), ["a", "b"], "left")
+    v = write_table(v, "vectors")
+    full = sim.candidates(docs, v, rows, both_parties=both_parties)
     size = sim.magnitudes(v)
     full = full.join(size.select(F.col("id").alias("a"), F.col("size").alias("sa")), "a", "left").join(size.select(F.col("id").alias("b"), F.col("size").alias("sb")), "b", "left")
     party = [c for c in ("title", "plaintiff", "defendant") if c in docs.columns]
@@ -81,7 +78,7 @@ def sparse_kmeans(v: DataFrame, centres: DataFrame, rounds: int = 10, cosine: bo
         near = gap.groupBy("id").agg(F.min(F.struct(far.alias("d"), F.col("cluster"))).alias("m")).select("id", F.col("m.d").alias("d"), F.col("m.cluster").alias("near"))
         alone = F.lit(1.0) if cosine else F.col("x2") + F.col("c2")
         new = x2.join(near, "id", "left").crossJoin(F.broadcast(base)).select("id", F.when(F.col("d") <= alone, F.col("near")).otherwise(F.col("cluster")).alias("cluster"))
-        new = new.checkpoint() if _can_checkpoint(v) else new.cache()
+        new = write_table(new, "assigned")
         if assigned is not None and assigned.exceptAll(new).isEmpty():
             return new
         assigned = new
@@ -90,14 +87,6 @@ def sparse_kmeans(v: DataFrame, centres: DataFrame, rounds: int = 10, cosine: bo
     return assigned
 
 
-def _can_checkpoint(df: DataFrame) -> bool:
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
-    return spark.sparkContext.getCheckpointDir() is not None
-
-
 def literal_centres(v: DataFrame, k: int, seed: int = 7, more_than: float = 3.0) -> DataFrame:
     """(cluster, feature, weight): centres drawn evenly between each feature's least and greatest weight, of features
     whose greatest is above more_than. IDF weights are constant, so all centres coincide; kept for comparison only."""
