@@ -49,6 +49,45 @@ def shuffle_parts(spark: SparkSession) -> int:
 # -- text as bytes ---------------------------------------------------------------------------------------------------
 
 
+#: Bytes of text that a worker takes up at once, and of a batch that Spark sends it.
+PIECE, BATCH = 2 << 20, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark send batches of a few MB, not of ten thousand rows of any size. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if _bytes(spark.conf.get(key, "64m")) > BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
+def _bytes(setting: str) -> int:
+    at = setting.strip().lower().removesuffix("b")
+    return int(at[:-1]) << {"k": 10, "m": 20, "g": 30}[at[-1]] if at[-1:] in "kmg" else int(at)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about PIECE bytes of a text column; a longer text is a batch of its own."""
+    for batch in batches:
+        texts = batch.column(column)
+        sizes = np.frombuffer(texts.buffers()[1], np.int32 if pa.types.is_string(texts.type) or pa.types.is_binary(texts.type) else np.int64)
+        sizes = np.diff(sizes[texts.offset : texts.offset + len(texts) + 1]) if len(texts) else np.zeros(0, np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes.astype(np.int64)) // PIECE)) + 1
+        for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)]):
+            if stop > start:
+                yield batch.slice(start, stop - start)
+
+
+def carried(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, list[str], str]:
+    """docs with the kept columns under names that cannot clash, those names, and the one of the text."""
+    kept = [f"__keep{i}" for i in range(len(keep))]
+    df = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept)], *([] if "text" in keep else [F.col("text").alias("__text")]))
+    return df, kept, kept[keep.index("text")] if "text" in keep else "__text"
+
+
+def fields_ddl(df: DataFrame, names: list[str]) -> list[str]:
+    return [f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names]
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow string column as UTF-8; null is the empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

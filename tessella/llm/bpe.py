@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import carried, fields_ddl, pieces, small_batches
+
 #: Fixed: the byte-level alphabet's printable bytes stand for themselves, the others for the code points from 256 on.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _ODD = [b for b in range(256) if b not in _PRINTABLE]
@@ -130,18 +132,48 @@ class TokenAutomaton:
         self.starts, self.stops = key + np.array(starts, np.int64), key + np.array(stops, np.int64)
 
     def _trie(self, tokens: dict[bytes, int]) -> None:
-        nodes = {b"": 0}
+        """A double array: the child of node x by byte b is slot base[x] + b, if that slot's owner is x."""
+        children: dict[bytes, list[int]] = {b"": []}
         for token in tokens:
             for k in range(len(token), 0, -1):
-                if token[:k] in nodes:
+                known = token[: k - 1] in children
+                children.setdefault(token[:k], [])
+                children.setdefault(token[: k - 1], []).append(token[k - 1])
+                if known:
                     break
-                nodes[token[:k]] = len(nodes)
-        self.next = np.full((len(nodes), 256), -1, np.int32)
-        self.token_at = np.full(len(nodes), -1, np.int32)
-        for prefix, node in nodes.items():
-            if prefix:
-                self.next[nodes[prefix[:-1]], prefix[-1]] = node
-            self.token_at[node] = tokens.get(prefix, -1)
+        children = {prefix: sorted(set(kids)) for prefix, kids in children.items()}
+        room = 2 * len(children) + 1024
+        owner, base, token_at = np.full(room, -1, np.int32), np.zeros(room, np.int32), np.full(room, -1, np.int32)
+        free = np.ones(room, bool)
+        free[0] = False
+        slots = {b"": 0}
+        first = 1
+        for prefix in sorted(children, key=lambda p: (len(p), -len(children[p]))):
+            kids = children[prefix]
+            if not kids:
+                continue
+            while not free[first]:
+                first += 1
+            if len(kids) == 1:
+                start = max(first - kids[0], 0)
+                start += int(np.flatnonzero(free[start + kids[0] : start + kids[0] + 4096])[0])
+            else:
+                start = max(first - kids[0], 0)
+                while True:
+                    fits = free[start + kids[0] : start + kids[0] + 4096].copy()
+                    for b in kids[1:]:
+                        fits &= free[start + b : start + b + 4096]
+                    if fits.any():
+                        start += int(fits.argmax())
+                        break
+                    start += 4096
+            base[slots[prefix]] = start
+            for b in kids:
+                free[start + b], owner[start + b] = False, slots[prefix]
+                slots[prefix + bytes([b])] = start + b
+                token_at[start + b] = tokens.get(prefix + bytes([b]), -1)
+        used = int(np.flatnonzero(~free)[-1]) + 257
+        self.owner, self.base, self.token_at = owner[:used].copy(), base[:used].copy(), token_at[:used].copy()
 
     def allows(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Whether each state has an arc for each token."""
@@ -182,8 +214,9 @@ class TokenAutomaton:
             fresh = self.state[last[:, i]] if i else np.zeros(m, np.int32)
             word, start = np.concatenate([word, every]), np.concatenate([start, np.full(m, i)])
             node, state = np.concatenate([node, np.zeros(m, np.int32)]), np.concatenate([state, fresh])
-            node = self.next[node, data[word, i]]
-            alive = node >= 0
+            child = self.base[node] + data[word, i]
+            alive = self.owner[child] == node
+            node = child
             word, start, node, state = word[alive], start[alive], node[alive], state[alive]
             token = self.token_at[node]
             ends = np.flatnonzero(token >= 0)
@@ -206,11 +239,10 @@ class TokenAutomaton:
 
 
 class Tokenizer:
-    """Splits texts into special tokens and words and encodes words by the automaton, each distinct word once."""
-
-    def __init__(self, spec: str, cache_bytes: int = 64 << 20):
-        import regex
+    """Splits texts into special tokens and words and encodes words by the automaton, each distinct word once while it
+    is in the cache. Compiled on the driver; pickled without the cache and the patterns."""
 
+    def __init__(self, spec: str, cache_bytes: int = 40 << 20):
         given = json.loads(spec)
         turn = lambda t: bytes(BYTE_OF[c] for c in t)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in given["model"]["merges"]]
@@ -219,11 +251,24 @@ class Tokenizer:
         for text, i in self.special.items():
             self.machine.labels += [b""] * (i + 1 - len(self.machine.labels))
             self.machine.labels[i] = text.encode()
+        self.cache_bytes = cache_bytes
+        self._start()
+
+    def _start(self) -> None:
+        import regex
+
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.all_words, self.latin_words = regex.compile(SPLIT).findall, re.compile(latin_split()).findall
         self.beyond = re.compile(f"[^\x00-{chr(LATIN - 1)}]").search
         self.cache: dict[str, bytes] = {}
-        self.room, self.cache_bytes = cache_bytes, cache_bytes
+        self.room = self.cache_bytes
+
+    def __getstate__(self) -> dict:
+        return {"machine": self.machine, "special": self.special, "cache_bytes": self.cache_bytes}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._start()
 
     def words(self, text: str) -> list[str]:
         return self.all_words(text) if self.beyond(text) else self.latin_words(text)
@@ -240,7 +285,7 @@ class Tokenizer:
         for k, text in enumerate(texts):
             split.append(self.split(text))
             size += len(text)
-            if size > 1 << 21 or k + 1 == len(texts):
+            if size > 1 << 20 or k + 1 == len(texts):
                 yield from self._encode(split)
                 split, size = [], 0
 
@@ -266,7 +311,7 @@ _tokenizers: dict[str, Tokenizer] = {}
 
 
 def tokenizer(spec: str) -> Tokenizer:
-    """The worker's compiled tokenizer for a specification; compiled once in each worker."""
+    """The compiled tokenizer of a specification; this process keeps one."""
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in _tokenizers:
         _tokenizers.clear()
@@ -280,43 +325,46 @@ def load_spec(path: str) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, spec: str, keep: list[str] | None = None, digest: bool = False) -> DataFrame:
-    """Per row of docs: the columns in keep (doc_id) and ids, the text's token ids, with decoded, their decoded text;
+def encode(docs: DataFrame, spec: str, keep: list[str] | None = None, digest: bool = False, decoded: bool = True) -> DataFrame:
+    """Per row of docs: the columns in keep (doc_id), ids, the text's token ids, and with decoded their decoded text;
     digest gives n_tokens, ids_sha256 and decoded_sha256 in their place.
 
-    Null and empty texts have no tokens; repeated rows are encoded each; other columns play no part unless kept.
-    Executors hold one Arrow batch, the automaton (about 60 MB) and a bounded cache of words.
+    Null and empty texts have no tokens; repeated rows are encoded each; other columns play no part unless kept. The
+    automaton (a few MB, of the vocabulary's size) is compiled on the driver and broadcast; workers hold about 2 MB of
+    text at once and a bounded cache of words.
     """
     keep = ["doc_id"] if keep is None else keep
-    shared = docs.sparkSession.sparkContext.broadcast(spec)
-    df = docs.select(*[F.col(f"`{c}`").alias(f"__keep{i}") for i, c in enumerate(keep)], F.col("text").alias("__text"))
-    kept = df.schema.names[:-1]
-    types = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} if digest else {"ids": pa.list_(pa.int32()), "decoded": pa.string()}
-    ddl = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(tokenizer(spec))
+    df, kept, text = carried(docs, keep)
+    hashed = lambda x: hashlib.sha256(x).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(shared.value)
-        for batch in batches:
-            rows = []
-            for ids in own.encode_batch([x or "" for x in batch.column("__text").to_pylist()]):
-                if digest:
-                    rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(own.machine.decode(ids.tolist()).decode("utf-8", "replace").encode()).hexdigest()))
-                else:
-                    rows.append((ids.astype(np.int32).tolist(), own.decode(ids)))
-            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types.values())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, *types])
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1]]
-    out = df.mapInArrow(run, ", ".join([*fields, ddl]))
-    return out.select(*[F.col(k).alias(c) for k, c in zip(kept, keep)], *types)
+        own = shared.value
+        for batch in pieces(batches, text):
+            ids = list(own.encode_batch([x or "" for x in batch.column(text).to_pylist()]))
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            said = [own.decode(x).encode() for x in ids] if digest or decoded else []
+            if digest:
+                out = {"n_tokens": pa.array(sizes), "ids_sha256": pa.array([hashed(x.tobytes()) for x in ids], pa.string()), "decoded_sha256": pa.array(map(hashed, said), pa.string())}
+            else:
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                out = {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint32), *ids]).astype(np.int32)))}
+                out |= {"decoded": pa.array(said, pa.binary()).cast(pa.string())} if decoded else {}
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *out.values()], names=[*kept, *out])
+
+    names = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digest else ["ids array<int>", *["decoded string"] * decoded]
+    out = df.mapInArrow(run, ", ".join([*fields_ddl(df, kept), *names]))
+    return out.select(*[F.col(k).alias(c) for k, c in zip(kept, keep)], *[n.split()[0] for n in names])
 
 
 def decode(tokens: DataFrame, spec: str) -> DataFrame:
     """doc_id and text of rows with doc_id and ids; null ids are no ids. An id outside the vocabulary is an error."""
-    shared = tokens.sparkSession.sparkContext.broadcast(spec)
+    shared = tokens.sparkSession.sparkContext.broadcast(tokenizer(spec))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(shared.value)
+        own = shared.value
         for batch in batches:
             texts = [own.machine.decode(x or []).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])

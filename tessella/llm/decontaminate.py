@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, text_bytes
+from ._common import LOWER, carried, pieces, small_batches, text_bytes
 
 #: ASCII apart from digits and letters parts words; A-Z become a-z. All other bytes stay, so lengths do too.
 _NORMAL = LOWER.translate(bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)))
@@ -111,15 +111,13 @@ FOUND = "n_words long, hit_words array<int>, item_ids array<string>"
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, size: int, keep: list[str], block_bytes: int) -> DataFrame:
-    """Columns __keep0, __keep1, ... of docs, __text, __n, __hits and __items."""
+    """Columns __keep0, __keep1, ... of docs, __n, __hits and __items."""
     sc = docs.sparkSession.sparkContext
     run_id = uuid.uuid4().hex
-    clash = {c: f"__keep{i}" for i, c in enumerate(keep)}
-    df = docs.select(
-        *[F.col(f"`{c}`").alias(clash[c]) for c in keep],
-        F.col("text").alias("__text"), F.lit(None).cast("long").alias("__n"),
-        F.lit(None).cast("array<int>").alias("__hits"), F.lit(None).cast("array<string>").alias("__items"),
-    )
+    small_batches(docs.sparkSession)
+    df, kept, text = carried(docs, keep)
+    empty = {"__n": "long", "__hits": "array<int>", "__items": "array<string>"}
+    df = df.select("*", *[F.lit(None).cast(t).alias(c) for c, t in empty.items()])
     schema = df.schema
 
     def stage(shared, key: int):
@@ -127,8 +125,8 @@ def _found(docs: DataFrame, benchmark: DataFrame, size: int, keep: list[str], bl
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             machine = _automaton(name, shared.value) if shared else None
-            for batch in batches:
-                texts = text_bytes(batch.column("__text"))
+            for batch in pieces(batches, text):
+                texts = text_bytes(batch.column(text))
                 got = [scan(x, machine) if machine else (len(x.translate(_NORMAL).split()), [], set()) for x in texts]
                 hits, items = [sorted(g[1]) for g in got], [sorted(g[2]) for g in got]
                 if key:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_bytes
+from ._common import carried, fields_ddl, pieces, small_batches, text_bytes
 from ._labels import MOST_LABELLED, held_out, labelled
 
 #: What a text is measured by; nothing but the text goes in.
@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
     """Fit on at most about `most` labelled documents outside the held-out fold; executors measure them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             x = matrix(text_bytes(batch.column("text")))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("y")], names=["x", "y"])
 
@@ -184,17 +184,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
 def score(docs: DataFrame, model: Gam, keep: list[str] | None = None) -> DataFrame:
     """The columns in keep (doc_id), each under the name __keepN, and score, between 0 and 1. Null reads as empty."""
     keep = ["doc_id"] if keep is None else keep
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # tables of a fixed number of bins
-    df = docs.select(*[F.col(f"`{c}`").alias(f"__keep{i}") for i, c in enumerate(keep)], F.col("text").alias("__text"))
-    kept = df.schema.names[:-1]
+    df, kept, text = carried(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = shared.value.score(matrix(text_bytes(batch.column("__text"))))
+        for batch in pieces(batches, text):
+            found = shared.value.score(matrix(text_bytes(batch.column(text))))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found)], names=[*kept, "score"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1]]
-    return df.mapInArrow(run, ", ".join([*fields, "score double"]))
+    return df.mapInArrow(run, ", ".join([*fields_ddl(df, kept), "score double"]))
 
 
 def report(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:

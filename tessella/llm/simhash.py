@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_bytes, write_table
+from ._common import pieces, small_batches, text_bytes, write_table
 from .components import components
 
 SEED = 42
@@ -57,10 +57,11 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id and fp, the text's fingerprint as a signed long. Null and empty texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = np.array([fingerprint(shingle_hashes(x, words)) for x in text_bytes(batch.column("text"))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
@@ -111,20 +112,23 @@ def report(docs: DataFrame, words: int = 3) -> DataFrame:
 
 #: Minimum hashes of a text's shingles, each of which files it in a bucket.
 MINIMA = 8
+#: Most differing fingerprint bits of a row and the hub of its bucket. At similarity 0.8 the expected number is 9.7 and
+#: the standard deviation 2.9, so this is over four deviations away; unrelated texts differ in 32.
+LIKELY = 22
 _ODD = (np.random.default_rng(42).integers(1, 1 << 62, MINIMA, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 _SKETCH = "doc_id long, mark long, rid long, content binary, fp long, minima array<long>, shingles binary"
 
 
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """Per row: a number, a hash of its word sequence, fingerprint, minimum hashes and sorted 32-bit shingle hashes."""
+    """Per row: a number, a hash of its word sequence, fingerprint, minimum hashes and sorted 24-bit shingle hashes."""
     from pyspark import TaskContext
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         rid = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in pieces(batches):
             texts = text_bytes(batch.column("text"))
             content, fp, minima, shingles = [], [], [], []
             for text in texts:
@@ -133,7 +137,7 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
                 content.append(xxh3_128_digest(b" ".join(text.lower().split())))
                 fp.append(fingerprint(h))
                 minima.append([int((distinct * odd).min().view(np.int64)) for odd in _ODD] if len(h) else [])
-                shingles.append(np.unique((distinct >> np.uint64(32)).astype(np.uint32)).tobytes())
+                shingles.append(_packed(distinct))
             rids = np.arange(rid, rid + len(texts))
             rid += len(texts)
             yield pa.RecordBatch.from_arrays(
@@ -144,9 +148,22 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
                 names=["doc_id", "mark", "rid", "content", "fp", "minima", "shingles"],
             )
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"), "text").mapInArrow(run, _SKETCH)
 
 
+def _packed(hashes: np.ndarray) -> bytes:
+    """Distinct values of the hashes' upper 24 bits, rising, in three bytes each."""
+    high = np.unique((hashes >> np.uint64(40)).astype("<u4"))
+    return high.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel()
+
+
 def _mark():
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
 
@@ -157,16 +174,17 @@ def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
 
     Candidates are pairs within 3 bits by the grid, rows of one fingerprint, and, as texts of similarity 0.8 may differ
     in 16 of 64 bits, rows that share a minimum hash. In each bucket every row meets one hub, a different one in each
-    kind of bucket, never all others; the sets decide.
+    kind of bucket, never all others; fingerprints that are far apart drop out, and the sets decide.
     """
     of_fp = nodes.groupBy("fp").agg(F.min("rid").alias("first"))
     first = lambda fp, name: of_fp.select(F.col("fp").alias(fp), F.col("first").alias(name))
     close = near_pairs(of_fp.select("fp")).join(first("a", "u"), "a").join(first("b", "v"), "b").select("u", "v")
     same = nodes.select("rid", "fp").join(of_fp, "fp").filter("rid <> first").select(F.col("rid").alias("u"), F.col("first").alias("v"))
-    filed = nodes.select("rid", F.posexplode("minima").alias("kind", "least"))
-    hubs = filed.groupBy("kind", "least").agg(F.min(F.struct(F.xxhash64("rid", "kind").alias("h"), F.col("rid").alias("hub"))).alias("x"), F.count("*").alias("n"))
-    hubs = hubs.filter("n > 1").select(F.col("kind").alias("k"), F.col("least").alias("l"), "x.hub")
-    met = filed.join(hubs, (F.col("kind") == F.col("k")) & (F.col("least") == F.col("l"))).filter("rid <> hub").select(F.col("rid").alias("u"), F.col("hub").alias("v"))
+    filed = nodes.select("rid", "fp", F.posexplode("minima").alias("kind", "least"))
+    hubs = filed.groupBy("kind", "least").agg(F.min(F.struct(F.xxhash64("rid", "kind").alias("h"), F.col("rid").alias("hub"), F.col("fp").alias("hub_fp"))).alias("x"), F.count("*").alias("n"))
+    hubs = hubs.filter("n > 1").select(F.col("kind").alias("k"), F.col("least").alias("l"), "x.hub", "x.hub_fp")
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub_fp"))) <= LIKELY
+    met = filed.join(hubs, (F.col("kind") == F.col("k")) & (F.col("least") == F.col("l")) & (F.col("rid") != F.col("hub")) & near).select(F.col("rid").alias("u"), F.col("hub").alias("v"))
     pairs = close.unionByName(same).unionByName(met).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     sets = lambda name, c: nodes.select(F.col("rid").alias(name), F.col("shingles").alias(c))
 
@@ -178,8 +196,8 @@ def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
                 if small < similarity * large:
                     keep.append(False)
                     continue
-                both = len(np.intersect1d(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), assume_unique=True))
-                keep.append(both >= similarity * ((small + large) // 4 - both) - 1e-9)
+                both = len(np.intersect1d(_unpacked(a), _unpacked(b), assume_unique=True))
+                keep.append(both >= similarity * ((small + large) // 3 - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(sets("u", "x"), "u").join(sets("v", "y"), "v").select("u", "v", "x", "y").mapInArrow(verify, "u long, v long")
@@ -190,7 +208,7 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Data
     joined by shared word sequences or by shingle sets of at least this Jaccard similarity.
 
     Texts without words are one group. Repeated rows are copies; a null doc_id comes after all others. Shingle sets are
-    compared by 32-bit hashes.
+    compared by 24-bit hashes.
     """
     rows = write_table(_sketches(docs, words), "sketches")
     groups = write_table(rows.groupBy("content").agg(F.min("rid").alias("node")), "contents")
@@ -202,7 +220,8 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Data
     kept = placed.join(best, placed["component"] == best["c"]).withColumn("kept", F.col("rid") == F.col("best"))
     marks = write_table(kept.groupBy("doc_id", "mark").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "marks")
     on = lambda m: docs["doc_id"].cast("long").eqNullSafe(m["__id"]) & (F.col("__mark") == m["__m"])
-    named = lambda m: m.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__m"))
+    # ids and marks are spread evenly, so a part's set of them is hashed and its texts stream past it unsorted
+    named = lambda m: m.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__m")).hint("shuffle_hash")
     marked = docs.withColumn("__mark", _mark())
     gone, twice = named(marks.filter("not kept")), named(marks.filter("kept and n > 1"))
     if twice.isEmpty():

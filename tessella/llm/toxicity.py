@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, text_bytes
+from ._common import LOWER, pieces, small_batches, text_bytes
 from ._labels import MOST_LABELLED, held_out, labelled
 
 #: Insults that vote whether or not the labelled documents show them.
@@ -193,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, rows = (Counter(), Counter()), [0, 0]
-        for batch in batches:
+        for batch in pieces(batches):
             for text, y in zip(text_bytes(batch.column("text")), batch.column("y").to_pylist()):
                 counts[y].update(entries(text))
                 rows[y] += 1
@@ -209,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
     shared = docs.sparkSession.sparkContext.broadcast(names)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [bytes(x + 1 for x in votes(t, shared.value)) for t in text_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("y")], names=["v", "y"])
 
@@ -238,10 +238,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score, between 0 and 1, of each row. Null reads as empty."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_ENTRIES entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.score(text_bytes(batch.column("text"))))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
