@@ -118,9 +118,9 @@ def label_model(v: np.ndarray, known: np.ndarray, rounds: int = 12) -> tuple[np.
     v: rows by voters, in -1, 0, 1; known: 1, 0, or -1 where the label is hidden.
     """
     n, m = v.shape
-    s = v.astype(np.int64) + 1
+    s = (v + 1).astype(np.int8)
     p = np.where(known >= 0, known, 0.1).astype(np.float64)
-    p = np.where((known < 0) & (v.sum(1) > 0), 0.9, p)
+    p = np.where((known < 0) & (v.sum(1, dtype=np.int64) > 0), 0.9, p)
     parents = [-1] * m
     for turn in range(rounds):
         w = np.stack([1 - p, p])
@@ -150,14 +150,15 @@ def label_model(v: np.ndarray, known: np.ndarray, rounds: int = 12) -> tuple[np.
 def _tree(s: np.ndarray, w: np.ndarray) -> list[int]:
     """Parents along the spanning tree of largest mutual information given the label; weak links are cut."""
     n, m = s.shape
-    hot = np.stack([(s == a) for a in range(3)]).astype(np.float64)  # vote, row, voter
     info = np.zeros((m, m))
     for y in (0, 1):
         total = w[y].sum() + 1e-9
-        one = np.stack([(hot[a] * w[y][:, None]).sum(0) for a in range(3)]) / total
+        weight = w[y].astype(np.float32)
+        one = np.stack([weight @ (s == a) for a in range(3)]) / total
         for a in range(3):
+            mine = (s == a) * weight[:, None]
             for b in range(3):
-                joint = (hot[a] * w[y][:, None]).T @ hot[b] / total
+                joint = mine.T @ (s == b).astype(np.float32) / total
                 info += total / max(1, n) * np.where(joint > 1e-12, joint * np.log(np.maximum(joint, 1e-300) / np.maximum(np.outer(one[a], one[b]), 1e-300)), 0)
     np.fill_diagonal(info, -1)
     parents, inside = [-1] * m, [0]
@@ -179,8 +180,8 @@ def fit_linear(x: np.ndarray, p: np.ndarray, rounds: int = 300, rate: float = 2.
     dw, db = np.zeros(m), 0.0
     weight = 1 / np.maximum(1.0, np.sqrt(x.sum(0) + 1)) if n else np.ones(m)
     for _ in range(rounds if n else 0):
-        err = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - p
-        dw = 0.9 * dw - rate * weight * (x.T @ err / np.sqrt(n) + decay * w)
+        err = 1 / (1 + np.exp(-np.clip(x @ w.astype(x.dtype) + b, -30, 30))) - p
+        dw = 0.9 * dw - rate * weight * (x.T @ err.astype(x.dtype) / np.sqrt(n) + decay * w)
         db = 0.9 * db - rate * err.mean()
         w, b = w + dw, b + db
     return w, float(b)
@@ -218,14 +219,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
     others = docs.filter(~held_out(parts, remainder) & (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("unlabelled")), F.lit(1 << 20)) < int(share * (1 << 20))))
     rows = sample.unionByName(others.select("text", F.lit(-1).alias("y"))).mapInArrow(vote, "v binary, y int").toArrow()
     width = len(names) + len(PATTERNS)
-    v = np.frombuffer(b"".join(rows["v"].to_pylist()), np.uint8).reshape(-1, width).astype(np.int64) - 1
+    v = np.frombuffer(b"".join(rows["v"].to_pylist()), np.uint8).reshape(-1, width).astype(np.int8) - np.int8(1)
     y = np.array(rows["y"].to_pylist(), np.int64)
     order = np.lexsort((*v.T, y))
     v, y = v[order], y[order]
     if not len(v):
         return Model(names, np.zeros(len(names)), -2.0, [], [], np.zeros(0))
     # entries that other documents turn out to share are no voters
-    x = (v[:, : len(names)] == 1).astype(np.float64)
+    x = (v[:, : len(names)] == 1).astype(np.float32)
     ratio = (x[y == 1].mean(0) if (y == 1).any() else np.ones(len(names))) / ((x[y == 0].sum(0) + 0.5) / max(1, (y == 0).sum()))
     good = [i for i in range(len(names)) if ratio[i] >= RATIO or i < len(SEEDS)]
     voters = good + list(range(len(names), width))
