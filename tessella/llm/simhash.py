@@ -170,7 +170,7 @@ def _mark():
 
 def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
     """Links (u, v) between rows of nodes (rid, fp, minima, shingles) whose shingle sets have at least this Jaccard
-    similarity, enough of them to join what is similar.
+    similarity: most of those that join what is similar, for bucket_links() to start from.
 
     Candidates are pairs within 3 bits by the grid, rows of one fingerprint, and, as texts of similarity 0.8 may differ
     in 16 of 64 bits, rows that share a minimum hash. In each bucket every row meets one hub, a different one in each
@@ -203,6 +203,96 @@ def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(sets("u", "x"), "u").join(sets("v", "y"), "v").select("u", "v", "x", "y").mapInArrow(verify, "u long, v long")
 
 
+#: Most bytes of packed shingle sets in a block of a bucket, of which a task holds two.
+BLOCK = 8 << 20
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers from each start on, as many as its size."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(sizes.sum())
+
+
+def joined_labels(labels: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between labels that join what all pairs of the sets of at least this similarity join; rows of one label
+    are joined already.
+
+    A search from row to row: each row reached counts its shared entries with all rows not yet reached, so every pair
+    is compared unless both were reached before.
+    """
+    names, label = np.unique(labels, return_inverse=True)
+    by_label = np.argsort(label, kind="stable")
+    bounds = np.searchsorted(label[by_label], np.arange(len(names) + 1))
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    entries, waiting, links = np.concatenate(sets), np.ones(len(sets), bool), []
+    begins = np.cumsum(sizes) - sizes
+
+    def index() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = np.flatnonzero(waiting)
+        values = entries[_ranges(begins[rows], sizes[rows])]
+        order = np.argsort(values, kind="stable")
+        values, starts = np.unique(values[order], return_index=True)
+        return values, np.append(starts, len(order)), np.repeat(rows, sizes[rows])[order]
+
+    left = indexed = len(sets)
+    values, starts, rows = index()
+    for first in range(len(names)):
+        queue = by_label[bounds[first] : bounds[first + 1]].tolist()
+        if not waiting[queue[0]]:
+            continue
+        waiting[queue] = False
+        left -= len(queue)
+        while queue and left:
+            if left * 2 <= indexed:
+                indexed = left
+                values, starts, rows = index()
+            a = queue.pop()
+            at = np.searchsorted(values, sets[a])
+            at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == sets[a])]
+            hits = rows[_ranges(starts[at], starts[at + 1] - starts[at])]
+            met, both = np.unique(hits[waiting[hits]], return_counts=True)
+            for b in met[both >= similarity * (sizes[met] + sizes[a] - both) - 1e-9].tolist():
+                if waiting[b]:
+                    links.append((int(labels[a]), int(labels[b])))
+                    group = by_label[bounds[label[b]] : bounds[label[b] + 1]]
+                    waiting[group] = False
+                    left -= len(group)
+                    queue += group.tolist()
+    return links
+
+
+def bucket_links(rows: DataFrame, labels: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links (u, v) between the labels of rows (rid, label, size, minima) that share a minimum hash and have at least
+    this similarity, enough of them to join all such rows. rows has the sets (rid, shingles).
+
+    Buckets of one label are settled, and of buckets with the same rows one is enough. The others are compared in full:
+    a bucket of over `block` bytes is dealt into blocks, and each two blocks meet in a task.
+    """
+    filed = labels.select("rid", "label", "size", F.posexplode("minima").alias("kind", "least"))
+    mark = lambda seed: F.bit_xor(F.xxhash64("rid", F.lit(seed)))
+    open_ = filed.groupBy("kind", "least").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("size").alias("size"), F.count("*").alias("n"), mark(1).alias("x"), mark(2).alias("y")).filter("lo < hi")
+    open_ = open_.groupBy("n", "x", "y").agg(F.min(F.struct("kind", "least")).alias("at"), F.max("size").alias("size"))
+    open_ = write_table(open_.select(F.col("at.kind").alias("k"), F.col("at.least").alias("l"), F.ceil(F.col("size") / block).cast("int").alias("blocks")), "buckets")
+    mine = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
+    dealt = filed.join(open_, (F.col("kind") == F.col("k")) & (F.col("least") == F.col("l"))).select("rid", "label", "k", "l", "blocks", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.filter("blocks = 1 or mine <> other").select("rid", "label", "k", "l", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
+
+    def join(table: pa.Table) -> pa.Table:
+        links = joined_labels(np.array(table["label"]), [_unpacked(x.as_buffer()) for x in table["shingles"]], similarity)
+        return pa.table({name: pa.array([x[i] for x in links], pa.int64()) for i, name in enumerate("uv")})
+
+    return dealt.join(rows.select("rid", "shingles"), "rid").groupBy("k", "l", "a", "b").applyInArrow(join, "u long, v long")
+
+
+def similar_components(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(node, component) of all nodes: links to hubs first, then all that they leave open within buckets."""
+    first = components(similar_links(nodes, similarity))
+    own = nodes.select("rid", "minima", F.length("shingles").alias("size"))
+    labels = write_table(own.join(first, own["rid"] == first["node"], "left").select("rid", F.coalesce("component", "rid").alias("label"), "size", "minima"), "labels")
+    found = components(bucket_links(rows, labels, similarity))
+    return labels.join(found, labels["label"] == found["node"], "left").select(F.col("rid").alias("node"), F.coalesce("component", "label").alias("component"))
+
+
 def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, all columns, without all but one (of the smallest doc_id) of each group of near copies: texts
     joined by shared word sequences or by shingle sets of at least this Jaccard similarity.
@@ -213,7 +303,7 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Data
     rows = write_table(_sketches(docs, words), "sketches")
     groups = write_table(rows.groupBy("content").agg(F.min("rid").alias("node")), "contents")
     nodes = rows.join(groups.select(F.col("node").alias("rid")), "rid", "left_semi").select("rid", "fp", "minima", "shingles")
-    found = components(similar_links(nodes, similarity))
+    found = similar_components(rows, nodes, similarity)
     label = groups.join(found, "node", "left").select("content", F.coalesce("component", "node").alias("component"))
     placed = write_table(rows.select("doc_id", "mark", "rid", "content").join(label, "content").select("doc_id", "mark", "rid", "component"), "placed")
     best = placed.groupBy(F.col("component").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("best")).select("c", F.col("best.rid").alias("best"))

@@ -2,12 +2,14 @@
 
 import collections
 import math
+import random
 import re
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import graph_ann, lm_scoring, preference, quality_gam, simhash, toxicity, url_filter
 
@@ -232,6 +234,54 @@ def test_near_dedup(spark, docs, rows):
     assert simhash.near_dedup(docs.limit(0)).count() == 0
 
 
+def joined(texts, similarity=0.8):
+    """The first number of each text's group, by brute force over five-word shingles."""
+    sets = [set(zip(*(x.split()[i:] for i in range(5)))) for x in texts]
+    group = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if group[i] != group[j] and len(a & b) >= similarity * len(a | b):
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    return group
+
+
+def test_near_dedup_joins_within_buckets(spark):
+    # copies like their original but not each other, and like pairs around a passage that all share
+    dice = random.Random(5)
+    word = lambda: f"w{dice.randrange(10**6)}"
+
+    def edited(words, n):
+        out = list(words)
+        for at in dice.sample(range(len(out)), n):
+            out[at] = word()
+        return out
+
+    texts = []
+    for _ in range(3):
+        first = [word() for _ in range(300)]
+        texts += [first, *(edited(first, 4) for _ in range(60))]
+    passage = [word() for _ in range(80)]
+    for _ in range(60):
+        own = [word() for _ in range(60)]
+        texts += [passage + own, passage + edited(own, 2)]
+    texts = [" ".join(x) for x in texts]
+    want = sorted(set(joined(texts)))
+    assert len(want) < 80
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.near_dedup(df).collect()) == want
+    # the same in blocks
+    rows = simhash._sketches(df, 5).cache()
+    labels = rows.select("rid", F.col("rid").alias("label"), F.length("shingles").alias("size"), "minima")
+    links = [tuple(r) for r in simhash.bucket_links(rows, labels, 0.8, 20_000).collect()]
+    of = {r.rid: r.doc_id for r in rows.collect()}
+    group = {i: i for i in range(len(texts))}
+    for u, v in links:
+        low, high = sorted((group[of[u]], group[of[v]]))
+        group = {k: low if g == high else g for k, g in group.items()}
+    assert sorted(set(group.values())) == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
