@@ -112,9 +112,6 @@ def report(docs: DataFrame, words: int = 3) -> DataFrame:
 
 #: Minimum hashes of a text's shingles, each of which files it in a bucket.
 MINIMA = 8
-#: Most differing fingerprint bits of a row and the hub of its bucket. At similarity 0.8 the expected number is 9.7 and
-#: the standard deviation 2.9, so this is over four deviations away; unrelated texts differ in 32.
-LIKELY = 22
 _ODD = (np.random.default_rng(42).integers(1, 1 << 62, MINIMA, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 _SKETCH = "doc_id long, mark long, rid long, content binary, fp long, minima array<long>, shingles binary"
@@ -169,21 +166,21 @@ def _mark():
 
 
 def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) between rows of nodes (rid, fp, minima, shingles) whose shingle sets have at least this Jaccard
+    """Links (u, v) between rows of nodes (rid, fp, minima, shingles, size) whose shingle sets have at least this Jaccard
     similarity: most of those that join what is similar, for bucket_links() to start from.
 
     Candidates are pairs within 3 bits by the grid, rows of one fingerprint, and, as texts of similarity 0.8 may differ
     in 16 of 64 bits, rows that share a minimum hash. In each bucket every row meets one hub, a different one in each
-    kind of bucket, never all others; fingerprints that are far apart drop out, and the sets decide.
+    kind of bucket, never all others; sets too different in size to be similar drop out, and the sets decide.
     """
     of_fp = nodes.groupBy("fp").agg(F.min("rid").alias("first"))
     first = lambda fp, name: of_fp.select(F.col("fp").alias(fp), F.col("first").alias(name))
     close = near_pairs(of_fp.select("fp")).join(first("a", "u"), "a").join(first("b", "v"), "b").select("u", "v")
     same = nodes.select("rid", "fp").join(of_fp, "fp").filter("rid <> first").select(F.col("rid").alias("u"), F.col("first").alias("v"))
-    filed = nodes.select("rid", "fp", F.posexplode("minima").alias("kind", "least"))
-    hubs = filed.groupBy("kind", "least").agg(F.min(F.struct(F.xxhash64("rid", "kind").alias("h"), F.col("rid").alias("hub"), F.col("fp").alias("hub_fp"))).alias("x"), F.count("*").alias("n"))
-    hubs = hubs.filter("n > 1").select(F.col("kind").alias("k"), F.col("least").alias("l"), "x.hub", "x.hub_fp")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub_fp"))) <= LIKELY
+    filed = nodes.select("rid", "size", F.posexplode("minima").alias("kind", "least"))
+    hubs = filed.groupBy("kind", "least").agg(F.min(F.struct(F.xxhash64("rid", "kind").alias("h"), F.col("rid").alias("hub"), F.col("size").alias("hub_size"))).alias("x"), F.count("*").alias("n"))
+    hubs = hubs.filter("n > 1").select(F.col("kind").alias("k"), F.col("least").alias("l"), "x.hub", "x.hub_size")
+    near = F.least("size", "hub_size") >= similarity * F.greatest("size", "hub_size")
     met = filed.join(hubs, (F.col("kind") == F.col("k")) & (F.col("least") == F.col("l")) & (F.col("rid") != F.col("hub")) & near).select(F.col("rid").alias("u"), F.col("hub").alias("v"))
     pairs = close.unionByName(same).unionByName(met).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     sets = lambda name, c: nodes.select(F.col("rid").alias(name), F.col("shingles").alias(c))
@@ -287,7 +284,7 @@ def bucket_links(rows: DataFrame, labels: DataFrame, similarity: float, block: i
 def similar_components(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """(node, component) of all nodes: links to hubs first, then all that they leave open within buckets."""
     first = components(similar_links(nodes, similarity))
-    own = nodes.select("rid", "minima", F.length("shingles").alias("size"))
+    own = nodes.select("rid", "minima", "size")
     labels = write_table(own.join(first, own["rid"] == first["node"], "left").select("rid", F.coalesce("component", "rid").alias("label"), "size", "minima"), "labels")
     found = components(bucket_links(rows, labels, similarity))
     return labels.join(found, labels["label"] == found["node"], "left").select(F.col("rid").alias("node"), F.coalesce("component", "label").alias("component"))
@@ -302,7 +299,8 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Data
     """
     rows = write_table(_sketches(docs, words), "sketches")
     groups = write_table(rows.groupBy("content").agg(F.min("rid").alias("node")), "contents")
-    nodes = rows.join(groups.select(F.col("node").alias("rid")), "rid", "left_semi").select("rid", "fp", "minima", "shingles")
+    sized = rows.select("rid", "fp", "minima", "shingles", F.length("shingles").alias("size"))
+    nodes = sized.join(groups.select(F.col("node").alias("rid")), "rid", "left_semi")
     found = similar_components(rows, nodes, similarity)
     label = groups.join(found, "node", "left").select("content", F.coalesce("component", "node").alias("component"))
     placed = write_table(rows.select("doc_id", "mark", "rid", "content").join(label, "content").select("doc_id", "mark", "rid", "component"), "placed")

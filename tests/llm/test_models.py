@@ -282,6 +282,20 @@ def test_near_dedup_joins_within_buckets(spark):
     assert sorted(set(group.values())) == want
 
 
+def test_near_dedup_counts_a_shingle_once(spark):
+    # the same shingle sets, and fingerprints (which count repeats) far apart
+    dice = random.Random(6)
+    texts = []
+    while len(texts) < 20:
+        words = [f"w{dice.randrange(10**6)}" for _ in range(212)]
+        pair = [" ".join(words[:200] + words[200:] * n) for n in (2, 101)]
+        a, b = (simhash.fingerprint(simhash.shingle_hashes(x.encode(), 5)) for x in pair)
+        if (a ^ b).bit_count() > 22:
+            texts += pair
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.near_dedup(df).collect()) == list(range(0, 20, 2))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
