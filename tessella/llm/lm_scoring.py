@@ -2,10 +2,12 @@
 
 Counting. Workers hash words and n-grams of whole batches at once, sum equal ones, and send sorted runs to ranges of
 hash values. Each range sums its runs, keeps exact word counts in a table, and builds its own region of the filter: an
-n-gram of count c is put in once for each level 1 to 1 + log_b(c). The regions together are the filter; their size is
-bounded by FILTER_BYTES, and where a region would be larger, n-grams (not words) of the smallest counts stay out of it.
+n-gram of count c is put in once for each level 1 to 1 + log_b(c). The regions together are the filter. Of it, the head is
+broadcast: all words, and as many bigrams as fit into FILTER_BYTES, those of the smallest counts left out. Bigrams that
+are left out have a filter of their own in each range, which stays in the table.
 
-Scoring. The filter is broadcast. An n-gram's count is found by probing its levels upwards until one is missing.
+Scoring. An n-gram's count is found by probing its levels upwards until one is missing. Tokens whose bigram is not in the
+head meet the table's ranges in one shuffle, with the levels that their probability is made of.
 Probabilities interpolate the orders; the weights, by the order and the context's level, come from expectation
 maximisation over a bounded sample of training documents with each token's own occurrence left out.
 
@@ -16,7 +18,7 @@ of each document's words meet the table's ranges in one shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -103,15 +105,16 @@ def _keys(h: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarra
 
 
 def region(orders: list[tuple[np.ndarray, np.ndarray]], most_bits: int) -> tuple[bytes, int, int]:
-    """A range's Bloom filter, its number of bits, and the least count of n-grams above words that it holds."""
+    """A range's Bloom filter, its number of bits, and the least count of n-grams above words that it holds. Words are
+    held whatever their number."""
     least = 1
     while True:
         chosen = [(h, c, k) if k == 1 else (h[c >= least], c[c >= least], k) for k, (h, c) in enumerate(orders, 1)]
         need = BITS * sum(int(levels_of(c, k).sum()) for _, c, k in chosen if len(c))
         if need <= most_bits or not any(len(c) for _, c, k in chosen if k > 1):
             break
-        least += 1
-    bits = min(max(64, need), max(64, most_bits))
+        least = max(least + 1, least * 5 // 4)
+    bits = max(64, need)
     held = np.zeros(bits, bool)
     for h, c, k in chosen:
         top = levels_of(c, k) if len(c) else np.zeros(0, np.int64)
@@ -139,6 +142,9 @@ class Model:
     words: int
     order: int
     weights: list[np.ndarray]
+    #: Whether any bigrams are only in the table; hashes, rising, and levels of some of those.
+    split: bool = False
+    rest: tuple[np.ndarray, np.ndarray] | None = None
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """The level of each n-gram: the last of its unbroken run of levels in the filter."""
@@ -158,6 +164,9 @@ class Model:
                 live, a, b, start, size = live[ok], a[ok], b[ok], start[ok], size[ok]
             out[live] = level
             level += 1
+        if self.rest is not None and len(self.rest[0]):
+            near = np.minimum(np.searchsorted(self.rest[0], h), len(self.rest[0]) - 1)
+            out = np.where((out == 0) & (self.rest[0][near] == h), self.rest[1][near], out)
         return out
 
     def level_of_all(self, h: np.ndarray) -> np.ndarray:
@@ -189,6 +198,30 @@ class Model:
             above = level
         return probs, contexts, hs[0], firsts, sizes
 
+    def pending(self, probs: list[np.ndarray], contexts: list[np.ndarray], tokens: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Tokens whose bigram may be in the table: where they are, the bigrams' hashes, and the levels of the words
+        before and of the words themselves."""
+        if not self.split:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint8)
+        at = np.flatnonzero((probs[1] == 0) & (contexts[0] > 0))
+        last = before(tokens, firsts)
+        bigrams = mix(last * _STEP[2] + tokens)[at]
+        return at, bigrams, self.level_of_all(last[at]).astype(np.uint8), self.level_of_all(tokens[at]).astype(np.uint8)
+
+    def settled(self, level: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Logarithms of the probabilities of tokens by the levels of bigram, word before and word; of order 2."""
+        p = (value_of(word.astype(np.int64), 1) + 0.5) / (self.tokens + 0.5 * (self.words + 1))
+        q = np.minimum(1.0, value_of(level, 2) / np.maximum(value_of(context.astype(np.int64), 1), 1e-9))
+        return np.log10(self.mixed([p, q], [np.minimum(context, 63)]))
+
+    def of_range(self, data: bytes, bits: int) -> Model:
+        """The same with a table row's filter."""
+        return replace(self, data=np.frombuffer(data, np.uint8), offsets=np.zeros(self.parts, np.int64), bits=np.full(self.parts, bits, np.uint64), rest=None)
+
+    def bare(self) -> Model:
+        """The same without filter and head."""
+        return replace(self, data=np.zeros(0, np.uint8), head=self.head[:0], head_counts=self.head_counts[:0], rest=None)
+
     def mixed(self, probs: list[np.ndarray], contexts: list[np.ndarray]) -> np.ndarray:
         p = probs[0]
         for k, (q, context) in enumerate(zip(probs[1:], contexts)):
@@ -249,7 +282,8 @@ _HISTOGRAM = 256
 
 
 def _count(runs: DataFrame, order: int, most_bits: int) -> DataFrame:
-    """One row for each range: totals, a histogram of word counts, the words' hashes and counts, the filter's region."""
+    """One row for each range: totals, a histogram of word counts, the words' hashes and counts, the filter's region,
+    and a filter of the n-grams that are not in it."""
 
     def merge(table: pa.Table) -> pa.Table:
         orders = []
@@ -260,26 +294,29 @@ def _count(runs: DataFrame, order: int, most_bits: int) -> DataFrame:
             orders.append(_summed(np.concatenate([ones, more]), np.concatenate([np.ones(len(ones), np.int64), counts])))
         h, c = orders[0]
         data, bits, least = region(orders, most_bits)
+        rest, rest_bits, _ = region([(h[:0], c[:0]) if k == 0 else (a[b < least], b[b < least]) for k, (a, b) in enumerate(orders)], 1 << 62) if least > 1 else (b"", 0, 1)
         histogram = np.bincount(np.minimum((4 * np.log2(c)).astype(np.int64), _HISTOGRAM - 1), minlength=_HISTOGRAM) if len(c) else np.zeros(_HISTOGRAM, np.int64)
         return pa.table(
             {
                 "p": pa.array([table["p"][0].as_py()], pa.int32()), "n_words": pa.array([len(h)], pa.int64()), "n_tokens": pa.array([int(c.sum())], pa.int64()),
                 "histogram": pa.array([histogram.astype(np.int64).tobytes()], pa.binary()), "words": pa.array([h.tobytes()], pa.binary()), "counts": pa.array([c.tobytes()], pa.binary()),
                 "data": pa.array([data], pa.binary()), "bits": pa.array([bits], pa.int64()), "least": pa.array([least], pa.int32()),
+                "rest": pa.array([rest], pa.binary()), "rest_bits": pa.array([rest_bits], pa.int64()),
             }
         )
 
     import pyarrow.compute  # noqa: F401
 
-    return runs.groupBy("p").applyInArrow(merge, "p int, n_words long, n_tokens long, histogram binary, words binary, counts binary, data binary, bits long, least int")
+    return runs.groupBy("p").applyInArrow(merge, "p int, n_words long, n_tokens long, histogram binary, words binary, counts binary, data binary, bits long, least int, rest binary, rest_bits long")
 
 
 def learn(training: DataFrame, order: int = ORDER, filter_bytes: int = FILTER_BYTES, head: int = HEAD, tuning: int = TUNING) -> tuple[Model, DataFrame]:
-    """The model of the texts of training (doc_id, text), and the table of exact word counts by range."""
+    """The model of the texts of training (doc_id, text), and the table of exact word counts and bigrams by range. Only
+    bigrams are left to the table: of other orders, the filter is broadcast whole."""
     spark = training.sparkSession
     parts = shuffle_parts(spark)
-    table = write_table(_count(_gather(training, parts, order), order, filter_bytes * 8 // parts), "counts")
-    stats = table.select("p", "n_words", "n_tokens", "histogram", "bits").toArrow()
+    table = write_table(_count(_gather(training, parts, order), order, filter_bytes * 8 // parts if order == 2 else 1 << 62), "counts")
+    stats = table.select("p", "n_words", "n_tokens", "histogram", "bits", "least").toArrow()
     at = np.array(stats["p"].to_pylist(), np.int64)
     bits = np.zeros(parts, np.uint64)
     bits[at] = np.array(stats["bits"].to_pylist(), np.uint64)
@@ -305,16 +342,47 @@ def learn(training: DataFrame, order: int = ORDER, filter_bytes: int = FILTER_BY
     c = np.frombuffer(b"".join(heads["counts"].to_pylist()), np.int64)
     rank = np.argsort(h)
     tokens, words = (sum(stats[n].to_pylist()) for n in ("n_tokens", "n_words"))
-    model = Model(parts, data, offsets, bits, h[rank], c[rank], tokens, words, order, [])
-    _tune(model, training, tuning)
+    model = Model(parts, data, offsets, bits, h[rank], c[rank], tokens, words, order, [], any(x > 1 for x in stats["least"].to_pylist()))
+    _tune(model, training, tuning, table)
     return model, table
 
 
-def _tune(model: Model, training: DataFrame, tuning: int) -> None:
+def _rest(model: Model, sample: DataFrame, table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, rising, and levels of those bigrams of a bounded sample that are only in the table."""
+    spark = sample.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            texts = text_bytes(batch.column("text"))
+            for lo, hi in slices(texts):
+                probs, contexts, tokens, firsts, _ = shared.value.evidence(texts[lo:hi], False)
+                yield pa.RecordBatch.from_arrays([pa.array([np.unique(shared.value.pending(probs, contexts, tokens, firsts)[1]).tobytes()], pa.binary())], names=["h"])
+
+    found = sample.mapInArrow(seen, "h binary").toArrow()
+    asked = np.unique(np.frombuffer(b"".join(found["h"].to_pylist()), np.uint64))
+    shared.destroy()
+    few, bare = spark.sparkContext.broadcast(asked), model.bare()
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, rest, bits in zip(*(batch.column(n).to_pylist() for n in ("p", "rest", "rest_bits"))):
+                h = few.value[range_of(few.value, bare.parts) == p]
+                level = bare.of_range(rest, bits).levels(h)
+                yield pa.RecordBatch.from_arrays([pa.array([x[level > 0].tobytes()], pa.binary()) for x in (h, level)], names=["h", "level"])
+
+    got = table.select("p", "rest", "rest_bits").mapInArrow(look_up, "h binary, level binary").toArrow()
+    h, level = (np.frombuffer(b"".join(got[n].to_pylist()), kind) for n, kind in (("h", np.uint64), ("level", np.int64)))
+    order = np.argsort(h)
+    return h[order], level[order]
+
+
+def _tune(model: Model, training: DataFrame, tuning: int, table: DataFrame) -> None:
     """Interpolation weights by order and context level, by expectation maximisation on a sample, leaving one out."""
     documents = max(1, training.count())
     share = min(1.0, tuning / documents)
-    shared = training.sparkSession.sparkContext.broadcast(model)
+    sample = training.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("tuning")), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
+    shared = training.sparkSession.sparkContext.broadcast(replace(model, rest=_rest(model, sample, table)) if model.split else model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -324,7 +392,6 @@ def _tune(model: Model, training: DataFrame, tuning: int) -> None:
                 packed = [np.stack(probs).astype(np.float32).tobytes(), np.stack(contexts).astype(np.int8).tobytes() if contexts else b""]
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], names=["probs", "contexts"])
 
-    sample = training.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("tuning")), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
     rows = sample.mapInArrow(run, "probs binary, contexts binary").toArrow()
     probs = [np.frombuffer(x, np.float32).reshape(model.order, -1).astype(np.float64) for x in rows["probs"].to_pylist()]
     contexts = [np.frombuffer(x, np.int8).reshape(model.order - 1, -1) for x in rows["contexts"].to_pylist()] if model.order > 1 else []
@@ -362,10 +429,16 @@ def score(docs: DataFrame, held_out: Column, **settings) -> DataFrame:
         own, rid = shared.value, TaskContext.get().partitionId() << 40
         for batch in pieces(batches):
             texts = text_bytes(batch.column("text"))
-            out = {"rid": [], "n_tokens": [], "n_known": [], "base": [], "score": [], "tail": []}
+            out = {"rid": [], "n_tokens": [], "n_known": [], "base": [], "score": [], "tail": [], "asked": [], "levels": []}
             for lo, hi in slices(texts):
                 probs, contexts, tokens, firsts, sizes = own.evidence(texts[lo:hi], False)
                 logs = np.log10(own.mixed(probs, contexts))
+                at, bigrams, *levels = own.pending(probs, contexts, tokens, firsts)
+                logs[at] = 0.0
+                cuts = np.searchsorted(at, [*firsts, len(tokens)])
+                levels = np.stack(levels, 1)
+                out["asked"] += [bigrams[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+                out["levels"] += [levels[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
                 found, count = own.exact(tokens)
                 logged = np.where(found, np.log10(count + 0.5), 0.0)
                 out["n_tokens"] += sizes.tolist()
@@ -377,11 +450,11 @@ def score(docs: DataFrame, held_out: Column, **settings) -> DataFrame:
                 out["tail"] += [rest[a:b].tobytes() for a, b in zip([0, *cuts[:-1]], cuts)]
             out["rid"] = list(range(rid, rid + len(texts)))
             rid += len(texts)
-            kinds = {"rid": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "tail": pa.binary()}
+            kinds = {"rid": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "tail": pa.binary(), "asked": pa.binary(), "levels": pa.binary()}
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *(pa.array(out[n], t) for n, t in kinds.items())], names=["doc_id", "held_out", *kinds])
 
     first = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
-    first = write_table(first.mapInArrow(run, "doc_id long, held_out boolean, rid long, n_tokens long, n_known long, base double, score double, tail binary"), "scored")
+    first = write_table(first.mapInArrow(run, "doc_id long, held_out boolean, rid long, n_tokens long, n_known long, base double, score double, tail binary, asked binary, levels binary"), "scored")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -411,12 +484,51 @@ def score(docs: DataFrame, held_out: Column, **settings) -> DataFrame:
     tails = first.select("rid", "tail").mapInArrow(spread, "p int, rids binary, tail binary")
     sums = tails.groupBy("p").cogroup(table.select("p", "words", "counts").groupBy("p")).applyInArrow(look_up, "rid long, s double, k long")
     sums = sums.groupBy("rid").agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
-    return first.drop("tail").join(sums, "rid", "left").select(
+    found = first.drop("tail", "asked", "levels").join(sums, "rid", "left")
+    if model.split:
+        found = found.join(_asked(model, first, table), "rid", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
+    return found.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("s", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(floor))).alias("base_score"), "score",
     )
 
 
+def _asked(model: Model, first: DataFrame, table: DataFrame) -> DataFrame:
+    """(rid, more): the sum over a document's tokens that wait for their bigram's level in the table."""
+    parts, bare = model.parts, model.bare()
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rids = np.array(batch.column("rid").to_pylist(), np.int64)
+            asked, levels = batch.column("asked").to_pylist(), batch.column("levels").to_pylist()
+            for lo, hi in slices(asked, 32 << 20):
+                h = np.frombuffer(b"".join(asked[lo:hi]), np.uint64)
+                if not len(h):
+                    continue
+                of, level = np.repeat(rids[lo:hi], [len(x) // 8 for x in asked[lo:hi]]), np.frombuffer(b"".join(levels[lo:hi]), np.uint16)
+                p = range_of(h, parts).astype(np.int64)
+                order = np.argsort(p, kind="stable")
+                cuts = np.searchsorted(p[order], np.arange(parts + 1))
+                full = np.flatnonzero(np.diff(cuts))
+                cut = lambda x: pa.array([x[order][cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary())  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), cut(of), cut(h), cut(level)], names=["p", "rids", "asked", "levels"])
+
+    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        sums: list[tuple[np.ndarray, np.ndarray]] = []
+        own = bare.of_range(right["rest"][0].as_py(), right["rest_bits"][0].as_py()) if len(right) else bare
+        for rids, asked, levels in zip(*(left[n].to_pylist() for n in ("rids", "asked", "levels"))):
+            level = np.frombuffer(levels, np.uint8).reshape(-1, 2)
+            logs = own.settled(own.level_of_all(np.frombuffer(asked, np.uint64)), level[:, 0], level[:, 1])
+            of, back = np.unique(np.frombuffer(rids, np.int64), return_inverse=True)
+            sums.append((of, np.bincount(back, logs, len(of))))
+        of, s = (np.concatenate([x[i] for x in sums]) if sums else np.zeros(0) for i in (0, 1))
+        return pa.table({"rid": pa.array(of.astype(np.int64)), "s": pa.array(s)})
+
+    rows = first.select("rid", "asked", "levels").mapInArrow(spread, "p int, rids binary, asked binary, levels binary")
+    sums = rows.groupBy("p").cogroup(table.select("p", "rest", "rest_bits").groupBy("p")).applyInArrow(look_up, "rid long, s double")
+    return sums.groupBy("rid").agg(F.sum("s").alias("more"))
+
+
 def report(docs: DataFrame) -> DataFrame:
     """score() with the documents whose crc32(doc_id) mod 5 is 1 held out."""
     return score(docs, fold("doc_id", 5) == 1)
