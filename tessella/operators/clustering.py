@@ -112,28 +112,47 @@ def canopy(points: DataFrame, t1: float, t2: float, column: str = "embedding", k
     """(key, canopy) of all points within t1 of a centre, after McCallum, Nigam and Ungar (2000).
 
     The pass is sequential by nature: it runs in the order of key over a bounded, hashed sample (all points, up to
-    about `most`) and gives the centres, which are few; then all points are assigned in parallel, in Arrow batches.
-    t1 below t2 leaves points in no canopy and is refused unless compat.
+    about `most`) and gives centres; the points that are not within t2 of one are sampled in turn, until none is left.
+    Then all points are assigned in parallel, in Arrow batches. A zero vector is near nothing and in no canopy. t1 below
+    t2 leaves points in no canopy and is refused unless compat.
     """
     if t1 < t2 and not compat:
         raise ValueError("t1 must be at least t2")
     points = points.filter(F.col(column).isNotNull())
-    total = points.count()
-    share = min(1.0, most / max(1, total))
-    sample = points.filter(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20))).select(key, column).orderBy(key).toArrow()
-    x = np.array(sample[column].to_pylist(), float)
-    at = canopy_centres(x, t1, t2) if len(x) else np.zeros(0, int)
-    keys = np.array(sample[key].to_pylist())[at] if len(at) else np.zeros(0)
-    shared = points.sparkSession.sparkContext.broadcast((keys, x[at] if len(at) else np.zeros((0, 1))))  # bounded by the sample
+    context, left = points.sparkSession.sparkContext, points.select(key, column)
+    names, centres = [], []
+
+    def distances(frame: pd.DataFrame, starts: np.ndarray) -> np.ndarray:
+        unit = starts / np.maximum(np.linalg.norm(starts, axis=1, keepdims=True), 1e-12)
+        y = np.stack(frame[column].to_list()).astype(float) if len(frame) else np.zeros((0, unit.shape[1]))
+        return 1 - (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)) @ unit.T
+
+    def far(shared):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                yield frame[(distances(frame, shared.value) >= t2).all(axis=1)]
+
+        return run
+
+    while total := left.count():
+        drawn = F.pmod(F.xxhash64(key, *([F.lit(len(names))] if names else [])), F.lit(1 << 20)) < max(1, int(min(1.0, most / total) * (1 << 20)))
+        sample = left.filter(drawn).orderBy(key).toArrow()
+        x = np.array(sample[column].to_pylist(), float)
+        at = canopy_centres(x, t1, t2) if len(x) else np.zeros(0, int)
+        names.append(np.array(sample[key].to_pylist())[at] if len(at) else np.zeros(0))
+        centres.append(x[at])
+        if total <= most:
+            break
+        left = left.filter(~drawn)
+        left = write_table(left.mapInPandas(far(context.broadcast(x[at])), left.schema) if len(at) else left, "far")
+    some = [i for i, x in enumerate(centres) if len(x)]
+    shared = context.broadcast((np.concatenate([names[i] for i in some]), np.concatenate([centres[i] for i in some])) if some else (np.zeros(0), np.zeros((0, 1))))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, centres = shared.value
-        unit = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+        keys, starts = shared.value
         for frame in frames:
-            y = np.stack(frame[column].to_list()).astype(float) if len(frame) else np.zeros((0, unit.shape[1]))
-            y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
-            row, col = np.nonzero(1 - y @ unit.T < t1)
-            yield pd.DataFrame({key: frame[key].to_numpy()[row], "canopy": names[col]})
+            row, col = np.nonzero(distances(frame, starts) < t1)
+            yield pd.DataFrame({key: frame[key].to_numpy()[row], "canopy": keys[col]})
 
     schema = T.StructType([T.StructField(key, points.schema[key].dataType), T.StructField("canopy", points.schema[key].dataType)])
     return points.select(key, column).mapInPandas(run, schema)

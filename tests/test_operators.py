@@ -172,6 +172,14 @@ def test_canopy_and_kmeans(spark):
     assert clustering.default_k(50) == 100 and clustering.default_k(50_000) == 500
 
 
+def test_canopies_hold_all_points(spark):
+    # far more points than a sample, each near few others
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(600, 40)))], "vec_id long, embedding array<double>")
+    got = clustering.canopy(df, 0.75, 0.7, most=50)
+    assert got.select("vec_id").distinct().count() == 600
+
+
 def test_stream_upserts_once(spark, tmp_path):
     rows = spark.createDataFrame([(1, "2020-01-01 00:00:00"), (1, "2020-01-01 00:00:01"), (2, "2020-01-01 00:00:02")], "id long, ts string").withColumn("ts", F.to_timestamp("ts"))
     rows.write.parquet(str(tmp_path / "in"))
