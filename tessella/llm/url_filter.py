@@ -18,7 +18,9 @@ RULES = (
     ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
     ("allow", "com", "/fr/"), ("block", "com", "/de/"),
 )
-MASS, KEEP, ROUNDS = 10**15, 85, 8
+MASS, KEEP = 10**15, 85
+#: Rounds of the SQL, which cannot stop by itself. It is the same where ranks settle by then or verdicts do.
+ROUNDS = 8
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: An absolute or protocol-relative link target's host.
 _LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -53,9 +55,12 @@ def host_links(pages: DataFrame) -> DataFrame:
     return out.select("src", _lower(F.col("dst")).alias("dst")).filter("src <> '' and dst <> src").distinct()
 
 
-def host_ranks(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def host_ranks(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """(host, trust, distrust) from seeds (host, good, bad: numbers of pages) and links (src, dst).
 
+    Rounds go on until no rank changes: from nothing, ranks in whole units only rise, and they are bounded; a unit is
+    gone after about 215 rounds. A round's sums are the only numbers that come to the driver.
+
     Links hold one row for a pair of hosts and are joined on src or dst; a host with very many links spreads over tasks
     by the skewed join, and sums are partial before the shuffle. Each round is written to the shared folder.
     """
@@ -67,13 +72,12 @@ def host_ranks(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS) -> Data
     hosts = hosts.select("host", F.floor(unit("good", good)).cast("long").alias("good"), F.floor(unit("bad", bad)).cast("long").alias("bad"))
     hosts = write_table(hosts, "hosts")
     links = write_table(links, "links")
-    if links.isEmpty():
-        rounds = min(rounds, 1)
     out_of = links.groupBy(F.col("src").alias("host")).agg(F.count("*").alias("n"))
     into = links.groupBy(F.col("dst").alias("host")).agg(F.count("*").alias("n"))
-    state = hosts.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
+    state = hosts.select("host", F.lit(0).cast("long").alias("trust"), F.lit(0).cast("long").alias("distrust"))
+    no_links, sums = links.isEmpty(), None
     share = lambda c: F.expr(f"{c} div n")
-    for _ in range(rounds):
+    while True:
         sent = state.join(out_of, "host").select(F.col("host").alias("src"), share("trust").alias("x"))
         trusted = links.join(sent, "src").groupBy(F.col("dst").alias("host")).agg(F.sum("x").alias("x"))
         sent = state.join(into, "host").select(F.col("host").alias("dst"), share("distrust").alias("y"))
@@ -83,10 +87,15 @@ def host_ranks(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS) -> Data
             F.expr(f"((100 - {KEEP}) * bad + {KEEP} * coalesce(y, 0L)) div 100").alias("distrust"),
         )
         state = write_table(state, "ranks")
-    return state
+        if no_links:
+            return state
+        now = tuple(state.agg(*[F.sum(F.col(c).cast("decimal(38,0)")) for c in ("trust", "distrust")]).first())
+        if now == sums:
+            return state
+        sums = now
 
 
-def judge(pages: DataFrame, rules: tuple = RULES, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of pages.
 
     A null url or one without :// has an empty host and path, fits no rule and is allowed, as is any host without trust
@@ -94,7 +103,7 @@ def judge(pages: DataFrame, rules: tuple = RULES, rounds: int = ROUNDS) -> DataF
     """
     parsed = parse(pages, rules)
     seeds = parsed.filter("ruled is not null").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("bad"))
-    ranks = host_ranks(seeds, host_links(pages), rounds)
+    ranks = host_ranks(seeds, host_links(pages))
     blocked = ranks.filter("distrust > trust").select("host", F.lit("block").alias("by_host"))
     return parsed.join(blocked, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", "by_host", F.lit("allow")).alias("verdict"))
 

@@ -183,6 +183,14 @@ def test_url_filter(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_distrust_goes_up_a_long_chain(spark):
+    chain = [(i, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">x</a>') for i in range(12)]
+    chain.append((12, "http://h12.net/bad/", ""))
+    df = spark.createDataFrame(chain, "page_id long, url string, html string")
+    got = url_filter.judge(df, (("block", "h12.net", "/bad/"),)).collect()
+    assert {r.verdict for r in got} == {"block"} and len(got) == 13
+
+
 def test_preference(spark):
     say = lambda *x: [(0, i, r, t) for i, (r, t) in enumerate(x)]
     a = say(("system", "s"), ("user", "u"), ("assistant", "yes"), ("user", None))
