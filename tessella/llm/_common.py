@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.store import write_table as write_table
 
@@ -64,8 +65,9 @@ def carried(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, list[str], str
     return df, kept, kept[keep.index("text")] if "text" in keep else "__text"
 
 
-def fields_ddl(df: DataFrame, names: list[str]) -> list[str]:
-    return [f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names]
+def fields(df: DataFrame, names: list[str], more: str = "") -> T.StructType:
+    """The schema of df's columns of these names, in their own types, and of more columns."""
+    return T.StructType([*(T.StructField(n, df.schema[n].dataType) for n in names), *(T.StructType.fromDDL(more) if more else ())])
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

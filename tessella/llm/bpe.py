@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import carried, fields_ddl, pieces, small_batches
+from ._common import carried, fields, pieces, small_batches
 
 #: Fixed: the byte-level alphabet's printable bytes stand for themselves, the others for the code points from 256 on.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -355,7 +355,7 @@ def encode(docs: DataFrame, spec: str, keep: list[str] | None = None, digest: bo
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *out.values()], names=[*kept, *out])
 
     names = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digest else ["ids array<int>", *["decoded string"] * decoded]
-    out = df.mapInArrow(run, ", ".join([*fields_ddl(df, kept), *names]))
+    out = df.mapInArrow(run, fields(df, kept, ", ".join(names)))
     return out.select(*[F.col(k).alias(c) for k, c in zip(kept, keep)], *[n.split()[0] for n in names])
 
 
@@ -369,5 +369,5 @@ def decode(tokens: DataFrame, spec: str) -> DataFrame:
             texts = [own.machine.decode(x or []).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    rows = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
-    return rows.mapInArrow(run, "doc_id long, text string")
+    rows = tokens.select("doc_id", F.col("ids").cast("array<int>").alias("ids"))
+    return rows.mapInArrow(run, fields(rows, ["doc_id"], "text string"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import carried, fields_ddl, pieces, small_batches, text_bytes
+from ._common import carried, fields, pieces, small_batches, text_bytes
 from ._labels import MOST_LABELLED, held_out, labelled
 
 #: What a text is measured by; nothing but the text goes in.
@@ -167,7 +167,8 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 48, rounds: int = 150, leaves:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 5, remainder: int = 0, most: int = MOST_LABELLED) -> Gam:
-    """Fit on at most about `most` labelled documents outside the held-out fold; executors measure them."""
+    """Fit on at most `most` labelled documents outside the held-out fold; executors measure them."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -193,17 +194,19 @@ def score(docs: DataFrame, model: Gam, keep: list[str] | None = None) -> DataFra
             found = shared.value.score(matrix(text_bytes(batch.column(text))))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found)], names=[*kept, "score"])
 
-    return df.mapInArrow(run, ", ".join([*fields_ddl(df, kept), "score double"]))
+    return df.mapInArrow(run, fields(df, kept, "score double"))
 
 
 def report(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted. A row for each row of docs, repeated rows, nulls and empty texts included;
-    labels without a document, null labels and labels other than 0 and 1 are left out of the fit."""
+    """doc_id, held_out, score, predicted. A row for each row of docs, repeated rows, nulls, empty and very long texts
+    included, in the ids' own type; labels without a document, null labels and labels other than 0 and 1 are left out of
+    the fit. Without labels all scores are 0.5. Other columns play no part, whatever their names."""
     scored = score(docs, train(docs, labels)).withColumnRenamed("__keep0", "doc_id")
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
-    """The rows of docs, all columns, whose score is at least `least`."""
+    """The rows of docs, all columns, whose score is at least `least`; nulls, empty texts and repeated rows are scored as
+    in report()."""
     scored = score(docs, train(docs, labels), docs.columns).filter(F.col("score") >= least)
     return scored.select(*[F.col(f"__keep{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -1,15 +1,16 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, a linear classifier.
 
 Voters. Each lexicon voter holds one word or word beginning and votes toxic where it occurs; the entries are a short
-list of insults and what is far more frequent in toxic than in other labelled documents. Pattern voters look at shouting,
-marks, direct address and at the lack of any entry, and vote either way. A voter may abstain.
+list of insults and what is far more frequent in toxic than in other documents of the labelled sample. Pattern voters
+look at shouting, marks, direct address and at the lack of any entry, and vote either way. A voter may abstain.
 
 Label model. Given the hidden label, voters depend on each other along a tree: each has at most one parent, chosen by
-conditional mutual information (Chow and Liu, 1968). Expectation maximisation over labelled and unlabelled documents
-estimates each voter's accuracy and its correlation with its parent; labelled documents keep their label.
+conditional mutual information (Chow and Liu, 1968). Expectation maximisation over the votes on the sample estimates the
+share of toxic documents, each voter's accuracy and its correlation with its parent. Labels only say where it starts,
+and so which of the two hidden classes is the toxic one; from there on every document's label is hidden.
 
-Classifier. A logistic regression over the entries' presence is fitted to the posteriors, so a document is scored by one
-pass over its words and a sum of weights.
+Classifier. A logistic regression over the entries' presence is fitted to the posteriors of all documents of the sample,
+so a document is scored by one pass over its words and a sum of weights.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, pieces, small_batches, text_bytes
+from ._common import LOWER, fields, pieces, small_batches, text_bytes, write_table
 from ._labels import MOST_LABELLED, held_out, labelled
 
 #: Insults that vote whether or not the labelled documents show them.
@@ -33,6 +34,8 @@ SEEDS = ("idiot", "moron", "loser", "pathetic", "scum", "worthless", "trash", "c
 STEMS = (4, 5, 6)
 #: Most entries that are mined, fewest toxic documents of an entry, and the least ratio of its shares.
 MOST_ENTRIES, FEWEST, RATIO = 400, 4, 12.0
+#: Weight of the labels' counts beside those of the hidden labels' posteriors.
+PULL = 1.0
 #: Digits and marks that stand for letters in disguised words.
 DISGUISE = bytes.maketrans(b"013457@$", b"oieastas")
 
@@ -112,39 +115,53 @@ def votes(text: bytes, names: list[bytes]) -> list[int]:
 PATTERNS = ("no_entry", "two_entries", "shouting", "marks", "address", "short")
 
 
-def label_model(v: np.ndarray, known: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, list[int], np.ndarray]:
-    """Posterior of toxic for each row of votes, each voter's parent (-1: none), and each voter's accuracy where it votes.
+@dataclass
+class LabelModel:
+    """share of toxic documents; each voter's parent (-1: none); by label, voter, the parent's vote and its own vote (as
+    vote + 1) the probability of its own vote, the same for all votes of the parent if there is none."""
+
+    share: float
+    parents: list[int]
+    tables: np.ndarray
+
+    def posterior(self, v: np.ndarray) -> np.ndarray:
+        """Probability of toxic for each row of votes (-1, 0, 1)."""
+        s = (v + 1).astype(np.int8)
+        logs = np.tile(np.log([[1 - self.share], [self.share]]), (1, len(s)))
+        for j, k in enumerate(self.parents):
+            of = s[:, k] if k >= 0 else np.zeros(len(s), np.int8)
+            for y in (0, 1):
+                logs[y] += np.log(self.tables[y, j])[of, s[:, j]]
+        return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -30, 30)))
+
+    def accuracy(self, v: np.ndarray) -> np.ndarray:
+        """Each voter's accuracy where it votes, by the posteriors of the rows of votes."""
+        p = self.posterior(v)
+        return (p @ (v == 1) + (1 - p) @ (v == -1) + 0.5) / ((v != 0).sum(0) + 1.0)
+
 
-    v: rows by voters, in -1, 0, 1; known: 1, 0, or -1 where the label is hidden.
-    """
+def label_model(v: np.ndarray, anchor: np.ndarray, pull: float = PULL, rounds: int = 50) -> LabelModel:
+    """The model of rows of votes, by expectation maximisation. anchor: starting posteriors of the rows, whose counts
+    also weigh `pull` times the rows' own in every round; the posteriors themselves come from the votes alone."""
     n, m = v.shape
-    s = (v + 1).astype(np.int8)
-    p = np.where(known >= 0, known, 0.1).astype(np.float64)
-    p = np.where((known < 0) & (v.sum(1, dtype=np.int64) > 0), 0.9, p)
-    parents = [-1] * m
-    for turn in range(rounds):
-        w = np.stack([1 - p, p])
+    s, p, parents = (v + 1).astype(np.int8), anchor.astype(np.float64), None
+    fixed = pull * np.stack([1 - p, p])
+    for _ in range(rounds):
+        w = np.stack([1 - p, p]) + fixed
         single = np.stack([[np.bincount(s[:, j], w[y], 3) for j in range(m)] for y in (0, 1)]) + 0.1  # label, voter, vote
-        if turn == 0:
-            parents = _tree(s, w)
-        prior = (w.sum(1) + 1) / (n + 2)
-        logs = np.tile(np.log(prior)[:, None], (1, n))
-        for j in range(m):
-            for y in (0, 1):
-                if parents[j] < 0:
-                    table = single[y, j] / single[y, j].sum()
-                    logs[y] += np.log(table)[s[:, j]]
-                else:
-                    k = parents[j]
-                    joint = np.bincount(s[:, k] * 3 + s[:, j], w[y], 9).reshape(3, 3) + 0.3 * single[y, j] / single[y, j].sum()
-                    logs[y] += np.log(joint / joint.sum(1, keepdims=True))[s[:, k], s[:, j]]
-        new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -30, 30)))
-        new = np.where(known >= 0, known, new)
+        single /= single.sum(2, keepdims=True)
+        parents = _tree(s, w) if parents is None else parents
+        tables = np.repeat(single[:, :, None, :], 3, 2)
+        for j, k in enumerate(parents):
+            for y in (0, 1) if k >= 0 else ():
+                joint = np.bincount(s[:, k] * 3 + s[:, j], w[y], 9).reshape(3, 3) + 0.3 * single[y, j]
+                tables[y, j] = joint / joint.sum(1, keepdims=True)
+        model = LabelModel(float((w[1].sum() + 1) / (w.sum() + 2)), parents, tables)
+        new = model.posterior(v)
         moved, p = np.abs(new - p).max(initial=0), new
         if moved < 1e-6:
             break
-    right = (w[1][:, None] * (v == 1) + w[0][:, None] * (v == -1)).sum(0) + 0.5
-    return p, parents, right / ((v != 0).sum(0) + 1.0)
+    return model
 
 
 def _tree(s: np.ndarray, w: np.ndarray) -> list[int]:
@@ -187,10 +204,11 @@ def fit_linear(x: np.ndarray, p: np.ndarray, rounds: int = 300, rate: float = 2.
     return w, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 3, remainder: int = 1, most: int = MOST_LABELLED, unlabelled: int = 5000) -> Model:
-    """Mine entries from at most about `most` labelled documents outside the held-out fold, fit the label model on their
-    votes and those of about `unlabelled` other documents, and the classifier on the posteriors."""
-    sample = labelled(docs, labels, label, parts, remainder, most)
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 3, remainder: int = 1, most: int = MOST_LABELLED) -> Model:
+    """Mine entries from at most `most` labelled documents outside the held-out fold, fit the label model on the votes on
+    them, and the classifier on the posteriors. The model does not depend on how rows lie in partitions."""
+    small_batches(docs.sparkSession)
+    sample = write_table(labelled(docs, labels, label, parts, remainder, most), "labelled")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, rows = (Counter(), Counter()), [0, 0]
@@ -198,12 +216,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
             for text, y in zip(text_bytes(batch.column("text")), batch.column("y").to_pylist()):
                 counts[y].update(entries(text))
                 rows[y] += 1
-        # a part's toxic entries, with how many of its documents of either kind have them
-        names = list(counts[1])
-        yield pa.RecordBatch.from_pydict({"name": [b"", *names], "toxic": [rows[1], *(counts[1][n] for n in names)], "other": [rows[0], *(counts[0][n] for n in names)]}, pa.schema([("name", pa.binary()), ("toxic", pa.int64()), ("other", pa.int64())]))
+        names = list(counts[0] | counts[1])
+        yield pa.RecordBatch.from_pydict({"name": [b"", *names], **{n: [rows[y], *(counts[y][x] for x in names)] for y, n in enumerate(("other", "toxic"))}}, pa.schema([("name", pa.binary()), ("other", pa.int64()), ("toxic", pa.int64())]))
 
-    # an entry's other documents count only in parts where a toxic one has it; so look the kept ones up again below
-    seen = sample.mapInArrow(tally, "name binary, toxic long, other long").groupBy("name").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    # the empty name holds the numbers of documents
+    seen = sample.mapInArrow(tally, "name binary, other long, toxic long").groupBy("name").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     kept = {bytes(r.name): (r.toxic, r.other) for r in seen.filter((F.col("toxic") >= FEWEST) | (F.length("name") == 0)).toArrow().to_pandas().itertuples()}
     n_toxic, n_other = kept.pop(b"", (0, 0))
     names = mine(Counter({k: t for k, (t, _) in kept.items()}), Counter({k: o for k, (_, o) in kept.items()}), n_toxic, n_other)
@@ -214,27 +231,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
             found = [bytes(x + 1 for x in votes(t, shared.value)) for t in text_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("y")], names=["v", "y"])
 
-    total = max(1, docs.count())
-    share = min(1.0, unlabelled / total)
-    others = docs.filter(~held_out(parts, remainder) & (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("unlabelled")), F.lit(1 << 20)) < int(share * (1 << 20))))
-    rows = sample.unionByName(others.select("text", F.lit(-1).alias("y"))).mapInArrow(vote, "v binary, y int").toArrow()
-    width = len(names) + len(PATTERNS)
-    v = np.frombuffer(b"".join(rows["v"].to_pylist()), np.uint8).reshape(-1, width).astype(np.int8) - np.int8(1)
+    rows = sample.mapInArrow(vote, "v binary, y int").toArrow()
+    v = np.frombuffer(b"".join(rows["v"].to_pylist()), np.uint8).reshape(-1, len(names) + len(PATTERNS)).astype(np.int8) - np.int8(1)
     y = np.array(rows["y"].to_pylist(), np.int64)
-    order = np.lexsort((*v.T, y))
-    v, y = v[order], y[order]
     if not len(v):
         return Model(names, np.zeros(len(names)), -2.0, [], [], np.zeros(0))
-    # entries that other documents turn out to share are no voters
-    x = (v[:, : len(names)] == 1).astype(np.float32)
-    ratio = (x[y == 1].mean(0) if (y == 1).any() else np.ones(len(names))) / ((x[y == 0].sum(0) + 0.5) / max(1, (y == 0).sum()))
-    good = [i for i in range(len(names)) if ratio[i] >= RATIO or i < len(SEEDS)]
-    voters = good + list(range(len(names), width))
-    posterior, parents, accuracy = label_model(v[:, voters], y)
-    weights = np.zeros(len(names))
-    weights[good], bias = fit_linear(x[:, good], posterior)
-    called = [names[i].decode("utf-8", "replace") for i in good] + list(PATTERNS)
-    return Model(names, weights, bias, called, parents, accuracy)
+    order = np.lexsort((*v.T, y))
+    v, y = v[order], y[order]
+    fitted = label_model(v, (y == 1).astype(np.float64))
+    weights, bias = fit_linear((v[:, : len(names)] == 1).astype(np.float32), fitted.posterior(v))
+    called = [n.decode("utf-8", "replace") for n in names] + list(PATTERNS)
+    return Model(names, weights, bias, called, fitted.parents, fitted.accuracy(v))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -246,11 +253,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.score(text_bytes(batch.column("text"))))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, fields(docs, ["doc_id"], "score double"))
 
 
 def report(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted. A row for each row of docs, repeated rows, nulls and empty texts included;
-    without labels the seeds alone vote."""
+    """doc_id, held_out, score, predicted. A row for each row of docs, repeated rows, nulls, empty and very long texts
+    included, in the ids' own type; other columns play no part. Without labels the score is the same for all."""
     scored = score(docs, train(docs, labels))
     return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import graph_ann, lm_scoring, preference, quality_gam, simhash, toxicity, url_filter
+from tessella.llm import _labels, graph_ann, lm_scoring, preference, quality_gam, simhash, toxicity, url_filter
 
 SF = "/root/testdata/sf0.01"
 
@@ -110,7 +110,53 @@ def test_toxicity(spark, docs, rows):
     assert toxicity.report(docs, labels.limit(0)).count() == len(rows)
     assert toxicity.report(docs.limit(0), labels).count() == 0
     model = toxicity.train(docs, labels)
-    assert model.score([b"you 1d10t", b"a fine day", b""]).round().tolist() == [1, 0, 0]
+    assert model.score([b"you 1d10t clown", b"a fine day", b""]).round().tolist() == [1, 0, 0]
+    # the same entries and scores however rows lie
+    for n in (2, 16, 64):
+        other = toxicity.train(docs.repartition(n), labels.repartition(n))
+        assert other.names == model.names and (other.weights == model.weights).all() and other.bias == model.bias
+    odd = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.lit(1).alias("score"), F.lit("x").alias("y"))
+    long = spark.createDataFrame([("long", "idiot moron " + "word " * 400_000, 1, "y")], odd.schema)
+    assert {r.doc_id: r.predicted for r in toxicity.report(odd.unionByName(long), labels).collect()}["long"] == 1
+
+
+def test_sample_of_labels_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 40 if i < 400 else 7, f"t{i % 40 if i < 400 else 999 - i}") for i in range(900)] + [(None, "x"), (50, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 0), (None, 1), (50, 1)] * 2 + [(5, 9)], "doc_id long, toxic int")
+    whole = _labels.labelled(docs, labels, "toxic", 3, 1).collect()
+    want = {i for i in [*range(40), 50] if fold(i, 3) != 1} - {3, 50}
+    least = {7: min(["t7", *(f"t{999 - i}" for i in range(400, 900))])}
+    assert sorted((r.text, r.y) for r in whole) == sorted((least.get(i, f"t{i}"), i % 2) for i in want)
+    few = [_labels.labelled(docs.repartition(n), labels.repartition(n), "toxic", 3, 1, 10).collect() for n in (1, 9)]
+    assert len(few[0]) <= 10 and sorted(few[0]) == sorted(few[1])
+
+
+def test_mined_entries_and_votes(docs, rows):
+    texts = [t for _, t in rows[:300]]
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+
+    def words(text):
+        found = set(re.findall("[^\x00-\x23\x25-\x2f\x32\x36\x38\x39\x3a-\x3f\x41-\x60\x7b-\x7f]+", lower(text)))
+        return {w.encode() for w in found} | {w.translate(str.maketrans("013457@$", "oieastas")).encode() for w in found}
+
+    def entries(text):
+        w = words(text)
+        return w | {x[:n] + b"*" for x in w for n in (4, 5, 6) if len(x) > n}
+
+    for t in [*texts, "1d10T $h!t ABC9x", ""]:
+        assert toxicity.entries(t.encode()) == entries(t), t
+    toxic = [i % 7 == 0 for i in range(len(texts))]
+    count = lambda y: collections.Counter(e for t, x in zip(texts, toxic) if x == y for e in entries(t))
+    got = toxicity.mine(count(True), count(False), sum(toxic), len(texts) - sum(toxic))
+    share = lambda e, y: sum(e in entries(t) for t, x in zip(texts, toxic) if x == y)
+    for e in got[len(toxicity.SEEDS) :]:
+        assert share(e, True) >= 4 and share(e, True) / sum(toxic) >= 12 * (share(e, False) + 0.5) / (len(texts) - sum(toxic))
+    names = [b"idiot", b"clow*"]
+    cases = {
+        "": [0, 0, -1, 0, -1, -1, 0, -1], "You IDIOT!!!! clowns": [1, 1, 0, 1, 0, 1, 1, 0], "IDIOT CLOWNS YOU ALL": [1, 1, 0, 1, 1, -1, 1, 0],
+        "an idiot walks along the road": [1, 0, 0, 0, -1, -1, 0, 0], "a quiet, even road? yes": [0, 0, -1, 0, -1, 0, 0, 0],
+    }
+    assert {t: toxicity.votes(t.encode(), names) for t in cases} == cases
 
 
 def test_label_model_sees_accuracy_and_correlation():
@@ -119,9 +165,31 @@ def test_label_model_sees_accuracy_and_correlation():
     vote = lambda p: np.where(rng.random(6000) < p, np.where(y, 1, -1), np.where(y, -1, 1))
     a, b, c, d = vote(0.9), vote(0.8), vote(0.75), vote(0.6)
     v = np.stack([a, b, c, d, np.where(rng.random(6000) < 0.97, d, -d)], 1)
-    p, parents, found = toxicity.label_model(v, np.full(6000, -1), 50)
-    assert ((p > 0.5) == y).mean() > 0.88 and parents[4] == 3 or parents[3] == 4
+    model = toxicity.label_model(v, (v.sum(1) > 0).astype(float), pull=0.0)
+    assert ((model.posterior(v) > 0.5) == y).mean() > 0.88
+    assert model.parents[4] == 3 or model.parents[3] == 4
+    found = model.accuracy(v)
     assert found[0] > found[1] > found[3]
+    # labels anchor the model but do not decide: a fifth of them wrong changes little
+    wrong = np.where(rng.random(6000) < 0.2, ~y, y)
+    assert ((toxicity.label_model(v, wrong.astype(float)).posterior(v) > 0.5) == y).mean() > 0.88
+
+
+def test_posteriors():
+    rng = np.random.default_rng(4)
+    v = rng.integers(-1, 2, (400, 4))
+    v[:, 2] = np.where(rng.random(400) < 0.9, v[:, 1], v[:, 2])
+    model = toxicity.label_model(v, (v[:, 0] > 0).astype(float))
+    assert max(model.parents) >= 0
+    for row, p in zip(v, model.posterior(v)):
+        both = []
+        for y in (0, 1):
+            x = model.share if y else 1 - model.share
+            for j, k in enumerate(model.parents):
+                x *= model.tables[y, j, row[k] + 1 if k >= 0 else 0, row[j] + 1]
+            both.append(x)
+        assert math.isclose(p, both[1] / sum(both), rel_tol=1e-6)
+    assert np.allclose(model.tables.sum(3), 1)
 
 
 def brute(vectors, is_query, k):
