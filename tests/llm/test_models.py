@@ -263,20 +263,31 @@ def test_preference(spark):
     say = lambda *x: [(0, i, r, t) for i, (r, t) in enumerate(x)]
     a = say(("system", "s"), ("user", "u"), ("assistant", "yes"), ("user", None))
     b = say(("system", "s"), ("user", "u"), ("assistant", "no😀"))
-    chosen = [*a, a[0], (1, 0, "user", "only"), (2, None, None, "x"), (None, 0, "user", "lost")] + [(3, i, "user", str(i)) for i in range(200)]
-    rejected = [*b, (2, None, None, "x"), (2, 1, "assistant", "b"), (2, 1, "assistant", "a")] + [(3, i, "user", str(i) if i < 150 else "z") for i in range(199)]
+    chosen = [*a, a[0], (1, 0, "user", "only"), (2, None, None, "x"), (None, 0, "user", "lost")] + [(3, i, "user" if i < 150 else "assistant", str(i)) for i in range(200)] + [(4, 0, "assistant", "x" * 2_000_000)]
+    rejected = [*b, (2, None, None, "x"), (2, 1, "assistant", "b"), (2, 1, "assistant", "a")] + [(3, i, "user" if i < 150 else "assistant", str(i) if i < 150 else "z") for i in range(299)]
     frame = lambda x: spark.createDataFrame(x, "pair_id long, turn long, role string, text string")
-    got = {(r.pair_id, r.block): r for r in preference.format_pairs(frame(chosen), frame(rejected)).collect()}
-    first = got[0, 0]
+    clash = frame(chosen).selectExpr("*", "1 block", "'x' shared", "'y' side")
+    got = {r.pair_id: r for r in preference.format_pairs(clash, frame(rejected)).collect()}
+    first = got[0]
     assert first.prompt == "<|im_start|>system\ns<|im_end|>\n<|im_start|>user\nu<|im_end|>\n"
     assert first.chosen == "<|im_start|>assistant\nyes<|im_end|>\n<|im_start|>user\n<|im_end|>\n"
     cut = lambda text, mask: [text[int(x.split(":")[0]) : int(x.split(":")[1])] for x in mask.split(",")]
     assert cut(first.chosen, first.chosen_mask) == ["yes"] and cut(first.rejected, first.rejected_mask) == ["no😀"]
-    assert got[1, 0].prompt == "" and got[1, 0].rejected == "" and "only" in got[1, 0].chosen
-    assert got[2, -1].prompt == "<|im_start|>\nx<|im_end|>\n" and cut(got[2, 0].rejected, got[2, 0].rejected_mask) == ["a", "b"]
-    assert [k for k in sorted(got) if k[0] == 3] == [(3, b) for b in range(4)]
-    assert "".join(got[3, b].prompt for b in range(4)) == "".join(f"<|im_start|>user\n{i}<|im_end|>\n" for i in range(150))
-    assert len({k[0] for k in got}) == 4
+    assert got[1].prompt == "" and got[1].rejected == "" and "only" in got[1].chosen
+    assert got[2].prompt == "<|im_start|>\nx<|im_end|>\n" and cut(got[2].rejected, got[2].rejected_mask) == ["a", "b"]
+    # one row, whatever the number of turns, and masks over the whole completion
+    say = lambda x: "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in x)
+    assert got[3].prompt == say(("user", i) for i in range(150))
+    assert got[3].chosen == say(("assistant", i) for i in range(150, 200)) and cut(got[3].chosen, got[3].chosen_mask) == [str(i) for i in range(150, 200)]
+    assert cut(got[3].rejected, got[3].rejected_mask) == ["z"] * 149
+    assert len(got[4].chosen) > 2_000_000 and got[4].prompt == "" and cut(got[4].chosen, got[4].chosen_mask) == ["x" * 2_000_000]
+    assert sorted(got) == [0, 1, 2, 3, 4]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", [(2 * r[0] + odd if r[0] is not None else None, *r[1:]) for odd, side in enumerate((chosen, rejected)) for r in side])
+    said = con.execute(preference.ORACLE)
+    names = [d[0] for d in said.description]
+    assert sorted(map(str, (dict(zip(names, x)) for x in said.fetchall()))) == sorted(str(r.asDict()) for r in got.values())
     assert preference.format_pairs(frame([]), frame([])).count() == 0
 
 
