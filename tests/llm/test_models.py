@@ -1,6 +1,7 @@
 """Language-model scores, quality, toxicity, nearest neighbours, URL filter, preference pairs and the pipeline."""
 
 import collections
+import itertools
 import math
 import random
 import re
@@ -218,17 +219,55 @@ def test_neighbours(spark):
 
 def test_neighbours_odd(spark):
     x = [(i, [float(i % 5), 1.0, 0.5]) for i in range(60)]
-    x += [(100, None), (101, [0.0, 0.0, 0.0]), (102, [1.0, None, 2.0]), (103, [float("nan"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (104, [1.0, 2.0]), (7, [2.0, 1.0, 0.5]), (120, [3.0, 3.0, -4.0])]
-    df = spark.createDataFrame(x, "vec_id long, embedding array<float>").withColumn("score", graph_ann.F.lit(1))
-    want = brute([v for i, v in enumerate(x) if v[0] != 104 and i != 66], lambda i: i % 20 == 0, 20)
-    got = collections.defaultdict(list)
-    for r in graph_ann.report(df).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, round(r.score, 9)))
-    assert dict(got) == want
+    x += [(100, None), (101, [0.0, 0.0, 0.0]), (102, [1.0, None, 2.0]), (103, [float("nan"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (7, [2.0, 1.0, 0.5]), (120, [3.0, 3.0, -4.0])]
+    x += [(105, []), (106, [float("inf"), 1.0, 1.0]), (107, [1e-30, 0.0, 0.0]), (108, [1e30, -1e30, 1e30])]
+    df = spark.createDataFrame(x, "vec_id long, embedding array<float>").withColumn("score", graph_ann.F.lit(1)).withColumn("band", graph_ann.F.lit("x"))
+    want = brute([v for i, v in enumerate(x) if i != 65], lambda i: i % 20 == 0, 20)
+    got = lambda df: {q: [(r.vec_id, round(r.score, 9)) for r in rs] for q, rs in itertools.groupby(graph_ann.report(df).orderBy("query_id", "rank").collect(), lambda r: r.query_id)}
+    assert got(df) == want
+    # vectors of another number of components are searched among themselves
+    two = [(200 + i, [1.0, float(i)]) for i in range(30)]
+    both = df.unionByName(spark.createDataFrame(two, "vec_id long, embedding array<float>").withColumn("score", graph_ann.F.lit(1)).withColumn("band", graph_ann.F.lit("x")))
+    assert got(both) == want | brute(two, lambda i: i % 20 == 0, 20)
     assert graph_ann.report(df.limit(0)).count() == 0
     assert len(graph_ann.report(df.filter("vec_id in (20, 21)")).collect()) == 1
 
 
+@pytest.mark.parametrize("kind", ["unit", "clustered", "log-normal", "outliers", "copies"])
+def test_neighbours_of_uneven_lengths(spark, kind):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "clustered":
+        x = x[rng.integers(0, 30, 3000)] + 0.05 * x
+    if kind == "log-normal":
+        x *= np.exp(rng.normal(size=(3000, 1)))
+    if kind == "outliers":
+        x[:3] *= np.array([[1e4], [1e8], [1e-6]])
+    if kind == "copies":
+        x[rng.random(3000) < 0.4] = x[5]
+    given = list(enumerate(x.astype(np.float32).tolist()))
+    want = brute(given, lambda i: i % 20 == 0, 20)
+    got = collections.defaultdict(dict)
+    for r in graph_ann.report(spark.createDataFrame(given, "vec_id long, embedding array<float>")).collect():
+        got[r.query_id][r.rank] = r.score
+    # by score, as copies tie; each rank as good as the best
+    hit = [sum(got[q].get(k + 1, -math.inf) >= s - 1e-6 * abs(s) for k, (_, s) in enumerate(want[q])) / 20 for q in want]
+    assert np.mean(hit) > 0.95
+
+
+def test_recall_within_a_shard():
+    # as many vectors as a shard holds, with little structure: the hardest case; and with the lengths that a shard has
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6000, 64))
+    for scale in (1 / np.linalg.norm(x, axis=1, keepdims=True), 1.0, np.exp2(0.5 * rng.random((6000, 1))) / np.linalg.norm(x, axis=1, keepdims=True)):
+        y = x * scale
+        graph, entry = graph_ann.build(graph_ann.directions(y))
+        found, _ = graph_ann.beam_search(y.astype(np.float32), graph, entry, graph_ann.directions(y[:100]), graph_ann.BEAM, True)
+        best = np.argsort(-y @ y[:100].T, axis=0)[:20].T
+        assert np.mean([len(set(a[:20]) & set(b)) / 20 for a, b in zip(found, best)]) > 0.93
+
+
 def test_url_filter(spark):
     pages = [
         (1, "http://Good.Example.ORG/en/7?x", '<a href="http://mid.example.net/a">m</a>'), (2, "https://mid.example.net/", '<A HREF=//far.example.net>f</A><a href="/in">i</a>'),
