@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.store import remove_table as remove_table
 from ..operators.store import write_table as write_table
 
 
@@ -70,6 +71,14 @@ def fields(df: DataFrame, names: list[str], more: str = "") -> T.StructType:
     return T.StructType([*(T.StructField(n, df.schema[n].dataType) for n in names), *(T.StructType.fromDDL(more) if more else ())])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or a longer one, that no column of df has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow string column as UTF-8; null is the empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

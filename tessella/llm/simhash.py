@@ -6,8 +6,10 @@ distance 0 or 1. The vectors of a half are cells of a grid; a fingerprint is fil
 and into those one step up in one coordinate (a step down is the other fingerprint's step up). So every pair within 3
 bits meets in a cell of one half, and the bits themselves decide.
 
-With 24 bits of entropy in a half's vector, a cell holds few fingerprints other than near copies, and only distinct
-fingerprints are filed: a group of copies, however large, is one row.
+A half's vector has 24 bits of entropy. From MANY fingerprints on, a cell is split by a quarter of the other half: as that
+half holds at most 3 differing bits, one of its four quarters is equal, so each fingerprint is filed under all four. Both
+ways find the same pairs; the second makes four times the rows and a 256th of the candidates. Only distinct fingerprints
+are filed: a group of copies, however large, is one row.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pieces, small_batches, text_bytes, write_table
+from ._common import fields, fresh, pieces, small_batches, text_bytes, write_table
 from .components import components
 
 SEED = 42
@@ -62,24 +64,31 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, fields(docs, ["doc_id"], "fp long"))
 
 
-def _cells(distinct: DataFrame) -> DataFrame:
-    """A row for each fingerprint, half and cell that it looks into; step is 0 for its own cell."""
+#: Distinct fingerprints from which on cells are split.
+MANY = 1 << 22
+
+
+def _cells(distinct: DataFrame, split: bool) -> DataFrame:
+    """A row for each fingerprint, half (with split: and quarter of the other half) and cell that it looks into; step is 0
+    for its own cell."""
     bits = lambda half, i: F.bit_count(F.shiftright("fp", half * 2 * _HALF + 2 * i).bitwiseAND(F.lit(3)))
     looked = []
     for half in range(2):
         own = sum((bits(half, i).cast("long") * 3**i for i in range(_HALF)), F.lit(half * 3**_HALF).cast("long"))
         ups = [F.when(bits(half, i) < 2, F.lit(3**i).cast("long")) for i in range(_HALF)]
-        looked.append(F.struct(own.alias("own"), F.array(F.lit(0).cast("long"), *ups).alias("steps")))
+        # a quarter's number and its 8 bits, above all cells
+        quarters = [F.shiftright("fp", (1 - half) * 32 + 8 * q).bitwiseAND(F.lit(255)) + 256 * q for q in range(4)] if split else [F.lit(0).cast("long")]
+        looked += [F.struct((own + q * (2 * 3**_HALF)).alias("own"), F.array(F.lit(0).cast("long"), *ups).alias("steps")) for q in quarters]
     halves = distinct.select("fp", F.explode(F.array(*looked)).alias("x")).select("fp", "x.own", F.explode(F.filter("x.steps", lambda s: s.isNotNull())).alias("step"))
     return halves.select("fp", (F.col("own") + F.col("step")).alias("cell"), "step")
 
 
-def near_pairs(distinct: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the distinct values of fp that differ in 3 bits or fewer; a pair may come twice."""
-    cells = _cells(distinct)
+def near_pairs(distinct: DataFrame, split: bool | None = None) -> DataFrame:
+    """Pairs (a, b) of the distinct values of fp that differ in 3 bits or fewer; a pair may come more than once."""
+    cells = _cells(distinct, distinct.count() >= MANY if split is None else split)
     looks = cells.select(F.col("fp").alias("a"), "cell", "step")
     filed = cells.filter("step = 0").select(F.col("fp").alias("b"), "cell")
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3) & ((F.col("step") > 0) | (F.col("a") < F.col("b")))
@@ -90,15 +99,15 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id reachable over links of 3 differing bits or fewer.
 
     Null and empty texts have fingerprint 0, which links like any other. Repeated rows come out as often as they went
-    in; a null doc_id gets the component of its fingerprint (null if no row of it has an id). Other columns play no part.
+    in; a row without a doc_id links like any other and gets the component's id (null if none of it has one). Other columns
+    play no part, whatever their names.
     """
     prints = write_table(fingerprints(docs, words), "fingerprints")
     groups = write_table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "groups")
-    pairs = near_pairs(groups.select("fp"))
-    first = lambda fp, name: groups.select(F.col("fp").alias(fp), F.col("first").alias(name))
-    links = pairs.join(first("a", "u"), "a").join(first("b", "v"), "b").select("u", "v")
-    found = components(links)
-    known = groups.join(found, groups["first"] == found["node"], "left").select("fp", F.coalesce("component", "first").alias("component_id"))
+    found = components(near_pairs(groups.select("fp")).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    placed = write_table(groups.join(found, groups["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "placed")
+    least = write_table(placed.groupBy(F.col("component").alias("c")).agg(F.min("first").alias("component_id")), "least")
+    known = placed.join(least, F.col("component") == F.col("c")).select("fp", "component_id")
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -113,12 +122,12 @@ def report(docs: DataFrame, words: int = 3) -> DataFrame:
 #: Minimum hashes of a text's shingles, each of which files it in a bucket.
 MINIMA = 8
 _ODD = (np.random.default_rng(42).integers(1, 1 << 62, MINIMA, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-
-_SKETCH = "doc_id long, mark long, rid long, content binary, fp long, minima array<long>, shingles binary"
+#: Bytes of a shingle's hash by which sets are compared.
+WIDTH = 5
 
 
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """Per row: a number, a hash of its word sequence, fingerprint, minimum hashes and sorted 24-bit shingle hashes."""
+    """Per row: a number, a hash of its word sequence, fingerprint, minimum hashes, sorted shingle hashes and how many."""
     from pyspark import TaskContext
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,68 +149,73 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("mark"), pa.array(rids), pa.array(content, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64)),
-                    pa.array(minima, pa.list_(pa.int64())), pa.array(shingles, pa.binary()),
+                    pa.array(minima, pa.list_(pa.int64())), pa.array(shingles, pa.binary()), pa.array([len(x) // WIDTH for x in shingles], pa.int64()),
                 ],
-                names=["doc_id", "mark", "rid", "content", "fp", "minima", "shingles"],
+                names=["doc_id", "mark", "rid", "content", "fp", "minima", "shingles", "size"],
             )
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"), "text").mapInArrow(run, _SKETCH)
+    rows = docs.select("doc_id", _mark().alias("mark"), "text")
+    return rows.mapInArrow(run, fields(rows, ["doc_id", "mark"], "rid long, content binary, fp long, minima array<long>, shingles binary, size long"))
 
 
 def _packed(hashes: np.ndarray) -> bytes:
-    """Distinct values of the hashes' upper 24 bits, rising, in three bytes each."""
-    high = np.unique((hashes >> np.uint64(40)).astype("<u4"))
-    return high.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    """Distinct values of the hashes' upper WIDTH bytes, rising."""
+    high = np.unique(hashes >> np.uint64(64 - 8 * WIDTH)).astype("<u8")
+    return high.view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 3, 4), np.uint8)
-    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
-    return out.view("<u4").ravel()
+    out = np.zeros((len(data) // WIDTH, 8), np.uint8)
+    out[:, :WIDTH] = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
+    return out.view("<i8").ravel()
 
 
 def _mark():
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
 
 
-def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) between rows of nodes (rid, fp, minima, shingles, size) whose shingle sets have at least this Jaccard
+def _similar(both, a, b, similarity: float):
+    """Whether sets of a and b entries that share `both` have at least this Jaccard similarity."""
+    return both >= similarity * (a + b - both) - 1e-9
+
+
+def similar_links(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) between rows of nodes (rid, fp, minima, size) whose shingle sets (of rows) have at least this Jaccard
     similarity: most of those that join what is similar, for bucket_links() to start from.
 
     Candidates are pairs within 3 bits by the grid, rows of one fingerprint, and, as texts of similarity 0.8 may differ
     in 16 of 64 bits, rows that share a minimum hash. In each bucket every row meets one hub, a different one in each
-    kind of bucket, never all others; sets too different in size to be similar drop out, and the sets decide.
+    kind of bucket, never all others; sets too different in size to be similar drop out, and the sets decide. Hubs and
+    first rows are tables, so the joins on them can split a hot bucket.
     """
-    of_fp = nodes.groupBy("fp").agg(F.min("rid").alias("first"))
+    of_fp = write_table(nodes.groupBy("fp").agg(F.min("rid").alias("first")), "prints")
     first = lambda fp, name: of_fp.select(F.col("fp").alias(fp), F.col("first").alias(name))
     close = near_pairs(of_fp.select("fp")).join(first("a", "u"), "a").join(first("b", "v"), "b").select("u", "v")
     same = nodes.select("rid", "fp").join(of_fp, "fp").filter("rid <> first").select(F.col("rid").alias("u"), F.col("first").alias("v"))
     filed = nodes.select("rid", "size", F.posexplode("minima").alias("kind", "least"))
     hubs = filed.groupBy("kind", "least").agg(F.min(F.struct(F.xxhash64("rid", "kind").alias("h"), F.col("rid").alias("hub"), F.col("size").alias("hub_size"))).alias("x"), F.count("*").alias("n"))
-    hubs = hubs.filter("n > 1").select(F.col("kind").alias("k"), F.col("least").alias("l"), "x.hub", "x.hub_size")
+    hubs = write_table(hubs.filter("n > 1").select(F.col("kind").alias("k"), F.col("least").alias("l"), "x.hub", "x.hub_size"), "hubs")
     near = F.least("size", "hub_size") >= similarity * F.greatest("size", "hub_size")
     met = filed.join(hubs, (F.col("kind") == F.col("k")) & (F.col("least") == F.col("l")) & (F.col("rid") != F.col("hub")) & near).select(F.col("rid").alias("u"), F.col("hub").alias("v"))
     pairs = close.unionByName(same).unionByName(met).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    sets = lambda name, c: nodes.select(F.col("rid").alias(name), F.col("shingles").alias(c))
+    sets = lambda name, c: rows.select(F.col("rid").alias(name), F.col("shingles").alias(c))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for a, b in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 small, large = sorted((len(a), len(b)))
-                if small < similarity * large:
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(_unpacked(a), _unpacked(b), assume_unique=True))
-                keep.append(both >= similarity * ((small + large) // 3 - both) - 1e-9)
+                keep.append(small >= similarity * large and bool(_similar(len(np.intersect1d(_unpacked(a), _unpacked(b), assume_unique=True)), small // WIDTH, large // WIDTH, similarity)))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(sets("u", "x"), "u").join(sets("v", "y"), "v").select("u", "v", "x", "y").mapInArrow(verify, "u long, v long")
 
 
-#: Most bytes of packed shingle sets in a block of a bucket, of which a task holds two.
-BLOCK = 8 << 20
+#: Entries of shingle sets in a block of a bucket, of which a task holds two.
+BLOCK = 2 << 20
+#: Most entries that are put last in the order of prefixes, and so the size of a broadcast (8 bytes each).
+COMMON = 1 << 20
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -210,68 +224,75 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, sizes) + np.arange(sizes.sum())
 
 
+def _prefix(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Of how many first entries, in one order for all sets, similar sets must share one (Chaudhuri et al., 2006)."""
+    return np.maximum(sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1, 0)
+
+
 def joined_labels(labels: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Links between labels that join what all pairs of the sets of at least this similarity join; rows of one label
     are joined already.
 
-    A search from row to row: each row reached counts its shared entries with all rows not yet reached, so every pair
-    is compared unless both were reached before.
+    A search from row to row: each row reached meets those not yet reached that share an entry of its prefix, the
+    entries that the fewest sets have, and their sets decide. What all sets share is in no prefix, so a passage that is
+    in all texts costs nothing.
     """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    values, entry, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    order = np.lexsort((entry, often[entry], row))
+    entry, begins = entry[order], np.cumsum(sizes) - sizes
+    short = _prefix(sizes, similarity)
+    heads = entry[_ranges(begins, short)]
+    by_entry = np.argsort(heads, kind="stable")
+    holders = np.repeat(np.arange(len(sets)), short)[by_entry]
+    bounds = np.searchsorted(heads[by_entry], np.arange(len(values) + 1))
     names, label = np.unique(labels, return_inverse=True)
     by_label = np.argsort(label, kind="stable")
-    bounds = np.searchsorted(label[by_label], np.arange(len(names) + 1))
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    entries, waiting, links = np.concatenate(sets), np.ones(len(sets), bool), []
-    begins = np.cumsum(sizes) - sizes
-
-    def index() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        rows = np.flatnonzero(waiting)
-        values = entries[_ranges(begins[rows], sizes[rows])]
-        order = np.argsort(values, kind="stable")
-        values, starts = np.unique(values[order], return_index=True)
-        return values, np.append(starts, len(order)), np.repeat(rows, sizes[rows])[order]
-
-    left = indexed = len(sets)
-    values, starts, rows = index()
+    groups = np.searchsorted(label[by_label], np.arange(len(names) + 1))
+    waiting, own, links = np.ones(len(sets), bool), np.zeros(len(values), bool), []
     for first in range(len(names)):
-        queue = by_label[bounds[first] : bounds[first + 1]].tolist()
+        queue = by_label[groups[first] : groups[first + 1]].tolist()
         if not waiting[queue[0]]:
             continue
         waiting[queue] = False
-        left -= len(queue)
-        while queue and left:
-            if left * 2 <= indexed:
-                indexed = left
-                values, starts, rows = index()
+        while queue:
             a = queue.pop()
-            at = np.searchsorted(values, sets[a])
-            at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == sets[a])]
-            hits = rows[_ranges(starts[at], starts[at + 1] - starts[at])]
-            met, both = np.unique(hits[waiting[hits]], return_counts=True)
-            for b in met[both >= similarity * (sizes[met] + sizes[a] - both) - 1e-9].tolist():
-                if waiting[b]:
-                    links.append((int(labels[a]), int(labels[b])))
-                    group = by_label[bounds[label[b]] : bounds[label[b] + 1]]
-                    waiting[group] = False
-                    left -= len(group)
-                    queue += group.tolist()
+            at = entry[begins[a] : begins[a] + short[a]]
+            met = np.unique(holders[_ranges(bounds[at], bounds[at + 1] - bounds[at])])
+            met = met[waiting[met] & (np.minimum(sizes[met], sizes[a]) >= similarity * np.maximum(sizes[met], sizes[a]) - 1e-9)]
+            own[entry[begins[a] : begins[a] + sizes[a]]] = True
+            for lo in range(0, len(met), 4096):
+                some = met[lo : lo + 4096]
+                both = np.add.reduceat(own[entry[_ranges(begins[some], sizes[some])]].astype(np.int64), np.cumsum(sizes[some]) - sizes[some])
+                for b in some[_similar(both, sizes[some], sizes[a], similarity)].tolist():
+                    if waiting[b]:
+                        links.append((int(labels[a]), int(labels[b])))
+                        group = by_label[groups[label[b]] : groups[label[b] + 1]]
+                        waiting[group] = False
+                        queue += group.tolist()
+            own[entry[begins[a] : begins[a] + sizes[a]]] = False
     return links
 
 
-def bucket_links(rows: DataFrame, labels: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """Links (u, v) between the labels of rows (rid, label, size, minima) that share a minimum hash and have at least
-    this similarity, enough of them to join all such rows. rows has the sets (rid, shingles).
-
-    Buckets of one label are settled, and of buckets with the same rows one is enough. The others are compared in full:
-    a bucket of over `block` bytes is dealt into blocks, and each two blocks meet in a task.
-    """
-    filed = labels.select("rid", "label", "size", F.posexplode("minima").alias("kind", "least"))
+def _open_buckets(filed: DataFrame, block: int) -> DataFrame:
+    """(k, l, blocks) of the buckets (kind, least) of filed rows that hold several labels, and into how many blocks their
+    sets are dealt. Of buckets with the same rows one is enough."""
     mark = lambda seed: F.bit_xor(F.xxhash64("rid", F.lit(seed)))
-    open_ = filed.groupBy("kind", "least").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("size").alias("size"), F.count("*").alias("n"), mark(1).alias("x"), mark(2).alias("y")).filter("lo < hi")
-    open_ = open_.groupBy("n", "x", "y").agg(F.min(F.struct("kind", "least")).alias("at"), F.max("size").alias("size"))
-    open_ = write_table(open_.select(F.col("at.kind").alias("k"), F.col("at.least").alias("l"), F.ceil(F.col("size") / block).cast("int").alias("blocks")), "buckets")
+    found = filed.groupBy("kind", "least").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("size").alias("size"), F.count("*").alias("n"), mark(1).alias("x"), mark(2).alias("y")).filter("lo < hi")
+    found = found.groupBy("n", "x", "y").agg(F.min(F.struct("kind", "least")).alias("at"), F.max("size").alias("size"))
+    return write_table(found.select(F.col("at.kind").alias("k"), F.col("at.least").alias("l"), F.ceil(F.col("size") / block).cast("int").alias("blocks")), "buckets")
+
+
+def _within(filed: DataFrame, buckets: DataFrame) -> DataFrame:
+    return filed.join(buckets, (F.col("kind") == F.col("k")) & (F.col("least") == F.col("l")))
+
+
+def _compared(rows: DataFrame, filed: DataFrame, buckets: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) between labels by comparing what is filed in each bucket; a bucket of several blocks is dealt into
+    them, and each two of them meet in a task."""
     mine = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
-    dealt = filed.join(open_, (F.col("kind") == F.col("k")) & (F.col("least") == F.col("l"))).select("rid", "label", "k", "l", "blocks", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = _within(filed, buckets).select("rid", "label", "k", "l", "blocks", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.filter("blocks = 1 or mine <> other").select("rid", "label", "k", "l", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
 
     def join(table: pa.Table) -> pa.Table:
@@ -281,9 +302,65 @@ def bucket_links(rows: DataFrame, labels: DataFrame, similarity: float, block: i
     return dealt.join(rows.select("rid", "shingles"), "rid").groupBy("k", "l", "a", "b").applyInArrow(join, "u long, v long")
 
 
+def _prefix_filings(sets: DataFrame, similarity: float, common: int = COMMON) -> DataFrame:
+    """(rid, label, size, kind, least): rows of sets (rid, label, size, shingles) filed under each entry of their prefix.
+
+    In the order of prefixes the most frequent entries come last: as many as `common` at most, by whole powers of two of
+    their frequency. Which they are changes the cost only, as any order that is the same for all sets is exact.
+    """
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, n = np.unique(np.concatenate([_unpacked(x) for x in batch.column("shingles").to_pylist()] or [np.zeros(0, np.int64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["e", "n"])
+
+    often = write_table(sets.select("shingles").mapInArrow(tally, "e long, n long").groupBy("e").agg(F.sum("n").alias("n")).filter("n > 1"), "often")
+    steps = {r.step: r.n for r in often.groupBy(F.floor(F.log2("n")).cast("int").alias("step")).agg(F.count("*").alias("n")).collect()}  # at most 64 rows
+    least = min((s for s in range(1, 65) if sum(n for k, n in steps.items() if k >= s) <= common))
+    last = np.sort(np.array(often.filter(F.log2("n") >= least).select("e").toArrow()["e"], np.int64))
+    shared = sets.sparkSession.sparkContext.broadcast(last)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = shared.value
+        for batch in batches:
+            held, counts = [], []
+            for data in batch.column("shingles").to_pylist():
+                x = _unpacked(data)
+                at = np.minimum(np.searchsorted(last, x), max(0, len(last) - 1))
+                x = np.concatenate([x[y] for y in (last[at] != x, last[at] == x)]) if len(last) else x
+                held.append(x[: _prefix(np.array([len(x)]), similarity)[0]])
+                counts.append(len(held[-1]))
+            again = pa.array(np.repeat(np.arange(len(batch)), counts))
+            names = ["rid", "label", "size"]
+            entries = pa.array(np.concatenate([np.zeros(0, np.int64), *held]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).take(again) for n in names), entries], names=[*names, "least"])
+
+    return sets.mapInArrow(run, "rid long, label long, size long, least long").select("rid", "label", "size", F.lit(0).alias("kind"), "least")
+
+
+def bucket_links(rows: DataFrame, labels: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links (u, v) between the labels of rows (rid, label, size, minima) that share a minimum hash and have at least
+    this similarity, enough of them to join all such rows. rows has the sets (rid, shingles).
+
+    Buckets of one label are settled. Others of up to `block` entries are compared in a task each. What is in larger
+    buckets, as of a passage that very many texts hold, is filed anew by prefixes, which leave such passages out, and
+    compared in those buckets; only texts that consist of common passages are then still many to a bucket.
+    """
+    filed = labels.select("rid", "label", "size", F.posexplode("minima").alias("kind", "least"))
+    buckets = _open_buckets(filed, block)
+    small = _compared(rows, filed, buckets.filter("blocks = 1"), similarity)
+    large = buckets.filter("blocks > 1")
+    if large.isEmpty():
+        return small
+    hot = _within(filed, large).select("rid", "label", "size").distinct()
+    sets = write_table(hot.join(rows.select("rid", "shingles"), "rid"), "hot")
+    again = write_table(_prefix_filings(sets, similarity), "filed")
+    return small.unionByName(_compared(sets, again, _open_buckets(again, block), similarity))
+
+
 def similar_components(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """(node, component) of all nodes: links to hubs first, then all that they leave open within buckets."""
-    first = components(similar_links(nodes, similarity))
+    first = components(similar_links(rows, nodes, similarity))
     own = nodes.select("rid", "minima", "size")
     labels = write_table(own.join(first, own["rid"] == first["node"], "left").select("rid", F.coalesce("component", "rid").alias("label"), "size", "minima"), "labels")
     found = components(bucket_links(rows, labels, similarity))
@@ -294,27 +371,28 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Data
     """The rows of docs, all columns, without all but one (of the smallest doc_id) of each group of near copies: texts
     joined by shared word sequences or by shingle sets of at least this Jaccard similarity.
 
-    Texts without words are one group. Repeated rows are copies; a null doc_id comes after all others. Shingle sets are
-    compared by 24-bit hashes.
+    Texts without words, null ones too, are one group. Repeated rows are copies; a null doc_id comes after all others.
+    Shingles are compared by 40 bits of their hashes: two different ones are taken for one in 1 of 10**12 comparisons.
     """
     rows = write_table(_sketches(docs, words), "sketches")
     groups = write_table(rows.groupBy("content").agg(F.min("rid").alias("node")), "contents")
-    sized = rows.select("rid", "fp", "minima", "shingles", F.length("shingles").alias("size"))
-    nodes = sized.join(groups.select(F.col("node").alias("rid")), "rid", "left_semi")
+    # what is small of a row goes to its group's first; the sets stay
+    nodes = write_table(rows.select("rid", "fp", "minima", "size").join(groups.select(F.col("node").alias("rid")), "rid", "left_semi"), "nodes")
     found = similar_components(rows, nodes, similarity)
     label = groups.join(found, "node", "left").select("content", F.coalesce("component", "node").alias("component"))
     placed = write_table(rows.select("doc_id", "mark", "rid", "content").join(label, "content").select("doc_id", "mark", "rid", "component"), "placed")
     best = placed.groupBy(F.col("component").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("best")).select("c", F.col("best.rid").alias("best"))
-    kept = placed.join(best, placed["component"] == best["c"]).withColumn("kept", F.col("rid") == F.col("best"))
+    kept = placed.join(write_table(best, "best"), F.col("component") == F.col("c")).withColumn("kept", F.col("rid") == F.col("best"))
     marks = write_table(kept.groupBy("doc_id", "mark").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "marks")
-    on = lambda m: docs["doc_id"].cast("long").eqNullSafe(m["__id"]) & (F.col("__mark") == m["__m"])
+    own, its_id, its_mark = (fresh(docs, n) for n in ("__mark", "__id", "__its_mark"))
+    on = lambda m: docs["doc_id"].eqNullSafe(m[its_id]) & (F.col(own) == m[its_mark])
     # ids and marks are spread evenly, so a part's set of them is hashed and its texts stream past it unsorted
-    named = lambda m: m.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__m")).hint("shuffle_hash")
-    marked = docs.withColumn("__mark", _mark())
+    named = lambda m: m.select(F.col("doc_id").alias(its_id), F.col("mark").alias(its_mark)).hint("shuffle_hash")
+    marked = docs.withColumn(own, _mark())
     gone, twice = named(marks.filter("not kept")), named(marks.filter("kept and n > 1"))
     if twice.isEmpty():
-        return marked.join(gone, on(gone), "left_anti").drop("__mark")
+        return marked.join(gone, on(gone), "left_anti").drop(own)
     # rows that are repeated as they are: one of each stays
     also = named(marks.filter("not kept or n > 1"))
     single = marked.join(also, on(also), "left_anti")
-    return single.unionByName(marked.join(twice, on(twice), "left_semi").dropDuplicates(["doc_id", "__mark"])).drop("__mark")
+    return single.unionByName(marked.join(twice, on(twice), "left_semi").dropDuplicates(["doc_id", own])).drop(own)

@@ -404,16 +404,40 @@ def test_near_dedup_joins_within_buckets(spark):
     assert len(want) < 80
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.near_dedup(df).collect()) == want
-    # the same in blocks
+    # buckets beyond a block: by prefixes, and those in blocks if all entries come in any order
     rows = simhash._sketches(df, 5).cache()
-    labels = rows.select("rid", F.col("rid").alias("label"), F.length("shingles").alias("size"), "minima")
-    links = [tuple(r) for r in simhash.bucket_links(rows, labels, 0.8, 20_000).collect()]
+    labels = rows.select("rid", F.col("rid").alias("label"), "size", "minima")
     of = {r.rid: r.doc_id for r in rows.collect()}
-    group = {i: i for i in range(len(texts))}
-    for u, v in links:
-        low, high = sorted((group[of[u]], group[of[v]]))
-        group = {k: low if g == high else g for k, g in group.items()}
-    assert sorted(set(group.values())) == want
+    filings = lambda common: simhash._prefix_filings(rows.select("rid", F.col("rid").alias("label"), "size", "shingles"), 0.8, common)
+    every = lambda common, block: simhash._compared(rows, filings(common), simhash._open_buckets(filings(common), block), 0.8)
+    for found in (simhash.bucket_links(rows, labels, 0.8, 4000), every(1 << 20, 1 << 20), every(4, 3000)):
+        group = {i: i for i in range(len(texts))}
+        for u, v in found.collect():
+            low, high = sorted((group[of[u]], group[of[v]]))
+            group = {k: low if g == high else g for k, g in group.items()}
+        assert sorted(set(group.values())) == want
+
+
+def test_near_dedup_within_a_passage_of_all(spark):
+    # pairs of similarity 0.84 that share 600 words with all others, to which they have 0.48
+    dice = random.Random(8)
+    word = lambda: f"w{dice.randrange(10**6)}"
+    passage, texts = [word() for _ in range(600)], []
+    for _ in range(200):
+        own = [word() for _ in range(330)]
+        cut = dice.randrange(0, 250)
+        texts += [passage + own, passage + own[:cut] + [word() for _ in range(75)] + own[cut + 75 :]]
+    texts = [" ".join(x) for x in texts]
+    assert sorted(set(joined(texts[:60]))) == list(range(0, 60, 2))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.near_dedup(df).collect()) == list(range(0, 400, 2))
+
+
+def test_near_dedup_keeps_columns_and_repeated_rows(spark):
+    odd = spark.createDataFrame([("b", "One two", 1), ("a", "one  TWO", 2), ("a", "one  TWO", 2), (None, None, 3), ("c", "", 4), ("d", "x " * 300_000, 5)], "doc_id string, text string, __mark int")
+    odd = odd.withColumns({"__id": F.lit("x"), "rid": F.lit(1), "a b": F.struct(F.lit(1).alias("c d"))})
+    got = simhash.near_dedup(odd)
+    assert got.columns == odd.columns and sorted((r.doc_id, r["__mark"]) for r in got.collect()) == [("a", 2), ("c", 4), ("d", 5)]
 
 
 def test_near_dedup_counts_a_shingle_once(spark):

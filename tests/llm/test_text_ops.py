@@ -102,6 +102,8 @@ def test_simhash(spark, docs, rows):
     want = collections.Counter((d, f"{f:016x}", least.get(root(f))) for d, f in prints)
     assert found(simhash.report(docs)) == want
     assert simhash.report(docs.limit(0)).count() == 0
+    named = docs.selectExpr("concat('d', doc_id) doc_id", "text", "1 fp", "2 component_id", "3 `first`")
+    assert len({r.component_id for r in simhash.report(named).collect()} - {None}) == len(least)
 
 
 def test_near_pairs_lose_none(spark):
@@ -115,9 +117,10 @@ def test_near_pairs_lose_none(spark):
                 x ^= 1 << bit
             values.add(x)
     signed = [x - (1 << 64) if x >> 63 else x for x in values]
-    got = {frozenset(r) for r in simhash.near_pairs(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
+    given = spark.createDataFrame([(x,) for x in signed], "fp long")
+    got, again = ({frozenset(r) for r in simhash.near_pairs(given, split).collect()} for split in (False, True))
     want = {frozenset((a, b)) for a in signed for b in signed if a != b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
-    assert len(want) > 100 and got == want
+    assert len(want) > 100 and got == want == again
 
 
 def test_components(spark):
