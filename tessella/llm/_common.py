@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,8 +115,34 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Bytes of text that are hashed at once.
+CHUNK = 4 << 20
+_PART = re.compile(rb"[\x09-\x0d ]")
+
+
+def _chunks(text: bytes) -> Iterator[bytes]:
+    """The text in runs of about CHUNK bytes that end between words; a longer word is a run of its own."""
+    start = 0
+    while len(text) - start > CHUNK:
+        found = _PART.search(text, start + CHUNK)
+        stop = found.start() if found else len(text)
+        yield text[start:stop]
+        start = stop
+    yield text[start:]
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all lower-cased words of the texts in order, and each text's number of words.
+    """64-bit hashes of all lower-cased words of the texts in order, and each text's number of words."""
+    if sum(map(len, texts)) <= CHUNK:
+        return _word_hashes(texts)
+    parts = [(i, x) for i, text in enumerate(texts) for x in _chunks(text)]
+    found = [_word_hashes([x for _, x in parts[lo:hi]]) for lo, hi in slices([x for _, x in parts], CHUNK)]
+    counts = np.concatenate([n for _, n in found])
+    return np.concatenate([h for h, _ in found]), np.bincount([i for i, _ in parts], counts, len(texts)).astype(np.int64)
+
+
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The same of texts that fit into memory with several numbers a byte.
 
     A word's hash is the difference of two prefix sums of byte * base**position, moved to position 0 by the
     inverse power: whole batches are hashed without a loop over words.

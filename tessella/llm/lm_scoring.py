@@ -1,18 +1,21 @@
 """Language-model scoring from a log-frequency Bloom filter (Talbot and Osborne, 2007).
 
-Counting. Workers hash words and n-grams of whole batches at once, sum equal ones, and send sorted runs to ranges of
-hash values. Each range sums its runs, keeps exact word counts in a table, and builds its own region of the filter: an
-n-gram of count c is put in once for each level 1 to 1 + log_b(c). The regions together are the filter. Of it, the head is
-broadcast: all words, and as many bigrams as fit into FILTER_BYTES, those of the smallest counts left out. Bigrams that
-are left out have a filter of their own in each range, which stays in the table.
+Counting. Workers hash the words and bigrams of whole batches at once, sum equal ones, and send sorted runs to ranges of
+hash values, of which there are as many as the corpus needs. Each range sums its runs, keeps exact word counts in a table,
+and builds its own region of the filter: an n-gram of count c is put in once for each level 1 to 1 + log_b(c). The regions
+together are the filter, which is broadcast: words first, then bigrams, those of the smallest counts left out beyond
+FILTER_BYTES. What is left out stays in the ranges' tables: words with their counts, bigrams in a filter of their own.
 
-Scoring. An n-gram's count is found by probing its levels upwards until one is missing. Tokens whose bigram is not in the
-head meet the table's ranges in one shuffle, with the levels that their probability is made of.
-Probabilities interpolate the orders; the weights, by the order and the context's level, come from expectation
-maximisation over a bounded sample of training documents with each token's own occurrence left out.
+Scoring. An n-gram's count is found by probing its levels upwards until one is missing. A first pass over the texts writes
+each token's levels; n-grams that may only be in a range's table are asked there in a shuffle, and their levels are filled
+in. So scores do not depend on how much of the filter is broadcast.
+
+Probabilities interpolate bigrams with smoothed words. A token's probability follows from three levels: its own, that of
+the word before, and that of both; so the numbers of training tokens by these three say all that expectation maximisation
+needs to fit the weights (by the context's level) on the whole corpus, with each token's own occurrence left out.
 
 The base score needs exact counts of all words. The HEAD most frequent ones are broadcast too (a fixed number); the rest
-of each document's words meet the table's ranges in one shuffle.
+of each document's words meet the table's ranges in the same shuffle.
 """
 
 from __future__ import annotations
@@ -26,25 +29,27 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fold, mix, pieces, shuffle_parts, slices, small_batches, text_bytes, word_hashes, write_table
+from ._common import fields, fold, mix, pieces, remove_table, shuffle_parts, slices, small_batches, text_bytes, word_hashes, write_table
 
-ORDER = 2
-#: Of levels, for words and for longer n-grams.
+#: Of levels, for words and for bigrams.
 BASES = (1.25, 1.6)
-BITS, PROBES = 9, 6
+#: Bits of the filter for each level of an n-gram, and how many of a 64-bit word's bits a level sets.
+BITS, PROBES = 12, 5
 FILTER_BYTES = 128 << 20
 HEAD = 500_000
-#: About so many documents fit the interpolation weights.
-TUNING = 2000
+#: Bytes of training text whose n-grams make a range, on average at most.
+RANGE_BYTES = 32 << 20
 #: Tokens that a worker gathers before it sends their sums on.
 RUN = 3_000_000
 
 END = np.uint64(0x5A17C0DE5EED0001)
-_STEP = [np.uint64(x) for x in (0, 0, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+#: A level that is not known yet.
+ASK = 255
 
 
-def grams(texts: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Hashes of the n-grams that end in each token, by order; which tokens begin a text; tokens of each text.
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the tokens and of the bigrams that end in them; which tokens begin a text; tokens of each text.
 
     Every text ends in an end token, which also stands before its first word.
     """
@@ -56,17 +61,14 @@ def grams(texts: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray,
     inside[last] = False
     tokens[inside], tokens[last] = words, END
     firsts = last - counts
-    out = [tokens]
-    for k in range(2, order + 1):
-        out.append(mix(before(out[-1], firsts) * _STEP[k] + tokens))
-    return out, firsts, sizes
+    return tokens, mix(before(tokens, firsts, END) * _STEP + tokens), firsts, sizes
 
 
-def before(h: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """The hash at the token before, or the end token's at a text's first."""
-    out = np.empty_like(h)
-    out[1:] = h[:-1]
-    out[firsts] = END
+def before(x: np.ndarray, firsts: np.ndarray, boundary) -> np.ndarray:
+    """What is at the token before; at a text's first token, the boundary."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[firsts] = boundary
     return out
 
 
@@ -88,146 +90,89 @@ def _summed(h: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.
 
 
 def levels_of(c: np.ndarray, order: int) -> np.ndarray:
-    return 1 + np.floor(np.log(c) / np.log(BASES[min(order, len(BASES)) - 1]) + 1e-9).astype(np.int64)
+    """The level of counts; 0 of 0."""
+    c = np.asarray(c)
+    return np.where(c > 0, 1 + np.floor(np.log(np.maximum(c, 1)) / np.log(BASES[order - 1]) + 1e-9).astype(np.int64), 0)
 
 
-def value_of(level: np.ndarray, order: int) -> np.ndarray:
-    """The count that a level stands for: the geometric mean of the least and the greatest; 0 for level 0."""
-    base = BASES[min(order, len(BASES)) - 1]
-    low = np.ceil(base ** (level - 1.0) - 1e-9)
-    high = np.maximum(low, np.ceil(base ** (level * 1.0) - 1e-9) - 1)
+def _values(order: int) -> np.ndarray:
+    """The count that each level stands for: the geometric mean of the least and the greatest; 0 for level 0."""
+    base, level = BASES[order - 1], np.arange(256.0)
+    low = np.ceil(base ** (level - 1) - 1e-9)
+    high = np.maximum(low, np.ceil(base**level - 1e-9) - 1)
     return np.where(level > 0, np.sqrt(low * high), 0.0)
 
 
-def _keys(h: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    x = mix(h ^ (np.uint64(0x9E3779B97F4A7C15) * np.asarray(level).astype(np.uint64)))
-    return x, mix(x + np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
-
-
-def region(orders: list[tuple[np.ndarray, np.ndarray]], most_bits: int) -> tuple[bytes, int, int]:
-    """A range's Bloom filter, its number of bits, and the least count of n-grams above words that it holds. Words are
-    held whatever their number."""
-    least = 1
-    while True:
-        chosen = [(h, c, k) if k == 1 else (h[c >= least], c[c >= least], k) for k, (h, c) in enumerate(orders, 1)]
-        need = BITS * sum(int(levels_of(c, k).sum()) for _, c, k in chosen if len(c))
-        if need <= most_bits or not any(len(c) for _, c, k in chosen if k > 1):
-            break
-        least = max(least + 1, least * 5 // 4)
-    bits = max(64, need)
-    held = np.zeros(bits, bool)
-    for h, c, k in chosen:
-        top = levels_of(c, k) if len(c) else np.zeros(0, np.int64)
+#: By order and level. Level 254 of words stands for 10**24.
+VALUES = (_values(1), _values(2))
+
+
+def _key(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each n-gram at a level, a hash that says in which word of its region it is, and the bits that it sets there."""
+    x = mix(h ^ np.uint64(0x9E3779B97F4A7C15 * level & (1 << 64) - 1))
+    y, bits = mix(x + np.uint64(0x632BE59BD9B4E019)), np.zeros(len(h), np.uint64)
+    for i in range(PROBES):
+        bits |= np.uint64(1) << (y >> np.uint64(6 * i) & np.uint64(63))
+    return x >> np.uint64(32), bits
+
+
+def region(words: tuple[np.ndarray, np.ndarray], bigrams: tuple[np.ndarray, np.ndarray], most_bits: float, per_level: int = BITS) -> tuple[np.ndarray, int, int]:
+    """A range's Bloom filter in 64-bit words, and the least counts of words and of bigrams that it holds."""
+    orders, least = [words, bigrams], [1, 1]
+
+    def need() -> int:
+        return per_level * sum(int(levels_of(c[c >= n], k).sum()) for k, ((_, c), n) in enumerate(zip(orders, least), 1))
+
+    for k in (1, 0):  # bigrams are left out first, then words
+        while need() > most_bits and (orders[k][1] >= least[k]).any():
+            least[k] = max(least[k] + 1, least[k] * 5 // 4)
+    held = np.zeros(max(1, -(-need() // 64)), np.uint64)
+    for k, ((h, c), n) in enumerate(zip(orders, least), 1):
+        h, top = h[c >= n], levels_of(c[c >= n], k)
         level = 1
         while len(h):
-            a, b = _keys(h, level)
-            for i in range(PROBES):
-                held[(a + np.uint64(i) * b) % np.uint64(bits)] = True
+            at, bits = _key(h, level)
+            np.bitwise_or.at(held, (at * np.uint64(len(held))) >> np.uint64(32), bits)
             level += 1
             h, top = h[top >= level], top[top >= level]
-    return np.packbits(held, bitorder="little").tobytes(), bits, least
+    return held, *least
+
+
+def probed(h: np.ndarray, data: np.ndarray, starts: np.ndarray | int, sizes: np.ndarray | int) -> np.ndarray:
+    """The level of each n-gram, as the last of its unbroken run of levels, in the filter whose region for it starts at
+    starts and has so many words."""
+    out, live, level = np.zeros(len(h), np.int64), np.arange(len(h)), 1
+    starts, sizes = (np.broadcast_to(np.asarray(x).astype(np.uint64), len(h)) for x in (starts, sizes))
+    while len(live):
+        at, bits = _key(h[live], level)
+        found = (data[starts[live] + (at * sizes[live] >> np.uint64(32))] & bits) == bits
+        live = live[found]
+        out[live] = level
+        level += 1
+    return out
 
 
 @dataclass
 class Model:
-    """The filter's regions one after another, exact counts of the most frequent words, totals, and weights."""
+    """The filter's regions one after another, exact counts of the most frequent words, totals, and weights by the
+    context's level."""
 
     parts: int
     data: np.ndarray
-    offsets: np.ndarray
-    bits: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
     head: np.ndarray
     head_counts: np.ndarray
     tokens: int
     words: int
-    order: int
-    weights: list[np.ndarray]
-    #: Whether any bigrams are only in the table; hashes, rising, and levels of some of those.
-    split: bool = False
-    rest: tuple[np.ndarray, np.ndarray] | None = None
+    #: Whether all words, and all bigrams, are in the filter.
+    whole: tuple[bool, bool]
+    weights: np.ndarray | None = None
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        """The level of each n-gram: the last of its unbroken run of levels in the filter."""
-        out = np.zeros(len(h), np.int64)
-        if not len(self.data):
-            return out
-        at = range_of(h, self.parts).astype(np.int64)
-        live, level = np.flatnonzero(self.bits[at] > 0), 1
-        while len(live):
-            a, b = _keys(h[live], level)
-            start, size = self.offsets[at[live]], self.bits[at[live]]
-            for i in range(PROBES):
-                if not len(live):
-                    break
-                bit = ((a + np.uint64(i) * b) % size).astype(np.int64)
-                ok = (self.data[start + (bit >> 3)] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                live, a, b, start, size = live[ok], a[ok], b[ok], start[ok], size[ok]
-            out[live] = level
-            level += 1
-        if self.rest is not None and len(self.rest[0]):
-            near = np.minimum(np.searchsorted(self.rest[0], h), len(self.rest[0]) - 1)
-            out = np.where((out == 0) & (self.rest[0][near] == h), self.rest[1][near], out)
-        return out
-
-    def level_of_all(self, h: np.ndarray) -> np.ndarray:
         distinct, back = np.unique(h, return_inverse=True)
-        return self.levels(distinct)[back]
-
-    def evidence(self, texts: list[bytes], leave_out: bool) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-        """By order: each token's maximum-likelihood probability (of order 1: smoothed) and its context's level. Then
-        the tokens' hashes, the texts' first tokens and sizes."""
-        hs, firsts, sizes = grams(texts, self.order)
-        less = 1.0 if leave_out else 0.0
-        probs, contexts, above = [], [], None
-        for k, h in enumerate(hs, 1):
-            level = self.level_of_all(h)
-            count = np.maximum(value_of(level, k) - less, 0)
-            if k == 1:
-                probs.append((count + 0.5) / (self.tokens + 0.5 * (self.words + 1)))
-                boundary = self.level_of_all(np.array([END], np.uint64))[0]
-            else:
-                context = np.empty_like(level)
-                context[1:] = above[:-1]
-                context[firsts] = boundary
-                total = np.where(context > 0, value_of(context, k - 1), 0.0)
-                if k > 2:
-                    total[firsts] = value_of(np.array([boundary]), 1)[0]
-                total = np.maximum(total - less, 0)
-                probs.append(np.where(total > 0, np.minimum(1.0, count / np.maximum(total, 1e-9)), 0.0))
-                contexts.append(np.minimum(context, 63))
-            above = level
-        return probs, contexts, hs[0], firsts, sizes
-
-    def pending(self, probs: list[np.ndarray], contexts: list[np.ndarray], tokens: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Tokens whose bigram may be in the table: where they are, the bigrams' hashes, and the levels of the words
-        before and of the words themselves."""
-        if not self.split:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint8)
-        at = np.flatnonzero((probs[1] == 0) & (contexts[0] > 0))
-        last = before(tokens, firsts)
-        bigrams = mix(last * _STEP[2] + tokens)[at]
-        return at, bigrams, self.level_of_all(last[at]).astype(np.uint8), self.level_of_all(tokens[at]).astype(np.uint8)
-
-    def settled(self, level: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Logarithms of the probabilities of tokens by the levels of bigram, word before and word; of order 2."""
-        p = (value_of(word.astype(np.int64), 1) + 0.5) / (self.tokens + 0.5 * (self.words + 1))
-        q = np.minimum(1.0, value_of(level, 2) / np.maximum(value_of(context.astype(np.int64), 1), 1e-9))
-        return np.log10(self.mixed([p, q], [np.minimum(context, 63)]))
-
-    def of_range(self, data: bytes, bits: int) -> Model:
-        """The same with a table row's filter."""
-        return replace(self, data=np.frombuffer(data, np.uint8), offsets=np.zeros(self.parts, np.int64), bits=np.full(self.parts, bits, np.uint64), rest=None)
-
-    def bare(self) -> Model:
-        """The same without filter and head."""
-        return replace(self, data=np.zeros(0, np.uint8), head=self.head[:0], head_counts=self.head_counts[:0], rest=None)
-
-    def mixed(self, probs: list[np.ndarray], contexts: list[np.ndarray]) -> np.ndarray:
-        p = probs[0]
-        for k, (q, context) in enumerate(zip(probs[1:], contexts)):
-            w = self.weights[k][context] if k < len(self.weights) else 0.0
-            p = w * q + (1 - w) * p
-        return p
+        p = range_of(distinct, self.parts).astype(np.int64)
+        return probed(distinct, self.data, self.starts[p], self.sizes[p])[back]
 
     def exact(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each word is one of the most frequent, and its exact count."""
@@ -237,16 +182,27 @@ class Model:
         found = self.head[at] == h
         return found, np.where(found, self.head_counts[at], 0)
 
+    def smoothed(self, count: np.ndarray) -> np.ndarray:
+        """A word's probability by its count, one half added."""
+        return (count + 0.5) / (self.tokens + 0.5 * (self.words + 1))
+
+    def logs(self, word: np.ndarray, context: np.ndarray, both: np.ndarray) -> np.ndarray:
+        """Logarithms of tokens' probabilities by the levels of the word, the word before, and both."""
+        total = VALUES[0][context]
+        q = np.where(total > 0, np.minimum(1.0, VALUES[1][both] / np.maximum(total, 1e-9)), 0.0)
+        w = self.weights[context]
+        return np.log10(w * q + (1 - w) * self.smoothed(VALUES[0][word]))
 
-def _gather(training: DataFrame, parts: int, order: int) -> DataFrame:
+
+def _gather(training: DataFrame, parts: int) -> DataFrame:
     """(p, k, ones, more, counts): sorted hashes of a run's n-grams of order k in range p, seen once and more often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[] for _ in range(order)]
+        held: list[list[np.ndarray]] = [[], []]
         size = 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            for k in range(order):
+            for k in range(2):
                 h, c = _summed(np.concatenate(held[k]))
                 held[k].clear()
                 once = h[c == 1]
@@ -254,10 +210,11 @@ def _gather(training: DataFrame, parts: int, order: int) -> DataFrame:
                 bounds = np.arange(parts + 1, dtype=np.uint64)
                 cut = lambda x: np.searchsorted(range_of(x, parts), bounds)  # noqa: E731, B023
                 a, b = cut(once), cut(h)
+                full = np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(range(parts), pa.int32()), pa.array([k + 1] * parts, pa.int32()), pa.array([once[a[i] : a[i + 1]].tobytes() for i in range(parts)], pa.binary()),
-                        pa.array([h[b[i] : b[i + 1]].tobytes() for i in range(parts)], pa.binary()), pa.array([c[b[i] : b[i + 1]].tobytes() for i in range(parts)], pa.binary()),
+                        pa.array(full, pa.int32()), pa.array([k + 1] * len(full), pa.int32()), pa.array([once[a[i] : a[i + 1]].tobytes() for i in full], pa.binary()),
+                        pa.array([h[b[i] : b[i + 1]].tobytes() for i in full], pa.binary()), pa.array([c[b[i] : b[i + 1]].tobytes() for i in full], pa.binary()),
                     ],
                     names=["p", "k", "ones", "more", "counts"],
                 )
@@ -265,10 +222,10 @@ def _gather(training: DataFrame, parts: int, order: int) -> DataFrame:
         for batch in pieces(batches):
             texts = text_bytes(batch.column("text"))
             for lo, hi in slices(texts):
-                hs, _, _ = grams(texts[lo:hi], order)
-                for k in range(order):
-                    held[k].append(hs[k])
-                size += len(hs[0])
+                tokens, bigrams, _, _ = grams(texts[lo:hi])
+                held[0].append(tokens)
+                held[1].append(bigrams)
+                size += len(tokens)
                 if size >= RUN:
                     yield from send()
                     size = 0
@@ -278,255 +235,280 @@ def _gather(training: DataFrame, parts: int, order: int) -> DataFrame:
     return training.select("text").mapInArrow(run, "p int, k int, ones binary, more binary, counts binary")
 
 
-_HISTOGRAM = 256
-
-
-def _count(runs: DataFrame, order: int, most_bits: int) -> DataFrame:
-    """One row for each range: totals, a histogram of word counts, the words' hashes and counts, the filter's region,
-    and a filter of the n-grams that are not in it."""
+def _count(runs: DataFrame, most_bits: float, per_level: int) -> DataFrame:
+    """One row for each range: totals, a histogram of word counts, the words' hashes and counts, the filter's region and
+    the least counts in it, and a filter of the bigrams that are not in it."""
 
     def merge(table: pa.Table) -> pa.Table:
+        import pyarrow.compute as pc
+
         orders = []
-        for k in range(1, order + 1):
-            of = table.filter(pa.compute.equal(table["k"], k))
+        for k in (1, 2):
+            of = table.filter(pc.equal(table["k"], k))
             read = lambda name, kind: np.frombuffer(b"".join(of[name].to_pylist()), kind)  # noqa: E731, B023
             ones, more, counts = read("ones", np.uint64), read("more", np.uint64), read("counts", np.int64)
             orders.append(_summed(np.concatenate([ones, more]), np.concatenate([np.ones(len(ones), np.int64), counts])))
-        h, c = orders[0]
-        data, bits, least = region(orders, most_bits)
-        rest, rest_bits, _ = region([(h[:0], c[:0]) if k == 0 else (a[b < least], b[b < least]) for k, (a, b) in enumerate(orders)], 1 << 62) if least > 1 else (b"", 0, 1)
-        histogram = np.bincount(np.minimum((4 * np.log2(c)).astype(np.int64), _HISTOGRAM - 1), minlength=_HISTOGRAM) if len(c) else np.zeros(_HISTOGRAM, np.int64)
-        return pa.table(
-            {
-                "p": pa.array([table["p"][0].as_py()], pa.int32()), "n_words": pa.array([len(h)], pa.int64()), "n_tokens": pa.array([int(c.sum())], pa.int64()),
-                "histogram": pa.array([histogram.astype(np.int64).tobytes()], pa.binary()), "words": pa.array([h.tobytes()], pa.binary()), "counts": pa.array([c.tobytes()], pa.binary()),
-                "data": pa.array([data], pa.binary()), "bits": pa.array([bits], pa.int64()), "least": pa.array([least], pa.int32()),
-                "rest": pa.array([rest], pa.binary()), "rest_bits": pa.array([rest_bits], pa.int64()),
-            }
-        )
-
-    import pyarrow.compute  # noqa: F401
-
-    return runs.groupBy("p").applyInArrow(merge, "p int, n_words long, n_tokens long, histogram binary, words binary, counts binary, data binary, bits long, least int, rest binary, rest_bits long")
-
-
-def learn(training: DataFrame, order: int = ORDER, filter_bytes: int = FILTER_BYTES, head: int = HEAD, tuning: int = TUNING) -> tuple[Model, DataFrame]:
-    """The model of the texts of training (doc_id, text), and the table of exact word counts and bigrams by range. Only
-    bigrams are left to the table: of other orders, the filter is broadcast whole."""
+        (h, c), (g, n) = orders
+        data, least_word, least = region(*orders, most_bits, per_level)
+        rest = region((h[:0], c[:0]), (g[n < least], n[n < least]), np.inf, per_level)[0] if least > 1 else data[:0]
+        row = {
+            "p": (table["p"][0].as_py(), pa.int32()), "n_words": (len(h), pa.int64()), "n_tokens": (int(c.sum()), pa.int64()), "histogram": (np.bincount(_step(c)).tolist(), pa.list_(pa.int64())),
+            "words": (h.tobytes(), pa.binary()), "counts": (c.tobytes(), pa.binary()), "data": (data.tobytes(), pa.binary()), "size": (len(data), pa.int64()),
+            "whole_words": (bool(least_word == 1), pa.bool_()), "whole_bigrams": (bool(least == 1), pa.bool_()), "rest": (rest.tobytes(), pa.binary()),
+        }
+        return pa.table({name: pa.array([x], kind) for name, (x, kind) in row.items()})
+
+    return runs.groupBy("p").applyInArrow(merge, "p int, n_words long, n_tokens long, histogram array<long>, words binary, counts binary, data binary, size long, whole_words boolean, whole_bigrams boolean, rest binary")
+
+
+def _step(c: np.ndarray) -> np.ndarray:
+    return (4 * np.log2(np.maximum(c, 1))).astype(np.int64)
+
+
+def learn(training: DataFrame, filter_bytes: int = FILTER_BYTES, head: int = HEAD, range_bytes: int = RANGE_BYTES, per_level: int = BITS) -> tuple[Model, DataFrame]:
+    """The model of the texts of training (text), without weights, and the table of word counts and bigrams by range."""
     spark = training.sparkSession
-    parts = shuffle_parts(spark)
-    table = write_table(_count(_gather(training, parts, order), order, filter_bytes * 8 // parts if order == 2 else 1 << 62), "counts")
-    stats = table.select("p", "n_words", "n_tokens", "histogram", "bits", "least").toArrow()
-    at = np.array(stats["p"].to_pylist(), np.int64)
-    bits = np.zeros(parts, np.uint64)
-    bits[at] = np.array(stats["bits"].to_pylist(), np.uint64)
-    sizes = (bits.astype(np.int64) + 7) // 8
-    offsets = np.cumsum(sizes) - sizes
-    data = np.zeros(int(sizes.sum()), np.uint8)
+    size = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(shuffle_parts(spark), -(-size // range_bytes))
+    table = write_table(_count(_gather(training, parts), filter_bytes * 8 / parts, per_level), "counts")
+    total = table.agg(F.sum("n_words"), F.sum("n_tokens"), F.bool_and("whole_words"), F.bool_and("whole_bigrams")).first()
+    # of the filter only the head comes to the driver, and a number for each range
+    stats = table.select("p", "size").toArrow()
+    sizes = np.ones(parts, np.int64)  # an empty range has a word of zeros
+    sizes[np.array(stats["p"], np.int64)] = np.array(stats["size"], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    data = np.zeros(int(sizes.sum()), np.uint64)
     for p, got in table.select("p", "data").toLocalIterator():
-        data[offsets[p] : offsets[p] + sizes[p]] = np.frombuffer(got, np.uint8)
-    # the least count of the head: as many words as fit, whole steps of the histogram
-    total = sum((np.frombuffer(x, np.int64) for x in stats["histogram"].to_pylist()), np.zeros(_HISTOGRAM, np.int64))
-    over = np.cumsum(total[::-1])[::-1]
-    least = int(np.argmax(over <= head)) if (over <= head).any() else _HISTOGRAM
+        data[starts[p] : starts[p] + sizes[p]] = np.frombuffer(got, np.uint64)
+    # the least count of the most frequent words: as many as fit, whole steps of the histogram
+    steps = {r.step: r.n for r in table.select(F.posexplode("histogram").alias("step", "n")).groupBy("step").agg(F.sum("n").alias("n")).collect()}  # a few hundred rows
+    least = min(s for s in range(max(steps, default=0) + 2) if sum(n for k, n in steps.items() if k >= s) <= head)
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words, counts in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist()):
                 h, c = np.frombuffer(words, np.uint64), np.frombuffer(counts, np.int64)
-                keep = np.minimum((4 * np.log2(c)).astype(np.int64), _HISTOGRAM - 1) >= least
-                yield pa.RecordBatch.from_arrays([pa.array([h[keep].tobytes()], pa.binary()), pa.array([c[keep].tobytes()], pa.binary())], names=["words", "counts"])
+                keep = _step(c) >= least
+                yield pa.RecordBatch.from_arrays([pa.array([x[keep].tobytes()], pa.binary()) for x in (h, c)], names=["words", "counts"])
 
     heads = table.select("words", "counts").mapInArrow(top, "words binary, counts binary").toArrow()
     h = np.frombuffer(b"".join(heads["words"].to_pylist()), np.uint64)
     c = np.frombuffer(b"".join(heads["counts"].to_pylist()), np.int64)
     rank = np.argsort(h)
-    tokens, words = (sum(stats[n].to_pylist()) for n in ("n_tokens", "n_words"))
-    model = Model(parts, data, offsets, bits, h[rank], c[rank], tokens, words, order, [], any(x > 1 for x in stats["least"].to_pylist()))
-    _tune(model, training, tuning, table)
-    return model, table
-
+    whole = (total[2] is not False, total[3] is not False)
+    return Model(parts, data, starts, sizes, h[rank], c[rank], total[1] or 0, total[0] or 0, whole), table
 
-def _rest(model: Model, sample: DataFrame, table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, rising, and levels of those bigrams of a bounded sample that are only in the table."""
-    spark = sample.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            texts = text_bytes(batch.column("text"))
-            for lo, hi in slices(texts):
-                probs, contexts, tokens, firsts, _ = shared.value.evidence(texts[lo:hi], False)
-                yield pa.RecordBatch.from_arrays([pa.array([np.unique(shared.value.pending(probs, contexts, tokens, firsts)[1]).tobytes()], pa.binary())], names=["h"])
 
-    found = sample.mapInArrow(seen, "h binary").toArrow()
-    asked = np.unique(np.frombuffer(b"".join(found["h"].to_pylist()), np.uint64))
-    shared.destroy()
-    few, bare = spark.sparkContext.broadcast(asked), model.bare()
+# -- the levels of all tokens ------------------------------------------------------------------------------------------
 
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p, rest, bits in zip(*(batch.column(n).to_pylist() for n in ("p", "rest", "rest_bits"))):
-                h = few.value[range_of(few.value, bare.parts) == p]
-                level = bare.of_range(rest, bits).levels(h)
-                yield pa.RecordBatch.from_arrays([pa.array([x[level > 0].tobytes()], pa.binary()) for x in (h, level)], names=["h", "level"])
+_FIRST = "rid long, n_tokens long, n_known long, base double, word binary, both binary, tail binary, tail_at binary, asked binary, asked_at binary"
 
-    got = table.select("p", "rest", "rest_bits").mapInArrow(look_up, "h binary, level binary").toArrow()
-    h, level = (np.frombuffer(b"".join(got[n].to_pylist()), kind) for n, kind in (("h", np.uint64), ("level", np.int64)))
-    order = np.argsort(h)
-    return h[order], level[order]
 
-
-def _tune(model: Model, training: DataFrame, tuning: int, table: DataFrame) -> None:
-    """Interpolation weights by order and context level, by expectation maximisation on a sample, leaving one out."""
-    documents = max(1, training.count())
-    share = min(1.0, tuning / documents)
-    sample = training.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("tuning")), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
-    shared = training.sparkSession.sparkContext.broadcast(replace(model, rest=_rest(model, sample, table)) if model.split else model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            texts = text_bytes(batch.column("text"))
-            for lo, hi in slices(texts):
-                probs, contexts, *_ = shared.value.evidence(texts[lo:hi], True)
-                packed = [np.stack(probs).astype(np.float32).tobytes(), np.stack(contexts).astype(np.int8).tobytes() if contexts else b""]
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], names=["probs", "contexts"])
-
-    rows = sample.mapInArrow(run, "probs binary, contexts binary").toArrow()
-    probs = [np.frombuffer(x, np.float32).reshape(model.order, -1).astype(np.float64) for x in rows["probs"].to_pylist()]
-    contexts = [np.frombuffer(x, np.int8).reshape(model.order - 1, -1) for x in rows["contexts"].to_pylist()] if model.order > 1 else []
-    p = np.concatenate([x[0] for x in probs]) if probs else np.zeros(0)
-    for k in range(1, model.order):
-        q = np.concatenate([x[k] for x in probs]) if probs else np.zeros(0)
-        context = np.concatenate([x[k - 1] for x in contexts]).astype(np.int64) if contexts else np.zeros(0, np.int64)
-        seen = np.bincount(context, minlength=64) + 2.0
-        w = np.full(64, 0.3)
-        for _ in range(25):
-            own = w[context] * q
-            part = own / np.maximum(own + (1 - w[context]) * p, 1e-300)
-            w = (np.bincount(context, part, 64) + 0.2) / seen
-        w[0] = 0.0  # no context, nothing to mix
-        model.weights.append(np.clip(w, 0.0, 0.99))
-        p = w[context] * q + (1 - w[context]) * p
-    shared.destroy()
-
-
-def score(docs: DataFrame, held_out: Column, **settings) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; learned from the rows that
-    held_out (a condition on the columns of docs) is not true of.
-
-    Null and empty texts are one end token. Repeated rows are learned from and scored each; a null held_out counts as
-    false. Without training rows all probabilities are equal. Other columns play no part.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    model, table = learn(rows.filter(~F.col("held_out")), **settings)
-    shared = spark.sparkContext.broadcast(model)
-    parts, floor = model.parts, np.log10(model.tokens + 0.5 * (model.words + 1)) if model.words else np.log10(0.5)
+def _first_pass(rows: DataFrame, shared) -> DataFrame:
+    """Per row: doc_id, held_out, a number, its tokens, and as far as is known without the table: how many of them are
+    known, their summed logarithms of count + 0.5, the levels of words and bigrams (ASK where the table must say); and
+    the hashes of words whose counts, and of bigrams whose levels, the table must say, with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, rid = shared.value, TaskContext.get().partitionId() << 40
+        boundary = own.levels(np.array([END], np.uint64))[0]
         for batch in pieces(batches):
             texts = text_bytes(batch.column("text"))
-            out = {"rid": [], "n_tokens": [], "n_known": [], "base": [], "score": [], "tail": [], "asked": [], "levels": []}
+            out: dict[str, list] = {n.split()[0]: [] for n in _FIRST.split(", ")}
             for lo, hi in slices(texts):
-                probs, contexts, tokens, firsts, sizes = own.evidence(texts[lo:hi], False)
-                logs = np.log10(own.mixed(probs, contexts))
-                at, bigrams, *levels = own.pending(probs, contexts, tokens, firsts)
-                logs[at] = 0.0
-                cuts = np.searchsorted(at, [*firsts, len(tokens)])
-                levels = np.stack(levels, 1)
-                out["asked"] += [bigrams[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-                out["levels"] += [levels[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+                tokens, bigrams, firsts, sizes = grams(texts[lo:hi])
                 found, count = own.exact(tokens)
-                logged = np.where(found, np.log10(count + 0.5), 0.0)
+                word, both = own.levels(tokens), own.levels(bigrams)
+                if not own.whole[0]:
+                    word = np.where(word > 0, word, np.where(found, levels_of(count, 1), ASK))
+                if not own.whole[1]:
+                    # where the word before is unknown, so is the bigram
+                    both = np.where((both == 0) & (before(word, firsts, boundary) > 0), ASK, both)
                 out["n_tokens"] += sizes.tolist()
-                out["score"] += np.add.reduceat(logs, firsts).tolist()
-                out["base"] += np.add.reduceat(logged, firsts).tolist()
+                out["base"] += np.add.reduceat(np.where(found, np.log10(count + 0.5), 0.0), firsts).tolist()
                 out["n_known"] += np.add.reduceat(found.astype(np.int64), firsts).tolist()
-                rest = tokens[~found]
-                cuts = np.cumsum(np.add.reduceat((~found).astype(np.int64), firsts))
-                out["tail"] += [rest[a:b].tobytes() for a, b in zip([0, *cuts[:-1]], cuts)]
+                place = np.arange(len(tokens)) - np.repeat(firsts, sizes)
+                ends = [*firsts.tolist(), len(tokens)]
+                for name, x in (("word", word.astype(np.uint8)), ("both", both.astype(np.uint8))):
+                    out[name] += [x[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+                for name, h, some, placed in (("tail", tokens, ~found, not own.whole[0]), ("asked", bigrams, both == ASK, True)):
+                    at = np.flatnonzero(some)
+                    cuts = np.searchsorted(at, ends)
+                    out[name] += [h[at[a:b]].tobytes() for a, b in zip(cuts, cuts[1:])]
+                    out[f"{name}_at"] += [place[at[a:b]].astype(np.int32).tobytes() if placed else b"" for a, b in zip(cuts, cuts[1:])]
             out["rid"] = list(range(rid, rid + len(texts)))
             rid += len(texts)
-            kinds = {"rid": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "tail": pa.binary(), "asked": pa.binary(), "levels": pa.binary()}
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *(pa.array(out[n], t) for n, t in kinds.items())], names=["doc_id", "held_out", *kinds])
+            kinds = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+            made = [pa.array(out[n.split()[0]], kinds[n.split()[1]]) for n in _FIRST.split(", ")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *made], names=["doc_id", "held_out", *out])
+
+    return rows.mapInArrow(run, fields(rows, ["doc_id", "held_out"], _FIRST))
+
 
-    first = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
-    first = write_table(first.mapInArrow(run, "doc_id long, held_out boolean, rid long, n_tokens long, n_known long, base double, score double, tail binary, asked binary, levels binary"), "scored")
+def _spread(first: DataFrame, name: str, parts: int) -> DataFrame:
+    """(p, rids, h, places): the hashes in a column, with their rows and places, by range."""
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rids = np.array(batch.column("rid").to_pylist(), np.int64)
-            tails = batch.column("tail").to_pylist()
-            for lo, hi in slices(tails, 32 << 20):
-                h = np.frombuffer(b"".join(tails[lo:hi]), np.uint64)
+            hashes, places = batch.column(name).to_pylist(), batch.column(f"{name}_at").to_pylist()
+            for lo, hi in slices(hashes, 32 << 20):
+                h = np.frombuffer(b"".join(hashes[lo:hi]), np.uint64)
                 if not len(h):
                     continue
-                of = np.repeat(rids[lo:hi], [len(x) // 8 for x in tails[lo:hi]])
+                of, at = np.repeat(rids[lo:hi], [len(x) // 8 for x in hashes[lo:hi]]), np.frombuffer(b"".join(places[lo:hi]), np.int32)
                 p = range_of(h, parts).astype(np.int64)
                 order = np.argsort(p, kind="stable")
-                h, of, cuts = h[order], of[order], np.searchsorted(p[order], np.arange(parts + 1))
+                cuts = np.searchsorted(p[order], np.arange(parts + 1))
                 full = np.flatnonzero(np.diff(cuts))
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary()) for x in (of, h))], names=["p", "rids", "tail"])
+                cut = lambda x: pa.array([x[order][cuts[i] : cuts[i + 1]].tobytes() if len(x) else b"" for i in full], pa.binary())  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), cut(of), cut(h), cut(at)], names=["p", "rids", "h", "places"])
+
+    return first.select("rid", name, f"{name}_at").mapInArrow(run, "p int, rids binary, h binary, places binary")
+
+
+def _by_row(rids: np.ndarray, places: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+    """Distinct rids, and of each its places and levels."""
+    order = np.argsort(rids, kind="stable")
+    own, starts = np.unique(rids[order], return_index=True)
+    cut = lambda x: [b.tobytes() for b in np.split(x[order], starts[1:])] if len(x) else [b""] * len(own)
+    return own, cut(places), cut(level.astype(np.uint8))
+
+
+def _answers(asked: DataFrame, table: DataFrame, words: bool) -> DataFrame:
+    """(rid, s, k, said) from what _spread gives: for words, the sum of logarithms and the number of known ones; said
+    holds the places and levels that each range has found out."""
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
         read = lambda t, name, kind: np.frombuffer(b"".join(t[name].to_pylist()), kind)
-        of, h = read(left, "rids", np.int64), read(left, "tail", np.uint64)
-        words, counts = read(right, "words", np.uint64), read(right, "counts", np.int64)
-        at = np.minimum(np.searchsorted(words, h), max(0, len(words) - 1))
-        known = words[at] == h if len(words) else np.zeros(len(h), bool)
-        logged = np.log10(np.where(known, counts[at] if len(words) else 0, 0) + 0.5)
-        rids, back = np.unique(of, return_inverse=True)
-        return pa.table({"rid": pa.array(rids, pa.int64()), "s": pa.array(np.bincount(back, logged, len(rids))), "k": pa.array(np.bincount(back, known, len(rids)).astype(np.int64))})
-
-    tails = first.select("rid", "tail").mapInArrow(spread, "p int, rids binary, tail binary")
-    sums = tails.groupBy("p").cogroup(table.select("p", "words", "counts").groupBy("p")).applyInArrow(look_up, "rid long, s double, k long")
-    sums = sums.groupBy("rid").agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
-    found = first.drop("tail", "asked", "levels").join(sums, "rid", "left")
-    if model.split:
-        found = found.join(_asked(model, first, table), "rid", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
-    return found.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("s", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(floor))).alias("base_score"), "score",
-    )
+        of, h, places = read(left, "rids", np.int64), read(left, "h", np.uint64), read(left, "places", np.int32)
+        if words:
+            known, counts = read(right, "words", np.uint64), read(right, "counts", np.int64)
+            at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+            count = np.where(known[at] == h, counts[at], 0) if len(known) else np.zeros(len(h), np.int64)
+            level, logged = levels_of(count, 1), np.log10(count + 0.5)
+        else:
+            data = read(right, "rest", np.uint64)
+            distinct, back = np.unique(h, return_inverse=True)
+            level = probed(distinct, data, 0, len(data))[back] if len(data) else np.zeros(len(h), np.int64)
+            count, logged = np.zeros(len(h)), np.zeros(len(h))
+        rids, at, found = _by_row(of, places, level)
+        back = np.searchsorted(rids, of)
+        sums = [np.bincount(back, logged, len(rids)), np.bincount(back, count > 0, len(rids)).astype(np.int64)]
+        return pa.table({"rid": pa.array(rids, pa.int64()), "s": sums[0], "k": sums[1], "at": pa.array(at, pa.binary()), "level": pa.array(found, pa.binary())})
+
+    ranges = table.select("p", *(["words", "counts"] if words else ["rest"]))
+    found = asked.groupBy("p").cogroup(ranges.groupBy("p")).applyInArrow(look_up, "rid long, s double, k long, at binary, level binary")
+    return found.groupBy("rid").agg(F.sum("s").alias("s"), F.sum("k").alias("k"), F.collect_list(F.when(F.length("at") > 0, F.struct("at", "level"))).alias("said"))
+
+
+def _filled(first: DataFrame) -> DataFrame:
+    """first with the levels that the table has said in their places."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = {}
+            for name, said in (("word", "words_said"), ("both", "bigrams_said")):
+                made[name] = []
+                for levels, answers in zip(batch.column(name).to_pylist(), batch.column(said).to_pylist()):
+                    if answers:
+                        own = np.frombuffer(levels, np.uint8).copy()
+                        for x in answers:
+                            own[np.frombuffer(x["at"], np.int32)] = np.frombuffer(x["level"], np.uint8)
+                        levels = own.tobytes()
+                    made[name].append(levels)
+            yield pa.RecordBatch.from_arrays([pa.array(made[n], pa.binary()) if n in made else batch.column(n) for n in names], names=names)
+
+    names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "word", "both"]
+    return first.mapInArrow(run, fields(first, names))
+
+
+def _stacked(batch: pa.RecordBatch, boundary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Levels of the words, the words before, and both, of all tokens of a batch; which tokens begin a text."""
+    word = np.frombuffer(b"".join(batch.column("word").to_pylist()), np.uint8)
+    sizes = np.array(batch.column("n_tokens"), np.int64)
+    firsts = np.cumsum(sizes) - sizes
+    return word, before(word, firsts, boundary), np.frombuffer(b"".join(batch.column("both").to_pylist()), np.uint8), firsts
+
+
+def tallied(levels: DataFrame, boundary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Levels of word, word before, and both, and how many tokens have them: at most some hundred thousand rows, as there
+    are a few dozen levels of each in use."""
 
-def _asked(model: Model, first: DataFrame, table: DataFrame) -> DataFrame:
-    """(rid, more): the sum over a document's tokens that wait for their bigram's level in the table."""
-    parts, bare = model.parts, model.bare()
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rids = np.array(batch.column("rid").to_pylist(), np.int64)
-            asked, levels = batch.column("asked").to_pylist(), batch.column("levels").to_pylist()
-            for lo, hi in slices(asked, 32 << 20):
-                h = np.frombuffer(b"".join(asked[lo:hi]), np.uint64)
-                if not len(h):
-                    continue
-                of, level = np.repeat(rids[lo:hi], [len(x) // 8 for x in asked[lo:hi]]), np.frombuffer(b"".join(levels[lo:hi]), np.uint16)
-                p = range_of(h, parts).astype(np.int64)
-                order = np.argsort(p, kind="stable")
-                cuts = np.searchsorted(p[order], np.arange(parts + 1))
-                full = np.flatnonzero(np.diff(cuts))
-                cut = lambda x: pa.array([x[order][cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary())  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), cut(of), cut(h), cut(level)], names=["p", "rids", "asked", "levels"])
+            word, context, both, _ = _stacked(batch, boundary)
+            code, n = np.unique(word.astype(np.int64) << 16 | context.astype(np.int64) << 8 | both, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
+
+    rows = levels.select("n_tokens", "word", "both").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    code, n = np.array(rows["code"], np.int64), np.array(rows["n"], np.int64)
+    order = np.argsort(code)
+    code, n = code[order], n[order]
+    return code >> 16, code >> 8 & 255, code & 255, n
+
+
+def fit_weights(model: Model, word: np.ndarray, context: np.ndarray, both: np.ndarray, n: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Weights of the bigrams' probability by the context's level, by expectation maximisation on training tokens, each of
+    which is left out of the counts that it is predicted from."""
+    less = lambda k, level: np.maximum(VALUES[k][level] - 1, 0.0)
+    p, total = model.smoothed(less(0, word)), less(0, context)
+    q = np.where(total > 0, np.minimum(1.0, less(1, both) / np.maximum(total, 1e-9)), 0.0)
+    # the weight is that of the context as it is without the token
+    at = levels_of(np.round(total), 1)
+    weights = np.full(256, 0.3)
+    seen = np.bincount(at, n, 256) + 2.0
+    for _ in range(rounds):
+        own = weights[at] * q
+        part = own / np.maximum(own + (1 - weights[at]) * p, 1e-300)
+        weights = (np.bincount(at, part * n, 256) + 0.6) / seen
+    weights = np.clip(weights, 0.0, 0.99)
+    weights[0] = 0.0  # no context, nothing to mix
+    return weights
 
-    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        sums: list[tuple[np.ndarray, np.ndarray]] = []
-        own = bare.of_range(right["rest"][0].as_py(), right["rest_bits"][0].as_py()) if len(right) else bare
-        for rids, asked, levels in zip(*(left[n].to_pylist() for n in ("rids", "asked", "levels"))):
-            level = np.frombuffer(levels, np.uint8).reshape(-1, 2)
-            logs = own.settled(own.level_of_all(np.frombuffer(asked, np.uint64)), level[:, 0], level[:, 1])
-            of, back = np.unique(np.frombuffer(rids, np.int64), return_inverse=True)
-            sums.append((of, np.bincount(back, logs, len(of))))
-        of, s = (np.concatenate([x[i] for x in sums]) if sums else np.zeros(0) for i in (0, 1))
-        return pa.table({"rid": pa.array(of.astype(np.int64)), "s": pa.array(s)})
-
-    rows = first.select("rid", "asked", "levels").mapInArrow(spread, "p int, rids binary, asked binary, levels binary")
-    sums = rows.groupBy("p").cogroup(table.select("p", "rest", "rest_bits").groupBy("p")).applyInArrow(look_up, "rid long, s double")
-    return sums.groupBy("rid").agg(F.sum("s").alias("more"))
+
+def score(docs: DataFrame, held_out: Column, **settings) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; learned from the rows that
+    held_out (a condition on the columns of docs) is not true of.
+
+    Null and empty texts are one end token. Repeated rows are learned from and scored each; a null held_out counts as
+    false. Without training rows all probabilities are equal. Ids keep their type; other columns play no part, whatever
+    their names. Workers hold about 2 MB of text at once, or a longer text.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    model, table = learn(rows.filter(~F.col("held_out")), **settings)
+    shared = spark.sparkContext.broadcast(model)
+    boundary = int(model.levels(np.array([END], np.uint64))[0]) or int(levels_of(model.exact(np.array([END], np.uint64))[1], 1)[0])
+    floor = np.log10(model.tokens + 0.5 * (model.words + 1)) if model.words else np.log10(0.5)
+    first = write_table(_first_pass(rows, shared), "first")
+    words = _answers(_spread(first, "tail", model.parts), table, True)
+    known = [(F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("s", F.lit(0.0))).alias("base")]
+    levels = first
+    if not all(model.whole):
+        bigrams = _answers(_spread(first, "asked", model.parts), table, False).select(F.col("rid").alias("__r"), F.col("said").alias("bigrams_said"))
+        found = first.join(words.withColumnRenamed("said", "words_said"), "rid", "left").join(bigrams, F.col("rid") == F.col("__r"), "left")
+        levels = write_table(_filled(found.select("rid", "doc_id", "held_out", "n_tokens", *known, "word", "both", "words_said", "bigrams_said")), "levels")
+        remove_table(first, table)
+    model.weights = fit_weights(model, *tallied(levels.filter(~F.col("held_out")), boundary))
+    none = np.zeros(0, np.int64)
+    scorer = replace(model, data=none, starts=none, sizes=none, head=none, head_counts=none)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, context, both, firsts = _stacked(batch, boundary)
+            sums = np.add.reduceat(scorer.logs(word, context, both), firsts) if len(firsts) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(sums)], names=[*names, "score"])
+
+    names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base"]
+    scored = levels.select(*names, "word", "both").mapInArrow(run, fields(levels, names, "score double"))
+    if all(model.whole):
+        scored = scored.join(words.drop("said"), "rid", "left").select("doc_id", "held_out", "n_tokens", *known, "score")
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * F.lit(float(floor))).alias("base_score"), "score",
+    )
 
 
 def report(docs: DataFrame) -> DataFrame:

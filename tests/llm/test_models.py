@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import _labels, graph_ann, lm_scoring, preference, quality_gam, simhash, toxicity, url_filter
+from tessella.llm import _common, _labels, graph_ann, lm_scoring, preference, quality_gam, simhash, toxicity, url_filter
 
 SF = "/root/testdata/sf0.01"
 
@@ -54,25 +54,83 @@ def test_language_model(docs, rows):
     assert lm_scoring.score(alone, lm_scoring.F.lit(True)).first().train_tokens == 0
 
 
-def test_language_model_is_whole_beyond_the_head(docs):
-    held_out = F.col("doc_id") % 5 == 1
-    scores = [{r.doc_id: r.score / r.n_tokens for r in lm_scoring.score(docs, held_out, **x).collect()} for x in ({}, {"filter_bytes": 1 << 16})]
-    gaps = [abs(scores[0][i] - scores[1][i]) for i in scores[0]]
-    # what is left is within the false hits of the filters; without the rest in the table the mean is 0.67
-    assert sum(gaps) / len(gaps) < 0.03 and max(gaps) < 0.5
+def by_hand(rows, held_out, weights_of=None):
+    """Scores from exact counts, quantised as the filter quantises them, and weights fitted token by token."""
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    tokens = [[None, *re.findall("[^\x20\x09-\x0d]+", lower(t)), None] for _, t in rows]
+    train = [t for (d, _), t in zip(rows, tokens) if not held_out(d)]
+    one, two = collections.Counter(w for t in train for w in t[1:]), collections.Counter(p for t in train for p in zip(t, t[1:]))
+    n, v = sum(one.values()), len(one)
+    level = lambda c, k: 1 + math.floor(math.log(c) / math.log((1.25, 1.6)[k]) + 1e-9) if c else 0
+
+    def value(c, k):
+        if not c:
+            return 0.0
+        base, x = (1.25, 1.6)[k], level(c, k)
+        low = math.ceil(base ** (x - 1) - 1e-9)
+        return math.sqrt(low * max(low, math.ceil(base**x - 1e-9) - 1))
+
+    def parts(a, b, less):
+        c, both, total = (max(value(x, k) - less, 0) for x, k in ((one[b], 0), (two[a, b], 1), (one[a], 0)))
+        at = level(round(total), 0) if less else level(one[a], 0)
+        return (c + 0.5) / (n + 0.5 * (v + 1)), min(1.0, both / total) if total > 0 else 0.0, at
+
+    seen = [parts(a, b, 1.0) for t in train for a, b in zip(t, t[1:])]
+    w = collections.defaultdict(lambda: 0.3)
+    size = collections.Counter(at for *_, at in seen)
+    for _ in range(30):
+        total = collections.Counter()
+        for p, q, at in seen:
+            total[at] += w[at] * q / max(w[at] * q + (1 - w[at]) * p, 1e-300)
+        w = collections.defaultdict(lambda: 0.3, {at: (total[at] + 0.6) / (size[at] + 2.0) for at in range(256)})
+    w = {at: min(max(x, 0.0), 0.99) if at else 0.0 for at, x in w.items()}
+    out = []
+    for t in tokens:
+        each = [parts(a, b, 0.0) for a, b in zip(t, t[1:])]
+        out.append(sum(math.log10(w[at] * q + (1 - w[at]) * p) for p, q, at in each))
+    return out
+
+
+def test_language_model_scores(spark, docs, rows):
+    out = lambda d: d is not None and fold(d, 5) == 1
+    want = by_hand(rows, out)
+    exact = sorted((str(d), len(t), round(s, 4)) for (d, t), s in zip(rows, want))
+    given = {str(d): (s, len(re.findall("[^\x20\x09-\x0d]+", t)) + 1) for (d, t), s in zip(rows, want)}
+    sized = docs.withColumn("n_known", F.lit("clash")).withColumn("rid", F.lit(1))
+    for settings, most in (({}, 0.01), ({"filter_bytes": 20_000}, 0.03), ({"filter_bytes": 0}, 0.03), ({"filter_bytes": 60_000, "range_bytes": 100_000, "head": 300}, 0.03)):
+        got = lm_scoring.score(sized, lm_scoring.fold("doc_id", 5) == 1, **settings).collect()
+        gaps = [abs(r.score - given[str(r.doc_id)][0]) / r.n_tokens for r in got]
+        # false hits of the filter are all that parts them
+        assert sum(gaps) / len(gaps) < most and max(gaps) < 2, settings
+    # and with bits to spare nothing does
+    few = [(d, t) for d, t in rows if d is None or d % 4 == 0 or d > 900_000]
+    want = sorted((str(d), round(s, 6)) for (d, _), s in zip(few, by_hand(few, out)))
+    some = docs.filter("doc_id is null or doc_id % 4 = 0 or doc_id > 900000")
+    for settings in ({}, {"filter_bytes": 2_000_000}):
+        got = lm_scoring.score(some, lm_scoring.fold("doc_id", 5) == 1, per_level=2000, **settings).collect()
+        assert [(i, pytest.approx(s, abs=2e-6)) for i, s in want] == sorted((str(r.doc_id), round(r.score, 6)) for r in got)
+
+
+def test_words_of_long_texts(monkeypatch):
+    texts = [b"Ab  cd" * 50, b"", b"x" * 900, b" a b ", b"w1 w2\tw3\n" * 40]
+    want = _common.word_hashes(texts)
+    monkeypatch.setattr(_common, "CHUNK", 100)
+    got = _common.word_hashes(texts)
+    assert (want[0] == got[0]).all() and (want[1] == got[1]).all() and want[1].tolist() == [len(t.split()) for t in texts]
 
 
 def test_filter_keeps_levels():
     rng = np.random.default_rng(0)
-    h, c = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64)), None
+    h = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64))
     c = rng.integers(1, 300, len(h))
-    data, bits, least = lm_scoring.region([(h, c), (h[:0], c[:0])], 1 << 30)
-    model = lm_scoring.Model(1, np.frombuffer(data, np.uint8), np.zeros(1, np.int64), np.array([bits], np.uint64), h[:0], c[:0], 1, 1, 2, [])
-    level = model.levels(h)
-    assert least == 1 and (level >= lm_scoring.levels_of(c, 1)).all() and (level == lm_scoring.levels_of(c, 1)).mean() > 0.95
-    assert (model.levels(rng.integers(0, 1 << 63, 5000, dtype=np.uint64)) > 0).mean() < 0.05
-    small, bits, least = lm_scoring.region([(h[:10], c[:10]), (h, c)], 2000)
-    assert least > 1
+    none = (h[:0], c[:0])
+    data, *least = lm_scoring.region((h, c), none, 1e9)
+    level = lm_scoring.probed(h, data, 0, len(data))
+    assert least == [1, 1] and (level >= lm_scoring.levels_of(c, 1)).all() and (level == lm_scoring.levels_of(c, 1)).mean() > 0.95
+    assert (lm_scoring.probed(rng.integers(0, 1 << 63, 5000, dtype=np.uint64), data, 0, len(data)) > 0).mean() < 0.03
+    for words, bigrams in (((h[:10], c[:10]), (h, c)), ((h, c), (h, c))):
+        data, *least = lm_scoring.region(words, bigrams, 20_000)
+        assert least[1] > 1 and len(data) * 64 <= 20_064 and (least[0] > 1) == (len(words[0]) > 10)
 
 
 def accuracy(spark, got, label, parts, remainder):
@@ -418,7 +476,7 @@ def test_near_dedup_joins_within_buckets(spark):
         assert sorted(set(group.values())) == want
 
 
-def test_near_dedup_within_a_passage_of_all(spark):
+def test_near_dedup_within_a_passage_of_all(spark, monkeypatch):
     # pairs of similarity 0.84 that share 600 words with all others, to which they have 0.48
     dice = random.Random(8)
     word = lambda: f"w{dice.randrange(10**6)}"
@@ -431,6 +489,8 @@ def test_near_dedup_within_a_passage_of_all(spark):
     assert sorted(set(joined(texts[:60]))) == list(range(0, 60, 2))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.near_dedup(df).collect()) == list(range(0, 400, 2))
+    monkeypatch.setattr(simhash, "FEW", 1)
+    assert sorted(r.doc_id for r in simhash.near_dedup(df).collect()) == list(range(0, 400, 2))
 
 
 def test_near_dedup_keeps_columns_and_repeated_rows(spark):
