@@ -198,8 +198,9 @@ def similar_links(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataF
     hubs = write_table(hubs.filter("n > 1").select(F.col("kind").alias("k"), F.col("least").alias("l"), "x.hub", "x.hub_size"), "hubs")
     near = F.least("size", "hub_size") >= similarity * F.greatest("size", "hub_size")
     met = filed.join(hubs, (F.col("kind") == F.col("k")) & (F.col("least") == F.col("l")) & (F.col("rid") != F.col("hub")) & near).select(F.col("rid").alias("u"), F.col("hub").alias("v"))
-    pairs = close.unionByName(same).unionByName(met).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    sets = lambda name, c: rows.select(F.col("rid").alias(name), F.col("shingles").alias(c))
+    pairs = write_table(close.unionByName(same).unionByName(met).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    both = _sets(rows, pairs.select(F.explode(F.array("u", "v")).alias("rid")))
+    sets = lambda name, c: both.select(F.col("rid").alias(name), F.col("shingles").alias(c))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,8 +213,19 @@ def similar_links(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataF
     return pairs.join(sets("u", "x"), "u").join(sets("v", "y"), "v").select("u", "v", "x", "y").mapInArrow(verify, "u long, v long")
 
 
+#: Most rows whose numbers are broadcast to pick their sets out; the sets of more meet in a shuffle with all others.
+FEW = 1 << 20
+
+
+def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rid, shingles) of the wanted rows (rid); of all, where too many are wanted to say which."""
+    wanted = wanted.distinct()
+    sets = rows.select("rid", "shingles")
+    return sets.join(F.broadcast(wanted), "rid", "left_semi") if wanted.limit(FEW + 1).count() <= FEW else sets
+
+
 #: Entries of shingle sets in a block of a bucket, of which a task holds two.
-BLOCK = 2 << 20
+BLOCK = 1 << 17
 #: Most entries that are put last in the order of prefixes, and so the size of a broadcast (8 bytes each).
 COMMON = 1 << 20
 
@@ -293,13 +305,13 @@ def _compared(rows: DataFrame, filed: DataFrame, buckets: DataFrame, similarity:
     them, and each two of them meet in a task."""
     mine = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
     dealt = _within(filed, buckets).select("rid", "label", "k", "l", "blocks", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.filter("blocks = 1 or mine <> other").select("rid", "label", "k", "l", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
+    dealt = write_table(dealt.filter("blocks = 1 or mine <> other").select("rid", "label", "k", "l", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b")), "dealt")
 
     def join(table: pa.Table) -> pa.Table:
         links = joined_labels(np.array(table["label"]), [_unpacked(x.as_buffer()) for x in table["shingles"]], similarity)
         return pa.table({name: pa.array([x[i] for x in links], pa.int64()) for i, name in enumerate("uv")})
 
-    return dealt.join(rows.select("rid", "shingles"), "rid").groupBy("k", "l", "a", "b").applyInArrow(join, "u long, v long")
+    return dealt.join(_sets(rows, dealt.select("rid")), "rid").groupBy("k", "l", "a", "b").applyInArrow(join, "u long, v long")
 
 
 def _prefix_filings(sets: DataFrame, similarity: float, common: int = COMMON) -> DataFrame:
@@ -353,7 +365,7 @@ def bucket_links(rows: DataFrame, labels: DataFrame, similarity: float, block: i
     if large.isEmpty():
         return small
     hot = _within(filed, large).select("rid", "label", "size").distinct()
-    sets = write_table(hot.join(rows.select("rid", "shingles"), "rid"), "hot")
+    sets = write_table(hot.join(_sets(rows, hot.select("rid")), "rid"), "hot")
     again = write_table(_prefix_filings(sets, similarity), "filed")
     return small.unionByName(_compared(sets, again, _open_buckets(again, block), similarity))
 
