@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .words import STOPWORDS
+from .words import SEARCH_STOPWORDS, STOPWORDS
 
 
 def _c(c: Column | str) -> Column:
@@ -73,6 +73,12 @@ def words(c: Column | str) -> Column:
     return F.filter(F.split(F.lower(F.trim(_c(c))), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def search_words(c: Column | str) -> Column:
+    """Words that a search looks for: without the short list of function words."""
+    stop = F.array(*[F.lit(w) for w in SEARCH_STOPWORDS])
+    return F.filter(words(c), lambda w: ~F.array_contains(stop, w))
+
+
 def feature_words(c: Column | str, stopwords=STOPWORDS) -> Column:
     """Words that may make features: no stop words, longer than a character, not all digits."""
     stop = F.array(*[F.lit(w) for w in stopwords])
@@ -238,16 +244,25 @@ def expand_synonyms(tokens: Column | str, rules: dict[str, list[str]]) -> Column
     return F.flatten(F.transform(_c(tokens), lambda t: F.coalesce(F.try_element_at(table, t), F.array(t))))
 
 
-def highlight(c: Column | str, terms: list[str], before: str = "<em>", after: str = "</em>", fragment: int = 100) -> Column:
-    """The fragment around the first matching word with all matching words wrapped; null without a match. Fragment 0 is
-    the whole text."""
+def highlight(c: Column | str, terms: list[str], before: str = "<em>", after: str = "</em>", fragment: int = 100, slop: float = 0.5, alternate: Column | str | None = None) -> Column:
+    """The best fragment with all matching words wrapped: of the fragments that go from shortly before a match on and do
+    not overlap, the first of those with the most matches. It has about `fragment` characters, up to `slop` of that more
+    to end with a word. Fragment 0 is the whole text. Without a match the beginning of the alternate field, if given,
+    else null. Words are runs of ASCII letters, digits and underscores, in either case."""
     import re
 
-    pattern = r"(?i)\b(" + "|".join(re.escape(t) for t in terms) + r")\b"
+    word = "[A-Za-z0-9_]"
+    one = rf"(?<!{word})(?:" + "|".join(re.escape(t) for t in terms) + rf")(?!{word})"
     text = _c(c)
-    at = F.regexp_instr(text, F.lit(pattern))
-    part = text if fragment == 0 else F.substring(text, F.greatest(at - fragment // 2, F.lit(1)), F.lit(fragment))
-    return F.when(at > 0, F.regexp_replace(part, pattern, before.replace("$", r"\$") + "$1" + after))
+    wrapped = lambda x: F.regexp_replace(x, f"(?i)({one})", before.replace("$", r"\$") + "$1" + after.replace("$", r"\$"))
+    if fragment == 0:
+        best = F.when(text.rlike(f"(?i){one}"), wrapped(text))
+    else:
+        lead = fragment // 4
+        found = F.regexp_extract_all(text, F.lit(rf"(?is).{{0,{lead}}}?{one}.{{0,{max(0, fragment - lead)}}}{word}{{0,{int(slop * fragment)}}}"), F.lit(0))
+        placed = F.transform(found, lambda x, i: F.struct(F.regexp_count(x, F.lit(f"(?i){one}")).alias("n"), (-i).alias("first"), x.alias("part")))
+        best = wrapped(F.array_max(placed)["part"])
+    return best if alternate is None else F.coalesce(best, F.substring(_c(alternate), 1, fragment) if fragment else _c(alternate))
 
 
 # -- dates and signatures ----------------------------------------------------------------------------------------------
@@ -267,8 +282,6 @@ def feed_date(*cs: Column | str) -> Column:
 def signature(*cs: Column | str) -> Column:
     """md5 of the fields joined by a bar; null reads as empty."""
     return F.md5(F.concat_ws("|", *[F.coalesce(_c(c).cast("string"), F.lit("")) for c in cs]))
-
-
 # -- display values ----------------------------------------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import similarity as sim
+from .ingest import first_rows
 from .store import write_table
 
 
@@ -30,9 +31,10 @@ def nearest_cluster(docs: DataFrame, v: DataFrame, least: float = sim.THRESHOLD,
     return docs.select("id", "clusterid").join(first, "id", "left").select("id", F.coalesce("found", "clusterid").alias("clusterid"))
 
 
-def assign(docs: DataFrame, v: DataFrame, **settings) -> DataFrame:
-    """docs, one row for each id, with new cluster ids and marked as clustered."""
-    own = docs.dropDuplicates(["id"])
+def assign(docs: DataFrame, v: DataFrame, order: tuple[str, ...] = (), **settings) -> DataFrame:
+    """docs, of several rows with one id the first by the columns in order (then by the others), with new cluster ids and
+    marked as clustered."""
+    own = first_rows(docs, "id", list(order))
     found = nearest_cluster(own, v, **settings).withColumnRenamed("clusterid", "__new")
     return own.join(found, "id").withColumns({"clusterid": F.col("__new"), "clustered": F.lit(True)}).select(*docs.columns)
 
@@ -158,23 +160,78 @@ def canopy(points: DataFrame, t1: float, t2: float, column: str = "embedding", k
     return points.select(key, column).mapInPandas(run, schema)
 
 
+#: Bytes of centres up to which they are broadcast.
+CENTRES = 64 << 20
+
+
+def dense_kmeans(points: DataFrame, centres: DataFrame, column: str = "embedding", key: str = "vec_id", rounds: int = 10) -> DataFrame:
+    """(key, cluster) by Lloyd's steps with cosine distance from given centres (cluster, vector), as sparse_kmeans(): ties
+    go to the lowest cluster, and centres that lose all members stay where they are and attract nobody.
+
+    Points are multiplied with all centres batch by batch, and a batch gives sums by cluster, so a round moves a few
+    numbers for each batch and cluster. Centres of more than CENTRES bytes are joined feature by feature instead. Stops
+    when no assignment changes. A point or a centre of length 0 is at distance 1 of all.
+    """
+    points = points.select(F.col(key), F.col(column).cast("array<double>").alias("x")).filter("x is not null")
+    centres = write_table(centres.select("cluster", F.col("vector").cast("array<double>").alias("vector")), "centres")
+    size = centres.agg(F.count("*"), F.max(F.size("vector"))).first()
+    if size[0] * (size[1] or 0) * 8 > CENTRES:
+        long = lambda df, name, x: df.select(F.col(name), F.posexplode(x).alias("feature", "weight"))
+        return sparse_kmeans(long(points, key, "x").withColumnRenamed(key, "id"), long(centres, "cluster", "vector"), rounds).withColumnRenamed("id", key)
+    names = T.StructType([T.StructField(key, points.schema[key].dataType), T.StructField("cluster", centres.schema["cluster"].dataType)])
+    assigned = None
+    for _ in range(rounds):
+        have = centres.orderBy("cluster").toArrow()  # of a checked size
+        shared = points.sparkSession.sparkContext.broadcast((np.array(have["cluster"].to_pylist()), np.array(have["vector"].to_pylist(), float)))
+
+        def unit(x: np.ndarray) -> np.ndarray:
+            return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+        def nearest(frame: pd.DataFrame, shared=shared) -> tuple[np.ndarray, np.ndarray]:
+            x = np.stack(frame["x"].to_list())
+            return x, np.round(1 - unit(x) @ unit(shared.value[1]).T, 12).argmin(1)
+
+        def label(frames: Iterator[pd.DataFrame], nearest=nearest, shared=shared) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if len(frame):
+                    yield pd.DataFrame({key: frame[key], "cluster": shared.value[0][nearest(frame)[1]]})
+
+        def add_up(frames: Iterator[pd.DataFrame], nearest=nearest, shared=shared) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if len(frame):
+                    x, at = nearest(frame)
+                    some, back, n = np.unique(at, return_inverse=True, return_counts=True)
+                    sums = np.zeros((len(some), x.shape[1]))
+                    np.add.at(sums, back, x)
+                    yield pd.DataFrame({"cluster": shared.value[0][some], "n": n, "sums": list(sums)})
+
+        new = write_table(points.mapInPandas(label, names), "assigned")
+        if assigned is not None and assigned.exceptAll(new).isEmpty():
+            return new
+        assigned = new
+        parts = points.mapInPandas(add_up, T.StructType([names["cluster"], *T.StructType.fromDDL("n long, sums array<double>")]))
+        each = parts.select("cluster", "n", F.posexplode("sums").alias("i", "x")).groupBy("cluster", "i").agg((F.sum("x") / F.sum("n")).alias("x"))
+        moved = each.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("vector"))
+        centres = write_table(moved, "centres")
+    return assigned
+
+
 def canopy_kmeans(points: DataFrame, t1: float = 0.75, t2: float = 0.7, column: str = "embedding", key: str = "vec_id", rounds: int = 10) -> DataFrame:
     """(key, cluster): k-means whose first centres are the canopies' centres."""
     members = canopy(points, t1, t2, column, key)
-    at = members.select(F.col("canopy").alias(key)).distinct()
-    long = points.select(F.col(key).alias("id"), F.posexplode(column).alias("feature", "weight")).withColumn("weight", F.col("weight").cast("double"))
-    first = long.join(at, long["id"] == at[key], "left_semi").select(F.col("id").alias("cluster"), "feature", "weight")
-    return sparse_kmeans(long, first, rounds).withColumnRenamed("id", key)
+    first = points.join(members.select(F.col("canopy").alias(key)).distinct(), key, "left_semi")
+    return dense_kmeans(points, first.select(F.col(key).alias("cluster"), F.col(column).alias("vector")), column, key, rounds)
 
 
 def batch_clusters(points: DataFrame, method: str = "canopy+kmeans", key: str = "vec_id", column: str = "embedding", **settings) -> DataFrame:
-    """(id, cluster) by canopies and k-means, canopies alone (the first of a point's), or k-means alone."""
+    """(id, cluster) by canopies and k-means, canopies alone (the first of a point's), or k-means alone (default_k() of the
+    points unless k is given)."""
     if method == "canopy+kmeans":
         out = canopy_kmeans(points, key=key, column=column, **settings).select(F.col(key).alias("id"), "cluster")
     elif method == "canopy":
         out = canopy(points, settings.get("t1", 0.8), settings.get("t2", 0.7), column, key).groupBy(F.col(key).alias("id")).agg(F.min("canopy").alias("cluster"))
     elif method == "kmeans":
-        out = kmeans(points, settings.get("k", 2000), column, settings.get("rounds", 10), settings.get("tolerance", 0.1)).select(F.col(key).alias("id"), "cluster")
+        out = kmeans(points, settings.get("k") or default_k(points.count()), column, settings.get("rounds", 10), settings.get("tolerance", 0.1)).select(F.col(key).alias("id"), "cluster")
     else:
         raise ValueError(f"unknown method {method}")
     return out.select(F.col("id").cast("string").alias("id"), F.concat(F.lit("mahout"), F.col("cluster").cast("string")).alias("cluster"))
@@ -217,15 +274,6 @@ def phrase_clusters(page: DataFrame, words: Column, base: int = 20, overlap: flo
     return page.sparkSession.createDataFrame(rows, "cluster int, label string, docs array<string>, score double")
 
 
-def bisecting(points: DataFrame, k: int, column: str = "embedding", seed: int = 7) -> DataFrame:
-    """points with cluster, by bisecting k-means."""
-    from pyspark.ml.clustering import BisectingKMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = points.withColumn("__x", array_to_vector(F.col(column).cast("array<double>")))
-    return BisectingKMeans(featuresCol="__x", predictionCol="cluster", k=k, seed=seed).fit(rows).transform(rows).drop("__x")
-
-
 def result_clusters(page: DataFrame, clusters: DataFrame, most: int = 8) -> DataFrame:
     """(label, docs) with the documents of each cluster in its order, the first `most`; ids not on the page are left out."""
     each = clusters.select("cluster", "label", F.posexplode("docs").alias("pos", "id")).join(page.select("id", F.struct("*").alias("doc")), "id")

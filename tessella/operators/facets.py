@@ -80,9 +80,23 @@ def by_size(grouped: DataFrame) -> DataFrame:
     return grouped.orderBy(F.size("similar").desc(), F.col("rank").desc())
 
 
-def field_stats(df: DataFrame) -> DataFrame:
-    """(field, type, docs, distinct): for each field how many rows have it and about how many values it has, in one pass."""
-    plain = [f for f in df.schema.fields if not isinstance(f.dataType, ArrayType)]
-    counts = df.agg(*[x for i, f in enumerate(plain) for x in (F.count(F.col(f"`{f.name}`")).alias(f"n{i}"), F.approx_count_distinct(F.col(f"`{f.name}`")).alias(f"d{i}"))])
-    rows = [F.struct(F.lit(f.name).alias("field"), F.lit(f.dataType.simpleString()).alias("type"), F.col(f"n{i}").alias("docs"), F.col(f"d{i}").alias("distinct")) for i, f in enumerate(plain)]
-    return counts.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+def field_stats(df: DataFrame, exact: bool = False) -> DataFrame:
+    """(field, type, docs, distinct): for each field how many rows have it and how many values it has; of a list field,
+    how many rows have elements and how many elements there are. In one pass, with distinct values estimated; or
+    exactly, at the cost of a shuffle of each field's values."""
+    rows, counts = [], []
+    for i, f in enumerate(df.schema.fields):
+        listed = isinstance(f.dataType, ArrayType)
+        c = F.col(f"`{f.name}`")
+        rows.append(F.struct(F.lit(f.name).alias("field"), F.lit(f.dataType.simpleString()).alias("type"), F.col(f"n{i}").alias("docs"), F.col(f"d{i}").alias("distinct")))
+        counts.append(F.count_if(F.size(c) > 0).alias(f"n{i}") if listed else F.count(c).alias(f"n{i}"))
+        if not listed and not exact:
+            counts.append(F.approx_count_distinct(c).alias(f"d{i}"))
+    out = df.agg(*counts)
+    for i, f in enumerate(df.schema.fields):
+        listed = isinstance(f.dataType, ArrayType)
+        if listed or exact:  # a row each, beside the one row of counts
+            values = df.select((F.explode(F.col(f"`{f.name}`")) if listed else F.col(f"`{f.name}`")).alias("x")).filter("x is not null")
+            own = values.groupBy("x").count().agg(F.count("*").alias(f"d{i}")) if exact else values.agg(F.approx_count_distinct("x").alias(f"d{i}"))
+            out = out.crossJoin(F.broadcast(own))
+    return out.select(F.explode(F.array(*rows)).alias("x")).select("x.*")

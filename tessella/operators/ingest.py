@@ -23,16 +23,23 @@ def item_id() -> Column:
     return F.coalesce(text.id_slug("link"), text.slug("title"))
 
 
-def new_items(items: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:
-    """Items whose id is not stored yet; of several with one id the first in the given order.
+def first_rows(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Of several rows with one key the first in the given order, ties by the other columns from left to right; a null
+    comes before all values.
 
-    The first is picked by a partial minimum of (order, rest of the row) before any shuffle, so a popular id costs a
-    row for each task, not a sort of all its copies.
+    The first is picked by a partial minimum of (order, rest of the row) before any shuffle, so a popular key costs a row
+    for each task, not a sort of all its copies.
     """
-    rest = [c for c in items.columns if c not in ("id", *order)]
-    least = F.min(F.struct(*[F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v")).alias(c) for c in [*order, *rest]])).alias("x")
-    first = items.groupBy("id").agg(least).select("id", *[F.col(f"x.{c}.v").alias(c) for c in [*order, *rest]]).select(*items.columns)
-    return first.join(existing.select("id").distinct(), "id", "left_anti").select(*items.columns)
+    rest = [c for c in df.columns if c not in (key, *order)]
+    if not [*order, *rest]:
+        return df.distinct()
+    least = F.min(F.struct(*[F.struct(F.col(c).isNotNull().alias("n"), F.col(c).alias("v")).alias(c) for c in [*order, *rest]])).alias("x")
+    return df.groupBy(key).agg(least).select(key, *[F.col(f"x.{c}.v").alias(c) for c in [*order, *rest]]).select(*df.columns)
+
+
+def new_items(items: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:
+    """Items whose id is not stored yet; of several with one id the first in the given order."""
+    return first_rows(items, "id", order).join(existing.select("id").distinct(), "id", "left_anti").select(*items.columns)
 
 
 def analyse(items: DataFrame, stemmed: bool = True) -> DataFrame:
@@ -70,23 +77,13 @@ def process_items(items: DataFrame, feeds: DataFrame, existing: DataFrame, stemm
 
 
 def upsert(stored: DataFrame, changed: DataFrame, version: str) -> DataFrame:
-    """stored with the rows of changed in place of those with the same id; of several the greatest version wins."""
+    """stored with the rows of changed in place of those with the same id; of several the greatest version wins, and of
+    several with that the greatest row by its columns from left to right."""
     rest = [c for c in changed.columns if c not in ("id", version)]
     newest = changed.groupBy("id").agg(F.max(F.struct(version, *rest)).alias("x")).select("id", "x.*").select(*[c for c in stored.columns])
     return stored.join(newest.select("id"), "id", "left_anti").select(*stored.columns).unionByName(newest)
 
 
-def feature_backfill(docs: DataFrame) -> DataFrame:
-    """Stored articles with ids, n-grams and parties computed again."""
-    party = text.parties("title")
-    return docs.withColumns(
-        {
-            "ngram": text.with_fallback(text.title_ngrams("title"), "id"), "clusterid": F.col("id"), "mahoutclusterid": F.col("id"),
-            "plaintiff": party["plaintiff"], "defendant": party["defendant"],
-        }
-    )
-
-
 def quarantine(items: DataFrame, bad: Column) -> tuple[DataFrame, DataFrame]:
     """Good rows, and the bad ones aside."""
     return items.filter(~F.coalesce(bad, F.lit(True))), items.filter(F.coalesce(bad, F.lit(True)))

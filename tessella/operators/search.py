@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..plans.querystring import Compiler, parse
 from . import facets
-from . import similarity as sim
 
 
 @dataclass
@@ -118,17 +117,25 @@ def suggest(docs: DataFrame, prefix: str, column: str = "entity", limit: int = 1
 def spell(words: DataFrame, dictionary: DataFrame, most: int = 2) -> DataFrame:
     """(word, suggestion): the dictionary's nearest term (term, df) by edit distance, then frequency, then spelling.
 
-    Candidates share a variant with up to `most` letters left out (one deletion on either side covers a distance of one;
-    the first letters' deletions suffice for short words), so words meet terms by equality, not all with all.
+    A term is cut into most + 1 parts; of a word within `most` edits at least one part is left as it is and moved by at
+    most that (Li et al., 2011). So a term is filed under each of its parts, a word looks for them where they may be, and
+    they meet by equality: a few rows for each term, however long it is.
     """
-    def variants(c: str) -> Column:
-        drop = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
-        one = drop(F.col(c))
-        return F.array_distinct(F.flatten(F.array(F.array(F.col(c)), one, F.flatten(F.transform(one, drop))))) if most > 1 else F.array_distinct(F.flatten(F.array(F.array(F.col(c)), one)))
-
-    left = words.select("word").distinct().select("word", F.explode(variants("word")).alias("key"))
-    right = dictionary.select("term", "df", F.explode(variants("term")).alias("key"))
-    pairs = left.join(right, "key").select("word", "term", "df").distinct().withColumn("d", F.levenshtein("word", "term")).filter(F.col("d").between(1, most))
+    count = most + 1
+    # the parts of a term of n letters: the first ones are the shorter ones
+    size = lambda n, i: F.floor((n + i) / count).cast("int")
+    start = lambda n, i: sum((size(n, j) for j in range(i)), F.lit(1))
+    cut = lambda text, at, n: F.substring(text, at, n)
+    length = F.length("term")
+    filed = F.array(*[F.struct(length.alias("n"), F.lit(i).alias("i"), cut(F.col("term"), start(length, i), size(length, i)).alias("part")) for i in range(count)])
+    looked = [
+        F.struct(n.alias("n"), F.lit(i).alias("i"), cut(F.col("word"), start(n, i) + move, size(n, i)).alias("part"))
+        for n in (F.length("word") + d for d in range(-most, most + 1)) for i in range(count) for move in range(-most, most + 1)
+    ]
+    left = words.select("word").distinct().select("word", F.explode(F.array_distinct(F.array(*looked))).alias("key")).filter("key.n > 0")
+    right = dictionary.select("term", "df", F.explode(filed).alias("key"))
+    near = F.levenshtein("word", "term", most)
+    pairs = left.join(right, "key").select("word", "term", "df").distinct().withColumn("d", near).filter(F.col("d").between(1, most))
     best = pairs.groupBy("word").agg(F.min(F.struct("d", (-F.col("df")).alias("n"), "term")).alias("x"))
     return best.select("word", F.col("x.term").alias("suggestion"), F.col("x.d").alias("distance"))
 
@@ -148,9 +155,3 @@ def analysis(docs: DataFrame, column: str) -> DataFrame:
     stages = {"words": text.words(column), "features": text.feature_words(column), "stems": stem_words()(text.feature_words(column))}
     rows = F.array(*[F.struct(F.lit(n).alias("stage"), c.alias("tokens")) for n, c in stages.items()])
     return docs.select("id", F.explode(rows).alias("x")).select("id", "x.*")
-
-
-def similar_articles(docs: DataFrame, v: DataFrame, rows: int = 10) -> DataFrame:
-    return sim.candidates(docs, v, rows)
-
-

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +65,10 @@ def handler(collection: Collection, name: str) -> Callable:
     return lambda *a: HANDLERS[name](collection, *a)
 
 
-def ping(collection: Collection) -> bool:
-    """A canned query that must run."""
-    return collection.docs.limit(1).count() >= 0
+def ping(collection: Collection, wanted: tuple[str, ...] = ("id", "title", "clusterid")) -> bool:
+    """Whether a canned query can be answered: the collection can be read, has the fields that the others ask for, and is
+    not empty."""
+    try:
+        return not collection.docs.select(*wanted).limit(1).isEmpty()
+    except PySparkException:
+        return False

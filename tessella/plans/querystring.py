@@ -124,12 +124,12 @@ class Compiler:
                 return F.coalesce(F.concat(F.lit(" "), F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "), F.lit(" ")).contains(" " + " ".join(re.findall("[a-z0-9]+", node.value.lower())) + " "), F.lit(False))
             return F.coalesce(F.col(name) == F.lit(node.value), F.lit(False))
         if node.kind == "range":
-            c, out = F.col(node.name or self.default), F.lit(True)
-            if node.value != "*":
-                out = out & (c >= F.lit(node.value).cast("double") if _number(node.value) else c >= F.lit(node.value))
-            if node.upper != "*":
-                out = out & (c <= F.lit(node.upper).cast("double") if _number(node.upper) else c <= F.lit(node.upper))
-            return F.coalesce(c.isNotNull() & out, F.lit(False))
+            c = F.col(node.name or self.default)
+            out = c.isNotNull()
+            for bound, holds in ((node.value, lambda x, y: x >= y), (node.upper, lambda x, y: x <= y)):
+                if bound != "*":
+                    out = out & self._bounded(c, bound, holds)
+            return out
         must = [p for p in node.parts if p.occur == "+" or (node.kind == "and" and p.occur != "-")]
         never = [p for p in node.parts if p.occur == "-"]
         maybe = [p for p in node.parts if p not in must and p not in never]
@@ -145,6 +145,15 @@ class Compiler:
             out = out & some
         return out
 
+    @staticmethod
+    def _bounded(c: Column, bound: str, holds) -> Column:
+        """Whether a field's value keeps to a bound. Numbers in a text field are compared as numbers and what is none is
+        outside; the type decides before the query runs, so on a number the plain comparison is pushed down."""
+        if not _number(bound):
+            return holds(c, F.lit(bound))
+        number = c.try_cast("double")
+        return F.when(F.typeof(c) == "string", number.isNotNull() & holds(number, F.lit(float(bound)))).otherwise(holds(c, F.lit(float(bound)) if "." in bound else F.lit(int(bound))))
+
     def score(self, node: Node) -> Column:
         """The sum of the boosts of the terms that match; what must not match adds nothing."""
         if node.kind in ("all", "term", "range"):

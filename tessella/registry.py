@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import markup, text
-from .functions.words import STOPWORDS
+from .functions.words import SEARCH_STOPWORDS, STOPWORDS
 from .operators import clustering, facets, features, ingest, search
 from .operators import similarity as sim
 from .sources import feeds
@@ -36,25 +36,35 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # -- the article view --------------------------------------------------------------------------------------------------
 
 
-def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles with title bigrams (function words and all), capitalised words as entities, and title slugs as cluster
-    ids, which is how stored documents start."""
-    w = text.words("title")
+def _articles(spark: SparkSession, sf_dir: str, field: str = "title") -> DataFrame:
+    """Articles with the bigrams (function words and all) and capitalised words (as entities) of a field, and title slugs
+    as cluster ids, which is how stored documents start."""
     rows = feeds.article_rows(spark, sf_dir)
-    entity = F.sort_array(F.array_distinct(F.regexp_extract_all("title", F.lit("[A-Z][a-z]+"), F.lit(0))))
+    entity = F.sort_array(F.array_distinct(F.regexp_extract_all(field, F.lit("[A-Z][a-z]+"), F.lit(0))))
     return rows.withColumns(
-        {"ngram": F.array_distinct(text.ngrams(w, 2, 2)), "entity": entity, "clusterid": text.slug("title"), "clustered": F.lit(False)}
+        {"ngram": F.array_distinct(text.ngrams(text.words(field), 2, 2)), "entity": entity, "clusterid": text.slug("title"), "clustered": F.lit(False)}
     ).withColumn("entitykey", F.col("entity"))
 
 
-_A = """a AS MATERIALIZED (SELECT CAST(doc_id AS VARCHAR) AS id, substring(text, 1, 200) AS title, text AS body, source AS feed, lang AS category, n_chars,
-        regexp_replace(substring(text, 1, 200), '[^A-Za-z0-9]+', '', 'g') AS clusterid,
-        list_filter(string_split_regex(lower(trim(substring(text, 1, 200), ' ')), '[^a-z0-9]+'), lambda w: w <> '') AS w,
-        list_sort(list_distinct(regexp_extract_all(substring(text, 1, 200), '[A-Z][a-z]+'))) AS entity FROM documents)"""
-_F = f"""{_A}, f AS MATERIALIZED (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] AS feature FROM a, range(1, len(w)) r(i)),
-    d AS (SELECT feature, count(*) AS df FROM f GROUP BY feature),
-    v AS MATERIALIZED (SELECT id, feature, ln(1 + (SELECT count(*) FROM a) // df) AS weight FROM f JOIN d USING (feature)),
-    m AS (SELECT id, sqrt(sum(weight * weight)) AS size FROM v GROUP BY id)"""
+_TITLE = r"regexp_extract(text, '^[ \n]*([^.!?\n]*)', 1)"
+
+
+def _article_sql(field: str) -> str:
+    return f"""a AS MATERIALIZED (SELECT *, list_filter(string_split_regex(lower(trim({field}, ' ')), '[^a-z0-9]+'), lambda w: w <> '') AS w,
+        list_sort(list_distinct(regexp_extract_all({field}, '[A-Z][a-z]+'))) AS entity, regexp_replace(title, '[^A-Za-z0-9]+', '', 'g') AS clusterid
+        FROM (SELECT CAST(doc_id AS VARCHAR) AS id, {_TITLE} AS title, text AS body, source AS feed, lang AS category, n_chars FROM documents))"""
+
+
+def _feature_sql(articles: str) -> str:
+    return f"""{articles}, f AS MATERIALIZED (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] AS feature FROM a, range(1, len(w)) r(i)),
+        d AS (SELECT feature, count(*) AS df FROM f GROUP BY feature),
+        v AS MATERIALIZED (SELECT id, feature, ln(1 + (SELECT count(*) FROM a) // df) AS weight FROM f JOIN d USING (feature)),
+        m AS (SELECT id, sqrt(sum(weight * weight)) AS size FROM v GROUP BY id)"""
+
+
+#: Articles and features by title, as they are clustered by; and by the whole text.
+_A, _B = _article_sql("title"), _article_sql("body")
+_F, _G = _feature_sql(_A), _feature_sql(_B)
 
 
 def _vectors(docs: DataFrame) -> DataFrame:
@@ -106,16 +116,22 @@ _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
 
 @_query(
-    f"""WITH {_A}, k AS (SELECT id, title, list_filter(w, lambda x: NOT list_contains([{_STOP}], x) AND length(x) > 1 AND NOT regexp_full_match(x, '[0-9]+')) AS k,
-            list_filter(string_split_regex(trim(title, ' '), '[^A-Za-z0-9]+'), lambda x: regexp_full_match(x, '[A-Z]{{4}}')) AS s FROM a)
+    f"""WITH {_B}, k AS (SELECT id, body, list_filter(w, lambda x: NOT list_contains([{_STOP}], x) AND length(x) > 1 AND NOT regexp_full_match(x, '[0-9]+')) AS k,
+            list_filter(string_split_regex(trim(body, ' '), '[^A-Za-z0-9]+'), lambda x: regexp_full_match(x, '[A-Z]{{4}}')) AS s FROM a)
         SELECT id, feature FROM (SELECT id, array_to_string(k[i : i + n - 1], ' ') AS feature FROM k, range(2, 5) t(n), range(1, len(k) + 1) r(i) WHERE i + n - 1 <= len(k)
-            UNION SELECT id, lower(s[1]) FROM k WHERE len(s) = 1 AND upper(title) <> title)"""
+            UNION SELECT id, lower(s[1]) FROM k WHERE len(s) = 1 AND upper(body) <> body)"""
 )
 def ngrams_2_4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.article_rows(spark, sf_dir).select("id", F.explode(text.title_ngrams("title")).alias("feature"))
+    return feeds.article_rows(spark, sf_dir).select("id", F.explode(text.title_ngrams("body")).alias("feature"))
 
 
-@_query()
+#: The text of markup that keeps to a few plain forms, as the pages do.
+_PLAIN = r"regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')"
+for _k, _v in (("&lt;?", "'<'"), ("&gt;?", "'>'"), ("&quot;?", "'\"'"), ("&nbsp;?", "chr(160)"), ("&copy;?", "chr(169)"), ("&middot;?", "chr(183)"), ("&amp;?", "'&'")):
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_k}', {_v}, 'g')"
+
+
+@_query(f"SELECT page_id, {_PLAIN} AS text FROM pages")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", markup.strip_html("html").alias("text"))
 
@@ -151,13 +167,13 @@ SYNONYMS = ["the, der => the", "and,und", "gib,gigabyte", "pixima => pixma"]
 
 
 @_query(
-    f"""WITH {_A}, r(src, dst) AS (VALUES ('the', ['the']), ('der', ['the']), ('and', ['and', 'und']), ('und', ['and', 'und']), ('gib', ['gib', 'gigabyte']), ('gigabyte', ['gib', 'gigabyte']), ('pixima', ['pixma'])),
+    f"""WITH {_B}, r(src, dst) AS (VALUES ('the', ['the']), ('der', ['the']), ('and', ['and', 'und']), ('und', ['and', 'und']), ('gib', ['gib', 'gigabyte']), ('gigabyte', ['gib', 'gigabyte']), ('pixima', ['pixma'])),
         t AS (SELECT id, i, w[i] AS w FROM a, range(1, len(w) + 1) x(i)), e AS (SELECT id, i, coalesce(dst, [w]) AS l FROM t LEFT JOIN r ON src = w)
         SELECT id, coalesce((SELECT array_to_string(flatten(list(l ORDER BY i)), ' ') FROM e WHERE e.id = a.id), '') AS words FROM a"""
 )
 def synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = text.parse_synonyms(SYNONYMS)
-    return feeds.article_rows(spark, sf_dir).select("id", F.array_join(text.expand_synonyms(text.words("title"), rules), " ").alias("words"))
+    return feeds.article_rows(spark, sf_dir).select("id", F.array_join(text.expand_synonyms(text.words("body"), rules), " ").alias("words"))
 
 
 @_query("SELECT md5(coalesce(source, '') || '|' || coalesce(lang, '') || '|' || coalesce(text, '')) AS signature, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1")
@@ -166,13 +182,9 @@ def dedupe_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy(text.signature("source", "lang", "text").alias("signature")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
 
-@_query(
-    r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\b(the|und)\b') THEN regexp_replace(text, '(?i)\b(the|und)\b', '<em>\1</em>', 'g') END AS marked FROM (SELECT doc_id, substring(text, 1, 300) AS text FROM documents WHERE regexp_full_match(substring(text, 1, 300), '[\x00-\x7F]*'))"""
-)
+@_query(r"SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\b(the|und)\b') THEN regexp_replace(text, '(?i)\b(the|und)\b', '<em>\1</em>', 'g') END AS marked FROM documents")
 def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # only ASCII snippets: the two engines draw word borders differently beside other letters
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 300).alias("text")).filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return docs.select("doc_id", text.highlight("text", ["the", "und"], fragment=0).alias("marked"))
+    return _table(spark, sf_dir, "documents").select("doc_id", text.highlight("text", ["the", "und"], fragment=0).alias("marked"))
 
 
 @_query("SELECT doc_id, substring(text, 1, 300) || '...' AS preview FROM documents")
@@ -226,38 +238,38 @@ def total_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
 
 
-@_query(f"WITH {_F} SELECT feature, df FROM d")
+@_query(f"WITH {_G} SELECT feature, df FROM d")
 def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.doc_frequency(features.exploded(_articles(spark, sf_dir), "ngram", "ngram")).select("feature", "df")
+    return features.doc_frequency(features.exploded(_articles(spark, sf_dir, "body"), "ngram", "ngram")).select("feature", "df")
 
 
-@_query(f"WITH {_F} SELECT id, feature, round(weight, 8) AS weight FROM v")
+@_query(f"WITH {_G} SELECT id, feature, round(weight, 8) AS weight FROM v")
 def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vectors(_articles(spark, sf_dir)).select("id", "feature", F.round("weight", 8).alias("weight"))
+    return _vectors(_articles(spark, sf_dir, "body")).select("id", "feature", F.round("weight", 8).alias("weight"))
 
 
-@_query(f"WITH {_A}, t AS (SELECT id, w[i] AS term FROM a, range(1, len(w) + 1) r(i)), x AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL) SELECT id, term, tf, count(*) OVER (PARTITION BY term) AS df FROM x")
+@_query(f"WITH {_B}, t AS (SELECT id, w[i] AS term FROM a, range(1, len(w) + 1) r(i)), x AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL) SELECT id, term, tf, count(*) OVER (PARTITION BY term) AS df FROM x")
 def term_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.term_vectors(_articles(spark, sf_dir).withColumn("w", text.words("title")), "w")
+    return features.term_vectors(feeds.article_rows(spark, sf_dir).withColumn("w", text.words("body")), "w")
 
 
 @_query(
-    f"""WITH {_A}, t AS (SELECT id, w[i] AS term FROM a, range(1, len(w) + 1) r(i)), x AS (SELECT term, count(DISTINCT id) AS df FROM t GROUP BY term),
+    f"""WITH {_B}, t AS (SELECT id, w[i] AS term FROM a, range(1, len(w) + 1) r(i)), x AS (SELECT term, count(DISTINCT id) AS df FROM t GROUP BY term),
         b AS (SELECT CAST(power(2, ceil(log2(df))) AS BIGINT) AS bucket, count(*) AS n FROM x GROUP BY 1) SELECT bucket, n, CAST(floor(n * 160 / max(n) OVER ()) AS BIGINT) AS bar FROM b"""
 )
 def term_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.term_histogram(_articles(spark, sf_dir).withColumn("w", text.words("title")), "w")
+    return features.term_histogram(feeds.article_rows(spark, sf_dir).withColumn("w", text.words("body")), "w")
 
 
 @_query(
-    f"""WITH {_A}, t AS (SELECT id, w[i] AS feature, count(*) AS tf FROM a, range(1, len(w) + 1) r(i) GROUP BY ALL), n AS (SELECT count(*) AS n FROM a),
+    f"""WITH {_B}, t AS (SELECT id, w[i] AS feature, count(*) AS tf FROM a, range(1, len(w) + 1) r(i) GROUP BY ALL), n AS (SELECT count(*) AS n FROM a),
         d AS (SELECT feature, count(*) AS df FROM t, n GROUP BY feature, n HAVING count(*) <= 0.5 * n),
         x AS (SELECT id, feature, sqrt(tf) * (ln(n / (df + 1)) + 1) AS w FROM t JOIN d USING (feature), n)
         SELECT id, feature, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 8) AS weight FROM x"""
 )
 def vector_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _articles(spark, sf_dir).withColumn("w", text.words("title"))
-    return features.export_vectors(docs, "w", most_empty=1.0).select("id", "feature", F.round("weight", 8).alias("weight"))
+    docs = feeds.article_rows(spark, sf_dir).withColumn("w", text.words("body"))
+    return features.export_vectors(docs, "w").select("id", "feature", F.round("weight", 8).alias("weight"))
 
 
 _COSINE = f"""{_F}, p AS (SELECT x.id AS a, y.id AS b, sum(x.weight * y.weight) AS dot FROM v x JOIN v y USING (feature) WHERE x.id < y.id GROUP BY 1, 2),
@@ -304,20 +316,32 @@ def distance_asym(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- clusters ----------------------------------------------------------------------------------------------------------
 
-_CANDIDATES = f"""{_F}, s AS (SELECT x.id AS a, y.id AS b, sum(x.weight * x.weight) AS score, sum(x.weight * y.weight) AS dot FROM v x JOIN v y USING (feature) WHERE x.id <> y.id GROUP BY 1, 2),
-    h AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(score, 6) DESC, b) AS rank FROM s QUALIFY rank <= 10)"""
+def _candidate_sql(features_: str) -> str:
+    return f"""{features_}, s AS (SELECT x.id AS a, y.id AS b, sum(x.weight * x.weight) AS score, sum(x.weight * y.weight) AS dot FROM v x JOIN v y USING (feature) WHERE x.id <> y.id GROUP BY 1, 2),
+        h AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(score, 6) DESC, b) AS rank FROM s QUALIFY rank <= 10)"""
 
 
-@_query(
-    f"""WITH {_CANDIDATES}, n AS (SELECT h.a, h.rank, y.clusterid, CASE WHEN x.title = y.title THEN 100 ELSE dot / (p.size * q.size) END AS similarity
+def _nearest(candidates: str) -> str:
+    """id and clusterid by the first candidate that is similar enough."""
+    return f"""{candidates}, n AS (SELECT h.a, h.rank, y.clusterid, CASE WHEN x.title = y.title THEN 100 ELSE dot / (p.size * q.size) END AS similarity
             FROM h JOIN a x ON x.id = h.a JOIN a y ON y.id = h.b JOIN m p ON p.id = h.a JOIN m q ON q.id = h.b)
-        SELECT a.id, coalesce((SELECT arg_min(clusterid, rank) FROM n WHERE n.a = a.id AND similarity >= 0.175), clusterid) AS clusterid FROM a"""
-)
+        SELECT a.id, coalesce((SELECT arg_min(clusterid, rank) FROM n WHERE n.a = a.id AND similarity >= 0.175), clusterid) AS clusterid"""
+
+
+@_query(f"WITH {_nearest(_candidate_sql(_F))} FROM a")
 def cluster_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _articles(spark, sf_dir)
     return clustering.nearest_cluster(docs, _vectors(docs))
 
 
+@_query(
+    f"""WITH {_candidate_sql(_F)} SELECT a, b, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM h"""
+)
+def similar_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _articles(spark, sf_dir)
+    return sim.candidates(docs, _vectors(docs)).select("a", "b", "rank", F.round("score", 6).alias("score"))
+
+
 @_query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN 'mahout' || CAST(doc_id % 7 AS VARCHAR) ELSE CAST(doc_id AS VARCHAR) END AS mahoutclusterid FROM documents")
 def cluster_map_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = feeds.article_rows(spark, sf_dir).select("id")
@@ -330,6 +354,21 @@ def kmeans_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.kmeans(_table(spark, sf_dir, "embeddings"), 10).select("vec_id", "cluster")
 
 
+def _kmeans_sql(rounds: int) -> str:
+    """Lloyd's steps by cosine distance, unrolled, from the first ten vectors."""
+    steps = ["p AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL)", "c0 AS (SELECT vec_id AS cluster, x AS c FROM p WHERE vec_id < 10)"]
+    for k in range(rounds):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT vec_id, arg_min(cluster, (round(1 - list_cosine_similarity(x, c), 12), cluster)) AS cluster, any_value(x) AS x FROM p, c{k} GROUP BY vec_id)")
+        steps.append(f"c{k + 1} AS MATERIALIZED (SELECT cluster, list(m ORDER BY i) AS c FROM (SELECT cluster, i, avg(x[i]) AS m FROM a{k}, range(1, len(x) + 1) r(i) GROUP BY cluster, i) GROUP BY cluster)")
+    return f"WITH {', '.join(steps)} SELECT vec_id, cluster FROM a{rounds - 1}"
+
+
+@_query(_kmeans_sql(4))
+def kmeans_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _table(spark, sf_dir, "embeddings")
+    return clustering.dense_kmeans(points, points.filter("vec_id < 10").select(F.col("vec_id").alias("cluster"), F.col("embedding").alias("vector")), rounds=4)
+
+
 @_query()
 def canopy_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.canopy(_table(spark, sf_dir, "embeddings"), 0.75, 0.7)
@@ -359,9 +398,9 @@ def facet_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.field_facet(_table(spark, sf_dir, "documents"), "lang")
 
 
-@_query(f"WITH {_A} SELECT e AS value, count(*) AS n FROM a, unnest(entity) u(e) GROUP BY e ORDER BY n DESC, value LIMIT 100")
+@_query(f"WITH {_B} SELECT e AS value, count(*) AS n FROM a, unnest(entity) u(e) GROUP BY e ORDER BY n DESC, value LIMIT 100")
 def facet_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facets.field_facet(_articles(spark, sf_dir), "entity", limit=100)
+    return facets.field_facet(_articles(spark, sf_dir, "body"), "entity", limit=100)
 
 
 @_query("SELECT facet, n FROM (SELECT 'cheap' AS facet, count(*) FILTER (p_retailprice <= 920) AS n FROM part UNION ALL SELECT 'dear', count(*) FILTER (p_retailprice >= 980) FROM part UNION ALL SELECT 'none', count(*) FILTER (p_size < 0) FROM part) WHERE n > 0")
@@ -426,21 +465,21 @@ def cluster_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- search ------------------------------------------------------------------------------------------------------------
 
 
-@_query(f"WITH {_A} SELECT id FROM a WHERE feed = 'src0' AND category = 'en' AND list_contains(entity, 'The')")
+@_query(f"WITH {_B} SELECT id FROM a WHERE feed = 'src0' AND category = 'en' AND list_contains(entity, 'The')")
 def filter_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     request = search.Request(topic="The", source="src0", category="en")
-    return search.matching(_articles(spark, sf_dir), request).select("id")
+    return search.matching(_articles(spark, sf_dir, "body"), request).select("id")
 
 
 @_query(
-    f"""WITH {_A}, p AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS t FROM a)
+    f"""WITH {_B}, p AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS t FROM a)
         SELECT id, CAST(CASE WHEN t LIKE '% the %' THEN 2.0 ELSE 0 END + CASE WHEN t LIKE '% of the %' THEN 1.0 ELSE 0 END AS DOUBLE) AS score FROM p
         WHERE category = 'en' AND (t LIKE '% the %' OR t LIKE '% of the %') AND NOT t LIKE '% and %' AND n_chars BETWEEN 100 AND 5000"""
 )
 def query_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _articles(spark, sf_dir)
     request = search.Request(query='+(the^2 OR "of the") -and', category="en", filters=(search.Compiler().matches(search.parse("n_chars:[100 TO 5000]")),))
-    return search.matching(docs, request).select("id", "score")
+    return search.matching(docs, request, search.Compiler(default="body")).select("id", "score")
 
 
 @_query("SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice >= 950")
@@ -469,31 +508,31 @@ def boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH {_F}, t AS (SELECT feature, weight FROM v WHERE id = '1' ORDER BY weight DESC, feature LIMIT 25), s AS (SELECT v.id, sum(t.weight * t.weight) AS score FROM v JOIN t USING (feature) WHERE v.id <> '1' GROUP BY 1)
+    f"""WITH {_G}, t AS (SELECT feature, weight FROM v WHERE id = '1' ORDER BY weight DESC, feature LIMIT 25), s AS (SELECT v.id, sum(t.weight * t.weight) AS score FROM v JOIN t USING (feature) WHERE v.id <> '1' GROUP BY 1)
         SELECT id, round(score, 6) AS score FROM s ORDER BY score DESC, id LIMIT 10"""
 )
 def mlt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _articles(spark, sf_dir)
-    found, _ = search.more_like_this(docs, _vectors(docs).withColumn("weight", F.col("weight")), "1")
+    docs = _articles(spark, sf_dir, "body")
+    found, _ = search.more_like_this(docs, _vectors(docs), "1")
     return found.select("id", F.round("score", 6).alias("score"))
 
 
-@_query(f"""WITH {_A}, t AS (SELECT DISTINCT e FROM a, unnest(entity) u(e) WHERE regexp_full_match(e, 'Th.*')) SELECT e AS id, e AS label, '"' || e || '"' AS value FROM t ORDER BY e LIMIT 100""")
+@_query(f"""WITH {_B}, t AS (SELECT DISTINCT e FROM a, unnest(entity) u(e) WHERE regexp_full_match(e, 'Th.*')) SELECT e AS id, e AS label, '"' || e || '"' AS value FROM t ORDER BY e LIMIT 100""")
 def autosuggest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.suggest(_articles(spark, sf_dir), "Th")
+    return search.suggest(_articles(spark, sf_dir, "body"), "Th")
 
 
 MISSPELT = ["thee", "ofn", "anda", "histori", "zzzzzzzz"]
 
 
 @_query(
-    f"""WITH {_A}, d AS (SELECT u.t AS term, count(DISTINCT id) AS df FROM a, unnest(w) u(t) GROUP BY 1), q AS (SELECT unnest({MISSPELT!r}) AS word),
+    f"""WITH {_B}, d AS (SELECT u.t AS term, count(DISTINCT id) AS df FROM a, unnest(w) u(t) GROUP BY 1), q AS (SELECT unnest({MISSPELT!r}) AS word),
         c AS (SELECT word, term, df, levenshtein(word, term) AS distance FROM q, d WHERE levenshtein(word, term) BETWEEN 1 AND 2)
         SELECT word, arg_min(term, (distance, -df, term)) AS suggestion, CAST(min(distance) AS INTEGER) AS distance FROM c GROUP BY word"""
 )
 def spell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _articles(spark, sf_dir)
-    terms = docs.select("id", F.explode(F.array_distinct(text.words("title"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    docs = feeds.article_rows(spark, sf_dir)
+    terms = docs.select("id", F.explode(F.array_distinct(text.words("body"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return search.spell(spark.createDataFrame([(w,) for w in MISSPELT], "word string"), terms)
 
 
@@ -534,57 +573,158 @@ def page_of_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.offset(40).limit(20)
 
 
-@_query()
+_HTML = {
+    "<p>a &lt; b &amp;&nbsp;c</p>": "a < b &\u00a0c", "<b>x</b><i>y</i>": "xy", "<script>var a = '<b>';</script>t<style>p {}</style>": "t", "<!-- no -->yes": "yes", "": "",
+    "plain": "plain", "<a href='x'>l</a> &eacute;&#233;": "l \u00e9\u00e9", "open <b>never closed": "open never closed", "<ul><li>1<li>2</ul>": "12",
+}
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+
+
+@_query(f"SELECT * FROM (VALUES {', '.join(f'({_quoted(k)}, {_quoted(v)})' for k, v in _HTML.items())}) t(html, text)")
+def html_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(k,) for k in _HTML], "html string").select("html", markup.strip_html("html").alias("text"))
+
+
+_PAGES = "<title>([^<]*)</title>"
+
+
+@_query(f"SELECT page_id, CASE WHEN lower(url) LIKE '%.pdf' THEN '' ELSE coalesce({_PLAIN}, '') END AS text FROM pages")
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", markup.page_text(F.col("url"), F.col("html")).alias("text"))
 
 
-@_query()
+def _field_statistics() -> str:
+    columns = {
+        "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double",
+        "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string",
+    }
+    plain = [f"SELECT '{c}' AS field, '{t}' AS type, count({c}) AS docs, count(DISTINCT {c}) AS \"distinct\" FROM lineitem" for c, t in columns.items()]
+    return " UNION ALL ".join([*plain, "SELECT 'embedding', 'array<float>', (SELECT count(*) FROM embeddings WHERE len(embedding) > 0), count(DISTINCT e) FROM embeddings, unnest(embedding) u(e)"])
+
+
+@_query(_field_statistics())
 def field_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facets.field_stats(_table(spark, sf_dir, "lineitem"))
+    lines = _table(spark, sf_dir, "lineitem").drop("l_shipdate")
+    return facets.field_stats(lines, exact=True).unionByName(facets.field_stats(_table(spark, sf_dir, "embeddings").select("embedding"), exact=True))
 
 
 @_query()
 def analysis_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.analysis(feeds.article_rows(spark, sf_dir), "title")
+    return search.analysis(feeds.article_rows(spark, sf_dir), "body")
 
 
-@_query()
+_XML = lambda c: "replace(replace(replace(replace(regexp_replace(" + c + r", '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;')"
+_ITEM = f"""'<item>' || coalesce('<title>' || {_XML("title")} || '</title>', '') || '<link>?q=id:' || id || '</link>'
+    || coalesce('<description>' || {_XML("substring(body, 1, 300) || '...'")} || '</description>', '') || '<guid>?q=id:' || id || '</guid></item>'"""
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.article_rows(spark, sf_dir).select("id", "title", text.preview("body").alias("summary"), F.lit(None).cast("timestamp").alias("date"), "n_chars")
+
+
+@_query(f"WITH {_A} SELECT id, {_ITEM} AS xml FROM a")
 def result_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = feeds.article_rows(spark, sf_dir).select("id", "title", text.preview("body").alias("summary"), F.lit(None).cast("timestamp").alias("date"))
-    return feeds.result_feed(docs)
+    return feeds.result_feed(_results(spark, sf_dir))
 
 
-@_query()
+@_query(
+    f"""WITH {_A} SELECT '<rss version="2.0"><channel><title>Longest</title><link>/search</link><description>Longest</description><language>en-us</language>'
+        || string_agg(xml, '' ORDER BY n_chars DESC, id) || '</channel></rss>' AS xml FROM (SELECT id, n_chars, {_ITEM} AS xml FROM a ORDER BY n_chars DESC, id LIMIT 10)"""
+)
+def result_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = _results(spark, sf_dir).orderBy(F.desc("n_chars"), "id").limit(10).withColumn("place", -F.col("n_chars"))
+    return feeds.result_page(page, "rss", "place", "Longest", "/search")
+
+
+_JOB = f"""{_A}, f AS MATERIALIZED (SELECT DISTINCT id, 'ngram' AS kind, w[i] || ' ' || w[i + 1] AS feature FROM a, range(1, len(w)) r(i)
+        UNION SELECT DISTINCT id, 'entity', e FROM a, unnest(entity) u(e)),
+    d AS (SELECT kind, feature, count(*) AS df FROM f GROUP BY ALL), k AS (SELECT id, feature, max(kind) AS kind FROM f GROUP BY ALL),
+    v AS MATERIALIZED (SELECT id, feature, ln(1 + (SELECT count(*) FROM a) // df) AS weight FROM k JOIN d USING (kind, feature)),
+    m AS (SELECT id, sqrt(sum(weight * weight)) AS size FROM v GROUP BY id)"""
+
+
+@_query(f"WITH {_JOB} SELECT id, feature, round(weight, 8) AS weight FROM v")
+def kinds_of_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans import handlers
+
+    return handlers.Collection(_articles(spark, sf_dir)).vectors.select("id", "feature", F.round("weight", 8).alias("weight"))
+
+
+@_query(f"WITH {_nearest(_candidate_sql(_JOB))}, true AS clustered FROM a")
 def cluster_job_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .plans import cluster_job
 
     return cluster_job.run(_articles(spark, sf_dir)).select("id", "clusterid", "clustered")
 
 
+@_query(f"WITH {_nearest(_candidate_sql(_F))}, true AS clustered, title FROM a")
+def assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _articles(spark, sf_dir)
+    twice = docs.unionByName(docs.withColumn("title", F.concat(F.col("title"), F.lit("~"))))
+    return clustering.assign(twice, _vectors(docs), ("title",)).select("id", "clusterid", "clustered", "title")
+
+
+_STEMS = {
+    "caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat", "hopping": "hop", "falling": "fall",
+    "filing": "file", "happy": "happi", "relational": "relat", "conditional": "condit", "digitizer": "digit", "vietnamization": "vietnam", "triplicate": "triplic", "hopefulness": "hope", "goodness": "good",
+    "revival": "reviv", "adjustable": "adjust", "effective": "effect", "rate": "rate", "controlling": "control", "rolls": "roll", "court": "court", "denies": "deni", "appeals": "appeal",
+}
+
+
+@_query(f"SELECT * FROM (VALUES {', '.join(f'({_quoted(k)}, {_quoted(v)})' for k, v in _STEMS.items())}, ('running', 'running')) t(word, stem)")
+def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions import stemmer
+
+    words = spark.createDataFrame([(w,) for w in [*_STEMS, "running"]], "word string")
+    return words.select("word", stemmer.stem_words(frozenset(["running"]))(F.array("word"))[0].alias("stem"))
+
+
 @_query()
 def stemmed_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .functions import stemmer
 
-    rows = feeds.article_rows(spark, sf_dir).withColumn("w", stemmer.stem_words()(text.feature_words("title")))
-    return rows.select("id", F.explode(text.title_ngrams("title", w=F.col("w"))).alias("feature"))
+    rows = feeds.article_rows(spark, sf_dir).withColumn("w", stemmer.stem_words()(text.feature_words("body")))
+    return rows.select("id", F.explode(text.with_fallback(text.title_ngrams("body", w=F.col("w")), "id")).alias("feature"))
 
 
-# -- streaming ---------------------------------------------------------------------------------------------------------
+_SEARCH_STOP = ", ".join(f"'{w}'" for w in SEARCH_STOPWORDS)
+
+
+@_query(f"WITH {_B} SELECT id, array_to_string(list_filter(w, lambda x: NOT list_contains([{_SEARCH_STOP}], x))[1:10000], ' ') AS words FROM a")
+def search_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a field's first ten thousand words are indexed: that cap is the feature
+    return feeds.article_rows(spark, sf_dir).select("id", F.array_join(text.capped(text.search_words("body")), " ").alias("words"))
+
 
+@_query("SELECT page_id, coalesce(nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), url) AS name FROM pages")
+def first_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").withColumn("title", F.nullif(F.regexp_extract("html", _PAGES, 1), F.lit("")))
+    return pages.select("page_id", feeds.first_present("title", "url").alias("name"))
 
-def _drained(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
-    """All of a stream's output as a table in the shared folder."""
-    import uuid
 
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        import tempfile
+@_query("SELECT doc_id, text IS NULL OR n_chars < 20 OR lang IS NULL AS bad FROM documents")
+def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, bad = ingest.quarantine(_table(spark, sf_dir, "documents"), F.col("text").isNull() | (F.col("n_chars") < 20) | F.col("lang").isNull())
+    return good.select("doc_id", F.lit(False).alias("bad")).unionByName(bad.select("doc_id", F.lit(True).alias("bad")))
 
-        at = tempfile.mkdtemp(prefix="tessella-")
-    out = f"{at}/stream-{uuid.uuid4().hex}"
-    df.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{out}/rows")
+
+@_query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS date, floor(o_totalprice / 1000) * 1000 + 1000 AS upper FROM orders")
+def display_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower = F.floor(F.col("o_totalprice") / 1000) * 1000
+    return _table(spark, sf_dir, "orders").select("o_orderkey", text.utc_text("o_orderdate").alias("date"), text.range_upper(lower.cast("double"), 1000.0).alias("upper"))
+
+
+@_query(
+    f"""WITH {_B}, p AS (SELECT id, 3.0 * (CASE WHEN ' ' || regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g') || ' ' LIKE '% the %' THEN 1 ELSE 0 END + CASE WHEN ' ' || regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g') || ' ' LIKE '% und %' THEN 1 ELSE 0 END) AS t,
+            1.0 * (CASE WHEN ' ' || array_to_string(w, ' ') || ' ' LIKE '% the %' THEN 1 ELSE 0 END + CASE WHEN ' ' || array_to_string(w, ' ') || ' ' LIKE '% und %' THEN 1 ELSE 0 END) AS b FROM a)
+        SELECT id, CAST(greatest(t, b) AS DOUBLE) AS score FROM p WHERE greatest(t, b) > 0"""
+)
+def weighted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = search.weighted_fields(["the", "und"], {"title": 3.0, "body": 1.0})
+    return feeds.article_rows(spark, sf_dir).select("id", score.alias("score")).filter("score > 0")
+
+
+# -- streaming ---------------------------------------------------------------------------------------------------------
 
 
 @_query("SELECT event_id, user_id, event_type FROM events")
@@ -592,13 +732,14 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = _table(spark, sf_dir, "events").schema
     events = stream.read_items(spark, f"{sf_dir}/events.parquet*", schema)
     twice = events.withColumn("event_id", F.explode(F.array("event_id", "event_id")))
-    return _drained(spark, stream.once(twice, "event_id", "ts", "30 days").select("event_id", "user_id", "event_type"), "append")
+    return stream.drained(stream.once(twice, "event_id", "ts", "30 days").select("event_id", "user_id", "event_type"))
 
 
-@_query()
+@_query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = _table(spark, sf_dir, "events").schema
-    return _drained(spark, stream.windowed(stream.read_items(spark, f"{sf_dir}/events.parquet*", schema), "ts", ["event_type"], "1 day"), "append")
+    counted = stream.windowed(stream.read_items(spark, f"{sf_dir}/events.parquet*", schema), "ts", ["event_type"], "1 hour", "30 days")
+    return stream.latest(counted, ["start", "event_type"]).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n")
 
 
 def queries() -> dict[str, Query]:

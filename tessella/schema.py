@@ -11,7 +11,7 @@ def _struct(**fields) -> T.StructType:
 
 FEEDS = _struct(feed=_S, rss=_S, name=_S, category=_S)
 RAW_ITEMS = _struct(
-    feed=_S, seq=T.IntegerType(), link=_S, title=_S, summary=_S, description=_S, author=_S, category=_S, published=_S, updated=_S, created=_S, date=_S
+    feed=_S, seq=T.LongType(), link=_S, title=_S, summary=_S, description=_S, author=_S, category=_S, published=_S, updated=_S, created=_S, date=_S
 )
 ARTICLES = _struct(
     id=_S, title=_S, summary=_S, body=_S, author=_S, feed=_S, feedlink=_S, link=_S, feedkey=_S, category=_S, categorykey=_S, entity=_A, entitykey=_A, ngram=_A,

@@ -1,7 +1,10 @@
 """Ingest, vectors, clusters, facets, search, streams and the registry."""
 
 import math
+import random
 import re
+import time
+from xml.etree import ElementTree
 
 import duckdb
 import numpy as np
@@ -73,6 +76,87 @@ def test_read_rss(spark, tmp_path):
     assert (row.feed, row.title, row.link, row.published) == ("f", "T", "http://x/1", "Tue, 03 Jun 2008 11:05:30 GMT")
 
 
+def test_read_rss_of_many_files(spark, tmp_path):
+    for f in (3, 0, 7, 1, 6, 2, 5, 4):
+        text = "".join(f"<item><title>{f}.{i}</title><link>http://x/{f}/{i}</link></item>" for i in range(3 + f))
+        (tmp_path / f"f{f}.xml").write_text(f"<rss><channel>{text}</channel></rss>")
+    got = feeds.read_rss(spark, str(tmp_path), "f")
+    assert got.schema["seq"].dataType.simpleString() == "bigint"
+    assert [r.title for r in got.orderBy("seq").collect()] == [f"{f}.{i}" for f in range(8) for i in range(3 + f)]
+    defs = spark.createDataFrame([("f", "http://r", "Feed", "law")], schema.FEEDS)
+    assert ingest.process_items(got, defs, spark.createDataFrame([], "id string")).count() == sum(3 + f for f in range(8))
+
+
+def test_rich_files_and_quarantine(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("naïve")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    row = feeds.extract_rich(files).first()
+    assert row.text == "naïve" and row.path.endswith("a.txt") and "ignored_length" in row.asDict()
+
+
+def test_spell_by_brute_force(spark):
+    dice = random.Random(2)
+    make = lambda: "".join(dice.choice("abc") for _ in range(dice.randrange(1, 9)))
+    terms, asked = sorted({make() for _ in range(120)}), sorted({make() for _ in range(40)})
+    terms += ["x" * 20_000, "né😀", "n"]
+    asked += ["x" * 19_999 + "y", "x" * 50, "ne😀", ""]
+
+    def distance(a, b):
+        if abs(len(a) - len(b)) > 2:
+            return 9
+        row = list(range(len(b) + 1)) if len(a) < 100 else None
+        if row is None:
+            return sum(x != y for x, y in zip(a, b))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {}
+    for most in (2, 1):
+        for w in asked:
+            near = [(d, -(i % 3), t) for i, t in enumerate(terms) if 1 <= (d := distance(w, t)) <= most]
+            if near:
+                want[w] = min(near)
+        frame = spark.createDataFrame([(t, i % 3) for i, t in enumerate(terms)], "term string, df long")
+        got = {r.word: (r.distance, r.suggestion) for r in search.spell(spark.createDataFrame([(w,) for w in asked], "word string"), frame, most).collect()}
+        assert got == {w: (d, t) for w, (d, _, t) in want.items()}, most
+        want.clear()
+
+
+def test_number_ranges_on_text_fields(spark, sf):
+    df = spark.createDataFrame([("5", 5), ("12", 12), ("abc", 7), ("-3.5", None), (None, 9), ("1e1", 10)], "t string, n long")
+    held = lambda q: sorted(str(r.t) for r in df.filter(search.Compiler(default="t").matches(search.parse(q))).collect())
+    assert held("t:[5 TO 11]") == ["1e1", "5"] and held("t:[* TO 0]") == ["-3.5"] and held("n:[7 TO 10]") == ["1e1", "5"][:1] + ["None", "abc"]
+    assert held("-t:[5 TO 11]") == ["-3.5", "12", "None", "abc"] and held("t:[a TO b]") == ["abc"]
+    part = spark.read.parquet(f"{sf}/part.parquet").filter(search.Compiler().matches(search.parse("p_size:[10 TO 20]")))
+    assert "GreaterThanOrEqual(p_size,10)" in part._jdf.queryExecution().executedPlan().toString()
+
+
+def test_highlight_takes_the_best_fragment(spark):
+    from tessella.functions import text
+
+    body = "The end of " + "one long road " * 20 + "where the dog met The other dog, thesis aside. " + "x " * 200
+    row = spark.createDataFrame([(body, "short name"), ("nothing", "short name"), (None, None)], "t string, n string")
+    got = [r.x for r in row.select(text.highlight("t", ["the", "dog"], fragment=60).alias("x")).collect()]
+    assert got[0].count("<em>") == 4 and "<em>The</em> other" in got[0] and "<em>the</em>sis" not in got[0] and len(got[0].replace("<em>", "").replace("</em>", "")) <= 90
+    assert got[1:] == [None, None]
+    assert [r.x for r in row.select(text.highlight("t", ["the"], alternate="n").alias("x")).collect()][1:] == ["short name", None]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tessella.operators import store
+
+    conf = SimpleNamespace(get=lambda *_: None, set=lambda *_: None)
+    at = lambda master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+    with pytest.raises(RuntimeError):
+        store.shared_dir(at("spark://host:7077"))
+    assert store.shared_dir(at("local[2]"))
+
+
 def test_cluster_lines(spark, tmp_path):
     lines = spark.createDataFrame([("7,d1,d2\n",), ("8,d3,",)], "line string")
     assert sorted(map(tuple, feeds.parse_cluster_lines(lines).collect())) == [("d1", "mahout7"), ("d2", "mahout7"), ("d3", "mahout8")]
@@ -83,6 +167,15 @@ def test_cluster_lines(spark, tmp_path):
 def test_result_feed_and_writers(spark, tmp_path):
     docs = spark.createDataFrame([("1", "T", "S", None)], "id string, title string, summary string, date timestamp")
     assert "<title>T</title>" in feeds.result_feed(docs).first().xml and "<entry>" in feeds.result_feed(docs, "atom").first().xml
+    two = spark.createDataFrame([("2", "<b> & c", "S", "2020-01-02 03:04:05", 1, ["x", "y"]), ("1", None, "late", "2021-01-01 00:00:00", 2, [])], "id string, title string, summary string, date string, place int, tags array<string>")
+    two = two.withColumn("date", F.to_timestamp("date"))
+    atom = ElementTree.fromstring(feeds.result_page(two, "atom", "place", "All", "/q").first().xml)
+    n = "{http://www.w3.org/2005/Atom}"
+    assert atom.find(f"{n}updated").text == "2020-01-02T03:04:05Z" and [e.find(f"{n}id").text for e in atom.iter(f"{n}entry")] == ["tag:2", "tag:1"]
+    rss = ElementTree.fromstring(feeds.result_page(two, "rss", "place", "All", "/q").first().xml)
+    assert rss.find("channel/title").text == "All" and [e.findtext("title") for e in rss.iter("item")] == ["<b> & c", None]
+    html = feeds.result_page(two, "html", "place", "All").first().xml
+    assert "<h1>All (2 documents)</h1>" in html and "<ul><li>x</li><li>y</li></ul>" in html
     for kind in ("json", "csv", "xml", "parquet"):
         feeds.write_results(docs.select("id", "title"), str(tmp_path / kind), kind)
         options = {"header": True} if kind == "csv" else {"rowTag": "doc"} if kind == "xml" else {}
@@ -126,12 +219,45 @@ def test_candidates_by_party(spark):
     rows = [(f"{i:02}", "P", "D" if i % 3 else "E", [f"w{i // 4}"]) for i in range(24)] + [("x", None, "D", ["w0"]), ("y", None, None, ["none"])]
     docs = spark.createDataFrame(rows, "id string, plaintiff string, defendant string, ngram array<string>")
     v = docs.select("id", F.explode("ngram").alias("feature"), F.lit(2.0).alias("weight"))
-    got = {}
-    for r in sim.candidates(docs, v, 5).orderBy("a", "rank").collect():
-        got.setdefault(r.a, []).append((r.b, r.score))
     score = lambda a, b: 4.0 * (a[3] == b[3]) + 10.0 * (a[1] is not None and a[1] == b[1]) + 10.0 * (a[2] is not None and a[2] == b[2])
     want = {a[0]: sorted(((b[0], score(a, b)) for b in rows if b[0] != a[0] and score(a, b)), key=lambda x: (-x[1], x[0]))[:5] for a in rows}
-    assert got == {k: x for k, x in want.items() if x}
+    for tiers in (sim.TIERS, (1, 2)):
+        got = {}
+        for r in sim.candidates(docs, v, 5, tiers=tiers).orderBy("a", "rank").collect():
+            got.setdefault(r.a, []).append((r.b, r.score))
+        assert got == {k: x for k, x in want.items() if x}
+
+
+def test_frequent_features_change_no_candidates(spark):
+    dice = random.Random(4)
+    rare = lambda: [f"r{dice.randrange(60)}" for _ in range(dice.randrange(0, 6))]
+    rows = [(f"d{i:03}", sorted({*rare(), *(f"h{k}" for k in range(4) if dice.random() < 0.7)}), dice.choice([None, "p", "q"])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "id string, ngram array<string>, plaintiff string")
+    one = docs.select("id", F.explode("ngram").alias("feature"))
+    v = one.join(one.groupBy("feature").agg(F.count("*").alias("df")), "feature").select("id", "feature", features.idf(F.lit(150), F.col("df")).alias("weight")).cache()
+    weight = {r.feature: r.weight for r in v.select("feature", "weight").distinct().collect()}
+    for named in ([], ["plaintiff"]):
+        want = {}
+        for a in rows:
+            each = []
+            for b in rows:
+                both, party = set(a[1]) & set(b[1]), bool(named and a[2] and a[2] == b[2])
+                if a[0] != b[0] and (both or party):
+                    each.append((-round(sum(weight[f] ** 2 for f in both) + 10.0 * party, 6), b[0], round(sum(weight[f] ** 2 for f in both), 5)))
+            want[a[0]] = [(b, -s, dot) for s, b, dot in sorted(each)[:4]]
+        for tiers in ((), (3,), (2, 8, 40)):
+            got = {}
+            for r in sim.candidates(docs.select("id", *named), v, 4, tiers=tiers).orderBy("a", "rank").collect():
+                got.setdefault(r.a, []).append((r.b, round(r.score, 6), round(r.dot, 5)))
+            assert got == {k: x for k, x in want.items() if x}, (named, tiers)
+
+
+def test_assign_takes_the_first_of_an_id(spark):
+    docs = stored(spark).withColumn("n", F.lit(2))
+    twice = docs.unionByName(docs.withColumn("n", F.lit(1)).withColumn("clusterid", F.lit("first"))).unionByName(docs.withColumn("n", F.lit(3)))
+    v = docs.select("id", F.explode("ngram").alias("feature"), F.lit(2.0).alias("weight"))
+    got = {r.id: (r.n, r.clusterid, r.clustered) for r in clustering.assign(twice, v, ("n",)).collect()}
+    assert got == {str(i): (1, "first", True) for i in range(1, 6)}
 
 
 def test_handlers(spark):
@@ -144,7 +270,8 @@ def test_handlers(spark):
     assert ask("/searchclustered", everything)["results"].count() == 5 and ask("/searchunclustered", search.Request("red"))["results"].count() == 2
     found, terms = ask("/mlt", "1")
     assert [r.id for r in found.collect()] == ["2"] and terms.count() == 2
-    assert ask("/searchcarrotclustered", search.Request("red")).count() >= 1 and handlers.ping(c)
+    assert ask("/searchcarrotclustered", search.Request("red")).count() >= 1
+    assert handlers.ping(c) and not handlers.ping(handlers.Collection(stored(spark).limit(0))) and not handlers.ping(handlers.Collection(stored(spark).drop("title")))
 
 
 def test_groups_by_size(spark):
@@ -180,6 +307,45 @@ def test_canopies_hold_all_points(spark):
     assert got.select("vec_id").distinct().count() == 600
 
 
+def test_canopies_by_brute_force(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(120, 6))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    centres = []
+    for i in range(len(x)):
+        if all(1 - unit[i] @ unit[c] >= 0.4 for c in centres):
+            centres.append(i)
+    want = {(i, c) for i in range(len(x)) for c in centres if 1 - unit[i] @ unit[c] < 0.6}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert {(r.vec_id, r.canopy) for r in clustering.canopy(df.repartition(7), 0.6, 0.4).collect()} == want
+
+
+def test_dense_kmeans_by_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.normal(size=(60, 5)) + 4 * rng.normal(size=5) for _ in range(4)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    starts = df.filter("vec_id in (0, 1, 70, 130, 200)").select(F.col("vec_id").alias("cluster"), F.col("embedding").alias("vector"))
+    centres = {c: x[c] for c in (0, 1, 70, 130, 200)}
+    for _ in range(6):
+        far = np.array([[1 - v @ c / np.linalg.norm(v) / np.linalg.norm(c) for c in centres.values()] for v in x])
+        label = np.array(list(centres))[far.round(12).argmin(1)]
+        centres = {c: x[label == c].mean(0) for c in sorted(set(label.tolist()))}
+    got = {r.vec_id: r.cluster for r in clustering.dense_kmeans(df, starts, rounds=6).collect()}
+    assert got == dict(enumerate(label.tolist()))
+    monkeypatch.setattr(clustering, "CENTRES", 0)
+    assert {r.vec_id: r.cluster for r in clustering.dense_kmeans(df, starts, rounds=6).collect()} == got
+
+
+def test_stream_counts_open_windows_and_late_rows(spark, tmp_path):
+    rows = [("2020-01-01 00:10:00", 1), ("2020-01-01 05:00:00", 1), ("2020-01-01 05:10:00", 1), ("2020-01-01 00:20:00", 1), ("2020-01-01 04:50:00", 1), ("2020-01-01 06:00:00", 2)]
+    for i, r in enumerate(rows):  # a file a batch; the fourth is too late for its window, the fifth is not
+        spark.createDataFrame([r], "ts string, k int").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.01)
+    frame = stream.read_items(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, files=1)
+    got = stream.latest(stream.windowed(frame, "ts", ["k"], "1 hour", "1 hour"), ["start", "k"])
+    assert sorted((str(r.start), r.k, r.n) for r in got.collect()) == [("2020-01-01 00:00:00", 1, 1), ("2020-01-01 04:00:00", 1, 1), ("2020-01-01 05:00:00", 1, 2), ("2020-01-01 06:00:00", 2, 1)]
+
+
 def test_stream_upserts_once(spark, tmp_path):
     rows = spark.createDataFrame([(1, "2020-01-01 00:00:00"), (1, "2020-01-01 00:00:01"), (2, "2020-01-01 00:00:02")], "id long, ts string").withColumn("ts", F.to_timestamp("ts"))
     rows.write.parquet(str(tmp_path / "in"))
