@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import write_table
+from ._common import remove_table, write_table
 
 #: (verdict, host, path) of each rule.
 RULES = (
@@ -61,8 +61,9 @@ def host_ranks(seeds: DataFrame, links: DataFrame) -> DataFrame:
     Rounds go on until no rank changes: from nothing, ranks in whole units only rise, and they are bounded; a unit is
     gone after about 215 rounds. A round's sums are the only numbers that come to the driver.
 
-    Links hold one row for a pair of hosts and are joined on src or dst; a host with very many links spreads over tasks
-    by the skewed join, and sums are partial before the shuffle. Each round is written to the shared folder.
+    Links hold one row for a pair of hosts and meet a table of ranks on src or dst, so a host with very many links can be
+    spread by the skewed join, and sums are partial before the shuffle. Each round is written to the shared folder and
+    the one before removed.
     """
     hosts = seeds.unionByName(links.select(F.col("src").alias("host")).unionByName(links.select(F.col("dst").alias("host"))), allowMissingColumns=True)
     hosts = hosts.groupBy("host").agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
@@ -70,36 +71,35 @@ def host_ranks(seeds: DataFrame, links: DataFrame) -> DataFrame:
     good, bad = total.first() or (1, 1)
     unit = lambda n, of: (F.col(n).cast("decimal(38,0)") * MASS / F.lit(of or 1).cast("decimal(19,0)")).cast("decimal(38,6)")
     hosts = hosts.select("host", F.floor(unit("good", good)).cast("long").alias("good"), F.floor(unit("bad", bad)).cast("long").alias("bad"))
-    hosts = write_table(hosts, "hosts")
     links = write_table(links, "links")
-    out_of = links.groupBy(F.col("src").alias("host")).agg(F.count("*").alias("n"))
-    into = links.groupBy(F.col("dst").alias("host")).agg(F.count("*").alias("n"))
-    state = hosts.select("host", F.lit(0).cast("long").alias("trust"), F.lit(0).cast("long").alias("distrust"))
-    no_links, sums = links.isEmpty(), None
-    share = lambda c: F.expr(f"{c} div n")
+    ends = lambda end, name: links.groupBy(F.col(end).alias("host")).agg(F.count("*").alias(name))
+    hosts = write_table(hosts.join(ends("src", "n_out"), "host", "left").join(ends("dst", "n_in"), "host", "left"), "hosts")
+    state = hosts.select("host", "n_out", "n_in", F.lit(0).cast("long").alias("trust"), F.lit(0).cast("long").alias("distrust"))
+    no_links, sums, before = links.isEmpty(), None, None
     while True:
-        sent = state.join(out_of, "host").select(F.col("host").alias("src"), share("trust").alias("x"))
+        sent = state.select(F.col("host").alias("src"), F.expr("trust div n_out").alias("x"))
         trusted = links.join(sent, "src").groupBy(F.col("dst").alias("host")).agg(F.sum("x").alias("x"))
-        sent = state.join(into, "host").select(F.col("host").alias("dst"), share("distrust").alias("y"))
+        sent = state.select(F.col("host").alias("dst"), F.expr("distrust div n_in").alias("y"))
         blamed = links.join(sent, "dst").groupBy(F.col("src").alias("host")).agg(F.sum("y").alias("y"))
         state = hosts.join(trusted, "host", "left").join(blamed, "host", "left").select(
-            "host", F.expr(f"((100 - {KEEP}) * good + {KEEP} * coalesce(x, 0L)) div 100").alias("trust"),
+            "host", "n_out", "n_in", F.expr(f"((100 - {KEEP}) * good + {KEEP} * coalesce(x, 0L)) div 100").alias("trust"),
             F.expr(f"((100 - {KEEP}) * bad + {KEEP} * coalesce(y, 0L)) div 100").alias("distrust"),
         )
         state = write_table(state, "ranks")
-        if no_links:
-            return state
         now = tuple(state.agg(*[F.sum(F.col(c).cast("decimal(38,0)")) for c in ("trust", "distrust")]).first())
-        if now == sums:
-            return state
-        sums = now
+        if before is not None:
+            remove_table(before)
+        if no_links or now == sums:
+            return state.select("host", "trust", "distrust")
+        sums, before = now, state
 
 
 def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of pages.
 
     A null url or one without :// has an empty host and path, fits no rule and is allowed, as is any host without trust
-    and distrust. A null html has no links. Repeated rows are judged each, and count as often as seeds.
+    and distrust. A null html has no links. Repeated rows are judged each, and count as often as seeds. Ids keep their
+    type, other columns play no part, whatever their names; without pages there are no rows.
     """
     parsed = parse(pages, rules)
     seeds = parsed.filter("ruled is not null").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("bad"))

@@ -346,6 +346,8 @@ def test_url_filter(spark):
     said = con.execute(url_filter.oracle()).fetchall()
     assert sorted(map(str, said)) == sorted(str(tuple(r)) for r in url_filter.judge(df).collect())
     assert url_filter.judge(df.limit(0)).count() == 0
+    clash = df.selectExpr("concat('p', page_id) page_id", "concat(url, repeat('x', 200000)) url", "html", "1 host", "2 trust", "'x' verdict")
+    assert url_filter.judge(clash).count() == len(pages)
 
 
 def test_distrust_goes_up_a_long_chain(spark):
