@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import fresh
+
 #: Fixed: the base patterns. Java's (?i) folds ASCII letters only.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: AKIA and 14 more is 18 in all; a shorter run cannot hide a match, as it ends where the run ends. Likewise for HEX.
@@ -134,7 +136,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs, all columns and rows, with each run of overlapping secrets in text replaced by mark; n_chars, if there,
-    follows the text. A null text stays null."""
+    follows the text. A null or empty text stays as it is, repeated rows are redacted each, other columns stay, whatever
+    their names, and without rows there are none."""
     text, shape = F.col("text"), "struct<at:int,out:string>"
 
     def step(acc: Column, x: Column) -> Column:
@@ -143,9 +146,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return F.when((x["start"] < acc["at"]) & (acc["at"] > 0), longer.cast(shape)).otherwise(fresh.cast(shape))
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(shape)
-    cleaned = F.aggregate("__secrets", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = docs.withColumn("__secrets", secret_spans(F.coalesce(text, F.lit(""))))
-    out = out.withColumn("text", F.when(F.size("__secrets") > 0, cleaned).otherwise(text)).drop("__secrets")
+    own = fresh(docs, "__secrets")
+    cleaned = F.aggregate(own, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    out = docs.withColumn(own, secret_spans(F.coalesce(text, F.lit(""))))
+    out = out.withColumn("text", F.when(F.size(own) > 0, cleaned).otherwise(text)).drop(own)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(text.isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

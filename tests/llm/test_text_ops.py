@@ -66,6 +66,8 @@ def test_decontaminate(spark, sf, docs, rows):
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(rows)
     assert decontaminate.flag(docs.limit(0), bench).count() == 0
     assert decontaminate.word_spans("Ab, cD 日本!", [0, 1, 2]) == [(0, 9)]
+    spans = decontaminate.find(spark.createDataFrame([(1, "😀 x. One, two a B! c A y")], "doc_id long, text string"), short).first()
+    assert spans.hit_words == [2, 4, 5, 6, 7] and [tuple(x) for x in spans.hit_spans] == [(5, 8), (14, 22)]
 
 
 def test_decontaminate_keeps_columns_with_clashing_names(spark):
@@ -201,3 +203,8 @@ def test_secrets(spark, docs, rows):
         if d and d < 900000:
             assert cleaned[d] == "".join(out) + t[at:] or texts.count((d, t)) != 1 or sum(x == d for x, _ in texts) > 1
     assert secret_scan.report(given.limit(0)).count() == 0
+    clash = spark.createDataFrame([("a", "password=abcdefghijklm x", 1, 7), ("a", None, 2, 7), ("b", "", 3, 7)], "doc_id string, text string, __secrets int, n_chars int")
+    clash = clash.withColumn("a b", secret_scan.F.struct(secret_scan.F.lit(1).alias("secrets")))
+    got = secret_scan.redact(clash)
+    assert got.columns == clash.columns and [(r.text, r["__secrets"], r.n_chars) for r in got.collect()] == [("[SECRET] x", 1, 10), (None, 2, 7), ("", 3, 0)]
+    assert secret_scan.report(clash.withColumnRenamed("__secrets", "secrets")).count() == 3
