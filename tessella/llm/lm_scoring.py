@@ -40,7 +40,7 @@ HEAD = 500_000
 #: Bytes of training text whose n-grams make a range, on average at most.
 RANGE_BYTES = 32 << 20
 #: Tokens that a worker gathers before it sends their sums on.
-RUN = 3_000_000
+RUN = 2_000_000
 
 END = np.uint64(0x5A17C0DE5EED0001)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
