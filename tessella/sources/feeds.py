@@ -59,9 +59,12 @@ def parse_cluster_lines(lines: DataFrame, prefix: str = "mahout") -> DataFrame:
     return rows.filter("id <> ''").select("id", "cluster")
 
 
-def write_cluster_lines(assigned: DataFrame, path: str) -> None:
-    """Members of each cluster as lines; clusters are lists by nature, so a line is as long as its cluster."""
-    lines = assigned.groupBy("cluster").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+def write_cluster_lines(assigned: DataFrame, path: str, most: int = 10_000) -> None:
+    """Members of each cluster as lines of about `most` at most, which read_cluster_lines() puts together again; so a
+    cluster of any size is dealt over tasks."""
+    parts = assigned.groupBy("cluster").agg(F.ceil(F.count("*") / most).alias("__parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("__parts")).alias("__part")
+    lines = assigned.join(parts, "cluster").groupBy("cluster", part).agg(F.sort_array(F.collect_list("id")).alias("ids"))
     lines.select(F.concat_ws(",", "cluster", "ids").alias("value")).write.text(path)
 
 

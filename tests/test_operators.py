@@ -162,6 +162,10 @@ def test_cluster_lines(spark, tmp_path):
     assert sorted(map(tuple, feeds.parse_cluster_lines(lines).collect())) == [("d1", "mahout7"), ("d2", "mahout7"), ("d3", "mahout8")]
     feeds.write_cluster_lines(feeds.parse_cluster_lines(lines), str(tmp_path / "out"))
     assert feeds.read_cluster_lines(spark, str(tmp_path / "out")).count() == 3
+    many = spark.range(500).selectExpr("cast(id as string) id", "if(id < 400, 'a', 'b') cluster")
+    feeds.write_cluster_lines(many, str(tmp_path / "many"), 50)
+    assert spark.read.text(str(tmp_path / "many")).count() > 6
+    assert sorted(map(tuple, feeds.read_cluster_lines(spark, str(tmp_path / "many")).collect())) == sorted((str(i), "mahouta" if i < 400 else "mahoutb") for i in range(500))
 
 
 def test_result_feed_and_writers(spark, tmp_path):
