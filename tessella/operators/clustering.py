@@ -268,8 +268,8 @@ def phrase_clusters(page: DataFrame, words: Column, base: int = 20, overlap: flo
                 first, second = sorted((root(i), root(j)))
                 groups[second] = first
     rows = []
-    for r in sorted({root(i) for i in groups}):
-        members = [best[i] for i in groups if root(i) == r]
+    for r in sorted({root(i) for i in range(len(best))}):
+        members = [best[i] for i in range(len(best)) if root(i) == r]
         rows.append((r, " ".join(m.phrase for m in members[:labels]), sorted({d for m in members for d in m.docs}), float(sum(m.score for m in members))))
     return page.sparkSession.createDataFrame(rows, "cluster int, label string, docs array<string>, score double")
 

@@ -311,6 +311,20 @@ def test_canopies_hold_all_points(spark):
     assert got.select("vec_id").distinct().count() == 600
 
 
+def test_clusters_of_a_page_of_results(spark):
+    from tessella.functions import text
+
+    rows = [(f"r{i}", "red fox runs") for i in range(10)] + [("b1", "blue cat"), ("b2", "blue cat sleeps"), ("b3", "lone")]
+    page = spark.createDataFrame(rows, "id string, title string")
+    found = clustering.phrase_clusters(page, text.words("title"))
+    got = [(r.label.split(" ")[0], r.docs, r.score) for r in found.orderBy(F.desc("score")).collect()]
+    # phrases of three, two and one words in ten documents each; then of two and one in two, one of them in both
+    assert got[0][1] == sorted(f"r{i}" for i in range(10)) and got[0][2] == 10 * (3 + 2 + 2 + 0.5 * 3)
+    assert got[1][1] == ["b1", "b2"] and got[1][2] == 2 * (2 + 0.5 * 2)
+    shown = {r.label: [d.id for d in r.docs] for r in clustering.result_clusters(page, found).collect()}
+    assert sorted(map(len, shown.values())) == [2, 8] and all(x == sorted(x) for x in shown.values())
+
+
 def test_canopies_by_brute_force(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(120, 6))
