@@ -180,24 +180,21 @@ def _similar(both, a, b, similarity: float):
     return both >= similarity * (a + b - both) - 1e-9
 
 
-def similar_links(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) between rows of nodes (rid, fp, minima, size) whose shingle sets (of rows) have at least this Jaccard
-    similarity: most of those that join what is similar, for bucket_links() to start from.
+def similar_links(rows: DataFrame, nodes: DataFrame, shared: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) between rows of nodes (rid, fp) whose shingle sets (of rows) have at least this Jaccard similarity: most
+    of those that join what is similar, for bucket_links() to start from.
 
     Candidates are pairs within 3 bits by the grid, rows of one fingerprint, and, as texts of similarity 0.8 may differ
-    in 16 of 64 bits, rows that share a minimum hash. In each bucket every row meets one hub, a different one in each
-    kind of bucket, never all others; sets too different in size to be similar drop out, and the sets decide. Hubs and
-    first rows are tables, so the joins on them can split a hot bucket.
+    in 16 of 64 bits, rows that share a minimum hash (shared: of shared_minima()). In each bucket every row meets one
+    hub, a different one in each kind of bucket, never all others; sets too different in size to be similar drop out, and
+    the sets decide. First rows are a table, so the joins on them can split a hot fingerprint.
     """
     of_fp = write_table(nodes.groupBy("fp").agg(F.min("rid").alias("first")), "prints")
     first = lambda fp, name: of_fp.select(F.col("fp").alias(fp), F.col("first").alias(name))
     close = near_pairs(of_fp.select("fp")).join(first("a", "u"), "a").join(first("b", "v"), "b").select("u", "v")
     same = nodes.select("rid", "fp").join(of_fp, "fp").filter("rid <> first").select(F.col("rid").alias("u"), F.col("first").alias("v"))
-    filed = nodes.select("rid", "size", F.posexplode("minima").alias("kind", "least"))
-    hubs = filed.groupBy("kind", "least").agg(F.min(F.struct(F.xxhash64("rid", "kind").alias("h"), F.col("rid").alias("hub"), F.col("size").alias("hub_size"))).alias("x"), F.count("*").alias("n"))
-    hubs = write_table(hubs.filter("n > 1").select(F.col("kind").alias("k"), F.col("least").alias("l"), "x.hub", "x.hub_size"), "hubs")
     near = F.least("size", "hub_size") >= similarity * F.greatest("size", "hub_size")
-    met = filed.join(hubs, (F.col("kind") == F.col("k")) & (F.col("least") == F.col("l")) & (F.col("rid") != F.col("hub")) & near).select(F.col("rid").alias("u"), F.col("hub").alias("v"))
+    met = shared.filter((F.col("rid") != F.col("hub")) & near).select(F.col("rid").alias("u"), F.col("hub").alias("v"))
     pairs = write_table(close.unionByName(same).unionByName(met).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
     both = _sets(rows, pairs.select(F.explode(F.array("u", "v")).alias("rid")))
     sets = lambda name, c: both.select(F.col("rid").alias(name), F.col("shingles").alias(c))
@@ -213,6 +210,17 @@ def similar_links(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataF
     return pairs.join(sets("u", "x"), "u").join(sets("v", "y"), "v").select("u", "v", "x", "y").mapInArrow(verify, "u long, v long")
 
 
+def shared_minima(nodes: DataFrame) -> DataFrame:
+    """(rid, size, kind, least, hub, hub_size): each row of nodes (rid, minima, size) in each bucket of a minimum hash that
+    it shares with others, and the bucket's hub. Most buckets hold one row and go no further. Hubs are a table, so the
+    join on them can split a hot bucket."""
+    filed = nodes.select("rid", "size", F.posexplode("minima").alias("kind", "least"))
+    hub = F.min(F.struct(F.xxhash64("rid", "kind").alias("h"), F.col("rid").alias("hub"), F.col("size").alias("hub_size"))).alias("x")
+    hubs = filed.groupBy("kind", "least").agg(hub, F.count("*").alias("n")).filter("n > 1")
+    hubs = write_table(hubs.select(F.col("kind").alias("k"), F.col("least").alias("l"), "x.hub", "x.hub_size"), "hubs")
+    return filed.join(hubs, (F.col("kind") == F.col("k")) & (F.col("least") == F.col("l"))).select("rid", "size", "kind", "least", "hub", "hub_size")
+
+
 #: Most rows whose numbers are broadcast to pick their sets out; the sets of more meet in a shuffle with all others.
 FEW = 1 << 20
 
@@ -225,9 +233,10 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 #: Entries of shingle sets in a block of a bucket, of which a task holds two.
-BLOCK = 1 << 17
-#: Most entries that are put last in the order of prefixes, and so the size of a broadcast (8 bytes each).
-COMMON = 1 << 20
+BLOCK = 1 << 20
+#: Most entries that are put last in the order of prefixes, and so the size of a broadcast (8 bytes each), and of how many
+#: rows about the frequent entries are looked for.
+COMMON, LOOKED = 1 << 20, 20_000
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -315,22 +324,25 @@ def _compared(rows: DataFrame, filed: DataFrame, buckets: DataFrame, similarity:
 
 
 def _prefix_filings(sets: DataFrame, similarity: float, common: int = COMMON) -> DataFrame:
-    """(rid, label, size, kind, least): rows of sets (rid, label, size, shingles) filed under each entry of their prefix.
+    """(rid, label, size, kind, least): rows of sets (rid, label, size, shingles) filed under each entry of their prefix
+    that others have in theirs.
 
-    In the order of prefixes the most frequent entries come last: as many as `common` at most, by whole powers of two of
-    their frequency. Which they are changes the cost only, as any order that is the same for all sets is exact.
+    In the order of prefixes frequent entries come last, as many as `common` at most. They are those that several of some
+    rows have; which they are changes the cost only, as any order that is the same for all sets is exact.
     """
+    context = sets.sparkSession.sparkContext
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, n = np.unique(np.concatenate([_unpacked(x) for x in batch.column("shingles").to_pylist()] or [np.zeros(0, np.int64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["e", "n"])
+        held = [np.unique(np.concatenate([_unpacked(x) for x in b.column("shingles").to_pylist()]), return_counts=True) for b in batches if len(b)]
+        if held:
+            values, back = np.unique(np.concatenate([v for v, _ in held]), return_inverse=True)
+            n = np.bincount(back, np.concatenate([c for _, c in held])).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(values[n > 1]), pa.array(n[n > 1])], names=["e", "n"])
 
-    often = write_table(sets.select("shingles").mapInArrow(tally, "e long, n long").groupBy("e").agg(F.sum("n").alias("n")).filter("n > 1"), "often")
-    steps = {r.step: r.n for r in often.groupBy(F.floor(F.log2("n")).cast("int").alias("step")).agg(F.count("*").alias("n")).collect()}  # at most 64 rows
-    least = min((s for s in range(1, 65) if sum(n for k, n in steps.items() if k >= s) <= common))
-    last = np.sort(np.array(often.filter(F.log2("n") >= least).select("e").toArrow()["e"], np.int64))
-    shared = sets.sparkSession.sparkContext.broadcast(last)
+    share = min(1.0, LOOKED / max(1, sets.count()))
+    some = sets.filter(F.pmod(F.xxhash64("rid", F.lit("looked")), F.lit(1 << 20)) < int(share * (1 << 20))).select("shingles").repartition(4)
+    often = some.mapInArrow(tally, "e long, n long").groupBy("e").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "e").limit(common)
+    shared = context.broadcast(np.sort(np.array(often.select("e").toArrow()["e"], np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared.value
@@ -338,8 +350,9 @@ def _prefix_filings(sets: DataFrame, similarity: float, common: int = COMMON) ->
             held, counts = [], []
             for data in batch.column("shingles").to_pylist():
                 x = _unpacked(data)
-                at = np.minimum(np.searchsorted(last, x), max(0, len(last) - 1))
-                x = np.concatenate([x[y] for y in (last[at] != x, last[at] == x)]) if len(last) else x
+                if len(last):
+                    late = last[np.minimum(np.searchsorted(last, x), len(last) - 1)] == x
+                    x = np.concatenate([x[~late], x[late]])
                 held.append(x[: _prefix(np.array([len(x)]), similarity)[0]])
                 counts.append(len(held[-1]))
             again = pa.array(np.repeat(np.arange(len(batch)), counts))
@@ -347,35 +360,39 @@ def _prefix_filings(sets: DataFrame, similarity: float, common: int = COMMON) ->
             entries = pa.array(np.concatenate([np.zeros(0, np.int64), *held]))
             yield pa.RecordBatch.from_arrays([*(batch.column(n).take(again) for n in names), entries], names=[*names, "least"])
 
-    return sets.mapInArrow(run, "rid long, label long, size long, least long").select("rid", "label", "size", F.lit(0).alias("kind"), "least")
+    filed = write_table(sets.mapInArrow(run, "rid long, label long, size long, least long"), "filed")
+    # most entries are one row's alone
+    several = write_table(filed.groupBy("least").agg(F.count("*").alias("n")).filter("n > 1").select("least"), "several")
+    return filed.join(several, "least").select("rid", "label", "size", F.lit(0).alias("kind"), "least")
 
 
-def bucket_links(rows: DataFrame, labels: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """Links (u, v) between the labels of rows (rid, label, size, minima) that share a minimum hash and have at least
-    this similarity, enough of them to join all such rows. rows has the sets (rid, shingles).
+def bucket_links(rows: DataFrame, filed: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links (u, v) between the labels of rows that share a minimum hash (filed: rid, label, size, kind, least) and have at
+    least this similarity, enough of them to join all such rows. rows has the sets (rid, shingles).
 
     Buckets of one label are settled. Others of up to `block` entries are compared in a task each. What is in larger
     buckets, as of a passage that very many texts hold, is filed anew by prefixes, which leave such passages out, and
     compared in those buckets; only texts that consist of common passages are then still many to a bucket.
     """
-    filed = labels.select("rid", "label", "size", F.posexplode("minima").alias("kind", "least"))
     buckets = _open_buckets(filed, block)
     small = _compared(rows, filed, buckets.filter("blocks = 1"), similarity)
     large = buckets.filter("blocks > 1")
     if large.isEmpty():
         return small
-    hot = _within(filed, large).select("rid", "label", "size").distinct()
-    sets = write_table(hot.join(_sets(rows, hot.select("rid")), "rid"), "hot")
+    hot = write_table(_within(filed, large).select("rid", "label", "size").distinct(), "hot")
+    few = hot.limit(FEW + 1).count() <= FEW
+    sets = write_table(rows.select("rid", "shingles").join(F.broadcast(hot) if few else hot, "rid"), "sets")
     again = write_table(_prefix_filings(sets, similarity), "filed")
     return small.unionByName(_compared(sets, again, _open_buckets(again, block), similarity))
 
 
 def similar_components(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """(node, component) of all nodes: links to hubs first, then all that they leave open within buckets."""
-    first = components(similar_links(rows, nodes, similarity))
-    own = nodes.select("rid", "minima", "size")
-    labels = write_table(own.join(first, own["rid"] == first["node"], "left").select("rid", F.coalesce("component", "rid").alias("label"), "size", "minima"), "labels")
-    found = components(bucket_links(rows, labels, similarity))
+    shared = write_table(shared_minima(nodes), "shared")
+    first = components(similar_links(rows, nodes, shared, similarity))
+    labels = write_table(nodes.select("rid").join(first, nodes["rid"] == first["node"], "left").select("rid", F.coalesce("component", "rid").alias("label")), "labels")
+    filed = write_table(shared.select("rid", "size", "kind", "least").join(labels, "rid").select("rid", "label", "size", "kind", "least"), "filed")
+    found = components(bucket_links(rows, filed, similarity))
     return labels.join(found, labels["label"] == found["node"], "left").select(F.col("rid").alias("node"), F.coalesce("component", "label").alias("component"))
 
 

@@ -152,6 +152,42 @@ def test_quality(spark, docs, rows):
     assert set(quality_gam.keep_good(clash, labels).columns) == {"doc_id", "text", "score", "__text"}
 
 
+def test_quality_features_and_scores_by_hand(spark, docs, rows):
+    def features(t):
+        raw = t.encode()
+        if not raw:
+            return [0.0] * len(quality_gam.FEATURES)
+        share = lambda f: sum(map(f, raw)) / len(raw)
+        among = lambda chars: share(lambda b: b in chars)
+        words = raw.lower().split()
+        n, lines = max(1, len(words)), [x for x in raw.split(b"\n") if x.strip()]
+        spaces = sum(b in b" \t\n\r" for b in raw)
+        return [
+            math.log1p(len(raw)), math.log1p(len(words)), (len(raw) - spaces) / n, math.log1p(max(map(len, words), default=0)),
+            share(lambda b: 65 <= b <= 90), among(b"0123456789"), among(b"#$%&*+/<=>@[\\]^_`{}~"), among(b"|"), among(b".,;:"), among(b"!?"), spaces / len(raw),
+            share(lambda b: b >= 128), share(lambda b: (b < 32 and b not in b"\t\n\r") or b == 127),
+            sum(a == b for a, b in zip(words, words[1:])) / n, max((words.count(w) for w in set(words)), default=0) / n, len(set(words)) / n**0.8,
+            1 - len(set(lines)) / max(1, len(lines)), math.log1p(len(raw) / max(1, len(lines))), sum(len(w) <= 2 for w in words) / n,
+        ]
+
+    texts = [t for _, t in rows[:40]] + ["", " \n", "a a B\n\nx!|x\x01\x7f é", "One, TWO; 33 #"]
+    assert np.allclose(quality_gam.matrix([t.encode() for t in texts]), [features(t) for t in texts])
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality_gam.train(docs, labels)
+    for n in (2, 32):
+        other = quality_gam.train(docs.repartition(n), labels.repartition(n))
+        assert all((a == b).all() for a, b in zip(model.tables, other.tables)) and model.intercept == other.intercept
+    want = []
+    for t in texts:
+        x = features(t)
+        at = [sum(edge <= v for edge in edges) for edges, v in zip(model.edges, x)]
+        margin = model.intercept + sum(table[i] for table, i in zip(model.tables, at)) + sum(table[at[j], at[k]] for j, k, table in model.pairs)
+        want.append(1 / (1 + math.exp(-margin)))
+    assert len(model.pairs) == 6 and np.allclose(model.score(quality_gam.matrix([t.encode() for t in texts])), want, atol=1e-9)
+    long = spark.createDataFrame([("long", "A quiet sentence stands here. " * 100_000, 1)], "doc_id string, text string, score int")
+    assert 0 <= quality_gam.report(long, labels).first().score <= 1 and quality_gam.keep_good(long, labels.limit(0)).collect() == long.collect()
+
+
 def test_gam_learns_an_interaction():
     rng = np.random.default_rng(1)
     x = rng.random((4000, 2))
@@ -466,7 +502,7 @@ def test_near_dedup_joins_within_buckets(spark):
     assert sorted(r.doc_id for r in simhash.near_dedup(df).collect()) == want
     # buckets beyond a block: by prefixes, and those in blocks if all entries come in any order
     rows = simhash._sketches(df, 5).cache()
-    labels = rows.select("rid", F.col("rid").alias("label"), "size", "minima")
+    labels = rows.select("rid", F.col("rid").alias("label"), "size", F.posexplode("minima").alias("kind", "least"))
     of = {r.rid: r.doc_id for r in rows.collect()}
     filings = lambda common: simhash._prefix_filings(rows.select("rid", F.col("rid").alias("label"), "size", "shingles"), 0.8, common)
     every = lambda common, block: simhash._compared(rows, filings(common), simhash._open_buckets(filings(common), block), 0.8)
