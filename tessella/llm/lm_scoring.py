@@ -37,8 +37,9 @@ BASES = (1.25, 1.6)
 BITS, PROBES = 12, 5
 FILTER_BYTES = 128 << 20
 HEAD = 500_000
-#: Bytes of training text whose n-grams make a range, on average at most.
-RANGE_BYTES = 32 << 20
+#: Bytes of training text whose n-grams make a range, on average at most, and ranges for each partition of a shuffle at
+#: least: several, as they fall into partitions by their hash.
+RANGE_BYTES, RANGES = 32 << 20, 8
 #: Tokens that a worker gathers before it sends their sums on.
 RUN = 2_000_000
 
@@ -269,7 +270,7 @@ def learn(training: DataFrame, filter_bytes: int = FILTER_BYTES, head: int = HEA
     """The model of the texts of training (text), without weights, and the table of word counts and bigrams by range."""
     spark = training.sparkSession
     size = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(shuffle_parts(spark), -(-size // range_bytes))
+    parts = max(RANGES * shuffle_parts(spark), -(-size // range_bytes))
     table = write_table(_count(_gather(training, parts), filter_bytes * 8 / parts, per_level), "counts")
     total = table.agg(F.sum("n_words"), F.sum("n_tokens"), F.bool_and("whole_words"), F.bool_and("whole_bigrams")).first()
     # of the filter only the head comes to the driver, and a number for each range
