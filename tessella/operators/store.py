@@ -29,11 +29,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a row group, of which every task that writes holds one.
+ROW_GROUP = 32 << 20
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """df, read back from a Parquet table: its lineage is cut, and several uses compute it once."""
     spark = df.sparkSession
     path = f"{new_path(spark, name)}.parquet"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.table_path = path
     return table
