@@ -46,6 +46,15 @@ def matching(docs: DataFrame, request: Request, compiler: Compiler | None = None
     return docs.filter(term_filters(request) & compiler.matches(node)).withColumn("score", compiler.score(node))
 
 
+def explain(docs: DataFrame, request: Request, compiler: Compiler | None = None) -> DataFrame:
+    """(id, score, parts) of the documents that match: what each clause of the query that matched has added, in the
+    query's order."""
+    compiler = compiler or Compiler()
+    found = matching(docs, request, compiler)
+    said = F.array(*[F.struct(F.lit(name).alias("clause"), value.alias("added")) for name, value in compiler.explained(parse(request.query))])
+    return found.select("id", "score", F.filter(said, lambda x: x["added"] > 0).alias("parts"))
+
+
 def ranked(docs: DataFrame, request: Request, compiler: Compiler | None = None) -> DataFrame:
     """One page: best score first, then id."""
     found = matching(docs, request, compiler).orderBy(F.desc("score"), "id")

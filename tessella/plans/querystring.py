@@ -145,6 +145,13 @@ class Compiler:
             out = out & some
         return out
 
+    def explained(self, node: Node, boost: float = 1.0) -> list[tuple[str, Column]]:
+        """What score() adds up: each clause, as text, and what it adds."""
+        if node.kind in ("all", "term", "range"):
+            said = "*:*" if node.kind == "all" else f"[{node.value} TO {node.upper}]" if node.kind == "range" else node.value
+            return [(f"{node.name}:{said}" if node.name else said, self.score(node) * boost)]
+        return [x for p in node.parts if p.occur != "-" for x in self.explained(p, boost * node.boost)]
+
     @staticmethod
     def _bounded(c: Column, bound: str, holds) -> Column:
         """Whether a field's value keeps to a bound. Numbers in a text field are compared as numbers and what is none is

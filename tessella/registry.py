@@ -482,6 +482,17 @@ def query_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.matching(docs, request, search.Compiler(default="body")).select("id", "score")
 
 
+@_query(
+    f"""WITH {_B}, p AS (SELECT id, ' ' || array_to_string(w, ' ') || ' ' AS t FROM a), q AS (SELECT id, t LIKE '% the %' AS x, t LIKE '% of the %' AS y FROM p)
+        SELECT id, CAST(CASE WHEN x THEN 4.0 ELSE 0 END + CASE WHEN y THEN 2.0 ELSE 0 END AS DOUBLE) AS score,
+            concat_ws(', ', CASE WHEN x THEN 'the 4.0' END, CASE WHEN y THEN 'body:of the 2.0' END) AS parts FROM q WHERE x OR y"""
+)
+def explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.explain(feeds.article_rows(spark, sf_dir), search.Request(query='(the^2 OR body:"of the")^2 -title:zzz'), search.Compiler(default="body"))
+    said = F.transform("parts", lambda x: F.concat_ws(" ", x["clause"], F.format_number(x["added"], 1)))
+    return found.select("id", "score", F.array_join(said, ", ").alias("parts"))
+
+
 @_query("SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice >= 950")
 def range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     compiler = search.Compiler(default="p_name")
