@@ -415,8 +415,10 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Data
     marks = write_table(kept.groupBy("doc_id", "mark").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "marks")
     own, its_id, its_mark = (fresh(docs, n) for n in ("__mark", "__id", "__its_mark"))
     on = lambda m: docs["doc_id"].eqNullSafe(m[its_id]) & (F.col(own) == m[its_mark])
-    # ids and marks are spread evenly, so a part's set of them is hashed and its texts stream past it unsorted
-    named = lambda m: m.select(F.col("doc_id").alias(its_id), F.col("mark").alias(its_mark)).hint("shuffle_hash")
+    # as many ids and marks as can be broadcast leave the texts where they are; else both are spread evenly, so a part's
+    # set of them is hashed and its texts stream past it unsorted
+    few = marks.filter("not kept or n > 1").limit(FEW + 1).count() <= FEW
+    named = lambda m: m.select(F.col("doc_id").alias(its_id), F.col("mark").alias(its_mark)).hint("broadcast" if few else "shuffle_hash")
     marked = docs.withColumn(own, _mark())
     gone, twice = named(marks.filter("not kept")), named(marks.filter("kept and n > 1"))
     if twice.isEmpty():
