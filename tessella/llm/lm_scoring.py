@@ -484,6 +484,7 @@ def score(docs: DataFrame, held_out: Column, **settings) -> DataFrame:
     boundary = int(model.levels(np.array([END], np.uint64))[0]) or int(levels_of(model.exact(np.array([END], np.uint64))[1], 1)[0])
     floor = np.log10(model.tokens + 0.5 * (model.words + 1)) if model.words else np.log10(0.5)
     first = write_table(_first_pass(rows, shared), "first")
+    shared.destroy()
     words = _answers(_spread(first, "tail", model.parts), table, True)
     known = [(F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("s", F.lit(0.0))).alias("base")]
     levels = first
