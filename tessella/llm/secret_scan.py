@@ -87,7 +87,9 @@ def _is_secret(text: Column) -> Column:
     for pattern in ALLOW[1:]:
         allowed = allowed | text.rlike(pattern)
     least = F.when(text.rlike("^[0-9a-fA-F]+$"), LEAST["hex"]).when(text.rlike("^[A-Za-z0-9]+$"), LEAST["alnum"]).otherwise(LEAST["symbol"])
-    return F.when(allowed, False).otherwise(window_entropy(text) >= least)
+    # no window has more bits than the whole has different characters, which are soon counted
+    most = F.log2(F.size(F.array_distinct(F.split(text, ""))))
+    return F.when(allowed | (most < least), False).otherwise(window_entropy(text) >= least)
 
 
 def secret_spans(text: Column) -> Column:
