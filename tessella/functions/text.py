@@ -89,8 +89,9 @@ def ngrams(w: Column | str, least: int, most: int) -> Column:
     """All runs of least to most words, joined by a space, shorter ones first."""
 
     def size(w: Column, n: int) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: i + n <= F.size(w))
-        return F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, n), " "))
+        # by place: a slice would copy the whole array for each run
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat_ws(" ", *[w[i + k] for k in range(n)]))
 
     return let(_c(w), lambda w: F.flatten(F.array(*[size(w, n) for n in range(least, most + 1)])))
 
