@@ -19,6 +19,18 @@ def read_documents(spark: SparkSession, sf_dir: str, table: str = "documents") -
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def pack(batch: pa.RecordBatch) -> bytes:
+    """A batch as one compressed value."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
 def fold(key: str | Column, parts: int) -> Column:
     """crc32 of the key as text, modulo parts; a null key falls in no fold (null)."""
     key = F.col(key) if isinstance(key, str) else key
