@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, filter_audit, graph_ann, importance, lm_scoring, preference, quality_gam, secret_scan, simhash, sql, toxicity, url_filter
+from . import bpe, decontaminate, filter_audit, graph_ann, importance, lm_scoring, preference, quality_gam, secret_scan, simhash, sql, suffix_dedup, toxicity, url_filter
 from ._common import read_documents
 
 
@@ -56,6 +56,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(read_documents(spark, sf_dir))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(read_documents(spark, sf_dir))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.report(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "labels"))
 
@@ -67,7 +71,7 @@ def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_lm_scoring, op2_quality, op3_simhash, op4_graph_ann, op5_url_filter, op6_decontaminate, op7_preference,
-        op8_bpe, op9_toxicity, op10_secrets, op12_filter_audit, op13_importance,
+        op8_bpe, op9_toxicity, op10_secrets, op11_suffix_dedup, op12_filter_audit, op13_importance,
     )
     return {f.__name__: f for f in every}
 
@@ -75,5 +79,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_url_filter": url_filter.oracle(), "op6_decontaminate": sql.DECONTAMINATE, "op7_preference": preference.ORACLE,
-        "op10_secrets": sql.SECRETS, "op12_filter_audit": filter_audit.ORACLE, "op13_importance": importance.oracle(),
+        "op10_secrets": sql.SECRETS, "op11_suffix_dedup": suffix_dedup.ORACLE, "op12_filter_audit": filter_audit.ORACLE, "op13_importance": importance.oracle(),
     }
