@@ -171,10 +171,11 @@ def is_clean_sentence(s: Column) -> Column:
     return plain & let(clean, lambda n: (n >= CLEAN_WORDS) & (n >= F.size(tokens) * CLEAN_SHARE))
 
 
-def clean_summary(c: Column | str) -> Column:
-    """The first clean sentences up to 400 characters (the first one always), else the beginning; null if empty."""
+def clean_summary(c: Column | str, parts: Column | None = None) -> Column:
+    """The first clean sentences up to 400 characters (the first one always), else the beginning; null if empty. parts
+    are the text's sentences, if they were found elsewhere."""
     text = F.replace(_c(c), F.lit("&apos;"), F.lit("'"))
-    good = F.filter(F.transform(sentences(text), clean_sentence), is_clean_sentence)
+    good = F.filter(F.transform(sentences(text) if parts is None else parts, clean_sentence), is_clean_sentence)
     shape = "struct<out:array<string>,n:int,over:boolean>"
 
     def step(acc: Column, s: Column) -> Column:

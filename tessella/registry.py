@@ -753,6 +753,9 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.latest(counted, ["start", "event_type"]).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n")
 
 
+from . import registry_more  # noqa: E402, F401  it registers its queries here
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
