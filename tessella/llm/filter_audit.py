@@ -69,14 +69,15 @@ def refine(rows: DataFrame) -> DataFrame:
     """Rows of (points, blocks) that may have equals: a class is first a length, then is split by one block's hash after
     another, and classes of a single row are dropped each time. Adds the column `class`.
 
-    Each round counts its classes by partial sums and keeps rows by a semi-join, so a class of very many copies is split
-    among tasks. Rounds end when no row has a further block: they are as many as the doublings of the longest text.
+    Each round counts its classes by partial sums, into a table of its own, and keeps rows by a semi-join that can split a
+    class of very many copies among tasks. Rounds end when no row has a further block: they are as many as the doublings of the longest text.
     """
     rows = rows.withColumn("class", F.xxhash64("points"))
     depth, before = 0, None
     while True:
-        shared = rows.groupBy("class").count().filter("count > 1").select("class")
+        shared = write_table(rows.groupBy("class").count().filter("count > 1").select("class"), "shared")
         kept = write_table(rows.join(shared, "class", "left_semi"), "classes")
+        remove_table(shared)
         if before is not None:
             remove_table(before)
         more = F.size("blocks") > depth
@@ -97,16 +98,20 @@ def duplicates(docs: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     own = look(docs.withColumn("__part", F.lit("")), "__part") if seen is None else seen
     classes = refine(own.filter("doc_id is not null").select("doc_id", "hash", "points", "blocks").distinct())
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    left = write_table(texts.join(classes.select("doc_id", "hash", "class"), ["doc_id", "hash"]), "suspects")
+    # texts move whatever the size, so that a larger input takes in proportion what a small one takes
+    left = write_table(texts.join(classes.select("doc_id", "hash", "class").hint("merge"), ["doc_id", "hash"]), "suspects")
     remove_table(classes, *([own] if seen is None else []))
     found = None
     while left.limit(1).count():
-        first = left.groupBy("class").agg(F.min(F.struct("doc_id", "text")).alias("first"))
-        met = write_table(left.join(first, "class").withColumn("same", F.col("text") == F.col("first.text")).withColumn("later", F.col("doc_id") > F.col("first.doc_id")).drop("first").withColumn("text", F.when(~F.col("same"), F.col("text"))), "compared")
+        # in a table of its own, so that the join can split a class of very many rows
+        first = write_table(left.groupBy("class").agg(F.min(F.struct("doc_id", "text")).alias("first")), "first")
+        met = left.join(first, "class").withColumn("same", F.col("text") == F.col("first.text"))
+        met = met.withColumn("later", F.col("doc_id") > F.col("first.doc_id")).withColumn("text", F.when(~F.col("same"), F.col("text")))
+        met = write_table(met.drop("first"), "compared")
         same = met.filter("same and later").select("doc_id", "hash")
         found = same if found is None else found.unionByName(same)
-        remove_table(left)
-        left = met.filter("not same").select("doc_id", "hash", "text", "class")
+        remove_table(left, first)
+        left = write_table(met.filter("not same").select("doc_id", "hash", "text", "class"), "suspects")
     return left.select("doc_id", "hash") if found is None else found.distinct()
 
 
