@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,9 @@ from ._common import _BASE, _INVERSE, _power, carried, fields, mix, pack, pieces
 _BASE2 = 0xD6E8FEB86659FD93
 _INVERSE2 = pow(_BASE2, -1, 1 << 64)
 #: Places of a text that are hashed at once; bytes of pieces that make a shard; different pieces of a core that one task merges.
-SPAN, SHARD, HOT = 1 << 16, 1 << 18, 1 << 16
+SPAN, SHARD, HOT = 1 << 16, 1 << 18, 1 << 13
+#: Bytes of pieces, of whole cores, that a task merges at once; it takes about a hundred bytes for each.
+MERGED = 3 << 19
 
 
 # -- windows and pieces of a batch of texts ----------------------------------------------------------------------------
@@ -301,8 +304,9 @@ def _sent(length: int, ranges: int, text: str):
             of = send[of]
             first, last = p.first[p.one[of]].tolist(), p.last[p.one[of]].tolist()
             rows = pa.RecordBatch.from_arrays(
-                [pa.array(first, pa.int64()), pa.array(again[of] == 0), pa.array([data[a : b + length].tobytes() for a, b in zip(first, last)], pa.binary())], names=["first", "wanted", "text"]
-            )
+                [pa.array(p.h[of]), pa.array(first, pa.int64()), pa.array(again[of] == 0), pa.array([data[a : b + length].tobytes() for a, b in zip(first, last)], pa.binary())],
+                names=["core", "first", "wanted", "text"],
+            )
             out.append({"bid": bid, "kind": 1, "range": r, "body": pack(rows)})
         send = np.flatnonzero((again != 1) & (core == 2))
         if len(send):
@@ -333,21 +337,27 @@ def window_hashes(data: np.ndarray, places: np.ndarray, length: int) -> tuple[np
 
 
 def _merged(length: int):
-    """The repeated windows among the pieces of a range of cores."""
+    """The repeated windows among the pieces of a range of cores: some whole cores at a time, since pieces of different
+    cores share no window."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.select(["bid", "body"]).to_pylist(), key=lambda x: x["bid"])
-        bids, firsts, wanted, texts = [], [], [], []
-        for x in rows:
-            got = unpack(x["body"])
-            bids += [x["bid"]] * len(got)
-            firsts += got.column("first").to_pylist()
-            wanted += got.column("wanted").to_pylist()
-            texts += got.column("text").to_pylist()
+        got = pa.Table.from_batches([unpack(x["body"]) for x in rows])
+        bids = np.repeat([x["bid"] for x in rows], [len(unpack(x["body"])) for x in rows])
+        cores = got.column("core").to_numpy()
+        order = np.argsort(cores, kind="stable")
+        bids, cores, got = bids[order], cores[order], got.take(order).combine_chunks()
+        sizes = np.cumsum(pa.compute.binary_length(got.column("text")).to_numpy().astype(np.int64))
+        starts = np.flatnonzero(np.append(True, cores[1:] != cores[:-1]))
+        before = np.append(0, sizes)[starts]
+        cuts = [int(starts[i]) for i in np.flatnonzero(np.append(True, np.diff(before // MERGED) != 0))] + [len(cores)]
         found: dict[int, list[np.ndarray]] = {}
-        for bid, first, ask, at in zip(bids, firsts, wanted, repeated(texts, length)):
-            if ask and len(at):
-                found.setdefault(bid, []).append(at + first)
+        for a, b in zip(cuts, cuts[1:]):
+            some = got.slice(a, b - a)
+            each = repeated(some.column("text").to_pylist(), length)
+            for bid, first, ask, at in zip(bids[a:b].tolist(), some.column("first").to_pylist(), some.column("wanted").to_pylist(), each):
+                if ask and len(at):
+                    found.setdefault(bid, []).append(at + first)
         return pa.Table.from_pylist([_spans(b, *_runs(np.sort(np.concatenate(x)))) for b, x in found.items()], schema=_ROWS)
 
     return run
