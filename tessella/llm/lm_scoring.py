@@ -2,13 +2,13 @@
 
 Counting. Workers hash the words and bigrams of whole batches at once, sum equal ones, and send sorted runs to ranges of
 hash values, of which there are as many as the corpus needs. Each range sums its runs, keeps exact word counts in a table,
-and builds its own region of the filter: an n-gram of count c is put in once for each level 1 to 1 + log_b(c). The regions
-together are the filter, which is broadcast: words first, then bigrams, those of the smallest counts left out beyond
-FILTER_BYTES. What is left out stays in the ranges' tables: words with their counts, bigrams in a filter of their own.
+and builds its own regions of the filter, one of words and one of bigrams: an n-gram of count c is put in once for each
+level 1 to 1 + log_b(c). The regions together are the filter, of one density at any size. They are broadcast if they fit into
+FILTER_BYTES, words first; if not, what the filter says of each range's most frequent n-grams is broadcast in their place.
 
 Scoring. An n-gram's count is found by probing its levels upwards until one is missing. A first pass over the texts writes
-each token's levels; n-grams that may only be in a range's table are asked there in a shuffle, and their levels are filled
-in. So scores do not depend on how much of the filter is broadcast.
+each token's levels; n-grams that the broadcast does not know are asked in a shuffle, where each range probes the same
+region, and their levels are filled in. So scores do not depend on how much of the filter is broadcast.
 
 Probabilities interpolate bigrams with smoothed words. A token's probability follows from three levels: its own, that of
 the word before, and that of both; so the numbers of training tokens by these three say all that expectation maximisation
@@ -117,26 +117,25 @@ def _key(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     return x >> np.uint64(32), bits
 
 
-def region(words: tuple[np.ndarray, np.ndarray], bigrams: tuple[np.ndarray, np.ndarray], most_bits: float, per_level: int = BITS) -> tuple[np.ndarray, int, int]:
-    """A range's Bloom filter in 64-bit words, and the least counts of words and of bigrams that it holds."""
-    orders, least = [words, bigrams], [1, 1]
+def region(h: np.ndarray, c: np.ndarray, order: int, per_level: int = BITS) -> np.ndarray:
+    """A range's Bloom filter of the n-grams of an order and their counts, in 64-bit words."""
+    top = levels_of(c, order)
+    held = np.zeros(max(1, -(-per_level * int(top.sum()) // 64)), np.uint64)
+    level = 1
+    while len(h):
+        at, bits = _key(h, level)
+        np.bitwise_or.at(held, (at * np.uint64(len(held))) >> np.uint64(32), bits)
+        level += 1
+        h, top = h[top >= level], top[top >= level]
+    return held
 
-    def need() -> int:
-        return per_level * sum(int(levels_of(c[c >= n], k).sum()) for k, ((_, c), n) in enumerate(zip(orders, least), 1))
 
-    for k in (1, 0):  # bigrams are left out first, then words
-        while need() > most_bits and (orders[k][1] >= least[k]).any():
-            least[k] = max(least[k] + 1, least[k] * 5 // 4)
-    held = np.zeros(max(1, -(-need() // 64)), np.uint64)
-    for k, ((h, c), n) in enumerate(zip(orders, least), 1):
-        h, top = h[c >= n], levels_of(c[c >= n], k)
-        level = 1
-        while len(h):
-            at, bits = _key(h, level)
-            np.bitwise_or.at(held, (at * np.uint64(len(held))) >> np.uint64(32), bits)
-            level += 1
-            h, top = h[top >= level], top[top >= level]
-    return held, *least
+def _frequent(h: np.ndarray, c: np.ndarray, held: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent n-grams, rising by hash, and the level that their region says."""
+    if len(h) > most:
+        keep = np.sort(np.lexsort((h, -c))[:most])
+        h = h[keep]
+    return h, probed(h, held, 0, len(held)).astype(np.uint8)
 
 
 def probed(h: np.ndarray, data: np.ndarray, starts: np.ndarray | int, sizes: np.ndarray | int) -> np.ndarray:
@@ -154,26 +153,45 @@ def probed(h: np.ndarray, data: np.ndarray, starts: np.ndarray | int, sizes: np.
 
 
 @dataclass
-class Model:
-    """The filter's regions one after another, exact counts of the most frequent words, totals, and weights by the
-    context's level."""
+class Known:
+    """What is broadcast of the filter for an order: its regions, one after another, or else the levels of some n-grams."""
 
     parts: int
+    whole: bool
     data: np.ndarray
     starts: np.ndarray
     sizes: np.ndarray
+    some: np.ndarray
+    said: np.ndarray
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """The filter's levels; ASK where they are not known here."""
+        distinct, back = np.unique(h, return_inverse=True)
+        if self.whole:
+            p = range_of(distinct, self.parts).astype(np.int64)
+            return probed(distinct, self.data, self.starts[p], self.sizes[p])[back]
+        if not len(self.some):
+            return np.full(len(h), ASK, np.int64)
+        at = np.minimum(np.searchsorted(self.some, distinct), len(self.some) - 1)
+        return np.where(self.some[at] == distinct, self.said[at], ASK).astype(np.int64)[back]
+
+
+@dataclass
+class Model:
+    """What is known of words and of bigrams, exact counts of the most frequent words, totals, and weights by the context's
+    level."""
+
+    parts: int
+    known: tuple[Known, Known]
     head: np.ndarray
     head_counts: np.ndarray
     tokens: int
     words: int
-    #: Whether all words, and all bigrams, are in the filter.
-    whole: tuple[bool, bool]
     weights: np.ndarray | None = None
 
-    def levels(self, h: np.ndarray) -> np.ndarray:
-        distinct, back = np.unique(h, return_inverse=True)
-        p = range_of(distinct, self.parts).astype(np.int64)
-        return probed(distinct, self.data, self.starts[p], self.sizes[p])[back]
+    @property
+    def whole(self) -> bool:
+        return self.known[0].whole and self.known[1].whole
 
     def exact(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each word is one of the most frequent, and its exact count."""
@@ -236,30 +254,32 @@ def _gather(training: DataFrame, parts: int) -> DataFrame:
     return training.select("text").mapInArrow(run, "p int, k int, ones binary, more binary, counts binary")
 
 
-def _count(runs: DataFrame, most_bits: float, per_level: int) -> DataFrame:
-    """One row for each range: totals, a histogram of word counts, the words' hashes and counts, the filter's region and
-    the least counts in it, and a filter of the bigrams that are not in it."""
+def _count(runs: DataFrame, most: int, per_level: int) -> DataFrame:
+    """One row for each range: totals, a histogram of word counts, the words' hashes and counts, the filter's regions of
+    words and bigrams, and what they say of the `most` most frequent of each."""
 
     def merge(table: pa.Table) -> pa.Table:
         import pyarrow.compute as pc
 
-        orders = []
+        row = {"p": (table["p"][0].as_py(), pa.int32())}
         for k in (1, 2):
             of = table.filter(pc.equal(table["k"], k))
             read = lambda name, kind: np.frombuffer(b"".join(of[name].to_pylist()), kind)  # noqa: E731, B023
             ones, more, counts = read("ones", np.uint64), read("more", np.uint64), read("counts", np.int64)
-            orders.append(_summed(np.concatenate([ones, more]), np.concatenate([np.ones(len(ones), np.int64), counts])))
-        (h, c), (g, n) = orders
-        data, least_word, least = region(*orders, most_bits, per_level)
-        rest = region((h[:0], c[:0]), (g[n < least], n[n < least]), np.inf, per_level)[0] if least > 1 else data[:0]
-        row = {
-            "p": (table["p"][0].as_py(), pa.int32()), "n_words": (len(h), pa.int64()), "n_tokens": (int(c.sum()), pa.int64()), "histogram": (np.bincount(_step(c)).tolist(), pa.list_(pa.int64())),
-            "words": (h.tobytes(), pa.binary()), "counts": (c.tobytes(), pa.binary()), "data": (data.tobytes(), pa.binary()), "size": (len(data), pa.int64()),
-            "whole_words": (bool(least_word == 1), pa.bool_()), "whole_bigrams": (bool(least == 1), pa.bool_()), "rest": (rest.tobytes(), pa.binary()),
-        }
+            h, c = _summed(np.concatenate([ones, more]), np.concatenate([np.ones(len(ones), np.int64), counts]))
+            del of, ones, more, counts
+            if k == 1:
+                row |= {
+                    "n_words": (len(h), pa.int64()), "n_tokens": (int(c.sum()), pa.int64()), "histogram": (np.bincount(_step(c)).tolist(), pa.list_(pa.int64())),
+                    "words": (h.tobytes(), pa.binary()), "counts": (c.tobytes(), pa.binary()),
+                }
+            held = region(h, c, k, per_level)
+            some, said = _frequent(h, c, held, most)
+            row |= {f"data{k}": (held.tobytes(), pa.binary()), f"size{k}": (len(held), pa.int64()), f"some{k}": (some.tobytes(), pa.binary()), f"said{k}": (said.tobytes(), pa.binary())}
         return pa.table({name: pa.array([x], kind) for name, (x, kind) in row.items()})
 
-    return runs.groupBy("p").applyInArrow(merge, "p int, n_words long, n_tokens long, histogram array<long>, words binary, counts binary, data binary, size long, whole_words boolean, whole_bigrams boolean, rest binary")
+    each = ", ".join(f"data{k} binary, size{k} long, some{k} binary, said{k} binary" for k in (1, 2))
+    return runs.groupBy("p").applyInArrow(merge, f"p int, n_words long, n_tokens long, histogram array<long>, words binary, counts binary, {each}")
 
 
 def _step(c: np.ndarray) -> np.ndarray:
@@ -271,16 +291,25 @@ def learn(training: DataFrame, filter_bytes: int = FILTER_BYTES, head: int = HEA
     spark = training.sparkSession
     size = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(RANGES * shuffle_parts(spark), -(-size // range_bytes))
-    table = write_table(_count(_gather(training, parts), filter_bytes * 8 / parts, per_level), "counts")
-    total = table.agg(F.sum("n_words"), F.sum("n_tokens"), F.bool_and("whole_words"), F.bool_and("whole_bigrams")).first()
-    # of the filter only the head comes to the driver, and a number for each range
-    stats = table.select("p", "size").toArrow()
-    sizes = np.ones(parts, np.int64)  # an empty range has a word of zeros
-    sizes[np.array(stats["p"], np.int64)] = np.array(stats["size"], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    data = np.zeros(int(sizes.sum()), np.uint64)
-    for p, got in table.select("p", "data").toLocalIterator():
-        data[starts[p] : starts[p] + sizes[p]] = np.frombuffer(got, np.uint64)
+    table = write_table(_count(_gather(training, parts), filter_bytes // 72 // parts, per_level), "counts")
+    total = table.agg(F.sum("n_words"), F.sum("n_tokens")).first()
+    # a number for each range, and what is to be broadcast, come to the driver
+    stats = table.select("p", "size1", "size2").toArrow()
+    known, left = [], filter_bytes
+    for k in (1, 2):
+        sizes = np.ones(parts, np.int64)  # an empty range has a word of zeros
+        sizes[np.array(stats["p"], np.int64)] = np.array(stats[f"size{k}"], np.int64)
+        starts, whole = np.cumsum(sizes) - sizes, bool(8 * sizes.sum() <= left)
+        data, some, said = np.zeros(int(sizes.sum()) if whole else 0, np.uint64), [], []
+        for p, *got in table.select("p", *([f"data{k}"] if whole else [f"some{k}", f"said{k}"])).toLocalIterator():
+            if whole:
+                data[starts[p] : starts[p] + sizes[p]] = np.frombuffer(got[0], np.uint64)
+            else:
+                some.append((p, np.frombuffer(got[0], np.uint64), np.frombuffer(got[1], np.uint8)))
+        some.sort(key=lambda x: x[0])  # ranges rise with their hashes
+        join = lambda i, kind: np.concatenate([np.zeros(0, kind), *(x[i] for x in some)])  # noqa: E731, B023
+        known.append(Known(parts, whole, data, starts, sizes, join(1, np.uint64), join(2, np.uint8)))
+        left -= data.nbytes
     # the least count of the most frequent words: as many as fit, whole steps of the histogram
     steps = {r.step: r.n for r in table.select(F.posexplode("histogram").alias("step", "n")).groupBy("step").agg(F.sum("n").alias("n")).collect()}  # a few hundred rows
     least = min(s for s in range(max(steps, default=0) + 2) if sum(n for k, n in steps.items() if k >= s) <= head)
@@ -296,35 +325,30 @@ def learn(training: DataFrame, filter_bytes: int = FILTER_BYTES, head: int = HEA
     h = np.frombuffer(b"".join(heads["words"].to_pylist()), np.uint64)
     c = np.frombuffer(b"".join(heads["counts"].to_pylist()), np.int64)
     rank = np.argsort(h)
-    whole = (total[2] is not False, total[3] is not False)
-    return Model(parts, data, starts, sizes, h[rank], c[rank], total[1] or 0, total[0] or 0, whole), table
+    return Model(parts, tuple(known), h[rank], c[rank], total[1] or 0, total[0] or 0), table
 
 
 # -- the levels of all tokens ------------------------------------------------------------------------------------------
 
-_FIRST = "rid long, n_tokens long, n_known long, base double, word binary, both binary, tail binary, tail_at binary, asked binary, asked_at binary"
+_FIRST = "rid long, n_tokens long, n_known long, base double, word binary, both binary, tail binary, tail_at binary, asked binary, asked_at binary, pairs binary, pairs_at binary"
 
 
 def _first_pass(rows: DataFrame, shared) -> DataFrame:
     """Per row: doc_id, held_out, a number, its tokens, and as far as is known without the table: how many of them are
     known, their summed logarithms of count + 0.5, the levels of words and bigrams (ASK where the table must say); and
-    the hashes of words whose counts, and of bigrams whose levels, the table must say, with their places."""
+    the hashes of words whose counts, and of words and bigrams whose levels, the table must say, with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, rid = shared.value, TaskContext.get().partitionId() << 40
-        boundary = own.levels(np.array([END], np.uint64))[0]
         for batch in pieces(batches):
             texts = text_bytes(batch.column("text"))
             out: dict[str, list] = {n.split()[0]: [] for n in _FIRST.split(", ")}
             for lo, hi in slices(texts):
                 tokens, bigrams, firsts, sizes = grams(texts[lo:hi])
                 found, count = own.exact(tokens)
-                word, both = own.levels(tokens), own.levels(bigrams)
-                if not own.whole[0]:
-                    word = np.where(word > 0, word, np.where(found, levels_of(count, 1), ASK))
-                if not own.whole[1]:
-                    # where the word before is unknown, so is the bigram
-                    both = np.where((both == 0) & (before(word, firsts, boundary) > 0), ASK, both)
+                word, both = own.known[0].levels(tokens), own.known[1].levels(bigrams)
+                # where the word before is unknown, the bigram counts for nothing
+                both = np.where((both == ASK) & (before(word, firsts, ASK) == 0), 0, both)
                 out["n_tokens"] += sizes.tolist()
                 out["base"] += np.add.reduceat(np.where(found, np.log10(count + 0.5), 0.0), firsts).tolist()
                 out["n_known"] += np.add.reduceat(found.astype(np.int64), firsts).tolist()
@@ -332,7 +356,7 @@ def _first_pass(rows: DataFrame, shared) -> DataFrame:
                 ends = [*firsts.tolist(), len(tokens)]
                 for name, x in (("word", word.astype(np.uint8)), ("both", both.astype(np.uint8))):
                     out[name] += [x[a:b].tobytes() for a, b in zip(ends, ends[1:])]
-                for name, h, some, placed in (("tail", tokens, ~found, not own.whole[0]), ("asked", bigrams, both == ASK, True)):
+                for name, h, some, placed in (("tail", tokens, ~found, False), ("asked", tokens, word == ASK, True), ("pairs", bigrams, both == ASK, True)):
                     at = np.flatnonzero(some)
                     cuts = np.searchsorted(at, ends)
                     out[name] += [h[at[a:b]].tobytes() for a, b in zip(cuts, cuts[1:])]
@@ -376,31 +400,37 @@ def _by_row(rids: np.ndarray, places: np.ndarray, level: np.ndarray) -> tuple[np
     return own, cut(places), cut(level.astype(np.uint8))
 
 
-def _answers(asked: DataFrame, table: DataFrame, words: bool) -> DataFrame:
-    """(rid, s, k, said) from what _spread gives: for words, the sum of logarithms and the number of known ones; said
-    holds the places and levels that each range has found out."""
+def _counted(asked: DataFrame, table: DataFrame) -> DataFrame:
+    """(rid, s, k): of the words that _spread gives, the sum of logarithms of count + 0.5 and the number of known ones."""
+
+    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        read = lambda t, name, kind: np.frombuffer(b"".join(t[name].to_pylist()), kind)
+        of, h = read(left, "rids", np.int64), read(left, "h", np.uint64)
+        known, counts = read(right, "words", np.uint64), read(right, "counts", np.int64)
+        at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+        count = np.where(known[at] == h, counts[at], 0) if len(known) else np.zeros(len(h), np.int64)
+        rids, back = np.unique(of, return_inverse=True)
+        sums = [np.bincount(back, np.log10(count + 0.5), len(rids)), np.bincount(back, count > 0, len(rids)).astype(np.int64)]
+        return pa.table({"rid": pa.array(rids, pa.int64()), "s": sums[0], "k": sums[1]})
+
+    found = asked.groupBy("p").cogroup(table.select("p", "words", "counts").groupBy("p")).applyInArrow(look_up, "rid long, s double, k long")
+    return found.groupBy("rid").agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
+
+
+def _said(asked: DataFrame, table: DataFrame, order: int, name: str) -> DataFrame:
+    """(rid, name): the places and levels that each range's region says of the n-grams that _spread gives."""
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
         read = lambda t, name, kind: np.frombuffer(b"".join(t[name].to_pylist()), kind)
-        of, h, places = read(left, "rids", np.int64), read(left, "h", np.uint64), read(left, "places", np.int32)
-        if words:
-            known, counts = read(right, "words", np.uint64), read(right, "counts", np.int64)
-            at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-            count = np.where(known[at] == h, counts[at], 0) if len(known) else np.zeros(len(h), np.int64)
-            level, logged = levels_of(count, 1), np.log10(count + 0.5)
-        else:
-            data = read(right, "rest", np.uint64)
-            distinct, back = np.unique(h, return_inverse=True)
-            level = probed(distinct, data, 0, len(data))[back] if len(data) else np.zeros(len(h), np.int64)
-            count, logged = np.zeros(len(h)), np.zeros(len(h))
+        of, h, places, data = read(left, "rids", np.int64), read(left, "h", np.uint64), read(left, "places", np.int32), read(right, "data", np.uint64)
+        distinct, back = np.unique(h, return_inverse=True)
+        level = probed(distinct, data, 0, len(data))[back] if len(data) else np.zeros(len(h), np.int64)
         rids, at, found = _by_row(of, places, level)
-        back = np.searchsorted(rids, of)
-        sums = [np.bincount(back, logged, len(rids)), np.bincount(back, count > 0, len(rids)).astype(np.int64)]
-        return pa.table({"rid": pa.array(rids, pa.int64()), "s": sums[0], "k": sums[1], "at": pa.array(at, pa.binary()), "level": pa.array(found, pa.binary())})
+        return pa.table({"rid": pa.array(rids, pa.int64()), "at": pa.array(at, pa.binary()), "level": pa.array(found, pa.binary())})
 
-    ranges = table.select("p", *(["words", "counts"] if words else ["rest"]))
-    found = asked.groupBy("p").cogroup(ranges.groupBy("p")).applyInArrow(look_up, "rid long, s double, k long, at binary, level binary")
-    return found.groupBy("rid").agg(F.sum("s").alias("s"), F.sum("k").alias("k"), F.collect_list(F.when(F.length("at") > 0, F.struct("at", "level"))).alias("said"))
+    ranges = table.select("p", F.col(f"data{order}").alias("data"))
+    found = asked.groupBy("p").cogroup(ranges.groupBy("p")).applyInArrow(look_up, "rid long, at binary, level binary")
+    return found.groupBy("rid").agg(F.collect_list(F.struct("at", "level")).alias(name))
 
 
 def _filled(first: DataFrame) -> DataFrame:
@@ -481,21 +511,26 @@ def score(docs: DataFrame, held_out: Column, **settings) -> DataFrame:
     rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     model, table = learn(rows.filter(~F.col("held_out")), **settings)
     shared = spark.sparkContext.broadcast(model)
-    boundary = int(model.levels(np.array([END], np.uint64))[0]) or int(levels_of(model.exact(np.array([END], np.uint64))[1], 1)[0])
+    boundary = int(model.known[0].levels(np.array([END], np.uint64))[0])
+    if boundary == ASK:  # one region says
+        of = int(range_of(np.array([END], np.uint64), model.parts)[0])
+        data = [np.frombuffer(x, np.uint64) for (x,) in table.filter(F.col("p") == of).select("data1").collect()]
+        boundary = int(probed(np.array([END], np.uint64), data[0], 0, len(data[0]))[0]) if data else 0
     floor = np.log10(model.tokens + 0.5 * (model.words + 1)) if model.words else np.log10(0.5)
     first = write_table(_first_pass(rows, shared), "first")
     shared.destroy()
-    words = _answers(_spread(first, "tail", model.parts), table, True)
+    words = _counted(_spread(first, "tail", model.parts), table)
     known = [(F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("s", F.lit(0.0))).alias("base")]
     levels = first
-    if not all(model.whole):
-        bigrams = _answers(_spread(first, "asked", model.parts), table, False).select(F.col("rid").alias("__r"), F.col("said").alias("bigrams_said"))
-        found = first.join(words.withColumnRenamed("said", "words_said"), "rid", "left").join(bigrams, F.col("rid") == F.col("__r"), "left")
+    if not model.whole:
+        found = first.join(words, "rid", "left")
+        for order, asked, name in ((1, "asked", "words_said"), (2, "pairs", "bigrams_said")):
+            found = found.join(_said(_spread(first, asked, model.parts), table, order, name), "rid", "left")
         levels = write_table(_filled(found.select("rid", "doc_id", "held_out", "n_tokens", *known, "word", "both", "words_said", "bigrams_said")), "levels")
         remove_table(first, table)
     model.weights = fit_weights(model, *tallied(levels.filter(~F.col("held_out")), boundary))
     none = np.zeros(0, np.int64)
-    scorer = replace(model, data=none, starts=none, sizes=none, head=none, head_counts=none)
+    scorer = replace(model, known=(), head=none, head_counts=none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -505,8 +540,8 @@ def score(docs: DataFrame, held_out: Column, **settings) -> DataFrame:
 
     names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base"]
     scored = levels.select(*names, "word", "both").mapInArrow(run, fields(levels, names, "score double"))
-    if all(model.whole):
-        scored = scored.join(words.drop("said"), "rid", "left").select("doc_id", "held_out", "n_tokens", *known, "score")
+    if model.whole:
+        scored = scored.join(words, "rid", "left").select("doc_id", "held_out", "n_tokens", *known, "score")
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * F.lit(float(floor))).alias("base_score"), "score",
