@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import content, sentences
-from .registry import _PLAIN, _query, _table
+from .operators import content, features, sentences, term_clusters
+from .registry import _B, _PLAIN, _query, _table
 from .sources import feeds
 
 # -- main text of pages ------------------------------------------------------------------------------------------------
@@ -133,3 +133,65 @@ def clean_summary_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _bodies(spark, sf_dir).filter("body <> ''")
     found = sentences.split(docs.withColumn("both", F.struct("id", "body")), sentences.train(_bodies(spark, sf_dir), "body"), "both", "body")
     return found.select("both.id", text.clean_summary("both.body", F.col("sentences")).alias("summary"))
+
+
+# -- canopies and k-means over the exported term vectors ---------------------------------------------------------------
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.export_vectors(feeds.article_rows(spark, sf_dir).withColumn("w", text.words("body")), "w")
+
+
+_EXPORT = f"""{_B}, tf AS (SELECT id, w[i] AS feature, count(*) AS tf FROM a, range(1, len(w) + 1) r(i) GROUP BY ALL), n AS (SELECT count(*) AS n FROM a),
+    df AS (SELECT feature, count(*) AS df FROM tf, n GROUP BY feature, n HAVING count(*) <= 0.5 * n),
+    raw AS (SELECT id, feature, sqrt(tf) * (ln(n / (df + 1)) + 1) AS w FROM tf JOIN df USING (feature), n),
+    p AS MATERIALIZED (SELECT id, feature, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM raw),
+    ids AS MATERIALIZED (SELECT DISTINCT id FROM p)"""
+
+
+def _kmeans_sql(first: str, rounds: int) -> str:
+    """Lloyd's steps, unrolled; first selects (cluster, feature, weight)."""
+    steps = [f"c0 AS MATERIALIZED ({first})"]
+    for k in range(rounds):
+        steps.append(
+            f"""a{k} AS MATERIALIZED (SELECT ids.id, coalesce(cluster, (SELECT min(cluster) FROM c{k})) AS cluster FROM ids LEFT JOIN (SELECT id,
+                arg_min(cluster, (-round(s, 9), cluster)) AS cluster FROM (SELECT id, cluster, sum(p.weight * c.weight) AS s
+                    FROM p JOIN c{k} c USING (feature) GROUP BY ALL) GROUP BY id) USING (id))"""
+        )
+        steps.append(
+            f"""c{k + 1} AS MATERIALIZED (SELECT cluster, feature, w / sqrt(sum(w * w) OVER (PARTITION BY cluster)) AS weight
+                FROM (SELECT cluster, feature, sum(weight) AS w FROM p JOIN a{k} USING (id) GROUP BY ALL)
+                UNION ALL SELECT * FROM c{k} WHERE cluster NOT IN (SELECT cluster FROM a{k}))"""
+        )
+    return ", ".join(steps)
+
+
+_STARTS = """SELECT id AS cluster, feature, weight FROM p
+    WHERE ('0x' || substr(md5(id), 1, 8))::BIGINT < floor(least(1.0, greatest(100, (SELECT count(*) FROM ids) // 100) / (SELECT count(*) FROM ids)) * 4294967296)"""
+
+
+@_query(f"WITH {_EXPORT}, {_kmeans_sql(_STARTS, 3)} SELECT id, cluster FROM a2")
+def kmeans_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_clusters.kmeans(_exported(spark, sf_dir), rounds=3)
+
+
+#: A pass over all points in the order of their md5, one at a time.
+_CANOPIES = """s AS MATERIALIZED (SELECT x.id AS a, y.id AS b, round(sum(x.weight * y.weight), 9) AS s FROM p x JOIN p y USING (feature) WHERE x.id <> y.id GROUP BY ALL),
+    o AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY md5(id), id) AS i FROM ids),
+    nb AS MATERIALIZED (SELECT i, id, coalesce(list(b) FILTER (b IS NOT NULL), []) AS near FROM o LEFT JOIN s ON a = id AND s > 0.3 GROUP BY i, id),
+    walk AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS found UNION ALL
+        SELECT nb.i, CASE WHEN list_has_any(near, found) THEN found ELSE list_append(found, id) END FROM walk JOIN nb ON nb.i = walk.i + 1),
+    centre AS MATERIALIZED (SELECT unnest(found) AS id FROM walk WHERE i = (SELECT count(*) FROM ids))"""
+
+
+@_query(f"WITH RECURSIVE {_EXPORT}, {_CANOPIES} SELECT a AS id, b AS canopy FROM s WHERE s > 0.2 AND b IN (SELECT id FROM centre) UNION ALL SELECT id, id FROM centre")
+def canopy_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_clusters.canopy(_exported(spark, sf_dir), 0.8, 0.7)
+
+
+_FROM_CANOPIES = "SELECT id AS cluster, feature, weight FROM p WHERE id IN (SELECT id FROM centre)"
+
+
+@_query(f"WITH RECURSIVE {_EXPORT}, {_CANOPIES}, {_kmeans_sql(_FROM_CANOPIES, 2)} SELECT id, 'mahout' || cluster AS cluster FROM a1")
+def canopy_kmeans_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_clusters.batch_clusters(_exported(spark, sf_dir), rounds=2)
