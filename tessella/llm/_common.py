@@ -60,13 +60,13 @@ def _bytes(setting: str) -> int:
     return int(at[:-1]) << {"k": 10, "m": 20, "g": 30}[at[-1]] if at[-1:] in "kmg" else int(at)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about PIECE bytes of a text column; a longer text is a batch of its own."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about PIECE (or limit) bytes of a text column; a longer text is a batch of its own."""
     for batch in batches:
         texts = batch.column(column)
         sizes = np.frombuffer(texts.buffers()[1], np.int32 if pa.types.is_string(texts.type) or pa.types.is_binary(texts.type) else np.int64)
         sizes = np.diff(sizes[texts.offset : texts.offset + len(texts) + 1]) if len(texts) else np.zeros(0, np.int64)
-        cuts = np.flatnonzero(np.diff(np.cumsum(sizes.astype(np.int64)) // PIECE)) + 1
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes.astype(np.int64)) // (limit or PIECE))) + 1
         for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)]):
             if stop > start:
                 yield batch.slice(start, stop - start)

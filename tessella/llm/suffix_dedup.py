@@ -26,9 +26,11 @@ from ._common import _BASE, _INVERSE, _power, carried, fields, mix, pack, pieces
 _BASE2 = 0xD6E8FEB86659FD93
 _INVERSE2 = pow(_BASE2, -1, 1 << 64)
 #: Places of a text that are hashed at once; bytes of pieces that make a shard; different pieces of a core that one task merges.
-SPAN, SHARD, HOT = 1 << 16, 1 << 18, 1 << 13
+SPAN, SHARD, HOT = 1 << 16, 1 << 18, 1 << 11
+#: Bytes of text that are packed into a row: under half a MB when packed, which is no large object to the JVM.
+PACKED = 1 << 20
 #: Bytes of pieces, of whole cores, that a task merges at once; it takes about a hundred bytes for each.
-MERGED = 3 << 19
+MERGED = 1 << 19
 
 
 # -- windows and pieces of a batch of texts ----------------------------------------------------------------------------
@@ -427,7 +429,7 @@ def dedupe(docs: DataFrame, length: int = 200, keep: list[str] | None = None, di
     than length lose nothing by themselves; repeated rows are texts of their own, so both lose all; an empty table gives no rows; other columns play no part, whatever
     their names. Overlapping occurrences count, so a run of one letter goes wholly.
 
-    Texts are packed by a few MB into rows of a written table, which every job reads. A row sends each different
+    Texts are packed by the MB into rows of a written table, which every job reads. A row sends each different
     hash once, so what a task gathers for a core or a piece is at most a number for each row of that table. Pieces of a core in more than
     `hot` of them are not merged in one task: their windows are counted by two 64-bit hashes, with the same result. Pieces
     are equal if the 64-bit hashes of core and piece are.
@@ -439,7 +441,7 @@ def dedupe(docs: DataFrame, length: int = 200, keep: list[str] | None = None, di
     ranges = max(32, shuffle_parts(spark))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text):
+        for batch in pieces(batches, text, PACKED):
             yield pa.RecordBatch.from_arrays([pa.array([pack(batch)], pa.binary())], names=["body"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
