@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import content, features, sentences, term_clusters
+from .operators import content, features, relevance, sentences, term_clusters
 from .registry import _B, _PLAIN, _query, _table
 from .sources import feeds
+from .streaming import ingest as stream
+from .streaming import live
 
 # -- main text of pages ------------------------------------------------------------------------------------------------
 
@@ -195,3 +197,69 @@ _FROM_CANOPIES = "SELECT id AS cluster, feature, weight FROM p WHERE id IN (SELE
 @_query(f"WITH RECURSIVE {_EXPORT}, {_CANOPIES}, {_kmeans_sql(_FROM_CANOPIES, 2)} SELECT id, 'mahout' || cluster AS cluster FROM a1")
 def canopy_kmeans_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_clusters.batch_clusters(_exported(spark, sf_dir), rounds=2)
+
+
+# -- clusters of a stream ----------------------------------------------------------------------------------------------
+
+
+@_query(
+    f"""WITH RECURSIVE {_B}, tf AS (SELECT id, w[i] AS feature, count(*) AS tf FROM a, range(1, len(w) + 1) r(i) GROUP BY ALL), n AS (SELECT count(*) AS n FROM a),
+        raw AS (SELECT id, feature, sqrt(tf) * (ln(n / (count(*) OVER (PARTITION BY feature) + 1)) + 1) AS w FROM tf, n),
+        p AS MATERIALIZED (SELECT id, feature, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM raw WHERE w > 0),
+        s AS (SELECT x.id AS a, y.id AS b, round(sum(x.weight * y.weight), 9) AS s FROM p x JOIN p y USING (feature)
+            WHERE y.id::BIGINT < x.id::BIGINT GROUP BY ALL HAVING round(sum(x.weight * y.weight), 9) >= 0.5),
+        up AS MATERIALIZED (SELECT a AS id, arg_min(b, (-s, b::BIGINT)) AS parent FROM s GROUP BY a),
+        chain AS (SELECT id, id AS top FROM a UNION ALL SELECT chain.id, parent FROM chain JOIN up ON up.id = chain.top)
+        SELECT id, top AS clusterid FROM chain WHERE top NOT IN (SELECT id FROM up)"""
+)
+def live_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = _table(spark, sf_dir, "documents").schema
+    words = lambda docs: docs.select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("seq"), text.words("text").alias("w"))
+    docs = words(_table(spark, sf_dir, "documents"))
+    return live.clustered(words(stream.read_items(spark, f"{sf_dir}/documents.parquet*", schema)), live.frequencies(docs), docs.count(), 0.5)
+
+
+@_query(
+    """WITH e AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 12 HOUR, true) AS opens FROM events),
+        s AS (SELECT user_id, ts, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e)
+        SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n FROM s GROUP BY user_id, run"""
+)
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = _table(spark, sf_dir, "events").schema
+    found = live.sessions(stream.read_items(spark, f"{sf_dir}/events.parquet*", schema), "ts", "user_id", "12 hours", "400 days")
+    return stream.latest(found, ["start", "user_id"], "complete").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "user_id", "n")
+
+
+# -- relevance ---------------------------------------------------------------------------------------------------------
+
+#: A frequent word, and two that fewer documents hold.
+ASKED = ("the", "anhe", "heat")
+
+
+def _index(spark: SparkSession, sf_dir: str) -> relevance.Index:
+    return relevance.build(feeds.article_rows(spark, sf_dir).select("id", text.words("body").alias("w")))
+
+
+_BM25 = f"""{_B}, t AS (SELECT id, w[i] AS term, count(*) AS tf, any_value(len(w)) AS length FROM a, range(1, len(w) + 1) r(i) GROUP BY id, w[i]),
+    n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM a), df AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+    s AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25 + 0.75 * length / mean)) ORDER BY term) AS score
+        FROM t JOIN df USING (term), n WHERE term IN {ASKED} GROUP BY id)"""
+
+
+@_query(f"WITH {_BM25} SELECT id, round(score, 8) AS score FROM s")
+def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relevance.scores(_index(spark, sf_dir), list(ASKED)).select("id", F.round("score", 8).alias("score"))
+
+
+@_query(f"WITH {_BM25} SELECT id, round(score, 8) AS score FROM s ORDER BY score DESC, id LIMIT 20")
+def bm25_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relevance.top(_index(spark, sf_dir), list(ASKED), 20).select("id", F.round("score", 8).alias("score"))
+
+
+@_query(
+    f"""WITH {_B}, t AS MATERIALIZED (SELECT id, w[i] AS term, i FROM a, range(1, len(w) + 1) r(i) WHERE w[i] IN ('of', 'the'))
+        SELECT x.id, CAST(min(y.i - x.i - 1) AS INTEGER) AS slack FROM t x JOIN t y ON x.id = y.id AND x.term = 'of' AND y.term = 'the' AND y.i > x.i
+        GROUP BY x.id HAVING min(y.i - x.i - 1) <= 3"""
+)
+def phrase_slop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relevance.phrase(_index(spark, sf_dir), ["of", "the"], 3)
