@@ -90,26 +90,28 @@ def id_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", text.id_slug("url").alias("id_slug"))
 
 
-CASES = [
-    "Smith v. Jones (10-875) [ORDER]", "Case: Acme Corp V. Beta LLC", "(A) v. B (C)", "A (x) v. B (y)", "A v. B v. C", "A v. B v C", "A v B V. C", "11-5017 | A v B", "A vs. B", "Case: [ORDER]",
-]
-_CASE_ROWS = ", ".join("('" + c + "')" for c in CASES)
+#: Case titles in all their forms, from the names of customers and their market segments; read the same by both engines.
+_CASE_TITLE = """concat(CASE WHEN c_custkey % 5 = 0 THEN 'Case: ' ELSE '' END, CASE WHEN c_custkey % 13 = 0 THEN '(A) ' ELSE '' END, c_name,
+    CASE c_custkey % 7 WHEN 0 THEN ' v. ' WHEN 1 THEN ' V. ' WHEN 2 THEN ' v ' WHEN 3 THEN ' V ' WHEN 4 THEN ' vs. ' WHEN 5 THEN ' v. B v. ' ELSE ' v B V. ' END,
+    c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN concat(' (', CAST(c_nationkey AS STRING), '-', CAST(c_custkey AS STRING), ')') ELSE '' END,
+    CASE WHEN c_custkey % 11 < 3 THEN ' [ORDER]' ELSE '' END)"""
 
 
 def _case_sql() -> str:
     out, previous = [], "t"
     tests = " ".join(f"WHEN len(string_split(t, '{s}')) = 2 THEN '{s}'" for s in text.SEPARATORS)
-    out.append(f"c AS (SELECT title, trim(regexp_replace(trim(title), '\\[ORDER\\]$', '')) AS t FROM (VALUES {_CASE_ROWS}) x(title))")
-    out.append("e AS (SELECT title, trim(CASE WHEN ends_with(t, ')') AND strpos(t, '(') > 1 THEN substring(t, 1, strpos(t, '(') - 1) ELSE t END) AS t FROM c)")
-    out.append("g AS (SELECT title, trim(regexp_replace(t, '^Case:', '')) AS t FROM e)")
-    out.append(f"s AS (SELECT title, t, CASE {tests} END AS sep FROM g)")
-    return f"WITH {', '.join(out)} SELECT title, CASE WHEN sep IS NOT NULL THEN trim(string_split(t, sep)[1]) END AS plaintiff, CASE WHEN sep IS NOT NULL THEN trim(string_split(t, sep)[2]) END AS defendant FROM s"
+    out.append(f"c AS (SELECT c_custkey, title, trim(regexp_replace(trim(title), '\\[ORDER\\]$', '')) AS t FROM (SELECT c_custkey, {_CASE_TITLE} AS title FROM customer))")
+    out.append("e AS (SELECT c_custkey, title, trim(CASE WHEN ends_with(t, ')') AND strpos(t, '(') > 1 THEN substring(t, 1, strpos(t, '(') - 1) ELSE t END) AS t FROM c)")
+    out.append("g AS (SELECT c_custkey, title, trim(regexp_replace(t, '^Case:', '')) AS t FROM e)")
+    out.append(f"s AS (SELECT c_custkey, title, t, CASE {tests} END AS sep FROM g)")
+    return f"WITH {', '.join(out)} SELECT c_custkey, title, CASE WHEN sep IS NOT NULL THEN trim(string_split(t, sep)[1]) END AS plaintiff, CASE WHEN sep IS NOT NULL THEN trim(string_split(t, sep)[2]) END AS defendant FROM s"
 
 
 @_query(_case_sql())
 def case_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = text.parties("title")
-    return spark.createDataFrame([(c,) for c in CASES], "title string").select("title", p["plaintiff"].alias("plaintiff"), p["defendant"].alias("defendant"))
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.expr(_CASE_TITLE).alias("title"))
+    return rows.select("c_custkey", "title", p["plaintiff"].alias("plaintiff"), p["defendant"].alias("defendant"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -281,37 +283,39 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sim.cosine_pairs(_vectors(_articles(spark, sf_dir))).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-_RULES = [
-    ("1", "t", "d", None, {"x": 1.0}, "t", None, None, {"y": 1.0}), ("2", "t", "d", None, {"x": 1.0}, "u", "d", None, {}), ("3", "t", None, "p", {}, "u", None, "p", {}),
-    ("4", "t", None, None, {"x": 1.0}, "u", None, None, {"x": 1.0, "y": 1.0}), ("5", "t", None, None, {}, "u", None, None, {"x": 1.0}), ("6", "t", "d", None, {"x": 2.0}, "u", None, None, {"y": 1.0}),
-]
-_RULE_DDL = "id string, at string, ad string, ap string, av map<string,double>, bt string, bd string, bp string, bv map<string,double>"
-_RULE_SQL = """r(id, title_a, title_b, d_a, d_b, p_a, p_b, ax, ay, bx, by_) AS (VALUES ('1', 't', 't', 'd', NULL, NULL, NULL, 1.0, 0.0, 0.0, 1.0), ('2', 't', 'u', 'd', 'd', NULL, NULL, 1.0, 0.0, 0.0, 0.0),
-    ('3', 't', 'u', NULL, NULL, 'p', 'p', 0.0, 0.0, 0.0, 0.0), ('4', 't', 'u', NULL, NULL, NULL, NULL, 1.0, 0.0, 1.0, 1.0), ('5', 't', 'u', NULL, NULL, NULL, NULL, 0.0, 0.0, 1.0, 0.0), ('6', 't', 'u', 'd', NULL, NULL, NULL, 2.0, 0.0, 0.0, 1.0))"""
+#: Each article beside the next one, with parties for some, and their vectors side by side.
+_SIDES = f"""{_F}, side AS (SELECT id, CAST(id AS BIGINT) AS i, title, CASE WHEN CAST(id AS BIGINT) % 4 < 2 THEN feed END AS d, CASE WHEN CAST(id AS BIGINT) % 6 < 2 THEN category END AS p FROM a),
+    pair AS (SELECT x.id, y.id AS other, x.title = y.title OR coalesce(x.d = y.d, false) OR coalesce(x.p = y.p, false) AS same FROM side x JOIN side y ON y.i = x.i + 1),
+    w AS (SELECT pair.id, feature, coalesce(max(v.weight) FILTER (v.id = pair.id), 0) AS wa, coalesce(max(v.weight) FILTER (v.id = other), 0) AS wb
+        FROM pair JOIN v ON v.id = pair.id OR v.id = other GROUP BY ALL)"""
 
 
-def _rule_rows(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(_RULES, _RULE_DDL)
-    doc = lambda s: F.struct(F.col(f"{s}t").alias("title"), F.col(f"{s}d").alias("defendant"), F.col(f"{s}p").alias("plaintiff"), F.col(f"{s}v").alias("v"))
-    return rows.select("id", doc("a").alias("a"), doc("b").alias("b"))
+def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _articles(spark, sf_dir)
+    maps = _vectors(docs).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias("v"))
+    at = F.col("id").cast("long")
+    rows = docs.join(maps, "id", "left").withColumn("v", F.coalesce("v", F.create_map().cast("map<string,double>")))
+    rows = rows.withColumn("defendant", F.when(at % 4 < 2, F.col("feed"))).withColumn("plaintiff", F.when(at % 6 < 2, F.col("category")))
+    side = rows.select("id", at.alias("i"), F.struct("title", "defendant", "plaintiff", "v").alias("x"))
+    return side.select("id", (F.col("i") + 1).alias("i"), F.col("x").alias("a")).join(side.select("i", F.col("x").alias("b")), "i")
 
 
 @_query(
-    f"""WITH {_RULE_SQL} SELECT id, CASE WHEN title_a = title_b OR d_a = d_b OR p_a = p_b THEN 100.0
-        ELSE round(coalesce((ax * bx + ay * by_) / nullif(sqrt(CAST(ax * ax + ay * ay AS DOUBLE)) * sqrt(CAST(bx * bx + by_ * by_ AS DOUBLE)), 0), 0), 6) END AS similarity FROM r"""
+    f"""WITH {_SIDES}, c AS (SELECT id, sum(wa * wb) AS dot, sqrt(sum(wa * wa)) * sqrt(sum(wb * wb)) AS sizes FROM w GROUP BY id)
+        SELECT id, CASE WHEN same THEN 100.0 ELSE round(coalesce(dot / nullif(sizes, 0), 0), 6) END AS similarity FROM pair LEFT JOIN c USING (id)"""
 )
 def similarity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cosine = sim.map_cosine(F.col("a.v"), F.col("b.v"))
-    return _rule_rows(spark).select("id", F.round(sim.rule_similarity("a", "b", cosine), 6).alias("similarity"))
+    return _sides(spark, sf_dir).select("id", F.round(sim.rule_similarity("a", "b", cosine), 6).alias("similarity"))
 
 
 @_query(
-    f"""WITH {_RULE_SQL} SELECT id, sqrt(CAST((CASE WHEN ax <> 0 THEN (ax - bx) * (ax - bx) ELSE 0 END) + (CASE WHEN ay <> 0 THEN (ay - by_) * (ay - by_) ELSE 0 END) AS DOUBLE)) AS ab,
-        sqrt(CAST((CASE WHEN bx <> 0 THEN (ax - bx) * (ax - bx) ELSE 0 END) + (CASE WHEN by_ <> 0 THEN (ay - by_) * (ay - by_) ELSE 0 END) AS DOUBLE)) AS ba FROM r"""
+    f"""WITH {_SIDES}, c AS (SELECT id, sqrt(sum((wa - wb) * (wa - wb)) FILTER (wa > 0)) AS ab, sqrt(sum((wa - wb) * (wa - wb)) FILTER (wb > 0)) AS ba FROM w GROUP BY id)
+        SELECT id, round(coalesce(ab, 0), 8) AS ab, round(coalesce(ba, 0), 8) AS ba FROM pair LEFT JOIN c USING (id)"""
 )
 def distance_asym(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("a.v"), F.col("b.v")
-    return _rule_rows(spark).select("id", sim.map_distance(a, b).alias("ab"), sim.map_distance(b, a).alias("ba"))
+    return _sides(spark, sf_dir).select("id", F.round(sim.map_distance(a, b), 8).alias("ab"), F.round(sim.map_distance(b, a), 8).alias("ba"))
 
 
 # -- clusters ----------------------------------------------------------------------------------------------------------
@@ -500,15 +504,17 @@ def range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").filter(wanted).select("p_partkey", "p_size")
 
 
-PLACES = [("a", 37.7752, -122.4232), ("b", 37.8, -122.5), ("c", 40.7, -74.0), ("d", 37.86, -122.42), ("e", None, 1.0)]
+#: A place for each customer, some without a latitude.
+_LAT, _LON = "CASE WHEN c_custkey % 50 <> 7 THEN c_custkey * 37 % 1800 / 10.0 - 90 END", "c_custkey * 71 % 3600 / 10.0 - 180"
 
 
 @_query(
-    """SELECT id FROM (VALUES ('a', 37.7752, -122.4232), ('b', 37.8, -122.5), ('c', 40.7, -74.0), ('d', 37.86, -122.42), ('e', NULL, 1.0)) t(id, lat, lon)
-        WHERE lat BETWEEN 37.7752 - 10 / 111.19 AND 37.7752 + 10 / 111.19 AND lon BETWEEN -122.4232 - 10 / 111.19 / cos(radians(37.7752)) AND -122.4232 + 10 / 111.19 / cos(radians(37.7752))"""
+    f"""SELECT c_custkey FROM (SELECT c_custkey, {_LAT} AS lat, {_LON} AS lon FROM customer) WHERE lat BETWEEN 37.7752 - 2000 / 111.19 AND 37.7752 + 2000 / 111.19
+        AND lon BETWEEN -122.4232 - 2000 / 111.19 / cos(radians(37.7752)) AND -122.4232 + 2000 / 111.19 / cos(radians(37.7752))"""
 )
 def bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(PLACES, "id string, lat double, lon double").filter(search.bounding_box("lat", "lon", (37.7752, -122.4232))).select("id")
+    places = _table(spark, sf_dir, "customer").select("c_custkey", F.expr(_LAT).cast("double").alias("lat"), F.expr(_LON).cast("double").alias("lon"))
+    return places.filter(search.bounding_box("lat", "lon", (37.7752, -122.4232), 2000.0)).select("c_custkey")
 
 
 @_query("SELECT p_partkey, CASE WHEN contains(' ' || regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g') || ' ', ' ring ') THEN 2.0 ELSE 0 END + coalesce(p_retailprice, 0) AS score FROM part ORDER BY score DESC, p_partkey LIMIT 25")
@@ -584,16 +590,24 @@ def page_of_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.offset(40).limit(20)
 
 
+#: Forms of markup around a part's name (@), and the text that each has.
 _HTML = {
-    "<p>a &lt; b &amp;&nbsp;c</p>": "a < b &\u00a0c", "<b>x</b><i>y</i>": "xy", "<script>var a = '<b>';</script>t<style>p {}</style>": "t", "<!-- no -->yes": "yes", "": "",
-    "plain": "plain", "<a href='x'>l</a> &eacute;&#233;": "l \u00e9\u00e9", "open <b>never closed": "open never closed", "<ul><li>1<li>2</ul>": "12",
+    "<p>@ &lt; b &amp;&nbsp;c</p>": "@ < b &\u00a0c", "<b>@</b><i>y</i>": "@y", "<script>var a = '<b>@</b>';</script>@<style>p {}</style>": "@", "<!-- no @ -->yes": "yes",
+    "plain @": "plain @", "<a href='x'>@</a> &eacute;&#233;": "@ \u00e9\u00e9", "open <b>never closed @": "open never closed @", "<ul><li>@<li>2</ul>": "@2",
 }
 _quoted = lambda x: "'" + x.replace("'", "''") + "'"
 
 
-@_query(f"SELECT * FROM (VALUES {', '.join(f'({_quoted(k)}, {_quoted(v)})' for k, v in _HTML.items())}) t(html, text)")
+def _wrapped(forms) -> str:
+    """The form of a part's key around its name; read the same by both engines but for quotes."""
+    return "replace(CASE " + " ".join(f"WHEN p_partkey % {len(_HTML)} = {i} THEN {_quoted(x)}" for i, x in enumerate(forms)) + " END, '@', p_name)"
+
+
+@_query(f"SELECT p_partkey, {_wrapped(_HTML.values())} AS text FROM part")
 def html_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in _HTML], "html string").select("html", markup.strip_html("html").alias("text"))
+    form = F.element_at(F.array(*[F.lit(x) for x in _HTML]), (F.col("p_partkey") % len(_HTML) + 1).cast("int"))
+    parts = _table(spark, sf_dir, "part").withColumn("html", F.replace(form, F.lit("@"), F.col("p_name")))
+    return parts.select("p_partkey", markup.strip_html("html").alias("text"))
 
 
 _PAGES = "<title>([^<]*)</title>"
@@ -682,12 +696,20 @@ _STEMS = {
 }
 
 
-@_query(f"SELECT * FROM (VALUES {', '.join(f'({_quoted(k)}, {_quoted(v)})' for k, v in _STEMS.items())}, ('running', 'running')) t(word, stem)")
+_WORDS = [*_STEMS, "running"]
+_STEM_ROWS = ", ".join(f"({i}, {_quoted(w)}, {_quoted(_STEMS.get(w, w))})" for i, w in enumerate(_WORDS))
+
+
+@_query(
+    f"""WITH g(i, word, stem) AS (VALUES {_STEM_ROWS})
+        SELECT p_partkey, regexp_replace(lower(p_name), 'large', 'larg', 'g') || ' ' || stem AS stems FROM part JOIN g ON i = p_partkey % {len(_WORDS)}"""
+)
 def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .functions import stemmer
 
-    words = spark.createDataFrame([(w,) for w in [*_STEMS, "running"]], "word string")
-    return words.select("word", stemmer.stem_words(frozenset(["running"]))(F.array("word"))[0].alias("stem"))
+    more = F.element_at(F.array(*[F.lit(w) for w in _WORDS]), (F.col("p_partkey") % len(_WORDS) + 1).cast("int"))
+    words = F.concat(text.words("p_name"), F.array(more))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(stemmer.stem_words(frozenset(["running"]))(words), " ").alias("stems"))
 
 
 @_query()
