@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import remove_table, write_table
+
 DEFAULT_DF = 2
 
 
@@ -13,14 +15,22 @@ def idf(total: Column, df: Column) -> Column:
     return F.log(F.lit(1) + F.floor(total / F.coalesce(df, F.lit(DEFAULT_DF))))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """The rows over all cores, if they come in fewer parts than there are cores, as a small table in one file does; a larger
+    table as it is. For work that costs far more than moving the texts."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(2 * cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def exploded(docs: DataFrame, kind: str, column: str) -> DataFrame:
     """(id, kind, feature) of each distinct feature of a document."""
     return docs.select("id", F.lit(kind).alias("kind"), F.explode(F.array_distinct(F.coalesce(column, F.array().cast("array<string>")))).alias("feature"))
 
 
 def doc_frequency(features: DataFrame) -> DataFrame:
-    """(kind, feature, df): documents that have the feature."""
-    return features.groupBy("kind", "feature").agg(F.countDistinct("id").alias("df"))
+    """(kind, feature, df): documents that have the feature, of rows (id, kind, feature) that are distinct, as exploded() of
+    distinct ids gives them."""
+    return features.groupBy("kind", "feature").agg(F.count("*").alias("df"))
 
 
 def vectors(features: DataFrame, df: DataFrame, total: int | Column) -> DataFrame:
@@ -37,9 +47,10 @@ def export_vectors(docs: DataFrame, column: str = "ngram", most_df: float = 0.5,
     More than most_empty documents without any feature are an error.
     """
     total = docs.count()
-    counted = docs.select("id", F.explode(column).alias("feature")).groupBy("id", "feature").agg(F.count("*").alias("tf"))
+    counted = write_table(docs.select("id", F.explode(column).alias("feature")).groupBy("id", "feature").agg(F.count("*").alias("tf")), "counted")
     df = counted.groupBy("feature").agg(F.count("*").alias("df")).filter(F.col("df") <= most_df * total)
-    weighted = counted.join(df, "feature").select("id", "feature", (F.sqrt("tf") * (F.log(F.lit(total) / (F.col("df") + 1)) + 1)).alias("w"))
+    weighted = write_table(counted.join(df, "feature").select("id", "feature", (F.sqrt("tf") * (F.log(F.lit(total) / (F.col("df") + 1)) + 1)).alias("w")), "weighted")
+    remove_table(counted)
     lengths = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     left = lengths.count()
     if total and (total - left) / total > most_empty:

@@ -56,7 +56,7 @@ HANDLERS: dict[str, Callable] = {
     "/searchmahoutclustered": _clustered("mahoutclusterid"),
     "/searchunclustered": lambda c, r: search.search(c.docs, r),
     "/searchcarrotclustered": _search_result_clusters,
-    "/mlt": lambda c, seed: search.more_like_this(c.docs, c.vectors, seed),
+    "/mlt": lambda c, seed: search.more_like_vectors(c.docs, c.vectors, seed),
     "/terms": lambda c, prefix: search.suggest(c.docs, prefix),
 }
 

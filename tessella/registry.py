@@ -11,6 +11,7 @@ from .functions import markup, text
 from .functions.words import SEARCH_STOPWORDS, STOPWORDS
 from .operators import clustering, facets, features, ingest, search
 from .operators import similarity as sim
+from .operators.store import write_table
 from .sources import feeds
 from .streaming import ingest as stream
 
@@ -36,10 +37,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # -- the article view --------------------------------------------------------------------------------------------------
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles for work on whole texts."""
+    return features.spread(feeds.article_rows(spark, sf_dir))
+
+
 def _articles(spark: SparkSession, sf_dir: str, field: str = "title") -> DataFrame:
     """Articles with the bigrams (function words and all) and capitalised words (as entities) of a field, and title slugs
     as cluster ids, which is how stored documents start."""
-    rows = feeds.article_rows(spark, sf_dir)
+    rows = _texts(spark, sf_dir) if field == "body" else feeds.article_rows(spark, sf_dir)
     entity = F.sort_array(F.array_distinct(F.regexp_extract_all(field, F.lit("[A-Z][a-z]+"), F.lit(0))))
     return rows.withColumns(
         {"ngram": F.array_distinct(text.ngrams(text.words(field), 2, 2)), "entity": entity, "clusterid": text.slug("title"), "clustered": F.lit(False)}
@@ -68,7 +74,7 @@ _F, _G = _feature_sql(_A), _feature_sql(_B)
 
 
 def _vectors(docs: DataFrame) -> DataFrame:
-    rows = features.exploded(docs, "ngram", "ngram")
+    rows = write_table(features.exploded(docs, "ngram", "ngram"), "features")  # texts are taken apart once
     # the total is a scalar subquery of one row, not a job of its own
     total = docs.agg(F.count("*").alias("total"))
     one = rows.join(features.doc_frequency(rows).drop("kind"), "feature").crossJoin(F.broadcast(total))
@@ -124,7 +130,7 @@ _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
             UNION SELECT id, lower(s[1]) FROM k WHERE len(s) = 1 AND upper(body) <> body)"""
 )
 def ngrams_2_4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.article_rows(spark, sf_dir).select("id", F.explode(text.title_ngrams("body")).alias("feature"))
+    return _texts(spark, sf_dir).select("id", F.explode(text.title_ngrams("body")).alias("feature"))
 
 
 #: The text of markup that keeps to a few plain forms, as the pages do.
@@ -252,7 +258,7 @@ def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_B}, t AS (SELECT id, w[i] AS term FROM a, range(1, len(w) + 1) r(i)), x AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL) SELECT id, term, tf, count(*) OVER (PARTITION BY term) AS df FROM x")
 def term_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.term_vectors(feeds.article_rows(spark, sf_dir).withColumn("w", text.words("body")), "w")
+    return features.term_vectors(_texts(spark, sf_dir).withColumn("w", text.words("body")), "w")
 
 
 @_query(
@@ -260,7 +266,7 @@ def term_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         b AS (SELECT CAST(power(2, ceil(log2(df))) AS BIGINT) AS bucket, count(*) AS n FROM x GROUP BY 1) SELECT bucket, n, CAST(floor(n * 160 / max(n) OVER ()) AS BIGINT) AS bar FROM b"""
 )
 def term_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.term_histogram(feeds.article_rows(spark, sf_dir).withColumn("w", text.words("body")), "w")
+    return features.term_histogram(_texts(spark, sf_dir).withColumn("w", text.words("body")), "w")
 
 
 @_query(
@@ -270,7 +276,7 @@ def term_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT id, feature, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 8) AS weight FROM x"""
 )
 def vector_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = feeds.article_rows(spark, sf_dir).withColumn("w", text.words("body"))
+    docs = _texts(spark, sf_dir).withColumn("w", text.words("body"))
     return features.export_vectors(docs, "w").select("id", "feature", F.round("weight", 8).alias("weight"))
 
 
@@ -530,7 +536,7 @@ def boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def mlt(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _articles(spark, sf_dir, "body")
-    found, _ = search.more_like_this(docs, _vectors(docs), "1")
+    found, _ = search.more_like_this(docs, "ngram", "1")
     return found.select("id", F.round("score", 6).alias("score"))
 
 
@@ -548,7 +554,7 @@ MISSPELT = ["thee", "ofn", "anda", "histori", "zzzzzzzz"]
         SELECT word, arg_min(term, (distance, -df, term)) AS suggestion, CAST(min(distance) AS INTEGER) AS distance FROM c GROUP BY word"""
 )
 def spell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = feeds.article_rows(spark, sf_dir)
+    docs = _texts(spark, sf_dir)
     terms = docs.select("id", F.explode(F.array_distinct(text.words("body"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return search.spell(spark.createDataFrame([(w,) for w in MISSPELT], "word string"), terms)
 
@@ -716,7 +722,7 @@ def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stemmed_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .functions import stemmer
 
-    rows = feeds.article_rows(spark, sf_dir).withColumn("w", stemmer.stem_words()(text.feature_words("body")))
+    rows = _texts(spark, sf_dir).withColumn("w", stemmer.stem_words()(text.feature_words("body")))
     return rows.select("id", F.explode(text.with_fallback(text.title_ngrams("body", w=F.col("w")), "id")).alias("feature"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import content, features, relevance, sentences, term_clusters
-from .registry import _B, _PLAIN, _query, _table
+from .registry import _B, _PLAIN, _query, _table, _texts
 from .sources import feeds
 from .streaming import ingest as stream
 from .streaming import live
@@ -141,7 +141,7 @@ def clean_summary_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.export_vectors(feeds.article_rows(spark, sf_dir).withColumn("w", text.words("body")), "w")
+    return features.export_vectors(_texts(spark, sf_dir).withColumn("w", text.words("body")), "w")
 
 
 _EXPORT = f"""{_B}, tf AS (SELECT id, w[i] AS feature, count(*) AS tf FROM a, range(1, len(w) + 1) r(i) GROUP BY ALL), n AS (SELECT count(*) AS n FROM a),
