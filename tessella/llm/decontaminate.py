@@ -55,7 +55,7 @@ def pattern_blocks(benchmark: DataFrame, size: int = 10, block_bytes: int = 16 <
 
 
 def _automaton(key: str, patterns) -> object:
-    """The worker's automaton for a broadcast block of patterns; it keeps one."""
+    """The worker's automaton for a broadcast block of patterns; it keeps one, and no block."""
     if key not in _automata:
         import ahocorasick
 
@@ -63,6 +63,8 @@ def _automaton(key: str, patterns) -> object:
         machine = ahocorasick.Automaton()
         for window, value in patterns.value.items():
             machine.add_word(window, value)
+        # the block itself stays on the worker's disk only; the automaton has its values
+        patterns.__dict__.pop("_value", None)
         machine.make_automaton()
         _automata[key] = machine
     return _automata[key]

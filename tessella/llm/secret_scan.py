@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ._common import fresh
 
 #: Fixed: the base patterns. Java's (?i) folds ASCII letters only.
@@ -38,10 +39,18 @@ _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-
 _UNIT = 1 << 20
 
 
+#: Matches whose offsets are summed up in one go; arrays that grow are no longer than that.
+BLOCK = 256
+
+
 def _matches(text: Column, pattern: str, value) -> Column:
-    """array<struct<start int, end int, value>> of all matches; value is a function of the match."""
+    """array<struct<start int, end int, value>> of all matches; value is a function of the match.
+
+    Sums run within blocks of matches, from each block's own offset, so the work follows the number of matches.
+    """
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
-    shape = f"struct<at:int,found:array<struct<start:int,end:int,value:{value(None)}>>>"
+    each = f"struct<start:int,end:int,value:{value(None)}>"
+    shape = f"struct<at:int,found:array<{each}>>"
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["piece"])
@@ -50,9 +59,18 @@ def _matches(text: Column, pattern: str, value) -> Column:
         grown = F.struct(end.alias("at"), F.concat(acc["found"], F.array(own)).alias("found"))
         return F.when(x["match"].isNull(), acc).otherwise(grown.cast(shape))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().alias("found")).cast(shape)
-    none = F.array().cast(f"array<struct<start:int,end:int,value:{value(None)}>>")
-    return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step, lambda acc: acc["found"])).otherwise(none)
+    def summed(p: Column) -> Column:
+        block = lambda i: F.slice(p, i * BLOCK + 1, BLOCK)
+        numbers = F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int"))
+        sizes = F.transform(numbers, lambda i: F.aggregate(block(i), F.lit(0), lambda a, x: a + F.length(x["piece"]) + F.coalesce(F.length(x["match"]), F.lit(0))))
+        runs = "struct<at:int,all:array<int>>"
+        zero = F.struct(F.lit(0).alias("at"), F.array().alias("all")).cast(runs)
+        offsets = F.aggregate(sizes, zero, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")).cast(runs), lambda a: a["all"])
+        first = lambda at: F.struct(at.alias("at"), F.array().alias("found")).cast(shape)
+        found = lambda o: F.flatten(F.transform(o, lambda at, i: F.aggregate(block(i), first(at), step, lambda acc: acc["found"])))
+        return let(offsets, found)
+
+    return F.when(text.rlike(pattern), let(pairs, summed)).otherwise(F.array().cast(f"array<{each}>"))
 
 
 def window_entropy(text: Column, window: int = WINDOW) -> Column:
@@ -139,17 +157,35 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs, all columns and rows, with each run of overlapping secrets in text replaced by mark; n_chars, if there,
     follows the text. A null or empty text stays as it is, repeated rows are redacted each, other columns stay, whatever
-    their names, and without rows there are none."""
+    their names, and without rows there are none. The work follows the text and its secrets; a text with more than BLOCK
+    secrets is held as an array of its characters meanwhile."""
     text, shape = F.col("text"), "struct<at:int,out:string>"
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark)).alias("out"))
-        longer = F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when((x["start"] < acc["at"]) & (acc["at"] > 0), longer.cast(shape)).otherwise(fresh.cast(shape))
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(shape)
     own = fresh(docs, "__secrets")
-    cleaned = F.aggregate(own, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+    def step(piece):
+        def run(acc: Column, x: Column) -> Column:
+            grown = F.struct(x["end"].alias("at"), F.concat(acc["out"], piece(acc["at"], x["start"]), F.lit(mark)).alias("out"))
+            longer = F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))
+            return F.when((x["start"] < acc["at"]) & (acc["at"] > 0), longer.cast(shape)).otherwise(grown.cast(shape))
+
+        return run
+
+    first = lambda at: F.struct(at.alias("at"), F.lit("").alias("out")).cast(shape)
+    cut = lambda at, to: F.substring(text, at + 1, to - at)
+    few = F.aggregate(own, first(F.lit(0)), step(cut), lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+    def many(chars: Column) -> Column:
+        # a block of spans is cut out of the characters by place, from the last end before it
+        block = lambda i: F.slice(F.col(own), i * BLOCK + 1, BLOCK)
+        numbers = F.sequence(F.lit(0), F.floor((F.size(own) - 1) / BLOCK).cast("int"))
+        ends = F.transform(numbers, lambda i: F.array_max(F.transform(block(i), lambda x: x["end"])))
+        ats = F.aggregate(ends, F.array(F.lit(0)), lambda a, e: F.concat(a, F.array(F.greatest(F.element_at(a, -1), e))))
+        slices = lambda at, to: F.array_join(F.slice(chars, at + 1, F.greatest(to - at, F.lit(0))), "")
+        parts = lambda a: F.transform(numbers, lambda i: F.aggregate(block(i), first(F.get(a, i)), step(slices), lambda acc: acc["out"]))
+        rest = lambda a: slices(F.element_at(a, -1), F.size(chars))
+        return let(ats, lambda a: F.concat(F.array_join(parts(a), ""), rest(a)))
+
+    cleaned = F.when(F.size(own) <= BLOCK, few).otherwise(let(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), many))
     out = docs.withColumn(own, secret_spans(F.coalesce(text, F.lit(""))))
     out = out.withColumn("text", F.when(F.size(own) > 0, cleaned).otherwise(text)).drop(own)
     if "n_chars" in docs.columns:

@@ -208,3 +208,29 @@ def test_secrets(spark, docs, rows):
     got = secret_scan.redact(clash)
     assert got.columns == clash.columns and [(r.text, r["__secrets"], r.n_chars) for r in got.collect()] == [("[SECRET] x", 1, 10), (None, 2, 7), ("", 3, 0)]
     assert secret_scan.report(clash.withColumnRenamed("__secrets", "secrets")).count() == 3
+
+
+def test_secrets_of_a_text_that_is_full_of_them(spark):
+    random.seed(8)
+    key = lambda: "AKIA" + "".join(random.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=16))
+    for n in (3, 255, 256, 257, 1200):
+        text = "".join(f"😀 {random.choice(['', 'password: '])}{key()}{random.choice([' ', '/x ', chr(10)])}" for _ in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        spans = [(x.start, x.end) for x in secret_scan.find(df).first().secrets]
+        assert [(m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text)] == sorted({s for s in spans if text[s[0] :].startswith("AKIA") and not text[s[0] : s[1]].endswith("x")})
+        want, at = "", 0
+        for a, b in spans:
+            if not (a < at and at > 0):
+                want += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert secret_scan.redact(df).first().text == want + text[at:]
+
+
+def test_workers_keep_no_block_of_patterns(spark):
+    block = spark.sparkContext.broadcast({" a b ": (2, {"1": None})})
+
+    def run(_):
+        machine = decontaminate._automaton("test", block)
+        return [len(list(machine.iter(" x a b "))), hasattr(block, "_value")]
+
+    assert spark.sparkContext.parallelize([0], 1).map(run).first() == [1, False]
