@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import content, features, relevance, sentences, term_clusters
+from .operators import bucket_store, content, features, relevance, sentences, term_clusters
+from .operators.store import new_path
 from .registry import _B, _PLAIN, _query, _table, _texts
 from .sources import feeds
 from .streaming import ingest as stream
@@ -263,3 +264,22 @@ def bm25_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def phrase_slop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relevance.phrase(_index(spark, sf_dir), ["of", "the"], 3)
+
+
+# -- upserts that rewrite what they touch ------------------------------------------------------------------------------
+
+
+@_query(
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 64 = 5 THEN 'X' ELSE o_orderstatus END AS status,
+        CASE WHEN o_orderkey % 64 = 5 THEN 2 ELSE 1 END AS version FROM orders UNION ALL SELECT -o_orderkey, 'N', 1 FROM orders WHERE o_orderkey % 100 = 9"""
+)
+def upsert_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.lit(1).alias("version"))
+    store = bucket_store.BucketStore(spark, new_path(spark, "orders"), orders.schema, "version", 8)
+    store.upsert(orders)
+    newer = orders.filter("id % 64 = 5").select("id", F.lit("X").alias("status"), F.lit(2).alias("version"))
+    older = orders.filter("id % 64 = 7").select("id", F.lit("Y").alias("status"), F.lit(0).alias("version"))
+    more = orders.filter("id % 100 = 9").select((-F.col("id")).alias("id"), F.lit("N").alias("status"), F.lit(1).alias("version"))
+    for _ in range(2):  # a batch that comes again changes nothing
+        store.upsert(newer.unionByName(older).unionByName(more))
+    return store.rows()
