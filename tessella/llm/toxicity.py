@@ -6,8 +6,9 @@ look at shouting, marks, direct address and at the lack of any entry, and vote e
 
 Label model. Given the hidden label, voters depend on each other along a tree: each has at most one parent, chosen by
 conditional mutual information (Chow and Liu, 1968). Expectation maximisation over the votes on the sample estimates the
-share of toxic documents, each voter's accuracy and its correlation with its parent. Labels only say where it starts,
-and so which of the two hidden classes is the toxic one; from there on every document's label is hidden.
+share of toxic documents, each voter's accuracy and its correlation with its parent. Labels say where it starts, and so
+which of the two hidden classes is the toxic one, and choose the tree; their counts also weigh PULL times the posteriors'
+in every round, as an anchor. The posteriors themselves come from the votes alone.
 
 Classifier. A logistic regression over the entries' presence is fitted to the posteriors of all documents of the sample,
 so a document is scored by one pass over its words and a sum of weights.
