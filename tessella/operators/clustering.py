@@ -62,12 +62,14 @@ def default_k(n: int) -> int:
     return max(100, n // 100)
 
 
-def sparse_kmeans(v: DataFrame, centres: DataFrame, rounds: int = 10, cosine: bool = True) -> DataFrame:
+def sparse_kmeans(v: DataFrame, centres: DataFrame, rounds: int = 10, cosine: bool = True, dense: bool = False) -> DataFrame:
     """(id, cluster) by Lloyd's steps from given centres (cluster, feature, weight) over vectors (id, feature, weight).
 
     Distances need only shared features: |x - c|^2 = |x|^2 + |c|^2 - 2 x.c, so a step is a join on features and two
     aggregations. Ties go to the lowest cluster; a document that shares nothing with any centre goes to the shortest
-    one. Centres of clusters that lose all members stay empty and attract nobody. Stops when no assignment changes.
+    one. Centres of clusters that lose all members stay empty and attract nobody. Stops when no assignment changes. With
+    dense, every vector and centre has a row for each feature, zeros included, so all of them meet. Distances are compared
+    to 12 digits.
     """
     assigned = None
     x2 = v.groupBy("id").agg(F.sum(F.col("weight") * F.col("weight")).alias("x2"))
@@ -76,10 +78,10 @@ def sparse_kmeans(v: DataFrame, centres: DataFrame, rounds: int = 10, cosine: bo
         base = c2.agg(F.min(F.struct("c2", "cluster")).alias("m")).select("m.*")
         dots = v.join(centres.select("cluster", "feature", F.col("weight").alias("cw")), "feature").groupBy("id", "cluster").agg(F.sum(F.col("weight") * F.col("cw")).alias("dot"))
         gap = dots.join(c2, "cluster").join(x2, "id")
-        far = F.lit(1.0) - F.try_divide("dot", F.sqrt("c2") * F.sqrt("x2")) if cosine else F.col("x2") + F.col("c2") - 2 * F.col("dot")
+        far = F.round(1 - F.coalesce(F.try_divide("dot", F.sqrt("c2") * F.sqrt("x2")), F.lit(0.0)), 12) if cosine else F.col("x2") + F.col("c2") - 2 * F.col("dot")
         near = gap.groupBy("id").agg(F.min(F.struct(far.alias("d"), F.col("cluster"))).alias("m")).select("id", F.col("m.d").alias("d"), F.col("m.cluster").alias("near"))
         alone = F.lit(1.0) if cosine else F.col("x2") + F.col("c2")
-        new = x2.join(near, "id", "left").crossJoin(F.broadcast(base)).select("id", F.when(F.col("d") <= alone, F.col("near")).otherwise(F.col("cluster")).alias("cluster"))
+        new = x2.join(near, "id", "left").crossJoin(F.broadcast(base)).select("id", F.when(F.lit(dense) | (F.col("d") <= alone), F.col("near")).otherwise(F.col("cluster")).alias("cluster"))
         new = write_table(new, "assigned")
         if assigned is not None and assigned.exceptAll(new).isEmpty():
             return new
@@ -170,14 +172,14 @@ def dense_kmeans(points: DataFrame, centres: DataFrame, column: str = "embedding
 
     Points are multiplied with all centres batch by batch, and a batch gives sums by cluster, so a round moves a few
     numbers for each batch and cluster. Centres of more than CENTRES bytes are joined feature by feature instead. Stops
-    when no assignment changes. A point or a centre of length 0 is at distance 1 of all.
+    when no assignment changes. A point or a centre of length 0 is at distance 1 of all. Both ways give the same clusters.
     """
     points = points.select(F.col(key), F.col(column).cast("array<double>").alias("x")).filter("x is not null")
     centres = write_table(centres.select("cluster", F.col("vector").cast("array<double>").alias("vector")), "centres")
     size = centres.agg(F.count("*"), F.max(F.size("vector"))).first()
     if size[0] * (size[1] or 0) * 8 > CENTRES:
         long = lambda df, name, x: df.select(F.col(name), F.posexplode(x).alias("feature", "weight"))
-        return sparse_kmeans(long(points, key, "x").withColumnRenamed(key, "id"), long(centres, "cluster", "vector"), rounds).withColumnRenamed("id", key)
+        return sparse_kmeans(long(points, key, "x").withColumnRenamed(key, "id"), long(centres, "cluster", "vector"), rounds, dense=True).withColumnRenamed("id", key)
     names = T.StructType([T.StructField(key, points.schema[key].dataType), T.StructField("cluster", centres.schema["cluster"].dataType)])
     assigned = None
     for _ in range(rounds):

@@ -380,3 +380,17 @@ def test_without_the_subpackage():
     for f in root.rglob("*.py"):
         if "llm" not in f.parts:
             assert not re.search(r"\bllm\b", f.read_text()), f
+
+
+def test_dense_kmeans_is_the_same_however_many_centres_fit(spark, monkeypatch):
+    import random
+
+    random.seed(9)
+    vector = lambda: [random.choice([-1.0, -0.5, 0.0, 0.5, 1.0]) for _ in range(4)]
+    rows = [(i, vector()) for i in range(120)] + [(500, [0.0] * 4), (501, [-1.0, -1.0, -1.0, -1.0]), (502, [1e-3, 0.0, 0.0, 0.0])]
+    points = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    centres = spark.createDataFrame([(3, [2.0, 2.0, 2.0, 2.0]), (1, [1.0, 0.5, 1.0, 0.5]), (7, [0.1, 0.0, 0.1, 0.0]), (9, [0.1, 0.0, 0.1, 0.0])], "cluster int, vector array<double>")
+    found = lambda n: sorted((r.vec_id, r.cluster) for r in clustering.dense_kmeans(points, centres, rounds=n).collect())
+    want = [found(n) for n in (1, 3)]
+    monkeypatch.setattr(clustering, "CENTRES", 0)
+    assert [found(n) for n in (1, 3)] == want and dict(want[0])[500] == 1
