@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import bucket_store, content, features, relevance, sentences, term_clusters
+from .operators import bucket_store, content, features, relevance, sentences, term_clusters, terms
 from .operators.store import new_path
 from .registry import _B, _PLAIN, _query, _table, _texts
 from .sources import feeds
@@ -283,3 +283,36 @@ def upsert_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):  # a batch that comes again changes nothing
         store.upsert(newer.unionByName(older).unionByName(more))
     return store.rows()
+
+
+# -- terms: prefixes, spelling of several words -------------------------------------------------------------------------
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> terms.Terms:
+    return terms.build(_texts(spark, sf_dir).select("id", text.words("body").alias("w")))
+
+
+_TERMS = f"""{_B}, d AS MATERIALIZED (SELECT u.t AS term, count(DISTINCT id) AS df FROM a, unnest(w) u(t) GROUP BY 1)"""
+
+
+@_query(f"WITH {_TERMS} SELECT term, df FROM d WHERE starts_with(term, 'th') ORDER BY df DESC, term LIMIT 25")
+def suggest_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.suggest(_terms(spark, sf_dir), "th", 25)
+
+
+#: Queries of two words, misspelt.
+COLLATED = ("off thee", "anda teh", "thh erre")
+
+
+@_query(
+    f"""WITH {_TERMS}, q(query) AS (VALUES {", ".join(f"('{x}')" for x in COLLATED)}),
+        w AS (SELECT query, i, string_split(query, ' ')[i] AS word FROM q, range(1, 3) r(i)),
+        c AS MATERIALIZED (SELECT query, i, term, levenshtein(word, term) AS e FROM w, d WHERE levenshtein(word, term) <= 2
+            QUALIFY row_number() OVER (PARTITION BY query, i ORDER BY levenshtein(word, term), df DESC, term) <= 5),
+        n AS MATERIALIZED (SELECT w[i] AS a, w[i + 1] AS b, count(*) AS n FROM a, range(1, len(w)) r(i) GROUP BY ALL)
+        SELECT x.query AS query, arg_min(x.term || ' ' || y.term, (-coalesce(n.n, 0), x.e + y.e, x.term, y.term)) AS collation
+        FROM c x JOIN c y ON x.query = y.query AND x.i = 1 AND y.i = 2 LEFT JOIN n ON n.a = x.term AND n.b = y.term GROUP BY x.query"""
+)
+def spell_collation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _terms(spark, sf_dir)
+    return spark.createDataFrame([(x, " ".join(terms.collate(table, x.split()))) for x in COLLATED], "query string, collation string")
