@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import bucket_store, content, features, relevance, sentences, term_clusters, terms
+from .operators import bucket_store, content, features, names, relevance, sentences, term_clusters, terms
 from .operators.store import new_path
 from .registry import _B, _PLAIN, _query, _table, _texts
 from .sources import feeds
@@ -316,3 +316,33 @@ COLLATED = ("off thee", "anda teh", "thh erre")
 def spell_collation(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _terms(spark, sf_dir)
     return spark.createDataFrame([(x, " ".join(terms.collate(table, x.split()))) for x in COLLATED], "query string, collation string")
+
+
+# -- names -------------------------------------------------------------------------------------------------------------
+
+_NAMES = rf"""k AS MATERIALIZED (SELECT id, i, w[i] AS a, w[i - 1] AS b FROM (SELECT CAST(doc_id AS VARCHAR) AS id,
+        list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents), range(1, len(w) + 1) r(i)),
+    t AS MATERIALIZED (SELECT id, i, regexp_replace(a, '^[^\p{{L}}0-9]+|[^\p{{L}}0-9]+$', '', 'g') AS word, i = 1 OR {_mark_sql("b")} <> '' AS first,
+        NOT regexp_matches(a, '[\p{{L}}0-9]$') AS closed FROM k),
+    c AS MATERIALIZED (SELECT lower(word) AS word, count(*) FILTER (regexp_full_match(word, '\p{{Lu}}\p{{L}}+')) AS upper,
+            count(*) FILTER (regexp_full_match(word, '\p{{Ll}}+')) AS lower FROM t
+        WHERE regexp_full_match(word, '\p{{Ll}}+') OR regexp_full_match(word, '\p{{Lu}}\p{{L}}+') AND NOT first GROUP BY 1)"""
+
+
+@_query(f'WITH {_NAMES} SELECT word, upper AS "upper", lower AS "lower", upper >= 2 AND upper > lower AS name FROM c')
+def case_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.case_counts(features.spread(_table(spark, sf_dir, "documents").select("text")))
+
+
+@_query(
+    rf"""WITH {_NAMES}, n AS (SELECT t.*, lag(i) OVER o AS before, lag(closed) OVER o AS stop FROM t JOIN c ON c.word = lower(t.word) AND upper >= 2 AND upper > lower
+            WHERE regexp_full_match(t.word, '\p{{Lu}}\p{{L}}+') WINDOW o AS (PARTITION BY id ORDER BY i)),
+        g AS (SELECT id, i, word, sum(coalesce(before <> i - 1 OR stop OR first, true)::INT) OVER (PARTITION BY id ORDER BY i) AS run FROM n),
+        e AS (SELECT DISTINCT id, said FROM (SELECT id, run, string_agg(word, ' ' ORDER BY i) AS said FROM g GROUP BY id, run)),
+        s AS (SELECT id, string_agg(said, '|' ORDER BY said) AS names FROM e GROUP BY id)
+        SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(names, '') AS names FROM documents LEFT JOIN s ON id = CAST(doc_id AS VARCHAR)"""
+)
+def named_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = features.spread(_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text"))
+    found = names.entities(docs, names.case_counts(docs))
+    return found.select("id", F.array_join("entities", "|").alias("names"))
