@@ -98,11 +98,11 @@ def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     f"""WITH {_sentence_sql("text")} SELECT type, CAST(dotted AS BIGINT) AS dotted, CAST(plain AS BIGINT) AS plain,
-        round(score, 4) AS score, score >= 0.3 AS abbreviation FROM ab"""
+        round(score, 4) + 0.0 AS score, score >= 0.3 AS abbreviation FROM ab"""
 )
 def sentence_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sentences.abbreviations(sentences.token_counts(_table(spark, sf_dir, "documents")))
-    return found.withColumn("score", F.round("score", 4))
+    return found.withColumn("score", F.round("score", 4) + 0.0)  # no negative zeros
 
 
 @_query(
