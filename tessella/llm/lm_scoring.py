@@ -8,7 +8,8 @@ FILTER_BYTES, words first; if not, what the filter says of each range's most fre
 
 Scoring. An n-gram's count is found by probing its levels upwards until one is missing. A first pass over the texts writes
 each token's levels; n-grams that the broadcast does not know are asked in a shuffle, where each range probes the same
-region, and their levels are filled in. So scores do not depend on how much of the filter is broadcast.
+region, and their levels are filled in. Rows are asked for in blocks of about BLOCK tokens, so that questions and answers
+are a row for each block and range, not for each text and range. Scores do not depend on how much of the filter is broadcast.
 
 Probabilities interpolate bigrams with smoothed words. A token's probability follows from three levels: its own, that of
 the word before, and that of both; so the numbers of training tokens by these three say all that expectation maximisation
@@ -42,6 +43,8 @@ HEAD = 500_000
 RANGE_BYTES, RANGES = 32 << 20, 8
 #: Tokens that a worker gathers before it sends their sums on.
 RUN = 2_000_000
+#: Tokens of the rows that are asked and answered as one.
+BLOCK = 1_000_000
 
 END = np.uint64(0x5A17C0DE5EED0001)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -330,16 +333,17 @@ def learn(training: DataFrame, filter_bytes: int = FILTER_BYTES, head: int = HEA
 
 # -- the levels of all tokens ------------------------------------------------------------------------------------------
 
-_FIRST = "rid long, n_tokens long, n_known long, base double, word binary, both binary, tail binary, tail_at binary, asked binary, asked_at binary, pairs binary, pairs_at binary"
+_FIRST = "rid long, block long, start long, n_tokens long, n_known long, base double, word binary, both binary, tail binary, tail_at binary, asked binary, asked_at binary, pairs binary, pairs_at binary"
 
 
-def _first_pass(rows: DataFrame, shared) -> DataFrame:
-    """Per row: doc_id, held_out, a number, its tokens, and as far as is known without the table: how many of them are
+def _first_pass(rows: DataFrame, shared, block_tokens: int = BLOCK) -> DataFrame:
+    """Per row: doc_id, held_out, a number, its block and its place there, its tokens, and as far as is known without the table: how many of them are
     known, their summed logarithms of count + 0.5, the levels of words and bigrams (ASK where the table must say); and
     the hashes of words whose counts, and of words and bigrams whose levels, the table must say, with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, rid = shared.value, TaskContext.get().partitionId() << 40
+        block, filled = rid, 0
         for batch in pieces(batches):
             texts = text_bytes(batch.column("text"))
             out: dict[str, list] = {n.split()[0]: [] for n in _FIRST.split(", ")}
@@ -350,6 +354,12 @@ def _first_pass(rows: DataFrame, shared) -> DataFrame:
                 # where the word before is unknown, the bigram counts for nothing
                 both = np.where((both == ASK) & (before(word, firsts, ASK) == 0), 0, both)
                 out["n_tokens"] += sizes.tolist()
+                for size in sizes.tolist():
+                    if filled >= block_tokens:
+                        block, filled = block + 1, 0
+                    out["block"].append(block)
+                    out["start"].append(filled)
+                    filled += size
                 out["base"] += np.add.reduceat(np.where(found, np.log10(count + 0.5), 0.0), firsts).tolist()
                 out["n_known"] += np.add.reduceat(found.astype(np.int64), firsts).tolist()
                 place = np.arange(len(tokens)) - np.repeat(firsts, sizes)
@@ -371,33 +381,55 @@ def _first_pass(rows: DataFrame, shared) -> DataFrame:
 
 
 def _spread(first: DataFrame, name: str, parts: int) -> DataFrame:
-    """(p, rids, h, places): the hashes in a column, with their rows and places, by range."""
+    """(p, rids, h): the hashes in a column with their rows, by range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rids = np.array(batch.column("rid").to_pylist(), np.int64)
-            hashes, places = batch.column(name).to_pylist(), batch.column(f"{name}_at").to_pylist()
+            rids, hashes = np.array(batch.column("rid").to_pylist(), np.int64), batch.column(name).to_pylist()
             for lo, hi in slices(hashes, 32 << 20):
                 h = np.frombuffer(b"".join(hashes[lo:hi]), np.uint64)
-                if not len(h):
-                    continue
-                of, at = np.repeat(rids[lo:hi], [len(x) // 8 for x in hashes[lo:hi]]), np.frombuffer(b"".join(places[lo:hi]), np.int32)
-                p = range_of(h, parts).astype(np.int64)
-                order = np.argsort(p, kind="stable")
-                cuts = np.searchsorted(p[order], np.arange(parts + 1))
-                full = np.flatnonzero(np.diff(cuts))
-                cut = lambda x: pa.array([x[order][cuts[i] : cuts[i + 1]].tobytes() if len(x) else b"" for i in full], pa.binary())  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), cut(of), cut(h), cut(at)], names=["p", "rids", "h", "places"])
+                if len(h):
+                    yield _dealt(h, parts, {"rids": np.repeat(rids[lo:hi], [len(x) // 8 for x in hashes[lo:hi]])})
 
-    return first.select("rid", name, f"{name}_at").mapInArrow(run, "p int, rids binary, h binary, places binary")
+    return first.select("rid", name).mapInArrow(run, "p int, h binary, rids binary")
 
 
-def _by_row(rids: np.ndarray, places: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, list[bytes], list[bytes]]:
-    """Distinct rids, and of each its places and levels."""
-    order = np.argsort(rids, kind="stable")
-    own, starts = np.unique(rids[order], return_index=True)
-    cut = lambda x: [b.tobytes() for b in np.split(x[order], starts[1:])] if len(x) else [b""] * len(own)
-    return own, cut(places), cut(level.astype(np.uint8))
+def _dealt(h: np.ndarray, parts: int, more: dict[str, np.ndarray], **same: int) -> pa.RecordBatch:
+    """A row (p, what is the same for all, h, more) for each range that has any of the hashes."""
+    p = range_of(h, parts).astype(np.int64)
+    order = np.argsort(p, kind="stable")
+    cuts = np.searchsorted(p[order], np.arange(parts + 1))
+    full = np.flatnonzero(np.diff(cuts))
+    cut = lambda x: pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary())
+    cols = {"p": pa.array(full, pa.int32())} | {k: pa.array([x] * len(full)) for k, x in same.items()} | {k: cut(x[order]) for k, x in {"h": h, **more}.items()}
+    return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+
+def _asked(first: DataFrame, name: str, parts: int) -> DataFrame:
+    """(p, block, h, places): the hashes in a column with their places in their blocks, by range and block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list[bytes], list[np.ndarray]] = ([], [])
+        own, size = -1, 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            if size:
+                yield _dealt(np.frombuffer(b"".join(held[0]), np.uint64), parts, {"places": np.concatenate(held[1])}, block=own)
+            held[0].clear()
+            held[1].clear()
+
+        for batch in batches:
+            for block, start, h, at in zip(*(batch.column(n).to_pylist() for n in ("block", "start", name, f"{name}_at"))):
+                if block != own or size > 8 * BLOCK:
+                    yield from send()
+                    own, size = block, 0
+                if h:
+                    held[0].append(h)
+                    held[1].append(np.frombuffer(at, np.int32) + start)
+                    size += len(h)
+        yield from send()
+
+    return first.select("block", "start", name, f"{name}_at").mapInArrow(run, "p int, block long, h binary, places binary")
 
 
 def _counted(asked: DataFrame, table: DataFrame) -> DataFrame:
@@ -417,41 +449,39 @@ def _counted(asked: DataFrame, table: DataFrame) -> DataFrame:
     return found.groupBy("rid").agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
 
 
-def _said(asked: DataFrame, table: DataFrame, order: int, name: str) -> DataFrame:
-    """(rid, name): the places and levels that each range's region says of the n-grams that _spread gives."""
+def _said(asked: DataFrame, table: DataFrame, order: int) -> DataFrame:
+    """(block, kind, places, levels): what each range's region says of the n-grams that _asked gives, row by row."""
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        read = lambda t, name, kind: np.frombuffer(b"".join(t[name].to_pylist()), kind)
-        of, h, places, data = read(left, "rids", np.int64), read(left, "h", np.uint64), read(left, "places", np.int32), read(right, "data", np.uint64)
-        distinct, back = np.unique(h, return_inverse=True)
-        level = probed(distinct, data, 0, len(data))[back] if len(data) else np.zeros(len(h), np.int64)
-        rids, at, found = _by_row(of, places, level)
-        return pa.table({"rid": pa.array(rids, pa.int64()), "at": pa.array(at, pa.binary()), "level": pa.array(found, pa.binary())})
+        data = np.frombuffer(b"".join(right["data"].to_pylist()), np.uint64)
+        asked = [np.frombuffer(x, np.uint64) for x in left["h"].to_pylist()]
+        distinct, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *asked]), return_inverse=True)
+        level = (probed(distinct, data, 0, len(data)) if len(data) else np.zeros(len(distinct), np.int64)).astype(np.uint8)[back]
+        ends = np.cumsum([0, *map(len, asked)])
+        return pa.table({"block": left["block"], "kind": pa.array([order] * len(asked), pa.int32()), "places": left["places"], "levels": pa.array([level[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())})
 
     ranges = table.select("p", F.col(f"data{order}").alias("data"))
-    found = asked.groupBy("p").cogroup(ranges.groupBy("p")).applyInArrow(look_up, "rid long, at binary, level binary")
-    return found.groupBy("rid").agg(F.collect_list(F.struct("at", "level")).alias(name))
+    return asked.groupBy("p").cogroup(ranges.groupBy("p")).applyInArrow(look_up, "block long, kind int, places binary, levels binary")
 
 
-def _filled(first: DataFrame) -> DataFrame:
-    """first with the levels that the table has said in their places."""
+def _filled(first: DataFrame, said: DataFrame) -> DataFrame:
+    """first's rows with the levels that the table has said in their places, block by block."""
+    names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "word", "both"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = {}
-            for name, said in (("word", "words_said"), ("both", "bigrams_said")):
-                made[name] = []
-                for levels, answers in zip(batch.column(name).to_pylist(), batch.column(said).to_pylist()):
-                    if answers:
-                        own = np.frombuffer(levels, np.uint8).copy()
-                        for x in answers:
-                            own[np.frombuffer(x["at"], np.int32)] = np.frombuffer(x["level"], np.uint8)
-                        levels = own.tobytes()
-                    made[name].append(levels)
-            yield pa.RecordBatch.from_arrays([pa.array(made[n], pa.binary()) if n in made else batch.column(n) for n in names], names=names)
+    def fill(left: pa.Table, right: pa.Table) -> pa.Table:
+        start, size = np.array(left["start"], np.int64), np.array(left["n_tokens"], np.int64)
+        order = np.argsort(start)
+        left, start, size = left.take(pa.array(order)), start[order], size[order]
+        kinds, made = np.array(right["kind"], np.int64), {}
+        for kind, name in ((1, "word"), (2, "both")):
+            level = np.frombuffer(b"".join(left[name].to_pylist()), np.uint8).copy()
+            for i in np.flatnonzero(kinds == kind).tolist():
+                level[np.frombuffer(right["places"][i].as_py(), np.int32)] = np.frombuffer(right["levels"][i].as_py(), np.uint8)
+            made[name] = pa.array([level[a : a + n].tobytes() for a, n in zip(start, size)], pa.binary())
+        return pa.table({n: made[n] if n in made else left[n] for n in names})
 
-    names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "word", "both"]
-    return first.mapInArrow(run, fields(first, names))
+    rows = first.select(*names, "block", "start")
+    return rows.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(fill, fields(first, names))
 
 
 def _stacked(batch: pa.RecordBatch, boundary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -523,10 +553,9 @@ def score(docs: DataFrame, held_out: Column, **settings) -> DataFrame:
     known = [(F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("s", F.lit(0.0))).alias("base")]
     levels = first
     if not model.whole:
-        found = first.join(words, "rid", "left")
-        for order, asked, name in ((1, "asked", "words_said"), (2, "pairs", "bigrams_said")):
-            found = found.join(_said(_spread(first, asked, model.parts), table, order, name), "rid", "left")
-        levels = write_table(_filled(found.select("rid", "doc_id", "held_out", "n_tokens", *known, "word", "both", "words_said", "bigrams_said")), "levels")
+        said = [_said(_asked(first, name, model.parts), table, order) for order, name in ((1, "asked"), (2, "pairs"))]
+        rows = _filled(first, said[0].unionByName(said[1])).join(words, "rid", "left")
+        levels = write_table(rows.select("rid", "doc_id", "held_out", "n_tokens", *known, "word", "both"), "levels")
         remove_table(first, table)
     model.weights = fit_weights(model, *tallied(levels.filter(~F.col("held_out")), boundary))
     none = np.zeros(0, np.int64)

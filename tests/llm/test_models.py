@@ -117,6 +117,26 @@ def test_language_model_scores(spark, docs, rows):
         assert [(i, pytest.approx(s, abs=2e-6)) for i, s in want] == sorted((str(r.doc_id), round(r.score, 6)) for r in got)
 
 
+def test_what_is_asked_is_a_row_for_a_block_and_range(spark):
+    texts = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), (F.col("id") * 7 + i) % 90) for i in range(20)]).alias("text"))
+    rows = texts.withColumn("held_out", F.col("doc_id") % 5 == 1)
+    model, table = lm_scoring.learn(rows.filter("not held_out"), filter_bytes=0)
+    first = lm_scoring.write_table(lm_scoring._first_pass(rows.coalesce(2), spark.sparkContext.broadcast(model), 1000), "first")
+    blocks = first.select("block").distinct().count()
+    assert 8 <= blocks <= 12 and model.parts == 32
+    asked = lm_scoring._asked(first, "pairs", model.parts)
+    said = [lm_scoring._said(x, table, k) for k, x in ((1, lm_scoring._asked(first, "asked", model.parts)), (2, asked))]
+    # not one for each of 400 texts and each range that it asks
+    assert asked.count() <= blocks * model.parts and said[1].count() <= blocks * model.parts
+    got = {r.rid: r for r in lm_scoring._filled(first, said[0].unionByName(said[1])).collect()}
+    assert len(got) == 400 and not any(lm_scoring.ASK in r.word + r.both for r in got.values())
+    whole, _ = lm_scoring.learn(rows.filter("not held_out"))
+    for r in lm_scoring._first_pass(rows.coalesce(2), spark.sparkContext.broadcast(whole)).collect():
+        held = got[r.rid]
+        assert (r.doc_id, r.word, r.n_tokens) == (held.doc_id, held.word, held.n_tokens)
+        assert all(a == b for w, a, b in zip(bytes([1]) + r.word, r.both, held.both) if w)  # a word before that is unknown
+
+
 def test_words_of_long_texts(monkeypatch):
     texts = [b"Ab  cd" * 50, b"", b"x" * 900, b" a b ", b"w1 w2\tw3\n" * 40]
     want = _common.word_hashes(texts)
