@@ -37,7 +37,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and the texts' token ids; a null or an empty text has none."""
+    """doc_id and the texts' token ids, which are decoded again and must give the text; a null or an empty text has none."""
     return bpe.encode(docs, bpe.load_spec(queries.bpe_path()), decoded=False)
 
 

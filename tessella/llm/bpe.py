@@ -327,7 +327,8 @@ def load_spec(path: str) -> str:
 
 def encode(docs: DataFrame, spec: str, keep: list[str] | None = None, digest: bool = False, decoded: bool = True) -> DataFrame:
     """Per row of docs: the columns in keep (doc_id), ids, the text's token ids, and with decoded their decoded text;
-    digest gives n_tokens, ids_sha256 and decoded_sha256 in their place.
+    digest gives n_tokens, ids_sha256 and decoded_sha256 in their place. Every text's ids are decoded by the automaton's arc
+    labels; where neither gives that back, it is compared with the text, and ids that do not decode to it are an error.
 
     Null and empty texts have no tokens; repeated rows are encoded each; other columns play no part unless kept. The
     automaton (a few MB, of the vocabulary's size) is compiled on the driver and broadcast; workers hold about 2 MB of
@@ -343,9 +344,12 @@ def encode(docs: DataFrame, spec: str, keep: list[str] | None = None, digest: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in pieces(batches, text):
-            ids = list(own.encode_batch([x or "" for x in batch.column(text).to_pylist()]))
+            texts = [x or "" for x in batch.column(text).to_pylist()]
+            ids = list(own.encode_batch(texts))
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            said = [own.decode(x).encode() for x in ids] if digest or decoded else []
+            said = [own.decode(x).encode() for x in ids]
+            if not (digest or decoded) and said != [x.encode() for x in texts]:
+                raise ValueError("token ids do not decode to their text")
             if digest:
                 out = {"n_tokens": pa.array(sizes), "ids_sha256": pa.array([hashed(x.tobytes()) for x in ids], pa.string()), "decoded_sha256": pa.array(map(hashed, said), pa.string())}
             else:

@@ -234,3 +234,15 @@ def test_workers_keep_no_block_of_patterns(spark):
         return [len(list(machine.iter(" x a b "))), hasattr(block, "_value")]
 
     assert spark.sparkContext.parallelize([0], 1).map(run).first() == [1, False]
+
+
+def test_ids_alone_are_decoded_too(spark):
+    spec = bpe.load_spec(bpe_path())
+    docs = spark.createDataFrame([(1, "a word and é"), (2, None), (3, "")], "doc_id long, text string")
+    try:
+        assert [len(r.ids) > 0 for r in bpe.encode(docs, spec, decoded=False).orderBy("doc_id").collect()] == [True, False, False]
+        bpe.tokenizer(spec).machine.labels[bpe.tokenizer(spec).machine.labels.index(b" word")] = b" wrong"
+        with pytest.raises(Exception, match="do not decode"):
+            bpe.encode(docs, spec, decoded=False).collect()
+    finally:
+        bpe._tokenizers.clear()
