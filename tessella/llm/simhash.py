@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import fields, fresh, pieces, small_batches, text_bytes, write_table
@@ -309,11 +309,22 @@ def _within(filed: DataFrame, buckets: DataFrame) -> DataFrame:
     return filed.join(buckets, (F.col("kind") == F.col("k")) & (F.col("least") == F.col("l")))
 
 
-def _compared(rows: DataFrame, filed: DataFrame, buckets: DataFrame, similarity: float) -> DataFrame:
+def _near_in_size(filed: DataFrame, similarity: float) -> DataFrame:
+    """Rows (k, l, size) without those that no other of their bucket is near enough to in size to be similar. Of a bucket
+    in order of size it is enough to look at the row before and the one after."""
+    order = Window.partitionBy("k", "l").orderBy("size", "rid")
+    near = F.col("size") >= similarity * F.lead("size").over(order) - 1e-9
+    near = F.coalesce(near, F.lit(False)) | F.coalesce(F.lag("size").over(order) >= similarity * F.col("size") - 1e-9, F.lit(False))
+    return filed.withColumn("near", near).filter("near").drop("near")
+
+
+def _compared(rows: DataFrame, filed: DataFrame, buckets: DataFrame, similarity: float, small: bool = False) -> DataFrame:
     """Links (u, v) between labels by comparing what is filed in each bucket; a bucket of several blocks is dealt into
-    them, and each two of them meet in a task."""
+    them, and each two of them meet in a task. Of small buckets, which are a block each, sets that are near no other in
+    size stay where they are."""
     mine = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
-    dealt = _within(filed, buckets).select("rid", "label", "k", "l", "blocks", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    held = _within(filed, buckets)
+    dealt = (_near_in_size(held, similarity) if small else held).select("rid", "label", "k", "l", "blocks", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = write_table(dealt.filter("blocks = 1 or mine <> other").select("rid", "label", "k", "l", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b")), "dealt")
 
     def join(table: pa.Table) -> pa.Table:
@@ -375,7 +386,7 @@ def bucket_links(rows: DataFrame, filed: DataFrame, similarity: float, block: in
     compared in those buckets; only texts that consist of common passages are then still many to a bucket.
     """
     buckets = _open_buckets(filed, block)
-    small = _compared(rows, filed, buckets.filter("blocks = 1"), similarity)
+    small = _compared(rows, filed, buckets.filter("blocks = 1"), similarity, small=True)
     large = buckets.filter("blocks > 1")
     if large.isEmpty():
         return small
@@ -386,12 +397,18 @@ def bucket_links(rows: DataFrame, filed: DataFrame, similarity: float, block: in
     return small.unionByName(_compared(sets, again, _open_buckets(again, block), similarity))
 
 
+def not_met(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rid, label, size, kind, least): rows in their buckets (of shared_minima()) without the buckets' hubs, which all others
+    of the bucket have met, so what a hub is similar to has its label (rid, label) already."""
+    return shared.filter("rid <> hub").select("rid", "size", "kind", "least").join(labels, "rid").select("rid", "label", "size", "kind", "least")
+
+
 def similar_components(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """(node, component) of all nodes: links to hubs first, then all that they leave open within buckets."""
     shared = write_table(shared_minima(nodes), "shared")
     first = components(similar_links(rows, nodes, shared, similarity))
     labels = write_table(nodes.select("rid").join(first, nodes["rid"] == first["node"], "left").select("rid", F.coalesce("component", "rid").alias("label")), "labels")
-    filed = write_table(shared.select("rid", "size", "kind", "least").join(labels, "rid").select("rid", "label", "size", "kind", "least"), "filed")
+    filed = write_table(not_met(shared, labels), "filed")
     found = components(bucket_links(rows, filed, similarity))
     return labels.join(found, labels["label"] == found["node"], "left").select(F.col("rid").alias("node"), F.coalesce("component", "label").alias("component"))
 

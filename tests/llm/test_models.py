@@ -539,6 +539,17 @@ def test_near_dedup_joins_within_buckets(spark):
         assert sorted(set(group.values())) == want
 
 
+def test_what_needs_no_second_comparison_stays(spark):
+    # buckets of two are met by their hub, and of three and more the hub has met all others
+    nodes = spark.createDataFrame([(1, 10, [5, 7]), (2, 11, [5, 8]), (3, 40, [6, 8]), (4, 12, [9, 8])], "rid long, size long, minima array<long>")
+    labels = nodes.select("rid", F.col("rid").alias("label"))
+    filed = simhash.not_met(simhash.shared_minima(nodes), labels)
+    assert {(r.kind, r.least): r["n"] for r in filed.groupBy("kind", "least").agg(F.count("*").alias("n")).collect()} == {(0, 5): 1, (1, 8): 2}
+    assert [(r.k, r.l) for r in simhash._open_buckets(filed, 1 << 20).collect()] == [(1, 8)]
+    held = spark.createDataFrame([(1, 10, 1), (2, 13, 1), (3, 16, 1), (4, 30, 1), (5, 100, 2), (6, 80, 2), (7, 8, 3), (8, 11, 3)], "rid long, size long, l long").withColumn("k", F.lit(0))
+    assert sorted(r.rid for r in simhash._near_in_size(held, 0.8).collect()) == [2, 3, 5, 6]
+
+
 def test_near_dedup_within_a_passage_of_all(spark, monkeypatch):
     # pairs of similarity 0.84 that share 600 words with all others, to which they have 0.48
     dice = random.Random(8)
