@@ -256,6 +256,32 @@ def test_frequent_features_change_no_candidates(spark):
             assert got == {k: x for k, x in want.items() if x}, (named, tiers)
 
 
+def test_blocks_give_the_same_pairs_and_candidates(spark, monkeypatch):
+    from tessella.operators import products
+
+    monkeypatch.setattr(products, "BLOCK", 100)
+    monkeypatch.setattr(products, "HELD", 50)
+    dice = random.Random(6)
+    rows = [(f"d{i:03}", sorted({f"r{dice.randrange(40)}" for _ in range(dice.randrange(0, 5))} | {f"h{dice.randrange(3)}"} - {"h2"}), dice.choice([None, "p", "q"])) for i in range(120)]
+    rows += [(f"e{i:03}", ["h0", "r1"], "p") for i in range(30)]  # copies
+    docs = spark.createDataFrame(rows, "id string, ngram array<string>, plaintiff string")
+    one = docs.select("id", F.explode("ngram").alias("feature"))
+    v = one.join(one.groupBy("feature").agg(F.count("*").alias("df")), "feature").select("id", "feature", features.idf(F.lit(150), F.col("df")).alias("weight")).cache()
+    for asked in (docs.select("id"), docs.select("id", "plaintiff")):
+        want = [tuple(r) for r in sim.candidates(asked, v, 4, tiers=()).select("a", "b", F.round("score", 6), F.round("dot", 6), "rank").collect()]
+        assert sorted(tuple(r) for r in sim.candidates(asked, v, 4).select("a", "b", F.round("score", 6), F.round("dot", 6), "rank").collect()) == sorted(want)
+        some = sim.candidates(asked, v, 4, asked=docs.filter("id like '%0'")).collect()
+        assert {(r.a, r.b) for r in some} == {(a, b) for a, b, *_ in want if a.endswith("0")}
+    for least in (0.175, 0.6):
+        links, first = {}, {}
+        for r in sim.cosine_pairs(v, least).collect():
+            for a in (r.a, r.b):
+                links[a] = links.get(a, 0) + 1
+        for i, f, _ in rows:
+            first.setdefault(tuple(f) or i, i)
+        assert {r.id: (r["class"], r.links) for r in sim.cosine_links(docs, v, least).collect()} == {i: (first[tuple(f) or i], links.get(i, 0)) for i, f, _ in rows}
+
+
 def test_assign_takes_the_first_of_an_id(spark):
     docs = stored(spark).withColumn("n", F.lit(2))
     twice = docs.unionByName(docs.withColumn("n", F.lit(1)).withColumn("clusterid", F.lit("first"))).unionByName(docs.withColumn("n", F.lit(3)))
