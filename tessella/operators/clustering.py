@@ -24,10 +24,12 @@ def nearest_cluster(docs: DataFrame, v: DataFrame, least: float = sim.THRESHOLD,
     full = full.join(size.select(F.col("id").alias("a"), F.col("size").alias("sa")), "a", "left").join(size.select(F.col("id").alias("b"), F.col("size").alias("sb")), "b", "left")
     party = [c for c in ("title", "plaintiff", "defendant") if c in docs.columns]
     missing = [F.lit(None).cast("string").alias(c) for c in ("plaintiff", "defendant", "title") if c not in party]
-    side = lambda name: docs.select("id", "clusterid", *party, *missing).alias(name)
+    # only equality is asked of titles and parties, which may be long
+    side = lambda name: docs.select("id", *[F.md5(F.col(c).cast("binary")).alias(c) for c in party], *missing).alias(name)
     full = full.join(side("x"), F.col("a") == F.col("x.id")).join(side("y"), F.col("b") == F.col("y.id"))
     near = full.withColumn("similarity", sim.rule_similarity("x", "y", F.try_divide("dot", F.col("sa") * F.col("sb")))).filter(F.col("similarity") >= least)
-    first = near.groupBy(F.col("a").alias("id")).agg(F.min_by("y.clusterid", "rank").alias("found"))
+    first = near.groupBy(F.col("a").alias("id")).agg(F.min_by("b", "rank").alias("b"))
+    first = first.join(docs.select(F.col("id").alias("b"), F.col("clusterid").alias("found")), "b").select("id", "found")
     return docs.select("id", "clusterid").join(first, "id", "left").select("id", F.coalesce("found", "clusterid").alias("clusterid"))
 
 
