@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from tessella.functions import markup, stemmer, text
 from tessella.plans import frontend
@@ -39,6 +40,24 @@ def test_ngrams(spark):
     assert one(spark, ["a"], lambda c: text.with_fallback(c, F.lit("id")), "x array<string>") == ["id"]
 
 
+def test_words_of_features(spark):
+    odd = "The 12 x 3D b2 007 été-1a NASA_ok a1b2c3 9 99x And 1" + "2" * 5000
+    assert one(spark, odd, text.feature_words) == ["3d", "b2", "1a", "nasa", "ok", "a1b2c3", "99x"]
+    assert one(spark, " a-b ", text.words) == ["a", "b"] and one(spark, "", text.words) == [] and one(spark, None, text.feature_words) is None
+    df = spark.createDataFrame([("to be or not",)], "x string")
+    plan = df.select(text.with_fallback(text.distinct_ngrams("x"), "x").alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "INSET" in plan.upper()  # stop words are looked up, not gone through
+    assert plan.count("array_distinct") == 1  # n-grams are made once, not for their number and again for themselves
+
+
+def test_stems_of_a_batch(spark):
+    rows = [(1, ["running", "cats", "cats"]), (2, None), (3, []), (4, ["ponies", "cats"])]
+    stem = stemmer.stem_words(frozenset(["running"]))
+    df = spark.createDataFrame(rows, "id long, w array<string>").coalesce(1).select("id", stem("w").alias("s"))
+    assert {r.id: r.s for r in df.collect()} == {1: ["running", "cat", "cat"], 2: None, 3: [], 4: ["poni", "cat"]}
+    assert "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString() and stem.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+
+
 def test_summary(spark):
     clean = "The court found that the claim was not timely."
     assert one(spark, f"LONDON -- {clean} too short. {clean}", text.clean_summary) == f"{clean} {clean}"
