@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sentences import mark, tokens
+from .sentences import mark, marked, tokens
 from .store import write_table
 
 #: Capitalised uses within sentences that a name has, at least.
@@ -17,28 +17,39 @@ def bare(token: Column) -> Column:
     return F.regexp_replace(token, r"^[^\p{L}0-9]+|[^\p{L}0-9]+$", "")
 
 
-def _placed(w: Column) -> Column:
-    """Tokens with their place, whether they begin a sentence, and whether a mark closes them."""
-    prev = lambda i: F.get(w, i - 1)
-    return F.transform(w, lambda x, i: F.struct(i.alias("at"), bare(x).alias("word"), ((i == 0) | (mark(prev(i)) != "")).alias("first"), (~x.rlike(r"[\p{L}0-9]$")).alias("closed")))
+def _first(before: Column) -> Column:
+    """Whether a token begins a sentence, by the one before it (null: none)."""
+    return before.isNull() | (marked(before) & (mark(before) != ""))
+
+
+def _capital(w: Column) -> Column:
+    """Capitalised words of tokens with their place, whether they begin a sentence, and whether a mark closes them. Tokens
+    without any capital are put aside first."""
+    placed = F.transform(w, lambda x, i: F.struct(i.alias("at"), x.alias("x"), F.get(w, i - 1).alias("before")))
+    some = F.filter(placed, lambda t: t["x"].rlike(r"\p{Lu}"))
+    named = F.transform(some, lambda t: F.struct(t["at"].alias("at"), bare(t["x"]).alias("word"), _first(t["before"]).alias("first"), (~t["x"].rlike(r"[\p{L}0-9]$")).alias("closed")))
+    return F.filter(named, lambda t: t["word"].rlike(r"^\p{Lu}\p{L}+$"))
 
 
 def case_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, upper, lower, name): how often a word is capitalised where no sentence begins, and how often it is in small
-    letters anywhere. It is a name if the former is LEAST or more, and more than the latter."""
-    every = docs.select(tokens(text).alias("w")).select(F.explode(_placed(F.col("w"))).alias("t")).select("t.*")
+    letters anywhere. It is a name if the former is LEAST or more, and more than the latter. Tokens are counted as they are
+    written first, so patterns meet each once, not each time it occurs."""
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))))
+    each = docs.select(tokens(text).alias("w")).select(F.explode(F.arrays_zip(F.col("w").alias("x"), before.alias("before"))).alias("t")).select("t.*").filter("x is not null")
+    raw = each.groupBy("x", _first(F.col("before")).alias("first")).agg(F.count("*").alias("n")).select(bare(F.col("x")).alias("word"), "first", "n")
     upper, lower = F.col("word").rlike(r"^\p{Lu}\p{L}+$"), F.col("word").rlike(r"^\p{Ll}+$")
-    some = every.filter(lower | (upper & ~F.col("first"))).groupBy(F.lower("word").alias("word"))
-    counts = some.agg(F.sum(upper.cast("long")).alias("upper"), F.sum(lower.cast("long")).alias("lower"))
+    some = raw.filter(lower | (upper & ~F.col("first"))).groupBy(F.lower("word").alias("word"))
+    counts = some.agg(F.sum(F.when(upper, F.col("n")).otherwise(0)).alias("upper"), F.sum(F.when(lower, F.col("n")).otherwise(0)).alias("lower"))
     return counts.withColumn("name", (F.col("upper") >= LEAST) & (F.col("upper") > F.col("lower")))
 
 
 def entities(docs: DataFrame, counts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(key, entities) of every row: its distinct runs of capitalised names, in order of the alphabet. A run ends where
     a mark or a sentence does. The first word of a sentence is one only if it is a name elsewhere. Null and empty texts have none."""
-    rows = write_table(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), tokens(text).alias("w")), "tokens")
-    capital = F.filter(_placed(F.col("w")), lambda t: t["word"].rlike(r"^\p{Lu}\p{L}+$"))
-    words = rows.select("row", F.explode(capital).alias("t")).select("row", "t.*").withColumn("small", F.lower("word"))
+    each = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), tokens(text).alias("w"))
+    rows = write_table(each.select("row", "key", _capital(F.col("w")).alias("capital")), "capital")
+    words = rows.select("row", F.explode("capital").alias("t")).select("row", "t.*").withColumn("small", F.lower("word"))
     named = words.join(counts.filter("name").select(F.col("word").alias("small")), "small", "left_semi")
     order = Window.partitionBy("row").orderBy("at")
     opens = F.coalesce((F.lag("at").over(order) != F.col("at") - 1) | F.lag("closed").over(order) | F.col("first"), F.lit(True))
