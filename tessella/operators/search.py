@@ -176,6 +176,7 @@ def analysis(docs: DataFrame, column: str) -> DataFrame:
     """(id, stage, tokens): what each step of the analysis makes of a text."""
     from ..functions.stemmer import stem_words
 
-    stages = {"words": text.words(column), "features": text.feature_words(column), "stems": stem_words()(text.feature_words(column))}
-    rows = F.array(*[F.struct(F.lit(n).alias("stage"), c.alias("tokens")) for n, c in stages.items()])
-    return docs.select("id", F.explode(rows).alias("x")).select("id", "x.*")
+    # each step works on what the one before it made
+    staged = docs.select("id", text.words(column).alias("words"), text.feature_words(column).alias("features")).withColumn("stems", stem_words()("features"))
+    rows = F.array(*[F.struct(F.lit(n).alias("stage"), F.col(n).alias("tokens")) for n in ("words", "features", "stems")])
+    return staged.select("id", F.explode(rows).alias("x")).select("id", "x.*")
