@@ -29,15 +29,18 @@ class Terms:
         return self.spark.read.schema("a string, b string, n long").parquet(f"{self.path}/pairs")
 
 
-def build(docs: DataFrame, path: str | None = None) -> Terms:
-    """The tables of docs (id, w: words); counts are aggregates, whatever a term's share of documents."""
+def build(docs: DataFrame, path: str | None = None, pairs: bool = True) -> Terms:
+    """The tables of docs (id, w: words); counts are aggregates, whatever a term's share of documents. Prefixes and
+    candidates need no pairs, so where nothing is collated they can be left out."""
     spark = docs.sparkSession
     out = Terms(spark, path or new_path(spark, "terms"))
     df = docs.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     df.repartitionByRange("term").sortWithinPartitions("term").write.option("parquet.block.size", str(4 << 20)).parquet(f"{out.path}/terms")
-    beside = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("a"), F.get("w", i + 1).alias("b"))), lambda p: p["b"].isNotNull())
-    pairs = docs.select(F.explode(beside).alias("p")).select("p.*").groupBy("a", "b").agg(F.count("*").alias("n"))
-    pairs.repartitionByRange("a").sortWithinPartitions("a", "b").write.option("parquet.block.size", str(4 << 20)).parquet(f"{out.path}/pairs")
+    if not pairs:
+        return out
+    beside = docs.select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(0))).alias("b"))).alias("p")).select("p.*").filter("b is not null")
+    counted = beside.groupBy("a", "b").agg(F.count("*").alias("n"))
+    counted.repartitionByRange("a").sortWithinPartitions("a", "b").write.option("parquet.block.size", str(4 << 20)).parquet(f"{out.path}/pairs")
     return out
 
 
