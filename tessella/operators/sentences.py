@@ -23,7 +23,17 @@ NUMBER = "##"
 
 def tokens(c: Column | str) -> Column:
     """Runs without white space; a null or empty text has none."""
-    return F.filter(F.split(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), SPACE), "")
+
+
+def marked(token: Column) -> Column:
+    """Whether a token has any mark in it, as all have that end with one: a cheap test before mark()."""
+    return token.contains(".") | token.contains("!") | token.contains("?")
+
+
+def followed(w: str) -> Column:
+    """Each token (a) of an array column with the one behind it (b, null for the last)."""
+    return F.arrays_zip(F.col(w).alias("a"), F.slice(w, 2, F.size(w)).alias("b"))
 
 
 def mark(token: Column) -> Column:
@@ -40,11 +50,12 @@ def kind(token: Column) -> Column:
 
 def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(type, mark, next, n): how often each type ends in each way, and before which type if it ends a sentence or
-    might (next is null elsewhere, and at a text's end). One scan; partial counts by task."""
-    w = docs.select(tokens(text).alias("w"))
-    pairs = w.select(F.explode(F.transform("w", lambda x, i: F.struct(x.alias("a"), F.get("w", i + 1).alias("b")))).alias("p")).select("p.*")
-    pairs = pairs.select(kind(F.col("a")).alias("type"), mark(F.col("a")).alias("mark"), "b")
-    return pairs.groupBy("type", "mark", F.when(F.col("mark") != "", kind(F.col("b"))).alias("next")).agg(F.count("*").alias("n"))
+    might (next is null elsewhere, and at a text's end). One scan; partial counts by task. Tokens are counted as they are
+    written first, so patterns meet each once, not each time it occurs."""
+    pairs = docs.select(tokens(text).alias("w")).select(F.explode(followed("w")).alias("p")).select("p.*")
+    raw = pairs.groupBy("a", F.when(marked(F.col("a")), F.col("b")).alias("b")).agg(F.count("*").alias("n"))
+    raw = raw.select(kind(F.col("a")).alias("type"), mark(F.col("a")).alias("mark"), "b", "n")
+    return raw.groupBy("type", "mark", F.when(F.col("mark") != "", kind(F.col("b"))).alias("next")).agg(F.sum("n").alias("n"))
 
 
 def abbreviations(counts: DataFrame) -> DataFrame:
@@ -53,7 +64,7 @@ def abbreviations(counts: DataFrame) -> DataFrame:
     score is the log-likelihood ratio of always standing with the dot against doing so as all tokens do, scaled down
     for long types and for each time the type stands without, and up for dots inside.
     """
-    types = counts.groupBy("type").agg(F.sum(F.when(F.col("mark") == ".", F.col("n")).otherwise(0)).alias("dotted"), F.sum("n").alias("n"))
+    types = write_table(counts.groupBy("type").agg(F.sum(F.when(F.col("mark") == ".", F.col("n")).otherwise(0)).alias("dotted"), F.sum("n").alias("n")), "types")
     every, dots = types.agg(F.sum("n"), F.sum("dotted")).first()
     of = types.filter((F.col("dotted") > 0) & F.col("type").rlike(r"\p{L}"))
     if not dots or dots == every:
@@ -117,8 +128,8 @@ def split(docs: DataFrame, model: Model, key: str = "id", text: str = "text") ->
     capitalised starter ends it; behind a single letter or a number neither a small letter nor a collocation does.
     """
     rows = write_table(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), tokens(text).alias("w")), "tokens")
-    every = F.transform("w", lambda x, i: F.struct(i.alias("at"), x.alias("a"), F.get("w", i + 1).alias("b")))
-    ends = rows.select("row", F.explode(F.filter(every, lambda x: x["b"].isNotNull() & (mark(x["a"]) != ""))).alias("p")).select("row", "p.*")
+    every = rows.select("row", F.posexplode(followed("w")).alias("at", "p")).select("row", "at", "p.*")
+    ends = every.filter(marked(F.col("a")) & F.col("b").isNotNull() & (mark(F.col("a")) != ""))
     ends = ends.select("row", "at", kind(F.col("a")).alias("type"), mark(F.col("a")).alias("mark"), kind(F.col("b")).alias("next"), F.regexp_replace("b", _OPEN, "").alias("b"))
     ends = ends.join(model.abbreviations.withColumn("short", F.lit(True)), "type", "left").join(model.starters.select(F.col("type").alias("next"), F.lit(True).alias("starts")), "next", "left")
     ends = ends.join(model.collocations.select("type", "next", F.lit(True).alias("near")), ["type", "next"], "left")
