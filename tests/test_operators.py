@@ -1,6 +1,7 @@
 """Ingest, vectors, clusters, facets, search, streams and the registry."""
 
 import math
+import os
 import random
 import re
 import time
@@ -420,3 +421,29 @@ def test_dense_kmeans_is_the_same_however_many_centres_fit(spark, monkeypatch):
     want = [found(n) for n in (1, 3)]
     monkeypatch.setattr(clustering, "CENTRES", 0)
     assert [found(n) for n in (1, 3)] == want and dict(want[0])[500] == 1
+
+
+def test_tokens_are_counted_before_patterns(spark):
+    from tessella.operators import names, sentences, terms
+
+    docs = spark.createDataFrame([(1, "Dr. No met Dr. No. He left!"), (2, None), (3, "")], "id long, text string")
+    for counts in (sentences.token_counts(docs), names.case_counts(docs)):
+        plan = counts._jdf.queryExecution().optimizedPlan().toString()
+        assert re.match(r"Aggregate \[[ax]#", plan[plan.rindex("Aggregate ") :])  # the lowest one is by tokens as they are written
+    counted = {(r.type, r.mark, r.next): r.n for r in sentences.token_counts(docs).collect()}
+    assert counted["dr", ".", "no"] == 2 and counted["no", ".", "he"] == 1 and counted["left", "!", None] == 1 and counted["no", "", None] == 1
+    table = terms.build(docs.selectExpr("id", "split(lower(text), ' ') w"), pairs=False)
+    assert table.terms().count() == 7 and not os.path.exists(f"{table.path}/pairs")  # "" of the empty text is one
+
+
+def test_frequent_and_rare_features(spark, monkeypatch):
+    from tessella.operators.store import write_table
+
+    docs = spark.createDataFrame([(str(i), ["all", f"own{i}", f"pair{i // 2}"]) for i in range(40)], "id string, w array<string>")
+    want = {(r.id, r.term, r.tf, r.df) for r in features.term_vectors(docs, "w").collect()}
+    assert len(want) == 120 and {(t, d) for _, t, _, d in want if t == "all"} == {("all", 40)}
+    rows = write_table(docs.select("id", F.explode("w").alias("feature")), "rows")
+    df = write_table(rows.groupBy("feature").agg(F.count("*").alias("df")), "df")
+    for most in (2, 10, 1000):  # all but the most frequent ones meet in a shuffle; some; none
+        monkeypatch.setattr(features, "MOST_SENT", most)
+        assert {(r.id, r.feature, 1, r.df) for r in features.with_frequency(rows, df).collect()} == want
