@@ -1,13 +1,18 @@
-"""Text of HTML by the standard library's parser, as an Arrow-batched pandas UDF."""
+"""Text of HTML by the standard library's parser, as an Arrow UDF."""
 
 from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import PIECE, small_batches
+
 
 class _Text(HTMLParser):
     def __init__(self):
@@ -46,6 +51,22 @@ def page_text(url, html):
     return F.when(F.lower(url).endswith(".pdf"), F.lit("")).otherwise(F.coalesce(strip_html(html), F.lit("")))
 
 
-@F.pandas_udf(T.StringType())
-def strip_html(html: pd.Series) -> pd.Series:
-    return html.map(html_text, na_action="ignore")
+def html_texts(html: pa.Array) -> pa.Array:
+    """The texts of a batch's markup. No more than about PIECE bytes of it, or one page, are Python's at a time; else a batch of
+    ten thousand pages would be there several times over in each worker."""
+    ends = np.cumsum(pc.binary_length(html).fill_null(0).to_numpy().astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // PIECE)) + 1).tolist(), len(html)]
+    texts = [pa.array([html_text(x) for x in html.slice(lo, hi - lo).to_pylist()], html.type) for lo, hi in zip(cuts, cuts[1:])]
+    return pa.concat_arrays(texts)
+
+
+@F.arrow_udf(T.StringType())
+def _strip_html(html: pa.Array) -> pa.Array:
+    return html_texts(html)
+
+
+def strip_html(html: Column | str) -> Column:
+    """The text of markup. Spark's batches become small ones where it sends larger ones."""
+    if spark := SparkSession.getActiveSession():
+        small_batches(spark)
+    return _strip_html(html)

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import BATCH as BATCH
+from ..functions.batches import PIECE as PIECE
+from ..functions.batches import small_batches as small_batches
 from ..operators.store import remove_table as remove_table
 from ..operators.store import write_table as write_table
 
@@ -44,22 +47,6 @@ def shuffle_parts(spark: SparkSession) -> int:
 # -- text as bytes ---------------------------------------------------------------------------------------------------
 
 
-#: Bytes of text that a worker takes up at once, and of a batch that Spark sends it.
-PIECE, BATCH = 2 << 20, 8 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Let Spark send batches of a few MB, not of ten thousand rows of any size. A smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if _bytes(spark.conf.get(key, "64m")) > BATCH:
-        spark.conf.set(key, str(BATCH))
-
-
-def _bytes(setting: str) -> int:
-    at = setting.strip().lower().removesuffix("b")
-    return int(at[:-1]) << {"k": 10, "m": 20, "g": 30}[at[-1]] if at[-1:] in "kmg" else int(at)
-
-
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int | None = None) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about PIECE (or limit) bytes of a text column; a longer text is a batch of its own."""
     for batch in batches:

@@ -1,5 +1,8 @@
 """Golden rows of the text functions."""
 
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
@@ -136,3 +139,20 @@ def test_query_strings(spark):
     for bad in ("(red", "red)", "AND", "a AND", "()"):
         with pytest.raises(QueryError):
             parse(bad)
+
+
+def test_pages_are_taken_up_in_pieces(spark):
+    pages = ["<p>" + "a&amp;b " * 1200 + "</p>"] * 1500 + [None, "", "<b>" + "c" * (1 << 20), None]
+    batch = pa.array(pages)
+    tracemalloc.start()
+    try:
+        got = markup.html_texts(batch)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.slice(1500).to_pylist() == [None, "", "c" * (1 << 20), None] and set(got.slice(0, 1500).to_pylist()) == {"a&b " * 1200}
+    assert batch.nbytes > 14 << 20 and peak < 10 << 20  # of markup and texts, only a few MB at a time are strings
+    assert markup.html_texts(batch.slice(1499, 2)).to_pylist() == ["a&b " * 1200, None] and len(markup.html_texts(batch.slice(0, 0))) == 0
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    rows = spark.createDataFrame([("<i>x</i>y",), (None,)], "h string").select(markup.strip_html("h").alias("t"))
+    assert [r.t for r in rows.collect()] == ["xy", None] and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
