@@ -447,3 +447,52 @@ def test_frequent_and_rare_features(spark, monkeypatch):
     for most in (2, 10, 1000):  # all but the most frequent ones meet in a shuffle; some; none
         monkeypatch.setattr(features, "MOST_SENT", most)
         assert {(r.id, r.feature, 1, r.df) for r in features.with_frequency(rows, df).collect()} == want
+
+
+def _exported_by_hand(rows, most_df=0.5):
+    docs = {}
+    for key, words in rows:
+        docs.setdefault(key, []).extend(w for w in words or [] if w is not None)
+    df = {}
+    for words in docs.values():
+        for w in set(words):
+            df[w] = df.get(w, 0) + 1
+    out = {}
+    for key, words in docs.items():
+        w = {x: math.sqrt(words.count(x)) * (math.log(len(rows) / (df[x] + 1)) + 1) for x in set(words) if df[x] <= most_df * len(rows)}
+        length = math.sqrt(sum(x * x for x in w.values()))
+        out |= {(key, x): round(y / length, 8) for x, y in w.items()}
+    return out
+
+
+@pytest.mark.parametrize("sent", [400_000, 40, 1])
+def test_export_vectors_by_hand(spark, monkeypatch, sent):
+    monkeypatch.setattr(features, "MOST_SENT", sent)
+    rng = random.Random(5)
+    rows = [(str(i), ["all", *(f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.randrange(1, 60)))]) for i in range(200)]
+    rows += [("7", ["again", "w1", "all"]), (None, ["w2", "w2", None, "é"]), ("none", None), ("empty", []), ("nulls", [None, None])]
+    docs = spark.createDataFrame(rows, "id string, w array<string>").repartition(5)
+    got = {(r.id, r.feature): round(r.weight, 8) for r in features.export_vectors(docs, "w").collect()}
+    want = _exported_by_hand(rows)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-8 for k in want)
+    assert features.export_vectors(docs.limit(0), "w").count() == 0
+    with pytest.raises(ValueError, match="no features left"):
+        features.export_vectors(docs.withColumn("w", F.array(F.lit("all"))), "w")
+
+
+def test_export_vectors_shuffles_documents_not_their_features(spark, tmp_path):
+    docs = spark.range(0, 2000, 1, 4).select(F.col("id").cast("string").alias("id"), F.transform(F.sequence(F.lit(1), F.lit(100)), lambda i: ((F.col("id") * 7 + i * i) % 700).cast("string")).alias("w"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    seen = {s.stageId(): s.shuffleWriteRecords() for s in _stages(spark, store)}
+    vectors = features.export_vectors(docs, "w")
+    vectors.write.parquet(str(tmp_path / "out"))
+    n = spark.read.parquet(str(tmp_path / "out")).count()
+    moved = sum(s.shuffleWriteRecords() for s in _stages(spark, store) if s.stageId() not in seen)
+    assert n > 60 * 2000 and moved < n / 4  # every row was shuffled three times before
+
+
+def _stages(spark, store):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    empty = spark.sparkContext._jvm.java.util.ArrayList()
+    found = store.stageList(empty, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), empty)
+    return [found.apply(i) for i in range(found.size())]
